@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,13 @@ def connected(links: DataFrame) -> DataFrame:
         label = step.select("id", "component")
         if step.filter("component < was").isEmpty():
             return label
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of a session that began without this repository on its path import it."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+    return spark
