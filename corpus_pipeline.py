@@ -1,10 +1,67 @@
-"""The corpus pipeline: language ID, near duplicates, repeated passages, PII, packing."""
+"""The corpus pipeline: language ID, near duplicates, repeated passages, PII, packing.
+
+Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; run()
+writes each stage's result as Parquet in the shared checkpoint folder and reads
+it again. All stages but the last return the columns of documents, whatever
+these are besides doc_id, text, lang and source.
+
+Null texts are empty: the first stage rejects them. Rows with a null doc_id
+can't be told apart: no stage drops them or cuts their text for a repeat. Empty
+tables stay empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from driftline.llm import best_fit, lang_id, near_dup, passages, pii, registry
+from driftline.llm.common import ready, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose language can't be told."""
+    ready(spark)
+    langs, model = lang_id.fit(docs)
+    rejected = lang_id.fuse(lang_id.document_rows(docs), langs, model).filter("NOT accepted").select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut."""
+    return passages.remove_passages(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that disclose it are generalised or removed."""
+    return pii.clean_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of all documents, packed into sequences, with their ids."""
+    ready(spark)
+    return best_fit.packed(docs, registry.tokenizer("byte_bpe_50k.json"))
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("personal_data", personal_data), ("packing", packing)]
+
+#: The stages are not expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftline-pipeline-")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

@@ -154,3 +154,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
 def joined(spans: Column) -> Column:
     """kind:start:end of the spans as they come, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def clean_documents(docs: DataFrame) -> DataFrame:
+    """docs with sanitised texts, and n_chars to match where there is such a column."""
+    out = sanitise(docs)
+    if "n_chars" in docs.columns:
+        changed = F.size("_pii_spans") > 0
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, binary_rows, lang_id, media, near_dup, pii, sentencepiece_bpe, top_k
+from . import best_fit, binary_rows, lang_id, media, near_dup, passages, pii, repeats, sentencepiece_bpe, top_k
 from .common import ready, table
 
 #: Folder of the public tokenizer files; None takes that of the installed package.
@@ -38,10 +38,19 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(table(spark, sf_dir, "documents")))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fuzzy passage that repeats one of an earlier document."""
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents and of all raw pages (the other's id is null)."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
@@ -68,7 +77,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ids=False)
 
 
-_ALL = [op1_pii, op2_media, op4_near_duplicates, op6_language, op7_sentencepiece, op8_token_binary, op9_top_k, op10_best_fit]
+_ALL = [op1_pii, op2_media, op3_passages, op4_near_duplicates, op5_repeats, op6_language, op7_sentencepiece, op8_token_binary, op9_top_k, op10_best_fit]
 
 
 def queries() -> dict:
