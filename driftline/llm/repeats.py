@@ -13,8 +13,8 @@ over all tasks, so a phrase that is everywhere sends one row a task. Phrases
 that differ but share a trigger and a context that some string could lie in are
 compared by their suffixes: the dictionary suffixes of one trigger are sorted by
 SIZE bytes, ties by place in the parse, and of equal neighbours all but the
-first repeat. Triggers with more than BLOCK such phrases are sorted block by
-block, and the blocks' firsts settled by a grouped minimum. Together the
+first repeat. Triggers with more than BLOCK such phrases are dealt to several
+parts, whose firsts are settled by their least place. Together the
 triggers' sorted suffixes are the corpus order as far as SIZE bytes; a suffix
 array of the whole corpus is never in one place.
 
@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
@@ -225,57 +225,54 @@ def sorted_suffixes(units: list[tuple[int, int, int, bytes]]) -> tuple[list[tupl
 
 
 def _resolved(batches):
-    """kind 0: strings that repeat, as ranges of starts; kind 1: firsts of a block of a trigger that has several."""
-    key, units, blocks = None, [], 0
+    """kind 0: strings that repeat, as ranges of starts; kind 1: firsts of one part of a trigger that has several."""
 
-    def block(more: bool):
-        nonlocal blocks
-        repeats, firsts = sorted_suffixes(units)
-        blocks += 1
-        rows = []
-        repeats.sort()
-        i = 0
-        while i < len(repeats):
+    def done(units, parts):
+        again, firsts = sorted_suffixes(units)
+        again.sort()
+        rows, i = [], 0
+        while i < len(again):
             j = i
-            while j + 1 < len(repeats) and repeats[j + 1] == (repeats[j][0], repeats[j][1] + 1):
+            while j + 1 < len(again) and again[j + 1] == (again[j][0], again[j][1] + 1):
                 j += 1
-            rows.append((0, repeats[i][0], repeats[i][1], repeats[j][1] + 1, None, None))
+            rows.append((0, *again[i], again[j][1] + 1, *again[i]))
             i = j + 1
-        if more or blocks > 1:
+        if parts > 1:
             for doc, place, string in firsts:
                 g = hashlib.blake2b(string, digest_size=16).digest()
                 rows.append((1, doc, place, place + 1, int.from_bytes(g[:8], "little", signed=True), int.from_bytes(g[8:], "little", signed=True)))
         return _batch(_SNAMES, _SKINDS, list(zip(*rows)) if rows else [[]] * 6)
 
+    key, units = None, []
     for batch in batches:
-        for h, doc, lo, size, text in zip(*[batch.column(c).to_pylist() for c in ("h", "doc", "lo", "size", "text")]):
-            if h != key:
-                if len(units) + blocks > 1:
-                    yield block(False)
-                key, units, blocks = h, [], 0
+        for h, part, parts, doc, lo, size, text in zip(*[batch.column(c).to_pylist() for c in ("h", "part", "parts", "doc", "lo", "size", "text")]):
+            if (h, part, parts) != key:
+                if units:
+                    yield done(units, key[2])
+                key, units = (h, part, parts), []
             if text is not None and len(text) == size + SIZE - 1:
                 units.append((doc, lo, size, text))
-            if len(units) >= BLOCK:
-                yield block(True)
-                units = []
-    if len(units) + blocks > 1:
-        yield block(False)
+    if units:
+        yield done(units, key[2])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc, lo, hi): ranges of byte places at which SIZE-byte strings start that have started earlier."""
     docs = plain(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     parsed = docs.mapInArrow(_parsed, _PHRASE).repartition("h").sortWithinPartitions("h", "u", "doc", "lo")
-    linked = parsed.mapInArrow(_linked, _PHRASE)
+    linked = cut(parsed.mapInArrow(_linked, _PHRASE))
     whole = linked.filter("off < 0").select("doc", "lo", (F.col("lo") + F.col("size")).alias("hi"))
     asked = linked.filter("off >= 0").select("h", "doc", "lo", "size")
+    hot = asked.groupBy("h").count().filter(F.col("count") > BLOCK).select("h", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    asked = asked.join(hot, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("doc", "lo"), F.col("parts")).cast("int"))
     text = F.col("text").cast("binary").substr(F.col("lo").cast("int") + 1, F.col("size") + SIZE - 1)
-    units = asked.join(docs, asked["doc"] == docs["doc_id"]).select("h", "doc", "lo", "size", text.alias("text"))
-    settled = cut(units.repartition("h").sortWithinPartitions("h", "doc", "lo").mapInArrow(_resolved, _SUFFIX))
-    firsts = settled.filter("kind = 1")
-    least = firsts.groupBy("g1", "g2").agg(F.min(F.struct("doc", "lo")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    late = firsts.join(least, ["g1", "g2"]).filter("struct(doc, lo) > least").select("doc", "lo", "hi")
-    return whole.unionByName(settled.filter("kind = 0").select("doc", "lo", "hi")).unionByName(late)
+    units = asked.join(docs, asked["doc"] == docs["doc_id"]).select("h", "part", "parts", "doc", "lo", "size", text.alias("text"))
+    settled = units.repartition("h", "part").sortWithinPartitions("h", "part", "doc", "lo").mapInArrow(_resolved, _SUFFIX)
+    # Firsts of several parts of a trigger: one row per part and string, the least of which is the first. Ranges have keys of their own.
+    least = F.min(F.struct("doc", "lo")).over(Window.partitionBy("kind", "g1", "g2"))
+    late = settled.withColumn("least", least).filter("kind = 0 OR struct(doc, lo) > least").select("doc", "lo", "hi")
+    return whole.unionByName(late)
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -308,6 +305,8 @@ def _cut(batches):
 def deduplicate(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): every document without its repeats; kept is its remaining bytes."""
     docs = plain(docs, "doc_id", "text")
+    named = docs.filter("doc_id IS NOT NULL")
     ranges = repeats(docs).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    rows = docs.join(ranges, docs["doc_id"] == ranges["doc"], "left").select("doc_id", "text", "ranges")
+    rows = named.join(ranges, named["doc_id"] == ranges["doc"], "left").select("doc_id", "text", "ranges")
+    rows = rows.unionByName(docs.filter("doc_id IS NULL").withColumn("ranges", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")))
     return rows.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
