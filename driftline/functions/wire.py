@@ -61,8 +61,7 @@ def fragment(df: DataFrame, mtu: int, compat: bool = False) -> DataFrame:
     rows = df.filter(sound).withColumns({"_cap": cap, "_sent": sent, "n_parts": part_count(size, cap, compat), "_value": F.col("value")})
     rows = rows.withColumn("part_no", F.explode(F.sequence(F.lit(1), F.col("_sent"))))
     payload = F.substring(F.col("_value"), (F.col("part_no") - 1) * F.col("_cap") + 1, F.col("_cap"))
-    kind = F.when(F.col("_sent") > 1, F.coalesce(F.col("type"), F.lit(MESSAGE))).otherwise(F.col("type"))
-    rows = rows.withColumn("frame", frame(kind, F.col("part_no"), F.col("n_parts"), F.col("id"), payload))
+    rows = rows.withColumn("frame", frame(F.col("type"), F.col("part_no"), F.col("n_parts"), F.col("id"), payload))
     return rows.drop("_cap", "_sent", "_value", "value")
 
 
