@@ -90,7 +90,7 @@ class DeliverFilter:
         self.k, self.floor_mod = self.groups[1][0] - self.groups[0][0], floor_mod
         if self.groups[2][0] != self.groups[1][0] + self.k or not self.k:
             raise ValueError("the third group starts with an unexpected number")
-        for n in range(self.groups[2][-1]):
+        for n in range(1 if floor_mod else 0, self.groups[2][-1]):  # 0 is in no group, but floor_mod delivers it
             if self.delivers(n) != any(n in g for g in self.groups):
                 raise ValueError(f"self test failed for {n}")
 

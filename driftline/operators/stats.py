@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def intervals(events: DataFrame, seconds: int, keys: list[str] | None = None, received=F.lit(1), sent=F.lit(1)) -> DataFrame:
+def intervals(events: DataFrame, seconds: int, keys: list[str] | None = None, received=None, sent=None) -> DataFrame:
     """(keys, time_start, received, sent, eps, total_received, total_sent) per tumbling interval; eps is a whole number."""
-    keys = keys or []
+    keys, received, sent = keys or [], F.lit(1) if received is None else received, F.lit(1) if sent is None else sent
     start = F.window("ts", f"{int(seconds)} seconds")["start"]
     rows = events.groupBy(*keys, start.alias("time_start")).agg(F.sum(received).cast("long").alias("received"), F.sum(sent).cast("long").alias("sent"))
     # One row per interval: the running totals are small.
