@@ -8,9 +8,9 @@ re-merging, and on failure goes to the next shorter piece or steps back; a
 bitfield marks the positions that have failed.
 
 No piece goes on after a character with a space mark, so spaces split a text
-into parts that merge on their own; a character without a piece ends a part
-too and becomes byte pieces. Parts recur, so their ids are cached in a bounded
-dictionary of the worker.
+into parts that merge on their own, and so does the place between a letter and a
+sign where no piece has the two; a character without a piece becomes byte pieces. Parts recur, so their ids are cached in the worker,
+in two bounded generations: what the old one still answers moves to the new.
 
 Null and empty texts have no tokens; repeated rows are repeated; an empty table
 gives an empty result.
@@ -29,10 +29,21 @@ from pyspark.sql import DataFrame
 from . import textops
 from .common import plain
 
-#: Parts kept in a worker's cache; it starts anew when full.
-CACHE = 400_000
+#: Parts in a generation of a worker's cache.
+CACHE = 600_000
 
 _MARK = "▁"
+_SIGN = r"[!-/:-@\[-`{-~]"
+
+
+def _splitter(pieces) -> re.Pattern:
+    """Parts of a marked text: space marks with the run of other characters behind them, letters before a sign, and line breaks.
+
+    Letters that some piece has before a sign don't count as letters, so no piece crosses a part's end.
+    """
+    letter = re.compile(f"([^\\W\\d_]){_SIGN}")
+    joined = "".join(sorted({m[1] for p in pieces for m in letter.finditer(p)}))
+    return re.compile(f"{_MARK}*[^\\W\\d_{joined}]++(?={_SIGN})|{_MARK}*[^{_MARK}\n]+|{_MARK}+|\n")
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -90,13 +101,18 @@ class Model:
             raise ValueError("only BPE models with identity normalisation, dummy prefix, kept spaces and byte fallback")
         if any(_MARK in p.lstrip(_MARK) for p in self.ids):
             raise ValueError("a piece goes on after a space mark inside it")
+        self.split = _splitter(self.ids)
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.known = frozenset(p for p in self.ids if len(p) == 1)
         self.automaton = ahocorasick.Automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         for piece, i in self.ids.items():
             if self.merge(piece) == [i]:  # others never come out of merging
                 self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        #: Part to number of ids, the ids joined by commas, and the decoded text (None: the part itself, marks as spaces).
+        self.cache: dict[str, tuple[int, str, str | None]] = {}
+        self.older: dict[str, tuple[int, str, str | None]] = {}
 
     def merge(self, text: str) -> list[int]:
         """The merges themselves: the best-scored neighbouring pair first, the leftmost of equals."""
@@ -113,34 +129,37 @@ class Model:
         return [self.ids.get(p, -1) for p in parts]
 
     def fits(self, left: int, right: int) -> bool:
-        key = (left, right)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) > 500_000:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
+        """Whether merging the two pieces' characters gives the two back; remembered."""
+        if len(self.pairs) > 500_000:
+            self.pairs.clear()
+        ok = self.pairs[left * len(self.pieces) + right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
         return ok
 
     def encode_word(self, text: str) -> list[int]:
         """Ids of a part all of whose characters are pieces."""
-        n = len(text)
+        n, width, pairs = len(text), len(self.pieces), self.pairs
         found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, i) in self.automaton.iter(text):
-            found[end - size + 1].append((size, i))  # by end, so from short to long
+        for end, match in self.automaton.iter(text):
+            found[end - match[0] + 1].append(match)  # by end, so from short to long
         ids: list[int] = []
         rest: list[int] = []  # untried matches at each token's start
-        failed, at, k = 0, 0, len(found[0]) - 1
+        failed, at, k, last = 0, 0, len(found[0]) - 1, -1
         while at < n:
             here = found[at]
             while k >= 0:
                 size, i = here[k]
-                if not failed >> at + size & 1 and (not ids or self.fits(ids[-1], i)):
-                    break
+                if not failed >> at + size & 1:
+                    if last < 0:
+                        break
+                    ok = pairs.get(last * width + i)
+                    if ok or ok is None and self.fits(last, i):
+                        break
                 k -= 1
             if k >= 0:
                 ids.append(i)
                 rest.append(k - 1)
                 at += size
+                last = i
                 k = len(found[at]) - 1 if at < n else -1
             else:
                 if not ids:
@@ -148,22 +167,26 @@ class Model:
                 failed |= 1 << at
                 at -= len(self.pieces[ids.pop()])
                 k = rest.pop()
+                last = ids[-1] if ids else -1
         return ids
 
-    def _part(self, part: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and the decoded text of one part."""
-        ids: list[int] = []
-        run = ""
-        for ch in part + "\0":
-            if ch != "\0" and ch in self.ids:
-                run += ch
-                continue
+    def _part(self, part: str) -> tuple[int, str, str | None]:
+        if self.known.issuperset(part):
+            ids = self.encode_word(part)
+        else:
+            ids, run = [], ""
+            for ch in part:
+                if ch in self.known:
+                    run += ch
+                    continue
+                if run:
+                    ids += self.encode_word(run)
+                    run = ""
+                ids += [self.byte[b] for b in ch.encode()]
             if run:
                 ids += self.encode_word(run)
-                run = ""
-            if ch != "\0":
-                ids += [self.byte[b] for b in ch.encode()]
-        return len(ids), ",".join(map(str, ids)), self.text(ids)
+        decoded, names = self.text(ids), self.names
+        return len(ids), ",".join([names[i] for i in ids]), None if decoded == part.replace(_MARK, " ") else decoded
 
     def text(self, ids: list[int]) -> str:
         """Pieces joined, marks as spaces, runs of byte pieces as UTF-8; without the dummy prefix's removal."""
@@ -180,39 +203,37 @@ class Model:
         out.append(run.decode("utf-8", "replace"))
         return "".join(out).replace(_MARK, " ")
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(count, ids, decoded) of each part of the text, in order."""
+    def parts(self, text: str) -> tuple[list[str], list[tuple[int, str, str | None]]]:
+        """The text's parts in order, and what the cache holds of each."""
         if not text:
-            return []
-        cache, out = self.cache, []
-        for part in _PARTS.findall(_MARK + text.replace(" ", _MARK)):
+            return [], []
+        cache, older, out = self.cache, self.older, []
+        every = self.split.findall(_MARK + text.replace(" ", _MARK))
+        for part in every:
             got = cache.get(part)
             if got is None:
-                got = self._part(part) if "\0" not in part else self._with_nul(part)
+                got = older.get(part) or self._part(part)
                 if len(part) <= 64:
                     if len(cache) >= CACHE:
-                        cache.clear()
+                        self.older, self.cache = older, cache = cache, {}
                     cache[part] = got
             out.append(got)
-        return out
+        return every, out
 
-    def _with_nul(self, part: str) -> tuple[int, str, str]:
-        pieces = part.split("\0")
-        nul = (1, str(self.byte[0]), "\0")
-        got = [self._part(pieces[0])] + [x for p in pieces[1:] for x in (nul, self._part(p))]
-        return sum(g[0] for g in got), ",".join(g[1] for g in got if g[0]), "".join(g[2] for g in got)
+    def encode_and_decode(self, text: str) -> tuple[int, str, str]:
+        """Number of ids, the ids joined by commas, and the text that they decode to, without the dummy prefix."""
+        every, got = self.parts(text)
+        decoded = "".join([part if g[2] is None else g[2] for part, g in zip(every, got)]).replace(_MARK, " ")
+        return sum([g[0] for g in got]), ",".join([g[1] for g in got]), decoded[1:]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) if ids for i in ids.split(",")]
+        return [int(i) for _, ids, _ in self.parts(text)[1] for i in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         out = self.text(ids)
         return out[1:] if ids and self.pieces[ids[0]].startswith(_MARK) else out
 
 
-#: Space marks with the run of other characters behind them; a line break is its own part.
-_PARTS = re.compile(f"{_MARK}*[^{_MARK}\n]+|{_MARK}+|\n")
-
 _MODELS: dict[str, Model] = {}
 
 
@@ -230,10 +251,8 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
         for batch in textops.slices(batches):
             rows = []
             for text in batch.column("text").to_pylist():
-                parts = m.parts(text or "")
-                joined = ",".join([p[1] for p in parts if p[0]])
-                decoded = "".join([p[2] for p in parts])[1:]
-                rows.append((sum([p[0] for p in parts]), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), [int(i) for i in joined.split(",") if i] if ids else None))
+                n, joined, decoded = m.encode_and_decode(text or "")
+                rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), [int(i) for i in joined.split(",") if i] if ids else None))
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols[: 4 if ids else 3]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 5 if ids else 4])
 
