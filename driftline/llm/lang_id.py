@@ -8,14 +8,15 @@ smoothed by the one above with WEIGHT pseudo-rows. How well declarations and
 suffixes tell the language is estimated from the corpus itself, by grouped
 aggregation over languages of a fixed set.
 
-The trigram model is fitted on SAMPLE labelled documents at most (those with the
-least hash of doc_id), whole texts; everything else counts all rows.
+The trigram model is fitted on the labelled documents with the SAMPLE least hashes
+of doc_id, whole texts; everything else counts all rows.
 
 A row is accepted if its text has LETTERS letters at least and the posterior of
 its best language reaches LEAST; else its language is "und". Null and empty
 texts are rejected; null addresses, declarations and hosts are classes of their
-own; ties go to the language first in the alphabet; repeated rows are repeated;
-an empty table, or one without labelled rows, gives "und" throughout.
+own; ties go to the language first in the alphabet; repeated rows are repeated.
+Without labelled rows the language is "und" and letters alone decide. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import plain
+from .common import cut, plain
 
 SAMPLE, BUCKETS, LANGUAGES = 3000, 1 << 15, 24
 WEIGHT, TRUST, LETTERS, LEAST = 20.0, 60, 3, 0.5
@@ -67,7 +68,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "counts"])
 
     rows = plain(labelled, "doc_id", "text", "lang").filter("lang IS NOT NULL AND length(text) > 0")
-    rows = rows.withColumn("lang", F.lower(F.split("lang", "[-_]")[0])).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = rows.withColumn("lang", F.lower(F.split("lang", "[-_]")[0]))
+    # Only hashes are sorted; the texts of the chosen, at most the sample, then go to one task.
+    order = F.xxhash64("doc_id")
+    last = rows.select(order.alias("k")).distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    if last is None:
+        return [], np.zeros((0, BUCKETS), np.float32)
+    rows = rows.filter(order <= last).repartition(1)
     found = {r.lang: np.frombuffer(r.counts, np.int64) for r in rows.mapInArrow(count, "lang string, counts binary").collect()}
     langs = sorted(sorted(found, key=lambda x: -found[x][BUCKETS])[:LANGUAGES])
     table = np.array([found[x][:BUCKETS] for x in langs], np.float64).reshape(len(langs), BUCKETS) + 0.05
@@ -109,14 +116,15 @@ def fuse(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """rows without text, with lang, posterior and accepted; rows have text, declared, suffix and host."""
     keys = [c for c in rows.columns if c not in ("text", "declared", "suffix", "host")]
     if not langs:
-        return rows.select(*keys, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+        text = likelihoods(rows, langs, table)
+        return text.select(*keys, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), (F.col("letters") >= LETTERS).alias("accepted"))
     known = F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNull(), "none").otherwise("other")
     ending = F.when(F.col("suffix").isin(SUFFIXES), F.col("suffix")).when(F.col("suffix").isNull(), "none").otherwise("other")
     text = likelihoods(rows.withColumn("declared", known).withColumn("suffix", ending).withColumn("host", F.coalesce("host", F.lit(""))), langs, table)
     at = range(len(langs))
     # Soft counts by host, declaration and suffix in one pass; the latter two have few classes.
     soft = text.select("host", "declared", "suffix", *[s.alias(f"s{k}") for k, s in enumerate(_shares([F.col("ll")[k] for k in at]))]).groupBy("host", "declared", "suffix").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in at])
-    soft = soft.withColumn("parent", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).persist()
+    soft = cut(soft.withColumn("parent", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     total = [v or 0.0 for v in soft.agg(*[F.sum(f"s{k}") for k in at]).first()]
     everything = [(t + 1.0) / (sum(total) + len(langs)) for t in total]
 
