@@ -6,9 +6,10 @@ their first occurrence only (star), first inside a task, then over all tasks,
 so matches grow with the seeds and a seed that is everywhere sends one row a
 task. The matches of a document with an earlier one are merged along diagonals
 into segments; a Fenwick tree over source places finds each segment's best
-predecessor under a linear gap cost. Chains are extended over equal words and
-aligned (longest common subsequence, bit-parallel, on 16-bit word
-fingerprints); those of LEAST words and IDENTITY or more are passages.
+predecessor under a linear gap cost. Chains, and their parts between gaps of more
+than SPLIT words, are extended over equal words and aligned (longest common
+subsequence, bit-parallel, on 16-bit word fingerprints); those of LEAST words
+and IDENTITY or more are passages.
 
 Places are word numbers. Only repeats between different documents count; the
 document with the smaller doc_id keeps its text. Null and short texts have no
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from . import textops
 from .common import plain
 
-K, WINDOW, LEAST, IDENTITY, GAP = 5, 12, 40, 0.8, 0.5
+K, WINDOW, LEAST, IDENTITY, GAP, SPLIT = 5, 6, 40, 0.8, 0.35, 12
 #: Seeds that a task holds to merge equal ones; words added to both ends of a chain before it is extended.
-HELD, MARGIN = 1_000_000, 24
+HELD, MARGIN = 500_000, 24
 
+_KEY, _CUTS = "_driftline_key", "_driftline_cuts"
 _MATCH = "h long, doc long, pos int, src long, spos int"
 _LAST = np.uint64(2**64 - 1)
 
@@ -64,6 +66,8 @@ def _seeds(batches):
 
     def flush():
         h, doc, pos = (np.concatenate(x) for x in zip(*held))
+        if not len(h):
+            return
         order = np.lexsort((pos, doc, h))
         h, doc, pos = h[order], doc[order], pos[order]
         first = np.r_[True, h[1:] != h[:-1]]
@@ -159,14 +163,18 @@ def chains(y: np.ndarray, x: np.ndarray) -> list[tuple[int, int, int, int]]:
     for s in sorted(range(len(lo)), key=lambda s: -score[s]):
         if used[s]:
             continue
-        head, tail = s, s
-        while True:
-            used[head] = True
-            if prev[head] < 0 or used[prev[head]]:
-                break
-            head = prev[head]
-        if a1[tail] - a0[head] + 2 * MARGIN >= LEAST and (head != tail or hi[head] > lo[head]):
-            out.append((a0[head], a1[tail], b0[head], b1[tail]))
+        links = [s]
+        while prev[links[-1]] >= 0 and not used[prev[links[-1]]]:
+            links.append(prev[links[-1]])
+        links.reverse()
+        for e in links:
+            used[e] = True
+        wide = [i + 1 for i, (e, f) in enumerate(zip(links, links[1:])) if max(a0[f] - a1[e], b0[f] - b1[e]) > SPLIT]
+        spans = [(0, len(links))] + ([*zip([0, *wide], [*wide, len(links)])] if wide else [])
+        for i, j in spans:
+            head, tail = links[i], links[j - 1]
+            if a1[tail] - a0[head] + 2 * MARGIN >= LEAST and (head != tail or hi[head] > lo[head]):
+                out.append((a0[head], a1[tail], b0[head], b1[tail]))
     return out
 
 
@@ -275,33 +283,43 @@ def passages(docs: DataFrame) -> DataFrame:
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from all but the earliest document, and n_chars to match where there is such a column."""
-    cuts = passages(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
-    rows = docs.join(cuts.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left").drop("_id")
-    clean = rows.filter("_cuts IS NULL").drop("_cuts")
+    cuts = passages(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
+    # One column of a name of ours: other columns may have any.
+    rows = docs.join(cuts.select(F.col("doc_id").alias(_KEY), F.col("cuts").alias(_CUTS)), docs["doc_id"] == F.col(_KEY), "left").drop(_KEY)
     names = docs.columns
     place = names.index("text")
+    counted = names.index("n_chars") if "n_chars" in names else None
+    # Any name may come, so columns go to the workers by number.
+    rows = rows.toDF(*["text" if i == place else f"_{i}" for i in range(len(names))], _CUTS)
 
     def run(batches):
-        for batch in batches:
-            raw, at = textops.utf8(batch.column("text"))
-            start, _, row = textops.words(raw, at)
-            texts = []
-            for i, cuts in enumerate(batch.column("_cuts").to_pylist()):
-                own, out, done = start[row[i] : row[i + 1]], [], int(at[i])
-                for a, b in sorted((c["start_word"], c["end_word"]) for c in cuts):
-                    if a >= len(own):
-                        continue
-                    lo, hi = int(own[a]), int(own[b]) if b < len(own) else int(at[i + 1])
-                    if lo > done:
-                        out.append(raw[done:lo].tobytes())
-                    done = max(done, hi)
-                out.append(raw[done : at[i + 1]].tobytes())
-                texts.append(b"".join(out).decode())
-            cols = [batch.column(c) for c in names]
-            cols[place] = pa.array(texts, pa.string())
+        for batch in textops.slices(batches):
+            texts = batch.column("text")
+            touched = np.flatnonzero(batch.column(_CUTS).is_valid().to_numpy(zero_copy_only=False))
+            if len(touched):
+                some = texts.take(pa.array(touched))
+                raw, at = textops.utf8(some)
+                start, _, row = textops.words(raw, at)
+                new, texts = {}, texts.to_pylist()
+                for i, (k, cuts) in enumerate(zip(touched.tolist(), batch.column(_CUTS).take(pa.array(touched)).to_pylist())):
+                    own, out, done = start[row[i] : row[i + 1]], [], int(at[i])
+                    for a, b in sorted((c["start_word"], c["end_word"]) for c in cuts):
+                        if a >= len(own):
+                            continue
+                        lo, hi = int(own[a]), int(own[b]) if b < len(own) else int(at[i + 1])
+                        if lo > done:
+                            out.append(raw[done:lo].tobytes())
+                        done = max(done, hi)
+                    out.append(raw[done : at[i + 1]].tobytes())
+                    texts[k] = new[k] = b"".join(out).decode()
+                texts = pa.array(texts, batch.column("text").type)
+            cols = batch.columns[: len(names)]
+            cols[place] = texts
+            if counted is not None and len(touched):
+                sizes = cols[counted].to_pylist()
+                for k, text in new.items():
+                    sizes[k] = len(text)
+                cols[counted] = pa.array(sizes, cols[counted].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    fixed = rows.filter("_cuts IS NOT NULL").mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        fixed = fixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.unionByName(fixed)
+    return rows.mapInArrow(run, docs.schema)
