@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import best_fit, lang_id, near_dup, passages, pii, registry
-from driftline.llm.common import ready, table
+from driftline.llm.common import ready, same_columns, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     langs, model = lang_id.fit(docs)
     rejected = lang_id.fuse(lang_id.document_rows(docs), langs, model).filter("NOT accepted").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(rejected, "doc_id", "left_anti").transform(same_columns, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

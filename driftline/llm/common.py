@@ -27,6 +27,11 @@ def plain(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
+def same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """df with the columns of docs, in their order."""
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(id, component): smallest id reachable over undirected links (u, v), by minimum labels and pointer jumping.
 

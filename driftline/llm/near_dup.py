@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import connected, cut, plain
+from .common import connected, cut, plain, same_columns
 
 BANDS, ROWS, SHINGLE, PERCENT = 32, 6, 5, 85
 
@@ -68,7 +68,7 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in textops.shingle_sets(batch.column("text"), SHINGLE)], pa.binary())], ["id", "shingles"])
 
 
-def similar(one: bytes, two: bytes, percent: int = PERCENT) -> bool:
+def similar(one, two, percent: int = PERCENT) -> bool:
     """100 * intersection >= percent * union, on sorted distinct 64-bit hashes."""
     a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
     if len(a) > len(b):
@@ -82,7 +82,7 @@ def similar(one: bytes, two: bytes, percent: int = PERCENT) -> bool:
 
 def _confirmed(batches):
     for batch in batches:
-        ok = [similar(x, y) for x, y in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist())]
+        ok = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("one"), batch.column("two"))]
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -136,4 +136,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, one document of each component kept; columns unchanged."""
     kept = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_anti").transform(same_columns, docs)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, same_columns
 
 SUPPORT, GENERALISE, REMOVE, SHORTEST = 3, 0.8, 0.95, 4
 
@@ -148,7 +148,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     put = lambda s: F.when(s["kind"] == "remove", "").when(s["kind"] == "generalise", shape(s["value"])).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
     every = F.concat("_pii_spans", "_pii_added")
     rows = rows.withColumn("text", redact(F.col("text"), every, put))
-    return clean.unionByName(rows.select(clean.columns))
+    return clean.unionByName(same_columns(rows, clean))
 
 
 def joined(spans: Column) -> Column:
@@ -162,4 +162,4 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         changed = F.size("_pii_spans") > 0
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return same_columns(out, docs)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled by one numpy pass; temporary arrays take about 40 times as much.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,7 +123,7 @@ def shingle_sets(column, k: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def slices(batches, limit: int = 4 << 20):
+def slices(batches, limit: int = 2 << 20):
     """Record batches cut so that column 'text' of each holds about limit bytes at most (a longer row comes alone)."""
     for batch in batches:
         if not batch.num_rows:
