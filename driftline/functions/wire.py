@@ -187,3 +187,9 @@ def encrypt(value: Column, key: Column) -> Column:
 def decrypt(value: Column, key: Column) -> Column:
     """Null where the key or the data is wrong."""
     return F.try_aes_decrypt(value, key, F.lit("GCM"))
+
+
+def parse_time(text: Column) -> Column:
+    """Timestamp of RFC 3339 text or of yyyy-MM-ddTHH:mm:ss with an offset; null for anything else."""
+    sound = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$")
+    return F.when(sound, text.try_cast("timestamp"))

@@ -448,6 +448,15 @@ def fallback_routing(spark, d):
     return ids.unionByName(odd).select("id", topic.alias("topic"), part.alias("part"))
 
 
+@query("SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL WHEN 2 THEN CAST(epoch_ms(date_trunc('second', ts)) // 1000 - 7200 AS BIGINT) ELSE CAST(epoch_ms(date_trunc('second', ts)) // 1000 AS BIGINT) END AS seconds FROM events")
+def parse_times(spark, d):
+    """Times as text in both accepted forms, with an offset, and in a form that isn't accepted."""
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    n = F.col("event_id") % 4
+    given = F.when(n == 0, F.concat(text, F.lit("Z"))).when(n == 1, F.concat(text, F.lit(".000+00:00"))).when(n == 2, F.concat(text, F.lit("+02:00"))).otherwise(text)
+    return tab(spark, d, "events").select("event_id", F.unix_timestamp(wire.parse_time(given)).alias("seconds"))
+
+
 @query(f"WITH {GAPS}, first AS (SELECT topic, part, off FROM raw), again AS (SELECT s.topic, s.part, s.off FROM src s WHERE EXISTS (SELECT 1 FROM g WHERE g.topic = s.topic AND g.part = s.part AND s.off BETWEEN gap_from AND gap_to)), u AS (SELECT DISTINCT topic, part, off FROM (SELECT * FROM first UNION ALL SELECT * FROM again)) SELECT topic, part, count(*) AS have, max(off) + 1 - min(off - off % 100) - count(*) AS inner_missing FROM (SELECT u.* FROM u JOIN (SELECT topic, part, min(win) AS w0 FROM marked GROUP BY 1, 2) m ON u.topic = m.topic AND u.part = m.part AND u.off >= m.w0) GROUP BY 1, 2")
 def repaired(spark, d):
     """What is there after the bundle's records have been sent again: have, and what is still missing below the last number."""

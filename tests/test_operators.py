@@ -331,3 +331,9 @@ def test_chaos_converges(spark):
     delivered = dedup.clean(log, 10)
     states = stats.state_counts(stats.reconcile(ev.select(F.sha2("value", 256).alias("hash")), delivered.select(F.sha2("payload", 256).alias("hash")))).collect()
     assert [(r.state, r.n) for r in states] == [("RECEIVED", 180)]
+
+
+def test_parse_time(spark):
+    texts = {"2024-03-01T10:00:00Z": 1709287200, "2024-03-01T10:00:00.5+02:00": 1709280000, "2024-03-01T10:00:00-07:00": 1709312400, "2024-03-01 10:00:00": None, "2024-13-01T10:00:00Z": None, "x": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.unix_timestamp(wire.parse_time(F.col("t"))).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == texts
