@@ -27,7 +27,7 @@ from . import textops
 from .common import plain
 from .tokens import encoder, pieces
 
-SIZE, END, ROWS, CHUNK = 2048, 2, 64, 30_000
+SIZE, END, ROWS, CHUNK = 2048, 2, 32, 16_000
 
 
 class Rooms:
