@@ -38,8 +38,8 @@ from .common import cut, plain
 
 SIZE, W = 100, 32
 SPAN = SIZE - W + 1
-#: Phrases that a task holds to merge equal ones; phrases whose suffixes are sorted together; bytes of a numpy pass.
-HELD, BLOCK, PASS = 600_000, 4096, 1 << 19
+#: Phrases that a task holds to merge equal ones; phrases whose suffixes are sorted together; bytes of a numpy pass; shares of a hot trigger's rows.
+HELD, BLOCK, PASS, SALTS = 600_000, 4096, 1 << 19, 32
 
 _PHRASE = "h long, u long, doc long, lo long, size int, off int"
 _LAST = np.uint64(2**64 - 1)
@@ -264,8 +264,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     whole = linked.filter("off < 0").select("doc", "lo", (F.col("lo") + F.col("size")).alias("hi"))
     asked = linked.filter("off >= 0").select("h", "doc", "lo", "size")
     hot = asked.groupBy("h").count().filter(F.col("count") > BLOCK).select("h", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    asked = asked.join(hot, "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("doc", "lo"), F.col("parts")).cast("int"))
+    # A hot trigger's rows meet its count in several places.
+    hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("doc", "lo"), F.lit(SALTS)).cast("int")).join(hot, ["h", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("lo", "doc"), F.col("parts")).cast("int"))
     text = F.col("text").cast("binary").substr(F.col("lo").cast("int") + 1, F.col("size") + SIZE - 1)
     units = asked.join(docs, asked["doc"] == docs["doc_id"]).select("h", "part", "parts", "doc", "lo", "size", text.alias("text"))
     settled = units.repartition("h", "part").sortWithinPartitions("h", "part", "doc", "lo").mapInArrow(_resolved, _SUFFIX)
