@@ -39,7 +39,7 @@ from .common import cut, plain
 SIZE, W = 100, 32
 SPAN = SIZE - W + 1
 #: Phrases that a task holds to merge equal ones; phrases whose suffixes are sorted together; bytes of a numpy pass; shares of a hot trigger's rows.
-HELD, BLOCK, PASS, SALTS = 600_000, 4096, 1 << 19, 32
+HELD, BLOCK, PASS, SALTS = 600_000, 1024, 1 << 19, 32
 
 _PHRASE = "h long, u long, doc long, lo long, size int, off int"
 _LAST = np.uint64(2**64 - 1)
