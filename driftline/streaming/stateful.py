@@ -81,7 +81,8 @@ def reassemble_stream(frames: DataFrame, ttl_seconds: int = 30, max_parts: int =
             state.remove()
         else:
             held, now = Assembler(state.get[0] if state.exists else None), time.time()
-            for type, part, n, payload, arrival in pd.concat(list(batches)).sort_values("arrival").itertuples(index=False):
+            rows = pd.concat(list(batches)).sort_values("arrival")
+            for type, part, n, payload, arrival in rows[["type", "part_no", "n_parts", "payload", "arrival"]].itertuples(index=False):
                 whole = held.add(int(part), int(n), bytes(payload), now, ttl_seconds)
                 if whole is not None:
                     out.append((key[0], int(type), whole, arrival))

@@ -1,5 +1,7 @@
 """Streaming twins give the batch operators' rows."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from driftline.functions import wire
@@ -31,7 +33,10 @@ def test_reassembly_stream(spark, tmp_path):
     stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "frames"))
     q = stateful.reassemble_stream(stream).writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     try:
-        q.processAllAvailable()
+        # A query with processing-time timeouts never runs out of batches; wait for the rows instead.
+        end = time.time() + 60
+        while q.isActive and time.time() < end and spark.table("whole").count() < len(rows):
+            time.sleep(0.5)
         got = {r.id: bytes(r.value) for r in spark.table("whole").collect()}
     finally:
         q.stop()
