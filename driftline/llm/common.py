@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder. For loops with several joins: on checkpoints alone the planning of each round took twice as long as that of the last."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftline-checkpoint-")
+    out = f"{folder}/written-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return spark.read.schema(df.schema).parquet(out)
+
+
 def plain(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns' names can't clash with ours."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

@@ -8,9 +8,13 @@ joined with at most three centres, which the bucket's key picks out: candidate
 edges grow with the rows, never with the square of a bucket. Each candidate is
 then confirmed on the full sets, and linked documents form components.
 
-With r = 6 rows and b = 32 bands a pair of similarity 0.85 shares no bucket at
-all with probability (1 - 0.85**6)**32 < 1e-6. Stars see a pair when one of the
-two is a centre or both link to one, in any of the buckets that they share.
+Stars alone miss a pair of which, in no shared bucket, one is a centre. Buckets
+whose other members are still in several components therefore get further
+centres, round by round, from all components but their largest, until the
+members that were no centre are of one component in every bucket. So each pair
+that shares a bucket is either compared or already connected. With r = 6 rows
+and b = 32 bands a pair of similarity 0.85 shares none with probability
+(1 - 0.85**6)**32 < 1e-6.
 
 Results: one row for each input row. Null or blank text has the empty set and
 links with nothing; a row with null doc_id links with nothing, its component is
@@ -23,11 +27,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import connected, cut, plain, same_columns
+from .common import connected, cut, plain, same_columns, written
 
 BANDS, ROWS, SHINGLE, PERCENT = 32, 6, 5, 85
 
@@ -86,20 +90,79 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _fits(n: str, m: str):
+    """Whether sets of these sizes can be similar at all."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+
+
+def _centres(member: DataFrame, *more) -> DataFrame:
+    """(key, size, c1, c2, c3, ...): of each bucket with several members its size and first centres, at least two of them different."""
+    mixed = F.col("id").bitwiseXOR(F.col("key"))
+    found = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("c1"), F.min(mixed).alias("c2"), F.max(mixed).alias("c3"), *more).filter("size > 1")
+    return found.withColumns({c: F.col(c).bitwiseXOR(F.col("key")) for c in ("c2", "c3")})
+
+
 def candidates(sets: DataFrame) -> DataFrame:
     """(u, v, hits): each member of a bucket with the bucket's centres, from (id, n, bands)."""
     member = sets.select("id", "n", F.explode("bands").alias("key"))
-    centre = (
-        member.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("c1"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("c2"), F.max(F.col("id").bitwiseXOR(F.col("key"))).alias("c3"))
-        .filter("size > 1")
-        .select("key", "c1", F.col("c2").bitwiseXOR(F.col("key")).alias("c2"), F.col("c3").bitwiseXOR(F.col("key")).alias("c3"))
-    )
-    star = member.join(centre, "key").select("id", "n", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).filter("id <> c")
+    star = member.join(_centres(member), "key").select("id", "n", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).filter("id <> c")
     pair = star.groupBy(F.col("id").alias("u"), F.col("c").alias("v"), "n").agg(F.count(F.lit(1)).alias("hits"))
     size = sets.select(F.col("id").alias("v"), F.col("n").alias("m"))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT
-    return pair.join(size, "v").filter(fits).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("hits").alias("hits"))
+    return pair.join(size, "v").filter(_fits("n", "m")).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("hits").alias("hits"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with the component of each id."""
+    return rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _open_members(sets: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, n): members but centres of the buckets that hold several components; a bucket of three has no pair without a centre."""
+    member = _labelled(sets.select("id", "n", "bands"), label).select("id", "n", "component", F.explode("bands").alias("key"))
+    crowded = _centres(member, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("size > 3 AND lo <> hi")
+    return member.drop("component").join(crowded, "key").filter("id NOT IN (c1, c2, c3)").select("key", "id", "n")
+
+
+def _divided(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, n, component, core) of the buckets with several components; core is the component with most members."""
+    rows = _labelled(members, label)
+    part = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    core = part.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("core"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    return rows.join(core, "key").select("key", "id", "n", "component", "core")
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label after further links: components are the nodes, so the work is that of the links."""
+    ends = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
+    every = label.union(ends.join(label, "id", "left_anti").select("id", F.col("id").alias("component")))
+    of = lambda c: every.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    moved = connected(links.join(of("u"), "u").join(of("v"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct())
+    moved = moved.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return written(every.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component")))
+
+
+def further_links(docs: DataFrame, sets: DataFrame, tested: DataFrame, label: DataFrame) -> DataFrame:
+    """The components once every pair that shares a bucket is compared or connected.
+
+    A round takes up to `many` members outside the core of each divided bucket as
+    centres, meets them with the members of other components and sets them
+    aside; the number grows fourfold from round to round, up to 512.
+    """
+    members, many = _open_members(sets, label), 8
+    while True:
+        rows = written(_divided(members, label))
+        if rows.isEmpty():
+            return label
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", "key"), "id"))
+        centre = written(rows.filter("component <> core").select("key", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"), turn.alias("turn")).filter(F.col("turn") <= many).drop("turn"))
+        pair = rows.join(centre, "key").filter((F.col("component") != F.col("other")) & _fits("n", "m"))
+        pair = written(pair.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"))
+        if not pair.isEmpty():
+            more = written(confirm(docs, pair))
+            tested = tested.union(pair)
+            if not more.isEmpty():
+                label = _merged(label, more)
+        members, many = rows.select("key", "id", "n").join(centre.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti"), min(4 * many, 512)
 
 
 def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -126,7 +189,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = every.join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
     rest = cut(rest.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"))
     if not rest.isEmpty():
-        label = connected(links.union(confirm(docs, rest)))
+        more = cut(confirm(docs, rest))
+        if not more.isEmpty():
+            label = _merged(label, more)
+    label = further_links(docs, sets, every.select("u", "v"), label)
     home = sets.select("a", "b", "n", "id").join(label, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
     joined = signed.select("doc_id", "n", "a", "b").join(home, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -239,6 +239,25 @@ def test_near_duplicates_exactly(spark, docs):
     assert {r.doc_id for r in near_dup.drop_near_duplicates(df).collect()} == {k for k, (_, c) in want.items() if c == k}
 
 
+def test_near_duplicates_among_variants_of_a_form(spark):
+    """Hundreds of texts of similarity 0.7 share buckets; the few links among them must not depend on a bucket's first centres."""
+    rng = random.Random(5)
+
+    def vary(words, k):
+        out = list(words)
+        for i in rng.sample(range(len(out)), k):
+            out[i] = f"x{rng.randrange(10**9)}"
+        return out
+
+    form = [f"w{k}" for k in range(120)]
+    filled = [vary(form, 2) for _ in range(400)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(filled + [vary(w, 1) for w in filled[:100]])]
+    want = components(rows)
+    assert len({c for _, c in want.values()}) > 300
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_of_nulls(odd):
     got = near_dup.near_duplicates(odd).collect()
     assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
