@@ -4,7 +4,7 @@ A set's 64-bit shingle hashes are dealt to BANDS * ROWS bins by their high bits;
 a bin keeps its least hash and an empty bin takes that of the first non-empty
 bin in a fixed pseudo-random order of its own (densification). Documents whose
 sets are equal are merged first. In each bucket of a band every member is
-joined with at most three centres, which the bucket's key picks out: candidate
+joined with at most three centres, which the bucket's key picks out: these first
 edges grow with the rows, never with the square of a bucket. Each candidate is
 then confirmed on the full sets, and linked documents form components.
 
@@ -12,7 +12,8 @@ Stars alone miss a pair of which, in no shared bucket, one is a centre. Buckets
 whose other members are still in several components therefore get further
 centres, round by round, from all components but their largest, until the
 members that were no centre are of one component in every bucket. So each pair
-that shares a bucket is either compared or already connected. With r = 6 rows
+that shares a bucket is either compared or already connected; the pairs of these
+rounds can grow with the square of a bucket whose members are not linked. With r = 6 rows
 and b = 32 bands a pair of similarity 0.85 shares none with probability
 (1 - 0.85**6)**32 < 1e-6.
 
