@@ -3,8 +3,8 @@
 Seeds are the K-word shingles that are least in a window of WINDOW (minimisers):
 any exact run of K + WINDOW - 1 words shares one. Equal seeds are joined with
 their first occurrence only (star), first inside a task, then over all tasks,
-so matches grow with the seeds and a seed that is everywhere sends one row a
-task. The matches of a document with an earlier one are merged along diagonals
+so matches grow with the seeds and of a seed that is everywhere a task sends on
+one document's places. The matches of a document with an earlier one are merged along diagonals
 into segments; a Fenwick tree over source places finds each segment's best
 predecessor under a linear gap cost. Chains, and their parts between gaps of more
 than SPLIT words, are extended over equal words and aligned (longest common
@@ -61,7 +61,7 @@ def _rows(h, doc, pos, src=None, spos=None):
 
 
 def _seeds(batches):
-    """First occurrence of each seed in the task, and its others as matches with it."""
+    """Places of each seed in the first document of the task that has it, and those in others as matches with the first."""
     held, n = [], 0
 
     def flush():
@@ -72,8 +72,9 @@ def _seeds(batches):
         h, doc, pos = h[order], doc[order], pos[order]
         first = np.r_[True, h[1:] != h[:-1]]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        yield _rows(h[first], doc[first], pos[first])
         other = doc != doc[lead]
+        # All places of the first document go on: the whole table may have an earlier one.
+        yield _rows(h[~other], doc[~other], pos[~other])
         # Matches only pass through the next exchange; they are dealt by document.
         yield _rows(textops.mix(doc[other].astype(np.uint64)), doc[other], pos[other], doc[lead[other]], pos[lead[other]])
 

@@ -167,6 +167,17 @@ def test_passages_are_found_and_cut(spark, docs):
     assert after[5] == " ".join(rows[4][1][60:]) and after[2] == " ".join(rows[1][1]) and after[4] == " ".join(rows[3][1])
 
 
+def test_passages_twice_in_a_document(spark):
+    """Each place counts, in whatever tasks the documents are."""
+    rng = random.Random(21)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    line = new(60)
+    rows = [(1, " ".join(line + new(30))), (2, " ".join(new(20) + line + new(50) + line + new(20)))]
+    for parts in (1, 2):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1) if parts == 1 else spark.createDataFrame(rows[:1], "doc_id long, text string").union(spark.createDataFrame(rows[1:], "doc_id long, text string"))
+        assert {(r.doc_id, r.start_word, r.end_word) for r in passages.passages(df).collect()} == {(2, 20, 80), (2, 130, 190)}
+
+
 def test_passages_against_shared_runs(docs):
     """Every document with a run of 50 words that an earlier one has is found."""
     seen, need = {}, set()
