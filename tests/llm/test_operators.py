@@ -178,6 +178,21 @@ def test_passages_twice_in_a_document(spark):
         assert {(r.doc_id, r.start_word, r.end_word) for r in passages.passages(df).collect()} == {(2, 20, 80), (2, 130, 190)}
 
 
+def test_passages_with_many_changed_words(spark):
+    """Passages of identity 0.8 and more that share few five-word shingles."""
+    rng = random.Random(22)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for n, step in ((60, 6), (60, 7), (60, 8), (100, 7)):
+        for _ in range(25):
+            one, two = new(n), []
+            two = [new(1)[0] if i % step == step - 1 and i < n - 1 else w for i, w in enumerate(one)]
+            rows += [(len(rows), " ".join(new(40) + one + new(40))), (len(rows) + 1, " ".join(new(40) + two + new(40)))]
+    got = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.src_doc_id) for r in got} == {(k + 1, k) for k in range(0, len(rows), 2)}
+    assert min(r.identity for r in got) >= 0.8
+
+
 def test_passages_against_shared_runs(docs):
     """Every document with a run of 50 words that an earlier one has is found."""
     seen, need = {}, set()
