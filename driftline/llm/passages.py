@@ -10,7 +10,9 @@ gaps of more than SPLIT words and their exact runs of LEAST words are extended b
 an alignment over MARGIN words at both ends, across changed words, and compared
 (longest common subsequence, bit-parallel, on 16-bit word fingerprints); those
 of LEAST words and IDENTITY or more are passages; they begin and end with equal
-words. Texts without a common
+words. Where all seeds of a stretch are shared, but not with one place of one earlier
+document, every LEAST words of it are joined with their first occurrence in the
+same way: an exact run is found whatever documents its seeds are first in. Texts without a common
 K-word shingle have no common passage here.
 
 Places are word numbers. Only repeats between different documents count; the
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import plain
+from .common import cut, plain
 
 K, LEAST, IDENTITY, GAP, SPLIT = 5, 40, 0.8, 0.1, 12
 #: Seeds that a task holds to merge equal ones; words on both ends of a chain that it may be extended over.
@@ -237,12 +239,12 @@ def _chained(batches):
             cols = [np.concatenate(p) for p in zip(rest, cols)]
         if not len(cols[0]):
             continue
-        cut = np.flatnonzero(np.diff(cols[0]) != 0) + 1
-        if not len(cut):
+        ends = np.flatnonzero(np.diff(cols[0]) != 0) + 1
+        if not len(ends):
             rest = cols
             continue
-        rest = [c[cut[-1] :] for c in cols]
-        yield _pairs([c[: cut[-1]] for c in cols])
+        rest = [c[ends[-1] :] for c in cols]
+        yield _pairs([c[: ends[-1]] for c in cols])
     if rest is not None and len(rest[0]):
         yield _pairs(rest)
 
@@ -259,7 +261,57 @@ def _pairs(cols):
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if doc[a] != src[a]:
             rows += [(int(doc[a]), y0, y1, int(src[a]), x0, x1) for y0, y1, x0, x1 in chains(y[a:b], x[a:b])]
-    return _chain_rows(rows)
+    return _chain_rows(rows + [(d, y0, y1, None, None, None) for d, y0, y1 in unsettled(doc, src, y, x)])
+
+
+def unsettled(doc, src, y, x) -> list[tuple[int, int, int]]:
+    """(doc, y0, y1): words of which all seeds are shared, but in no LEAST words all with one place of one earlier document."""
+    order = np.lexsort((y, doc))
+    doc, src, y, x = doc[order], src[order], y[order], x[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (y[1:] != y[:-1])]
+    doc, src, y, x = doc[new], src[new], y[new], x[new]
+    n, size = len(doc), LEAST - K + 1
+    jump = (doc[1:] != doc[:-1]) | (np.diff(y) != 1)
+    turn = jump | (src[1:] != src[:-1]) | (np.diff(y - x) != 0)
+
+    def whole(edge):
+        """Whether a run of the seeds of LEAST words begins here."""
+        last = np.r_[np.flatnonzero(edge), n - 1]
+        return last[np.searchsorted(last, np.arange(n))] - np.arange(n) >= size - 1
+
+    at = np.flatnonzero(whole(jump) & ~(whole(turn) & (src != doc)))
+    if not len(at):
+        return []
+    edge = np.flatnonzero((np.diff(at) != 1) | jump[at[:-1]]) if len(at) > 1 else np.zeros(0, np.int64)
+    lo, hi = at[np.r_[0, edge + 1]], at[np.r_[edge, len(at) - 1]]
+    return [*zip(doc[lo].tolist(), y[lo].tolist(), (y[hi] + LEAST).tolist())]
+
+
+def _windows(batches):
+    """Every LEAST words of the stretches (doc, y0, marks) as seeds, like the shingles."""
+
+    def parts():
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = [np.frombuffer(m, "<u2") for m in batch.column("one").to_pylist()]
+            row = np.r_[0, np.cumsum([len(m) for m in marks])]
+            h, of, at = _within(textops.mix(np.concatenate(marks).astype(np.uint64) + np.uint64(1)), row, LEAST)
+            yield h, batch.column("doc").to_numpy()[of], batch.column("y0").to_numpy()[of].astype(np.int64) + at
+
+    yield from _leads(parts())
+
+
+def _runs(batches):
+    """Matches of LEAST words, sorted by doc, src, diagonal and place, as chains of exact runs."""
+    for batch in batches:
+        doc, pos, src, spos = (batch.column(c).to_numpy() for c in ("doc", "pos", "src", "spos"))
+        own = doc != src
+        doc, pos, src, spos = doc[own], pos[own], src[own], spos[own]
+        if len(doc):
+            new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(src) != 0) | (np.diff(pos - spos) != 0) | (np.diff(pos) > 1)) + 1
+            lo, hi = np.r_[0, new], np.r_[new, len(doc)] - 1
+            yield _chain_rows([*zip(doc[lo].tolist(), pos[lo].tolist(), (pos[hi] + LEAST).tolist(), src[lo].tolist(), spos[lo].tolist(), (spos[hi] + LEAST).tolist())])
 
 
 def _prints(batches):
@@ -351,13 +403,19 @@ def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, src_doc_id, src_start_word, src_end_word, identity) of each repeated passage."""
     docs = plain(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     matches = _met_over_all(docs.mapInArrow(_seeds, _DEALT))
-    found = matches.repartition("doc").sortWithinPartitions("doc", "src", "pos", "spos").mapInArrow(_chained, _CHAIN)
+    found = cut(matches.repartition("doc").sortWithinPartitions("doc", "src", "pos", "spos").mapInArrow(_chained, _CHAIN))
     marks = docs.mapInArrow(_prints, "id long, marks binary")
 
     def part(lo: str, hi: str):
         first = F.greatest(F.col(lo) - MARGIN, F.lit(0))
         return F.col("marks").substr(2 * first + 1, 2 * (F.col(hi) + MARGIN - first))
 
+    # Where seeds have different firsts, the first document that has LEAST words as a whole.
+    words = F.col("marks").substr(2 * F.col("y0") + 1, 2 * (F.col("y1") - F.col("y0")))
+    open_ = found.filter("src IS NULL").select("doc", "y0", "y1")
+    exact = _met_over_all(open_.join(marks, open_["doc"] == marks["id"]).select("doc", "y0", words.alias("one")).mapInArrow(_windows, _DEALT))
+    exact = exact.repartition("doc").sortWithinPartitions("doc", "src", F.col("pos") - F.col("spos"), "pos").mapInArrow(_runs, _CHAIN)
+    found = found.filter("src IS NOT NULL").union(exact)
     one = found.join(marks, found["doc"] == marks["id"]).select("doc", "y0", "y1", "src", "x0", "x1", part("y0", "y1").alias("one"))
     both = one.join(marks, F.col("src") == marks["id"]).select("doc", "y0", "y1", "src", "x0", "x1", "one", part("x0", "x1").alias("two"))
     return both.mapInArrow(_aligned, "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, identity double").distinct()

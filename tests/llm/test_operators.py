@@ -178,6 +178,22 @@ def test_passages_twice_in_a_document(spark):
         assert {(r.doc_id, r.start_word, r.end_word) for r in passages.passages(df).collect()} == {(2, 20, 80), (2, 130, 190)}
 
 
+def test_passages_whose_seeds_are_first_elsewhere(spark):
+    """Parts of a passage, and the seeds over their joints, are in earlier documents; only the last two hold it whole."""
+    rng = random.Random(23)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows, need = [], {}
+    for parts in ((30, 30), (13, 14, 13), (30, 30, 30)) * 10:
+        have = [new(n) for n in parts]
+        whole, k = sum(have, []), len(rows)
+        pieces = [*have, *(a[-4:] + b[:4] for a, b in zip(have, have[1:])), whole, whole]
+        rows += [(k + i, " ".join(new(20) + w + new(20))) for i, w in enumerate(pieces)]
+        need[len(rows) - 1] = (20, 20 + len(whole), len(rows) - 2)
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)):
+        got = {(r.doc_id, r.start_word, r.end_word, r.src_doc_id) for r in passages.passages(df).collect()}
+        assert {(k, *v) for k, v in need.items()} <= got
+
+
 def test_passages_with_many_changed_words(spark):
     """Passages of identity 0.8 and more that share few five-word shingles."""
     rng = random.Random(22)
