@@ -15,7 +15,7 @@ members that were no centre are of one component in every bucket. So each pair
 that shares a bucket is either compared or already connected; the pairs of these
 rounds can grow with the square of a bucket whose members are not linked. With r = 6 rows
 and b = 32 bands a pair of similarity 0.85 shares none with probability
-(1 - 0.85**6)**32 < 1e-6.
+(1 - 0.85**6)**32 < 1e-6, one of 0.8 (the pipeline's stage) with 6e-5.
 
 Results: one row for each input row. Null or blank text has the empty set and
 links with nothing; a row with null doc_id links with nothing, its component is
@@ -85,15 +85,18 @@ def similar(one, two, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _confirmed(batches):
-    for batch in batches:
-        ok = [similar(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("one"), batch.column("two"))]
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+def _confirmed(percent: int):
+    def run(batches):
+        for batch in batches:
+            ok = [similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("one"), batch.column("two"))]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
+    return run
 
-def _fits(n: str, m: str):
+
+def _fits(n: str, m: str, percent: int):
     """Whether sets of these sizes can be similar at all."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
 def _centres(member: DataFrame, *more) -> DataFrame:
@@ -103,13 +106,13 @@ def _centres(member: DataFrame, *more) -> DataFrame:
     return found.withColumns({c: F.col(c).bitwiseXOR(F.col("key")) for c in ("c2", "c3")})
 
 
-def candidates(sets: DataFrame) -> DataFrame:
+def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(u, v, hits): each member of a bucket with the bucket's centres, from (id, n, bands)."""
     member = sets.select("id", "n", F.explode("bands").alias("key"))
     star = member.join(_centres(member), "key").select("id", "n", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).filter("id <> c")
     pair = star.groupBy(F.col("id").alias("u"), F.col("c").alias("v"), "n").agg(F.count(F.lit(1)).alias("hits"))
     size = sets.select(F.col("id").alias("v"), F.col("n").alias("m"))
-    return pair.join(size, "v").filter(_fits("n", "m")).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("hits").alias("hits"))
+    return pair.join(size, "v").filter(_fits("n", "m", percent)).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("hits").alias("hits"))
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -142,7 +145,7 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component")))
 
 
-def further_links(docs: DataFrame, sets: DataFrame, tested: DataFrame, label: DataFrame) -> DataFrame:
+def further_links(docs: DataFrame, sets: DataFrame, tested: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The components once every pair that shares a bucket is compared or connected.
 
     A round takes up to `many` members outside the core of each divided bucket as
@@ -156,51 +159,51 @@ def further_links(docs: DataFrame, sets: DataFrame, tested: DataFrame, label: Da
             return label
         turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", "key"), "id"))
         centre = written(rows.filter("component <> core").select("key", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"), turn.alias("turn")).filter(F.col("turn") <= many).drop("turn"))
-        pair = rows.join(centre, "key").filter((F.col("component") != F.col("other")) & _fits("n", "m"))
+        pair = rows.join(centre, "key").filter((F.col("component") != F.col("other")) & _fits("n", "m", percent))
         pair = written(pair.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"))
         if not pair.isEmpty():
-            more = written(confirm(docs, pair))
+            more = written(confirm(docs, pair, percent))
             tested = tested.union(pair)
             if not more.isEmpty():
                 label = _merged(label, more)
         members, many = rows.select("key", "id", "n").join(centre.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti"), min(4 * many, 512)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (u, v) whose full shingle sets are similar."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary")
     both = pairs.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("one")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("two")), "v")
-    return both.select("u", "v", "one", "two").mapInArrow(_confirmed, "u long, v long")
+    return both.select("u", "v", "one", "two").mapInArrow(_confirmed(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text); texts are linked from this similarity on."""
     docs = plain(docs, "doc_id", "text")
     signed = cut(docs.mapInArrow(_signatures, "doc_id long, n long, a long, b long, bands array<long>"))
     sets = signed.filter("doc_id IS NOT NULL AND n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     sets = cut(sets)
-    every = cut(candidates(sets))
+    every = cut(candidates(sets, percent))
     # Each document's most shared neighbour first; of the rest only what could still join two components.
     best = every.groupBy("v").agg(F.max_by("u", F.struct("hits", -F.col("u"))).alias("u")).select("u", "v").union(every.groupBy("u").agg(F.max_by("v", F.struct("hits", -F.col("v"))).alias("v")).select("u", "v")).distinct()
     best = cut(best)
-    links = cut(confirm(docs, best))
+    links = cut(confirm(docs, best, percent))
     label = connected(links)
     of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = every.join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
     rest = cut(rest.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"))
     if not rest.isEmpty():
-        more = cut(confirm(docs, rest))
+        more = cut(confirm(docs, rest, percent))
         if not more.isEmpty():
             label = _merged(label, more)
-    label = further_links(docs, sets, every.select("u", "v"), label)
+    label = further_links(docs, sets, every.select("u", "v"), label, percent)
     home = sets.select("a", "b", "n", "id").join(label, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
     joined = signed.select("doc_id", "n", "a", "b").join(home, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, one document of each component kept; columns unchanged."""
-    kept = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_anti").transform(same_columns, docs)

@@ -300,6 +300,21 @@ def test_near_duplicates_among_variants_of_a_form(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_duplicates_of_the_pipeline(spark, sf):
+    """Its stage takes 0.8, op4 takes 0.85."""
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(54)]
+    other = [f"q{k}" for k in range(54)]
+    rows = [(1, base), (2, base[:49] + ["y1", "y2", "y3", "y4", "y5"]), (3, other), (4, other[:47] + [f"z{k}" for k in range(7)])]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in rows}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 <= share(1, 2) < 0.85 and share(3, 4) < 0.8
+    df = spark.createDataFrame([(k, " ".join(w), "en", "s") for k, w in rows], "doc_id long, text string, lang string, source string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, sf).collect()} == {1, 3, 4}
+    assert all(r.kept for r in near_dup.near_duplicates(df).collect())
+
+
 def test_near_duplicates_of_nulls(odd):
     got = near_dup.near_duplicates(odd).collect()
     assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
