@@ -9,7 +9,7 @@ with probabilities from document frequencies over all documents: 1 means that
 the term tells the entity. Inside documents that hold c, terms at or above
 GENERALISE become a tag of their shape, those at or above REMOVE go. A pair
 must occur in SUPPORT different texts at least, so copies of one text are no
-evidence. Documents without an entity are left as they are.
+evidence. Terms of any length count. Documents without an entity are left as they are.
 
 Co-occurrence is counted per entity class: entities with the same document set
 (by two order-free 64-bit sums) have the same statistics and are counted once.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, same_columns
 
-SUPPORT, GENERALISE, REMOVE, SHORTEST = 3, 0.8, 0.95, 4
+SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 
 #: Local parts and domains are taken possessively; \\G and the look-behind start a match only where the leftmost one can start, which keeps long runs linear.
 PATTERNS = {
@@ -122,9 +122,9 @@ def disclosing_terms(docs: DataFrame, entity: DataFrame) -> DataFrame:
     )
     classes = held.join(known, "c").groupBy("_pii_key", "x", "y").agg(F.max("df_c").alias("df_c"))
     said = texts.select("_pii_key", "w", _terms(redact(F.col("text"), F.col("spans"), lambda s: F.lit(" "))).alias("terms"))
-    pairs = classes.join(said, "_pii_key").select("_pii_key", "x", "y", "df_c", "w", F.explode("terms").alias("term")).filter(F.length("term") >= SHORTEST)
+    pairs = classes.join(said, "_pii_key").select("_pii_key", "x", "y", "df_c", "w", F.explode("terms").alias("term"))
     joint = pairs.groupBy("x", "y", "df_c", "term").agg(F.sum("w").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
-    df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).filter(F.length("term") >= SHORTEST).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     n = F.lit(float(docs.count()))
     pmi = F.log2(F.col("joint") * n / (F.col("df_c") * F.greatest("df_t", "joint")))
     told = joint.join(df, "term").withColumn("ratio", F.when(F.col("df_c") < n, pmi / F.log2(n / F.col("df_c")))).filter(F.col("ratio") >= GENERALISE)
