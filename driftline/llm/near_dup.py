@@ -8,24 +8,26 @@ joined with at most three centres, which the bucket's key picks out: these first
 edges grow with the rows, never with the square of a bucket. Each candidate is
 then confirmed on the full sets, and linked documents form components.
 
-Stars alone miss a pair of which, in no shared bucket, one is a centre. Buckets
-whose other members are still in several components therefore get further
-centres, round by round, from all components but their largest, until the
-members that were no centre are of one component in every bucket. So each pair
-that shares a bucket is either compared or already connected; the pairs of these
-rounds can grow with the square of a bucket whose members are not linked. With r = 6 rows
-and b = 32 bands a pair of similarity 0.85 shares none with probability
-(1 - 0.85**6)**32 < 1e-6, one of 0.8 (the pipeline's stage) with 6e-5.
+Stars alone miss a pair of which, in no shared bucket, one is a centre. Members
+of the buckets in which those that are no centre are still of several components therefore
+meet once more, through an exact prefix filter: on the rarest of their shingles, as
+many as a linked pair can't avoid sharing, and only where sizes and places leave
+room for a link. So each pair that shares a bucket is compared, shown to be no link, or
+already connected. Variants of one form differ in rare shingles of their own, so hardly any
+pair of them is made. With r = 6 rows and b = 32 bands a pair of similarity 0.85 shares no bucket with
+probability (1 - 0.85**6)**32 < 1e-6, one of 0.8 (the pipeline's stage) with 6e-5.
 
 Results: one row for each input row. Null or blank text has the empty set and
 links with nothing; a row with null doc_id links with nothing, its component is
-null and it is kept. Rows that share a doc_id each stand by their own text; a
+null and so is kept; drop_near_duplicates keeps it. Rows that share a doc_id each stand by their own text; a
 row repeated whole stays as often as it came. An empty table gives an empty
 result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,7 +37,10 @@ from . import textops
 from .common import connected, cut, plain, same_columns, written
 
 BANDS, ROWS, SHINGLE, PERCENT = 32, 6, 5, 85
+#: Ratio of the bounds of a class of set sizes.
+CLASS = 1.04
 
+_ID, _HASH = "_driftline_id", "_driftline_hash"
 _BINS = BANDS * ROWS
 _ORDER = np.random.Generator(np.random.PCG64(77)).random((_BINS, _BINS), dtype=np.float32)
 _STEP = textops.mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -65,7 +70,7 @@ def _signatures(batches):
             a.append(int(s.sum(dtype=np.uint64).view(np.int64)))
             b.append(int(textops.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
             keys.append(bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column("text_hash")], ["doc_id", "n", "a", "b", "bands", "text_hash"])
 
 
 def _sets(batches):
@@ -73,6 +78,15 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in textops.shingle_sets(batch.column("text"), SHINGLE)], pa.binary())], ["id", "shingles"])
 
 
+def _shingles(batches):
+    for batch in textops.slices(batches):
+        sets = [s.view(np.int64) for s in textops.shingle_sets(batch.column("text"), SHINGLE)]
+        n = pa.array([len(s) for s in sets], pa.int32())
+        at = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+        flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.ListArray.from_arrays(pa.array(at), flat)], ["id", "n", "shingles"])
+
+
 def similar(one, two, percent: int = PERCENT) -> bool:
     """100 * intersection >= percent * union, on sorted distinct 64-bit hashes."""
     a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
@@ -99,20 +113,20 @@ def _fits(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _centres(member: DataFrame, *more) -> DataFrame:
-    """(key, size, c1, c2, c3, ...): of each bucket with several members its size and first centres, at least two of them different."""
-    mixed = F.col("id").bitwiseXOR(F.col("key"))
-    found = member.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("c1"), F.min(mixed).alias("c2"), F.max(mixed).alias("c3"), *more).filter("size > 1")
-    return found.withColumns({c: F.col(c).bitwiseXOR(F.col("key")) for c in ("c2", "c3")})
+def shared_buckets(sets: DataFrame) -> DataFrame:
+    """(key, id, n, centres) of the buckets with several members, from (id, n, bands); centres are (id, n) of three members, at least two of them different."""
+    member = sets.select("id", "n", F.explode("bands").alias("key"))
+    mixed = F.struct(F.col("id").bitwiseXOR(F.col("key")).alias("x"), "n")
+    found = member.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c1"), F.min(mixed).alias("c2"), F.max(mixed).alias("c3")).filter("c2.x <> c3.x")
+    plain_ = lambda c: F.struct(F.col(f"{c}.x").bitwiseXOR(F.col("key")).alias("id"), F.col(f"{c}.n").alias("n"))
+    return member.join(found.select("key", F.array("c1", plain_("c2"), plain_("c3")).alias("centres")), "key").select("key", "id", "n", "centres")
 
 
-def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v, hits): each member of a bucket with the bucket's centres, from (id, n, bands)."""
-    member = sets.select("id", "n", F.explode("bands").alias("key"))
-    star = member.join(_centres(member), "key").select("id", "n", F.explode(F.array_distinct(F.array("c1", "c2", "c3"))).alias("c")).filter("id <> c")
-    pair = star.groupBy(F.col("id").alias("u"), F.col("c").alias("v"), "n").agg(F.count(F.lit(1)).alias("hits"))
-    size = sets.select(F.col("id").alias("v"), F.col("n").alias("m"))
-    return pair.join(size, "v").filter(_fits("n", "m", percent)).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("hits").alias("hits"))
+def candidates(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v, hits): each member of a bucket with the bucket's centres."""
+    star = shared.select("id", "n", F.explode(F.array_distinct("centres")).alias("c")).select("id", "n", F.col("c.id").alias("c"), F.col("c.n").alias("m"))
+    star = star.filter((F.col("id") != F.col("c")) & _fits("n", "m", percent))
+    return star.groupBy(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).agg(F.count(F.lit(1)).alias("hits"))
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -120,19 +134,68 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def _open_members(sets: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, id, n): members but centres of the buckets that hold several components; a bucket of three has no pair without a centre."""
-    member = _labelled(sets.select("id", "n", "bands"), label).select("id", "n", "component", F.explode("bands").alias("key"))
-    crowded = _centres(member, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("size > 3 AND lo <> hi")
-    return member.drop("component").join(crowded, "key").filter("id NOT IN (c1, c2, c3)").select("key", "id", "n")
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """(id, component) of the members but centres of the buckets in which those are of several components: no two of them have met there."""
+    rest = shared.filter("NOT array_contains(transform(centres, c -> c.id), id)").select("key", "id")
+    rest = _labelled(rest, label)
+    several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return rest.join(several, "key").select("id", "component").distinct()
+
+
+def _size_class(n):
+    return F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
+
 
+def _prefixes(shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What each set of (id, n, component, shingle) shows as the smaller and as the larger of a pair: (key, class, id, n, component, left).
 
-def _divided(members: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, id, n, component, core) of the buckets with several components; core is the component with most members."""
-    rows = _labelled(members, label)
-    part = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    core = part.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("core"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    return rows.join(core, "key").select("key", "id", "n", "component", "core")
+    Shingles go from rare to frequent. Of a linked pair, the first common one in this
+    order has at least `left` shingles from it on in both sets, and these must be
+    as many as the pair has in common at least; shingles that no other set has are
+    never met, but count. The larger of a pair shows itself once for each class of sizes that the
+    smaller may be of, with what that class asks for.
+    """
+    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    order = F.array_sort(F.collect_list(F.struct("df", "shingle")))
+    sets = shingles.join(often, "shingle").groupBy("id", "n", "component").agg(order.alias("order"))
+    sets = sets.filter(F.size("order") * 100 >= F.col("n") * percent)  # else it has too many shingles of its own
+    need = lambda n, m: F.ceil((n + m) * percent / (100 + percent)).cast("int")  # noqa: E731  common shingles of a linked pair
+
+    def shown(rows, least):
+        # The first size - least + 1 shingles have at least `least` from them on.
+        head = F.slice("order", F.lit(1), F.greatest(F.size("order") - least + 1, F.lit(0)))
+        one = F.posexplode(F.transform(head, lambda x: x["shingle"])).alias("at", "key")
+        return rows.withColumn("total", F.size("order")).select("id", "n", "component", "total", *(["class"] if "class" in rows.columns else []), one).withColumn("left", F.col("total") - F.col("at")).drop("total", "at")
+
+    n = F.col("n")
+    small = shown(sets.withColumn("class", _size_class(n)), need(n, n))
+    low = F.ceil(n * percent / 100)
+    classes = F.sequence(_size_class(low), _size_class(n))
+    # A class may begin a little below its power by rounding; asking for one shingle less is safe.
+    least = F.greatest(low, F.floor(F.pow(F.lit(CLASS), F.col("class")) - 1e-6))
+    large = shown(sets.withColumn("class", F.explode(classes)), need(n, least) - 1)
+    return small, large
+
+
+def _met(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    right = large.select("key", "class", F.col("id").alias("v"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("left").alias("left_v"))
+    after = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("id") < F.col("v")))
+    able = F.least("left", "left_v") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    return small.join(right, ["key", "class"]).filter(after & (F.col("component") != F.col("other")) & _fits("n", "m", percent) & able).select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v"))
+
+
+def further_pairs(docs: DataFrame, open_: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v): all pairs of the open sets, of different components, that could be similar by an exact prefix filter."""
+    ids = open_.select(F.col("id").alias("doc_id"))
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingles, "id long, n int, shingles array<long>")
+    rows = written(sets.join(open_, "id").select("id", "n", "component", F.explode("shingles").alias("shingle")))
+    small, large = (written(x) for x in _prefixes(rows, percent))
+    # Most members of a hot key are of one component, the core: only the others meet the whole key.
+    part = small.unionByName(large).groupBy("key", "class", "component").agg(F.count(F.lit(1)).alias("size"))
+    core = part.groupBy("key", "class").agg(F.max_by("component", F.struct("size", "component")).alias("core"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    small, large = (x.join(core, ["key", "class"]) for x in (small, large))
+    outer, inner = F.col("component") != F.col("core"), F.col("component") == F.col("core")
+    return _met(small.filter(outer), large, percent).union(_met(small.filter(inner), large.filter(outer), percent)).distinct()
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -145,30 +208,6 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(moved, "component", "left").select("id", F.coalesce("now", "component").alias("component")))
 
 
-def further_links(docs: DataFrame, sets: DataFrame, tested: DataFrame, label: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The components once every pair that shares a bucket is compared or connected.
-
-    A round takes up to `many` members outside the core of each divided bucket as
-    centres, meets them with the members of other components and sets them
-    aside; the number grows fourfold from round to round, up to 512.
-    """
-    members, many = _open_members(sets, label), 8
-    while True:
-        rows = written(_divided(members, label))
-        if rows.isEmpty():
-            return label
-        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("id", "key"), "id"))
-        centre = written(rows.filter("component <> core").select("key", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("other"), turn.alias("turn")).filter(F.col("turn") <= many).drop("turn"))
-        pair = rows.join(centre, "key").filter((F.col("component") != F.col("other")) & _fits("n", "m", percent))
-        pair = written(pair.select(F.least("id", "c").alias("u"), F.greatest("id", "c").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"))
-        if not pair.isEmpty():
-            more = written(confirm(docs, pair, percent))
-            tested = tested.union(pair)
-            if not more.isEmpty():
-                label = _merged(label, more)
-        members, many = rows.select("key", "id", "n").join(centre.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti"), min(4 * many, 512)
-
-
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (u, v) whose full shingle sets are similar."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
@@ -179,31 +218,40 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFr
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text); texts are linked from this similarity on."""
+    return _decided(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame, percent: int) -> DataFrame:
+    """near_duplicates with a hash of each row's text."""
     docs = plain(docs, "doc_id", "text")
-    signed = cut(docs.mapInArrow(_signatures, "doc_id long, n long, a long, b long, bands array<long>"))
+    # The text's hash goes along in place of the text.
+    signed = cut(docs.withColumn("text_hash", F.md5("text")).mapInArrow(_signatures, "doc_id long, n long, a long, b long, bands array<long>, text_hash string"))
     sets = signed.filter("doc_id IS NOT NULL AND n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
-    sets = cut(sets)
-    every = cut(candidates(sets, percent))
+    sets = written(sets)
+    shared = written(shared_buckets(sets))
+    every = written(candidates(shared, percent))
     # Each document's most shared neighbour first; of the rest only what could still join two components.
     best = every.groupBy("v").agg(F.max_by("u", F.struct("hits", -F.col("u"))).alias("u")).select("u", "v").union(every.groupBy("u").agg(F.max_by("v", F.struct("hits", -F.col("v"))).alias("v")).select("u", "v")).distinct()
-    best = cut(best)
-    links = cut(confirm(docs, best, percent))
-    label = connected(links)
+    label = connected(written(confirm(docs, written(best), percent)))
     of = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
     rest = every.join(best, ["u", "v"], "left_anti").join(of("u"), "u", "left").join(of("v"), "v", "left")
-    rest = cut(rest.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v"))
-    if not rest.isEmpty():
-        more = cut(confirm(docs, rest, percent))
-        if not more.isEmpty():
-            label = _merged(label, more)
-    label = further_links(docs, sets, every.select("u", "v"), label, percent)
+    label = _with(docs, written(rest.filter("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")), label, percent)
+    open_ = written(_open(shared, label))
+    if not open_.isEmpty():
+        label = _with(docs, written(further_pairs(docs, open_, percent)), label, percent)
     home = sets.select("a", "b", "n", "id").join(label, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
-    joined = signed.select("doc_id", "n", "a", "b").join(home, ["a", "b", "n"], "left")
+    joined = signed.drop("bands").join(home, ["a", "b", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"), "text_hash")
+
+
+def _with(docs: DataFrame, pairs: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """label after those of the pairs that are links."""
+    links = written(confirm(docs, pairs, percent))
+    return label if links.isEmpty() else _merged(label, links)
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, one document of each component kept; columns unchanged."""
-    kept = near_duplicates(docs, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").transform(same_columns, docs)
+    """The rows of docs, one document of each component kept; columns unchanged. Rows of one doc_id are decided on by their own texts."""
+    gone = _decided(docs, percent).filter("NOT kept").select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(_ID)) & (F.md5("text") == F.col(_HASH)), "left_anti").transform(same_columns, docs)

@@ -325,7 +325,8 @@ def test_near_duplicates_of_the_pipeline(spark, sf):
 
 def test_near_duplicates_of_nulls(odd):
     got = near_dup.near_duplicates(odd).collect()
-    assert all(r.component_id is None and r.kept for r in got if r.doc_id is None)
+    assert all(r.component_id is None and r.kept is None for r in got if r.doc_id is None)
+    assert sum(r.doc_id is None for r in near_dup.drop_near_duplicates(odd).collect()) == 2
     assert {(r.n_shingles, r.component_id) for r in got if r.doc_id in (0, 1, 2, 3)} == {(0, k) for k in range(4)}
 
 
