@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut, same_columns
 
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Items of one fold; code points of a block of text.
+FOLD, BLOCK = 256, 1024
 
 #: Local parts and domains are taken possessively; \\G and the look-behind start a match only where the leftmost one can start, which keeps long runs linear.
 PATTERNS = {
@@ -64,8 +66,17 @@ def _valid(kind: str, value: Column) -> Column:
     return F.when(size.between(16, 19), _luhn(_digits(value))).otherwise(False)
 
 
+def _chunks(items: Column, fold) -> Column:
+    """fold(chunk) of each FOLD items in turn."""
+    many = F.greatest(F.ceil(F.size(items) / FOLD).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), many - 1), lambda c: fold(F.slice(items, c * FOLD + 1, FOLD)))
+
+
 def _located(text: Column, pattern: str, keep) -> Column:
-    """[(start, end, value)] of the pattern's matches for which keep(value); places come from the lengths of matches and of the pieces between."""
+    """[(start, end, value)] of the pattern's matches for which keep(value); places come from the lengths of matches and of the pieces between.
+
+    An array that grows in a fold is copied at each step, so places are summed inside chunks, then over the chunks.
+    """
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
@@ -75,7 +86,10 @@ def _located(text: Column, pattern: str, keep) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value")))
         return F.struct(end.alias("at"), F.when(x["m"].isNotNull() & keep(x["m"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    inside = _chunks(both, lambda some: F.aggregate(some, F.struct(F.lit(0).alias("at"), none.alias("out")), step))
+    begin = F.aggregate(inside, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + c["at"])))
+    moved = F.zip_with(inside, F.slice(begin, F.lit(1), F.size(inside)), lambda c, by: F.transform(c["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))))
+    return F.flatten(moved)
 
 
 def base_spans(text: Column) -> Column:
@@ -93,14 +107,23 @@ def base_spans(text: Column) -> Column:
 def redact(text: Column, spans: Column, put) -> Column:
     """The text with each span replaced by put(span); spans that overlap the one before only lengthen it."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put(s).alias("put"))))
-
-    def step(acc, s):
-        free = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["put"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, more).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    ends = _chunks(order, lambda some: F.aggregate(some, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))))
+    begin = F.aggregate(ends, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), c["at"]))))
+    # at: where the spans before end.
+    at = F.flatten(F.zip_with(ends, F.slice(begin, F.lit(1), F.size(ends)), lambda c, by: F.transform(c["out"], lambda x: F.greatest(x, by))))
+    # A place in a string is found from its beginning, so the text is taken in blocks.
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+    def between(a, b):
+        def part(k):
+            low = F.greatest(a - k * BLOCK, F.lit(0))
+            return F.substring(F.element_at(blocks, k + 1), low + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - low)
+
+        return F.when(a < b, F.array_join(F.transform(F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")), part), "")).otherwise("")
+
+    pieces = F.zip_with(order, at, lambda s, a: F.when(s["start"] >= a, F.concat(between(a, s["start"]), s["put"])).otherwise(""))
+    done = F.concat(F.array_join(pieces, ""), between(F.element_at(begin, -1), F.length(text)))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def _entity(s: Column) -> Column:
