@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -15,23 +16,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of the tables that written() has made and nobody has released yet, in order.
+SCRATCH: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: that of spark.checkpoint.dir; one of our own only in local mode, where driver and executors are one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="driftline-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; only where that is unset (tests) in one of our own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftline-checkpoint-"))
+    """A reliable checkpoint in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the checkpoint folder. For loops with several joins: on checkpoints alone the planning of each round took twice as long as that of the last."""
+    """df as a table in the shared folder. For loops with several joins: on checkpoints alone the planning of each round took twice as long as that of the last."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftline-checkpoint-")
-    out = f"{folder}/written-{uuid.uuid4().hex}"
+    out = f"{folder(spark)}/written-{uuid.uuid4().hex}"
+    SCRATCH.append(out)
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
 
 
+def release(spark: SparkSession, paths: list[str], needed: DataFrame | None = None) -> list[str]:
+    """Removes these tables but those that `needed` reads, and has Spark free what nothing refers to any more; returns the paths that stay."""
+    read = needed.inputFiles() if needed is not None and paths else []
+    stay = [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in read)]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if p not in stay:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+            SCRATCH[:] = [x for x in SCRATCH if x != p]
+    gc.collect()
+    jvm.System.gc()  # the cleaner of shuffle files and checkpoints goes by the driver's garbage
+    return stay
+
+
 def plain(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that other columns' names can't clash with ours."""
     return docs.select(*[F.col(f"`{n}`") for n in names])

@@ -4,12 +4,13 @@ Four kinds of evidence give the posterior of each language: the text (naive
 Bayes over hashed byte trigrams of lower-cased letters), the declared language,
 the address suffix, and a prior of the host. Priors are soft counts of the text
 posterior, summed by host, by parent domain and over all rows, each level
-smoothed by the one above with WEIGHT pseudo-rows. How well declarations and
-suffixes tell the language is estimated from the corpus itself, by grouped
-aggregation over languages of a fixed set.
+smoothed by the one above with WEIGHT pseudo-rows. How well each declaration and
+each suffix tells the language is estimated from the corpus itself, by grouped
+aggregation. There is no list of languages, declarations or suffixes but what the rows hold.
 
 The trigram model is fitted on the labelled documents with the SAMPLE least hashes
-of doc_id, whole texts; everything else counts all rows.
+of doc_id, whole texts, one row (the least) of each doc_id; everything else counts all rows.
+A byte lies in three trigrams, so a text's log likelihood is a third of their sum.
 
 A row is accepted if its text has LETTERS letters at least and the posterior of
 its best language reaches LEAST; else its language is "und". Null and empty
@@ -21,21 +22,20 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import cut, plain
+from .common import cut, plain, same_columns
 
-SAMPLE, BUCKETS, LANGUAGES = 3000, 1 << 15, 24
-WEIGHT, TRUST, LETTERS, LEAST = 20.0, 60, 3, 0.5
+SAMPLE, BUCKETS = 3000, 1 << 15
+WEIGHT, LETTERS, LEAST = 20.0, 3, 0.5
 
-#: Suffixes that stand for a language; all others are one class.
-SUFFIXES = ["at", "be", "ca", "ch", "cl", "co", "com", "de", "es", "eu", "fr", "ie", "mx", "net", "nz", "org", "uk", "us"]
+#: Trigrams that a byte lies in.
+_OVERLAP = 3
+_KEY = "_driftline_key"
 
 
 def _trigrams(text: str | None) -> tuple[np.ndarray, int]:
@@ -58,29 +58,38 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     """Languages and their log probabilities of the buckets, from (doc_id, text, lang)."""
 
     def count(batches):
-        total: dict[str, np.ndarray] = {}
         for batch in textops.slices(batches):
+            total: dict[str, np.ndarray] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                own = total.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-                own += np.bincount(_trigrams(text)[0], minlength=BUCKETS + 1)
-                own[BUCKETS] += 1
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["lang", "counts"])
+                own = total.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                own += np.bincount(_trigrams(text)[0], minlength=BUCKETS)
+            for lang, own in total.items():
+                some = np.flatnonzero(own)
+                # A language counts even where its sample has no trigram.
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(some) + 1)), pa.array([*some.tolist(), 0], pa.int32()), pa.array([*own[some].tolist(), 0], pa.int64())], ["lang", "bucket", "n"])
 
     rows = plain(labelled, "doc_id", "text", "lang").filter("lang IS NOT NULL AND length(text) > 0")
-    rows = rows.withColumn("lang", F.lower(F.split("lang", "[-_]")[0]))
-    # Only hashes are sorted; the texts of the chosen, at most the sample, then go to one task.
-    order = F.xxhash64("doc_id")
-    last = rows.select(order.alias("k")).distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    rows = rows.withColumn("lang", F.lower(F.split("lang", "[-_]")[0])).withColumn("k", F.xxhash64("doc_id"))
+    # Only hashes are sorted; then the texts of the chosen are read, at most one for each.
+    last = rows.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
     if last is None:
         return [], np.zeros((0, BUCKETS), np.float32)
-    rows = rows.filter(order <= last).repartition(1)
-    found = {r.lang: np.frombuffer(r.counts, np.int64) for r in rows.mapInArrow(count, "lang string, counts binary").collect()}
-    langs = sorted(sorted(found, key=lambda x: -found[x][BUCKETS])[:LANGUAGES])
-    table = np.array([found[x][:BUCKETS] for x in langs], np.float64).reshape(len(langs), BUCKETS) + 0.05
+    chosen = rows.filter(F.col("k") <= last).groupBy("k").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.text", "row.lang")
+    # At most languages of the sample x buckets rows, however many documents there are.
+    found = chosen.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = np.array(found.column("lang").to_pylist())
+    langs = sorted({*names.tolist()})
+    table = np.full((len(langs), BUCKETS), 0.05)
+    table[np.searchsorted(langs, names), found.column("bucket").to_numpy()] += found.column("n").to_numpy()
     return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def log_likelihoods(text: str | None, table: np.ndarray) -> tuple[int, np.ndarray]:
+    """Letters of the text and its log likelihood in each language."""
+    grams, n = _trigrams(text)
+    return n, table[:, grams].sum(axis=1, dtype=np.float64) / _OVERLAP
+
+
 def likelihoods(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """rows (key columns, text, declared, suffix, host) with letters and the text's log likelihoods, without the text."""
     model = rows.sparkSession.sparkContext.broadcast(table)
@@ -89,27 +98,30 @@ def likelihoods(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFra
     def run(batches):
         logs = model.value
         for batch in textops.slices(batches):
-            letters, values = [], []
-            for text in batch.column("text").to_pylist():
-                grams, n = _trigrams(text)
-                letters.append(n)
-                # A text's trigrams depend on each other: beyond TRUST they count as TRUST.
-                scale = min(1.0, TRUST / len(grams)) if len(grams) else 0.0
-                values.append([float(logs[k][grams].sum(dtype=np.float64)) * scale for k in range(len(langs))])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(letters, pa.int64()), pa.array(values, pa.list_(pa.float64()))], [*names, "letters", "ll"])
+            told = [log_likelihoods(text, logs) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array([n for n, _ in told], pa.int64()), pa.array([v.tolist() for _, v in told], pa.list_(pa.float64()))], [*names, "letters", "ll"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(run, f"{kinds}, letters long, ll array<double>")
 
 
-def _shares(values: list[Column]) -> list[Column]:
-    """exp(v) / sum of exp, safely."""
-    top = F.greatest(*values) if len(values) > 1 else values[0]
-    each = [F.exp(v - top) for v in values]
-    total = each[0]
-    for e in each[1:]:
-        total = total + e
-    return [e / total for e in each]
+def _shares(logs: Column) -> Column:
+    """exp(v) / sum of exp, safely, of an array."""
+    each = F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
+    return F.transform(each, lambda v: v / F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
+
+
+def _plus(*logs: Column) -> Column:
+    out = logs[0]
+    for more in logs[1:]:
+        out = F.zip_with(out, more, lambda a, b: a + b)
+    return out
+
+
+def _arrays(soft: DataFrame, *by: str) -> DataFrame:
+    """(by, sums): the soft counts summed by these columns, as an array over the languages."""
+    pairs = soft.groupBy(*by, "k").agg(F.sum("s").alias("s")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("sums"))
+    return pairs.withColumn("sums", F.transform("sums", lambda x: x["s"]))
 
 
 def fuse(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
@@ -118,44 +130,49 @@ def fuse(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     if not langs:
         text = likelihoods(rows, langs, table)
         return text.select(*keys, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), (F.col("letters") >= LETTERS).alias("accepted"))
-    known = F.when(F.col("declared").isin(langs), F.col("declared")).when(F.col("declared").isNull(), "none").otherwise("other")
-    ending = F.when(F.col("suffix").isin(SUFFIXES), F.col("suffix")).when(F.col("suffix").isNull(), "none").otherwise("other")
-    text = likelihoods(rows.withColumn("declared", known).withColumn("suffix", ending).withColumn("host", F.coalesce("host", F.lit(""))), langs, table)
-    at = range(len(langs))
-    # Soft counts by host, declaration and suffix in one pass; the latter two have few classes.
-    soft = text.select("host", "declared", "suffix", *[s.alias(f"s{k}") for k, s in enumerate(_shares([F.col("ll")[k] for k in at]))]).groupBy("host", "declared", "suffix").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in at])
+    none = {c: F.coalesce(c, F.lit("")) for c in ("declared", "suffix", "host")}
+    text = cut(likelihoods(rows.withColumns(none), langs, table))
+    soft = text.select("host", "declared", "suffix", F.posexplode(_shares(F.col("ll"))).alias("k", "s")).groupBy("host", "declared", "suffix", "k").agg(F.sum("s").alias("s"))
     soft = cut(soft.withColumn("parent", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
-    total = [v or 0.0 for v in soft.agg(*[F.sum(f"s{k}") for k in at]).first()]
+    # One number for each language of the sample.
+    total = [0.0] * len(langs)
+    for k, s in soft.groupBy("k").agg(F.sum("s")).collect():
+        total[k] = s
     everything = [(t + 1.0) / (sum(total) + len(langs)) for t in total]
-
-    def told(column: str) -> dict[str, list[float]]:
-        """log P(class | language), add-one smoothed."""
-        got = {r[0]: [v or 0.0 for v in r[1:]] for r in soft.groupBy(column).agg(*[F.sum(f"s{k}") for k in at]).collect()}
-        return {c: [math.log((v[k] + 1.0) / (total[k] + len(got))) for k in at] for c, v in got.items()}
-
-    def lookup(column: str, k: int) -> Column:
-        out = F.lit(0.0)
-        for c, v in told_by[column].items():
-            out = F.when(F.col(column) == c, F.lit(v[k])).otherwise(out)
-        return out
-
-    told_by = {c: told(c) for c in ("declared", "suffix")}
-    hosts = soft.groupBy("host", "parent").agg(*[F.sum(f"s{k}").alias(f"h{k}") for k in at])
-    parents = hosts.groupBy("parent").agg(*[F.sum(f"h{k}").alias(f"p{k}") for k in at])
-    plus = lambda cs: sum(cs[1:], cs[0])
-    n_p, n_h = plus([F.col(f"p{k}") for k in at]), plus([F.col(f"h{k}") for k in at])
-    upper = [(F.col(f"p{k}") + WEIGHT * F.lit(everything[k])) / (n_p + WEIGHT) for k in at]
-    prior = hosts.join(parents, "parent").select("host", *[F.log((F.col(f"h{k}") + WEIGHT * upper[k]) / (n_h + WEIGHT)).alias(f"prior{k}") for k in at])
-    both = text.join(prior, "host", "left")
-    score = [F.col("ll")[k] + lookup("declared", k) + lookup("suffix", k) + F.coalesce(F.col(f"prior{k}"), F.lit(math.log(everything[k]))) for k in at]
-    shares = F.array(*_shares([F.col(f"score{k}") for k in at]))
-    out = both.select(*keys, "letters", *[s.alias(f"score{k}") for k, s in enumerate(score)]).select(*keys, "letters", shares.alias("shares"))
+    totals, base = F.array(*map(F.lit, total)), F.array(*map(F.lit, everything))
+
+    def told(column: str) -> DataFrame:
+        """log P(class | language) of each class, add-one smoothed over the classes."""
+        classes = soft.select(column).distinct().count()
+        return _arrays(soft, column).select(column, F.zip_with("sums", totals, lambda v, t: F.log((v + 1.0) / (t + classes))).alias(f"by_{column}"))
+
+    mass = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    smooth = lambda c, upper: F.zip_with(c, upper, lambda v, u: (v + WEIGHT * u) / (mass(c) + WEIGHT))
+    parents = _arrays(soft, "parent").select("parent", smooth(F.col("sums"), base).alias("upper"))
+    hosts = _arrays(soft, "host", "parent").join(parents, "parent")
+    prior = hosts.select("host", F.transform(smooth(F.col("sums"), F.col("upper")), lambda v: F.log(v)).alias("prior"))
+    both = text.join(told("declared"), "declared").join(told("suffix"), "suffix").join(prior, "host")
+    score = _plus(F.col("ll"), F.col("by_declared"), F.col("by_suffix"), F.col("prior"))
+    out = both.select(*keys, "letters", score.alias("score")).select(*keys, "letters", _shares(F.col("score")).alias("shares"))
     best = F.array_max("shares")
     name = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("shares", best).cast("int"))
     ok = (F.col("letters") >= LETTERS) & (best >= LEAST)
     return out.select(*keys, F.when(ok, name).otherwise("und").alias("lang"), F.round(best, 4).alias("posterior"), ok.alias("accepted"))
 
 
+def _evidence() -> Column:
+    """A key of all that decides on a document: text, declaration and host."""
+    return F.md5(F.concat_ws("\0", *[F.concat(F.col(f"`{c}`").isNull().cast("string"), F.coalesce(F.col(f"`{c}`"), F.lit(""))) for c in ("lang", "source", "text")]))
+
+
+def keep_accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language can be told; columns unchanged. Each row is decided on by itself, whatever its doc_id."""
+    langs, model = fit(docs)
+    keyed = plain(docs, "doc_id", "text", "lang", "source").withColumn("doc_id", _evidence())
+    rejected = fuse(document_rows(keyed), langs, model).filter("NOT accepted").select(F.col("doc_id").alias(_KEY)).distinct()
+    return docs.join(rejected, _evidence() == F.col(_KEY), "left_anti").transform(same_columns, docs)
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """page_id and the evidence of raw web pages: text without markup, declared language, suffix, host."""
     html = F.coalesce(F.col("html"), F.lit(""))
