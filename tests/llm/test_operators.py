@@ -3,6 +3,7 @@
 import gzip  # noqa: F401
 import hashlib
 import json
+import math
 import random
 import re
 import sys
@@ -12,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from driftline.llm import best_fit, binary_rows, lang_id, media, near_dup, passages, pii, registry, repeats, sentencepiece_bpe, textops, tokens, top_k
@@ -101,6 +103,84 @@ def test_disclosing_terms(spark):
     assert got[65].text == got[60].text
 
 
+def added_spans(rows):
+    """Spans of the disclosure analysis by counting pair by pair: kind, start, end of each row."""
+    word = regex.compile(pii.WORD)
+    found = [[(k, m.start(), m.end(), m.group()) for k, p in PATTERNS for m in re.finditer(p, t or "") if valid(k, m.group())] for t in rows]
+    entity = lambda k, v: k + ":" + (v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v))
+
+    def without(t, spans):
+        for _, a, b, _ in sorted(spans, key=lambda s: -s[1]):
+            t = t[:a] + " " + t[b:] if b <= len(t) else t[:a] + " "
+        return t
+
+    df_t = Counter(w for t in rows for w in {m.group() for m in word.finditer((t or "").lower())})
+    df_c, texts_c, joint, texts = Counter(), defaultdict(set), Counter(), defaultdict(set)
+    held = []
+    for t, spans in zip(rows, found):
+        own = {entity(s[0], s[3]) for s in spans}
+        held.append(own)
+        said = {m.group() for m in word.finditer(without(t, spans).lower())} if own else set()
+        for c in own:
+            df_c[c] += 1
+            texts_c[c].add(t)
+            for w in said:
+                joint[c, w] += 1
+                texts[c, w].add(t)
+    told = defaultdict(dict)
+    for (c, w), j in joint.items():
+        if len(texts_c[c]) >= 3 and len(texts[c, w]) >= 3 and df_c[c] < len(rows):
+            told[c][w] = math.log2(j * len(rows) / (df_c[c] * max(df_t[w], j))) / math.log2(len(rows) / df_c[c])
+    out = []
+    for t, spans, own in zip(rows, found, held):
+        said = {m.group() for m in word.finditer(without(t, spans).lower())} if own else set()
+        ratio = {w: max(told[c][w] for c in own if w in told[c]) for w in said if any(w in told[c] for c in own)}
+        hits = []
+        for m in word.finditer(t or ""):
+            r = ratio.get(m.group().lower(), 0)
+            if r >= 0.8 and not any(a < m.end() and b > m.start() for _, a, b, _ in spans):
+                hits.append(("remove" if r >= 0.95 else "generalise", m.start(), m.end()))
+        out.append(sorted(hits))
+    return out
+
+
+def test_added_spans(spark, docs, odd):
+    """The whole analysis against counting, with copies, several entities in a text, and terms on both sides of the thresholds."""
+    rng = random.Random(31)
+    names = [f"Name{k}" for k in range(12)]
+    rows = []
+    for k in range(400):
+        p = rng.randrange(12)
+        who = f"{names[p]} of team{p % 4} has p{p}@corp.example" + (f" or +1 (269) 555-32{p + 10}" if rng.random() < 0.5 else "")
+        say = " ".join(rng.choice(["plain", "green", "Kim", "x9", f"team{rng.randrange(4)}"]) for _ in range(8))
+        say += " " + names[rng.randrange(12)] if rng.random() < 0.01 * p else ""
+        rows.append(rng.choice([who + " " + say, say, say + " " + who, say + " 10.0.0." + str(p)]))
+    rows += rows[:30] + [None, ""]
+    every = rows + [t for _, t in texts(docs)] + [t for _, t in texts(odd)]
+    df = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string").repartition(5)
+    want = added_spans(every)
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r._pii_added] for r in pii.sanitise(df).collect()}
+    assert {k: g for k, g in got.items() if g != want[k]} == {}
+    assert {kind for g in want for kind, _, _ in g} == {"remove", "generalise"}
+
+
+def test_many_spans_in_long_texts(spark):
+    """Thousands of spans, a text of over a megabyte: same spans and text as by hand."""
+    rng = random.Random(32)
+    many = " ".join(f"é user{k}@host{k % 7}.example {'x' * rng.randrange(30)} 10.0.{k % 256}.1" for k in range(9000))
+    rows = [(1, many), (2, "word " * 260_000 + "me@x.org end"), (3, "me@x.org")]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        spans = [(kind, m.start(), m.end()) for kind, p in PATTERNS for m in re.finditer(p, t) if valid(kind, m.group())]
+        assert [(s.kind, s.start, s.end) for s in got[k]._pii_spans] == spans
+        out, at = [], 0
+        for kind, a, b in sorted(spans, key=lambda s: s[1:]):
+            if a >= at:
+                out += [t[at:a], f"<{kind.upper()}>"]
+            at = max(at, b)
+        assert got[k].text == "".join(out) + t[at:]
+
+
 def test_short_terms_disclose(spark):
     """A name of two or three characters that occurs with one entity only goes; a short word that is everywhere stays."""
     rows = [(k, f"Ask Kim or Bo at the desk {k}0001, kim.l@corp.example or phone") for k in range(4)] + [(10 + k, f"Nothing at the desk or in box {k}0002") for k in range(60)]
@@ -403,6 +483,63 @@ def test_evidence_decides_short_texts(spark, docs):
     assert got[0] == ("fr", True) and got[41] == ("und", False) == got[42]
 
 
+def fused(rows, langs, table):
+    """The fusion row by row; rows: (key, text, declared, suffix, host)."""
+    share = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    rows = [(k, *lang_id.log_likelihoods(t, table), d or "", s or "", h or "") for k, t, d, s, h in rows]
+    parent = lambda h: h.rsplit(".", 2)[-2] + "." + h.rsplit(".", 1)[-1] if re.search(r"[^.]+\.[^.]+$", h) else ""
+    sums = {c: defaultdict(lambda: np.zeros(len(langs))) for c in ("all", "declared", "suffix", "host", "parent")}
+    for _, _, ll, d, s, h in rows:
+        for c, v in (("all", 0), ("declared", d), ("suffix", s), ("host", h), ("parent", parent(h))):
+            sums[c][v] += share(ll)
+    total = sums["all"][0]
+    base = (total + 1) / (total.sum() + len(langs))
+    smooth = lambda v, u: (v + 20 * u) / (v.sum() + 20)
+    out = {}
+    for k, n, ll, d, s, h in rows:
+        told = sum(np.log((sums[c][v] + 1) / (total + len(sums[c]))) for c, v in (("declared", d), ("suffix", s)))
+        p = share(ll + told + np.log(smooth(sums["host"][h], smooth(sums["parent"][parent(h)], base))))
+        ok = n >= 3 and p.max() >= 0.5
+        out[k] = (langs[int(p.argmax())] if ok else "und", float(p.max()), ok)
+    return out
+
+
+ODD_PAGES = [(1, None, None), (2, "", ""), (3, "no address", "<html lang=EN>the and of"), (4, "http://a.b.jp/x", "<p>&amp;</p>"), (5, "https://u@Host.CO.UK:80/?q", "<script>var x</script>l'été où"), (6, "ftp://x", "<" * 3000), (None, None, "der und die"), (7, "http://a.b.jp/x", "<p>&amp;</p>"), (7, "http://a.b.jp/x", "<p>&amp;</p>"), (8, "http://long.ru", "<b>" + "las palabras " * 90_000)]
+
+
+def test_fusion_of_all_evidence(spark, docs, odd, sf):
+    """Posteriors of documents and pages, odd ones among them, against the fusion row by row."""
+    langs, model = lang_id.fit(docs)
+    assert len(langs) == 4
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").unionByName(spark.createDataFrame(ODD_PAGES, "page_id long, url string, html string"))
+    pages = pages.select("*", *[F.lit(k).alias(c) for k, c in enumerate([*CLASH, "text", "lang", "parent", "k", "s", "sums", "prior", "shares"])])
+    own = docs.select("doc_id", "text", "lang", "source").unionByName(odd.select("doc_id", "text", "lang", "source"))
+    for name, rows in (("page_id", lang_id.page_rows(pages)), ("doc_id", lang_id.document_rows(own))):
+        given = [tuple(r) for r in rows.select(name, "text", "declared", "suffix", "host").collect()]
+        want = fused([(i, *r[1:]) for i, r in enumerate(given)], langs, model)
+        got = Counter((r[0], r.lang, r.accepted, round(r.posterior, 3)) for r in lang_id.fuse(rows, langs, model).collect())
+        assert got == Counter((r[0], w[0], w[2], round(round(w[1], 4), 3)) for r, w in zip(given, want.values()))
+    assert lang_id.fuse(lang_id.page_rows(pages.limit(0)), langs, model).collect() == []
+
+
+def test_every_language_of_the_sample_counts(spark):
+    """Forty languages, each with words of its own, one of them with few documents."""
+    rng = random.Random(12)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(40)] for k in range(40)}
+    rows = [(len(words) * i + j, " ".join(rng.choices(w, k=30)), x) for i in range(6) for j, (x, w) in enumerate(words.items()) if i < 2 or j]
+    langs, model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    blind = spark.createDataFrame([(j, " ".join(rng.choices(w, k=30)), None, None, None) for j, w in enumerate(words.values())], "doc_id long, text string, declared string, suffix string, host string")
+    assert {r.doc_id: r.lang for r in lang_id.fuse(blind, langs, model).collect()} == dict(enumerate(words))
+
+
+def test_rejection_row_by_row(spark, docs):
+    """Rows of one doc_id and of none are decided on by their own evidence."""
+    good = docs.filter("length(text) > 200").first()
+    rows = [(1, good.text, good.lang, good.source), (1, "12", good.lang, good.source), (1, None, None, None), (None, good.text, good.lang, good.source), (None, "", None, None)]
+    kept = lang_id.keep_accepted(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "None"] and {r.text for r in kept} == {good.text}
+
+
 def test_without_labels(odd):
     bare = odd.withColumn("lang", F.lit(None).cast("string"))
     langs, model = lang_id.fit(bare)
@@ -511,6 +648,13 @@ def test_packing(odd, docs, ids):
                 assert bytes(r.ids) == data and zlib.crc32(data) == r.ids_crc32
 
 
+def test_packing_of_any_split(docs):
+    """At most a hundredth over the least number of sequences, however the table is split."""
+    for parts in (1, 16, 64, 211):
+        got = best_fit.packed(docs.repartition(parts), TOKENS, ids=False).agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+        assert got[0] <= 1.01 * got[1] / 1024 + 1
+
+
 # --- 9
 
 
@@ -530,6 +674,25 @@ def test_top_k(spark, sf):
     assert top_k.top_k(df.limit(0)).collect() == []
 
 
+def test_search_reads_no_more_than_it_needs():
+    """Where few candidates stand out the lists are left early; the answer is that of all products."""
+    rng = np.random.default_rng(6)
+    flat = rng.integers(-2, 3, (3000, 8))
+    peaks = rng.integers(40, 60, (25, 8)) * np.where(np.arange(8) % 2, 1, -1)
+    c = np.concatenate([flat, peaks])
+    q = np.concatenate([peaks[:5], -peaks[5:10], rng.integers(-50, 50, (5, 8))])
+    cid, qid = np.arange(len(c)) * 3, np.array([9000, *range(100_000, 100_014)])
+    for block in (slice(None), slice(0, 30), slice(0, 3)):
+        got, reads = top_k.search(qid, q, cid[block], c[block], k=20, steps=(0.02, 0.1, 1.0))
+        want = []
+        for i, v in zip(qid, q):
+            want += [(i, k, -s) for s, k in sorted((-int(v @ w), int(k)) for k, w in zip(cid[block], c[block]) if k != i)[:20]]
+        assert sorted(got) == sorted(want)
+        assert reads <= q.size * len(c[block])
+        if block == slice(None):
+            assert reads < 0.75 * q.size * len(c)
+
+
 # --- pipeline
 
 
