@@ -12,41 +12,61 @@ tables stay empty.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from driftline.llm import best_fit, lang_id, near_dup, passages, pii, registry
-from driftline.llm.common import ready, same_columns, table
+from driftline.llm.common import SCRATCH, folder, ready, release, table
 
 
+_scratch: list[str] = []
+
+
+def _stage(f):
+    """f, and before it goes the intermediate tables of earlier stages, which are written by now, or read by docs."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ready(spark)
+        _scratch[:] = release(spark, _scratch, docs)
+        before = {*SCRATCH}
+        try:
+            return f(spark, docs, sf_dir)
+        finally:
+            _scratch.extend(p for p in SCRATCH if p not in before)
+
+    return run_stage
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language can't be told."""
-    ready(spark)
-    langs, model = lang_id.fit(docs)
-    rejected = lang_id.fuse(lang_id.document_rows(docs), langs, model).filter("NOT accepted").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").transform(same_columns, docs)
+    """Without the documents whose language can't be told. Rows of one doc_id are decided on by their own texts."""
+    return lang_id.keep_accepted(docs)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates of similarity 0.8 or more, that with the smallest doc_id."""
     return near_dup.drop_near_duplicates(docs, percent=80)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut."""
     return passages.remove_passages(docs)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that disclose it are generalised or removed."""
     return pii.clean_documents(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of all documents, packed into sequences, with their ids."""
-    ready(spark)
     return best_fit.packed(docs, registry.tokenizer("byte_bpe_50k.json"))
 
 
@@ -58,10 +78,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="driftline-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    home = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        out = f"{home}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        # What the stage has read isn't needed any more, nor are its intermediate tables.
+        _scratch[:] = release(spark, _scratch + last, docs)
+        last = [out]
     return docs
