@@ -146,26 +146,29 @@ def _size_class(n):
     return F.floor(F.log(n.cast("double")) / math.log(CLASS)).cast("int")
 
 
-def _prefixes(shingles: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """What each set of (id, n, component, shingle) shows as the smaller and as the larger of a pair: (key, class, id, n, component, left).
+def _ordered(shingles: DataFrame, percent: int) -> DataFrame:
+    """(id, n, component, order) from (id, n, component, shingle): each set's shingles that others have, from rare to frequent, unless too many are its own for any link."""
+    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    sets = shingles.join(often, "shingle").groupBy("id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    return sets.filter(F.size("order") * 100 >= F.col("n") * percent).withColumn("order", F.transform("order", lambda x: x["shingle"]))
+
 
-    Shingles go from rare to frequent. Of a linked pair, the first common one in this
+def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What each set of _ordered shows as the smaller and as the larger of a pair: (key, class, id, n, component, left).
+
+    Of a linked pair, the first common shingle in this
     order has at least `left` shingles from it on in both sets, and these must be
     as many as the pair has in common at least; shingles that no other set has are
     never met, but count. The larger of a pair shows itself once for each class of sizes that the
     smaller may be of, with what that class asks for.
     """
-    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    order = F.array_sort(F.collect_list(F.struct("df", "shingle")))
-    sets = shingles.join(often, "shingle").groupBy("id", "n", "component").agg(order.alias("order"))
-    sets = sets.filter(F.size("order") * 100 >= F.col("n") * percent)  # else it has too many shingles of its own
     need = lambda n, m: F.ceil((n + m) * percent / (100 + percent)).cast("int")  # noqa: E731  common shingles of a linked pair
 
     def shown(rows, least):
         # The first size - least + 1 shingles have at least `least` from them on.
         head = F.slice("order", F.lit(1), F.greatest(F.size("order") - least + 1, F.lit(0)))
-        one = F.posexplode(F.transform(head, lambda x: x["shingle"])).alias("at", "key")
-        return rows.withColumn("total", F.size("order")).select("id", "n", "component", "total", *(["class"] if "class" in rows.columns else []), one).withColumn("left", F.col("total") - F.col("at")).drop("total", "at")
+        rows = rows.select("id", "n", "component", "class", F.size("order").alias("total"), F.posexplode(head).alias("at", "key"))
+        return rows.withColumn("left", F.col("total") - F.col("at")).drop("total", "at")
 
     n = F.col("n")
     small = shown(sets.withColumn("class", _size_class(n)), need(n, n))
@@ -189,11 +192,13 @@ def further_pairs(docs: DataFrame, open_: DataFrame, percent: int = PERCENT) ->
     ids = open_.select(F.col("id").alias("doc_id"))
     sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingles, "id long, n int, shingles array<long>")
     rows = written(sets.join(open_, "id").select("id", "n", "component", F.explode("shingles").alias("shingle")))
-    small, large = (written(x) for x in _prefixes(rows, percent))
+    small, large = _prefixes(written(_ordered(rows, percent)), percent)
     # Most members of a hot key are of one component, the core: only the others meet the whole key.
     part = small.unionByName(large).groupBy("key", "class", "component").agg(F.count(F.lit(1)).alias("size"))
     core = part.groupBy("key", "class").agg(F.max_by("component", F.struct("size", "component")).alias("core"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    small, large = (x.join(core, ["key", "class"]) for x in (small, large))
+    core = written(core)
+    # Written, so that each join below stands alone and Spark can split its hot keys.
+    small, large = (written(x.join(core, ["key", "class"])) for x in (small, large))
     outer, inner = F.col("component") != F.col("core"), F.col("component") == F.col("core")
     return _met(small.filter(outer), large, percent).union(_met(small.filter(inner), large.filter(outer), percent)).distinct()
 
@@ -229,6 +234,8 @@ def _decided(docs: DataFrame, percent: int) -> DataFrame:
     sets = signed.filter("doc_id IS NOT NULL AND n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     sets = written(sets)
     shared = written(shared_buckets(sets))
+    # From here on only texts that share a bucket count. The ids grow with the data and are never broadcast.
+    docs = written(docs.join(shared.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     every = written(candidates(shared, percent))
     # Each document's most shared neighbour first; of the rest only what could still join two components.
     best = every.groupBy("v").agg(F.max_by("u", F.struct("hits", -F.col("u"))).alias("u")).select("u", "v").union(every.groupBy("u").agg(F.max_by("v", F.struct("hits", -F.col("v"))).alias("v")).select("u", "v")).distinct()
