@@ -1,19 +1,24 @@
 """Fuzzy repeated passages by collinear chaining of shared k-mer seeds.
 
-Seeds are all K-word shingles. Equal seeds are joined with their first occurrence
-only (star), first inside a task, then over all tasks, so matches grow with the
-seeds and of a seed that is everywhere a task sends on one document's places.
+Seeds are all K-word shingles. Each place of a seed is joined with the seed's first
+place in the whole table (star), so matches grow with the seeds, never with the
+square of a seed's places, and the result doesn't depend on how the table is split. Of a seed that is
+frequent in one flush of a task only the first document's places are sent to the
+seed's bucket; the others wait as one row and meet the first place in a join of few rows, whose hot
+keys Spark splits.
+
 The matches of a document with an earlier one are merged along diagonals
 into segments; a Fenwick tree over source places finds each segment's best
 predecessor under a linear gap cost. Chains, lone seeds too, their parts between
 gaps of more than SPLIT words and their exact runs of LEAST words are extended by
 an alignment over MARGIN words at both ends, across changed words, and compared
-(longest common subsequence, bit-parallel, on 16-bit word fingerprints); those
+(longest common subsequence, bit-parallel, on 32-bit word fingerprints); those
 of LEAST words and IDENTITY or more are passages; they begin and end with equal
-words. Where all seeds of a stretch are shared, but not with one place of one earlier
-document, every LEAST words of it are joined with their first occurrence in the
-same way: an exact run is found whatever documents its seeds are first in. Texts without a common
-K-word shingle have no common passage here.
+words. Short chains are first held against a bound that every passage meets: their
+surroundings must have ENOUGH word pairs in common. Where all seeds of a stretch are shared,
+but not with one place of one earlier document, every LEAST words of it are joined with their
+first place in the same way: an exact run is found whatever documents its seeds are first in.
+Texts without a common K-word shingle have no common passage here.
 
 Places are word numbers. Only repeats between different documents count; the
 document with the smaller doc_id keeps its text. Null and short texts have no
@@ -24,22 +29,28 @@ each at the same words. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
-from .common import cut, plain
+from .common import plain, release, written
 
 K, LEAST, IDENTITY, GAP, SPLIT = 5, 40, 0.8, 0.1, 12
-#: Seeds that a task holds to merge equal ones; words on both ends of a chain that it may be extended over.
-HELD, MARGIN = 1_000_000, 64
-#: Seeds travel in blobs, one for each flush and value of the hash's first BITS bits; of the rest the last 48 are kept.
-BITS, BLOCK, PASS = 14, 4096, 8 << 20
+#: Seeds that a task holds; places of a seed in a flush that make it hot; words on both ends of a chain that it may be extended over.
+HELD, HOT, MARGIN = 1_000_000, 64, 64
+#: Bytes of a bucket of seeds that tasks work on at a time; the fewest bits of a bucket's number. Of a hash the bucket and BYTES more bytes count.
+PASS, BITS, BYTES = 8 << 20, 9, 5
+#: Adjacent equal words of any passage: IDENTITY of its words are equal, and each of the others, on either side, parts two of them at most.
+ENOUGH = int(LEAST * (IDENTITY - 2 * (1 - IDENTITY)) - 1)
 
 _KEY, _CUTS = "_driftline_key", "_driftline_cuts"
-_DEALT, _MATCH, _CHAIN = "bucket int, seeds boolean, data binary", "doc long, pos int, src long, spos int", "doc long, y0 int, y1 int, src long, x0 int, x1 int"
+_ROWS, _CHAIN = "kind int, key long, data binary", "doc long, y0 int, y1 int, src long, x0 int, x1 int"
+#: Kinds of rows: seeds of a bucket, places that wait for the first one of a hot seed, that first one, matches of a bucket of documents.
+SEEDS, WAITING, FIRST, MATCHES = range(4)
 _SHARED = np.uint32(1 << 31)
 
 
@@ -58,48 +69,76 @@ def _within(hashes, row, k):
     return gram[ok], of[ok], ok - row[of[ok]]
 
 
-def _met(h, doc, pos, shared):
-    """(h, doc, pos, lead, other, shared) sorted: the first place of the row's hash, whether that is another document's, whether several documents have the hash."""
-    order = np.lexsort((pos, doc, h))
-    h, doc, pos, shared = h[order], doc[order], pos[order], shared[order]
-    first = np.r_[True, h[1:] != h[:-1]]
-    group, start = np.cumsum(first) - 1, np.flatnonzero(first)
-    lead = start[group]
-    other = doc != doc[lead]
-    return h, doc, pos, lead, other, np.logical_or.reduceat(other | shared, start)[group]
+def _planes(columns) -> bytes:
+    """The columns' bytes, place by place of significance, which compresses well."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes() for c in columns)
+
+
+def _columns(data: bytes, kinds) -> list[np.ndarray]:
+    kinds, out, at = [np.dtype(k) for k in kinds], [], 0
+    n = len(data) // sum(k.itemsize for k in kinds)
+    for k in kinds:
+        flat = np.frombuffer(data, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n)
+        out.append(np.ascontiguousarray(flat.T).view(k).ravel())
+        at += n * k.itemsize
+    return out
+
+
+_PLACE = ("<i8", "<u4")
+
 
+def _steps(doc):
+    """Documents as steps from one to the next, which are small within a blob."""
+    return np.diff(doc, prepend=np.int64(0))
 
-def _planes(*columns) -> np.ndarray:
-    """The columns' bytes side by side; a blob has them column by column, which compresses well."""
-    return np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize) for c in columns], axis=1)
 
+def _rows(kind, keys, data):
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(data), pa.int32()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["kind", "key", "data"])
 
-def _blobs(buckets, seeds, data):
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([seeds] * len(data), pa.bool_()), pa.array(data, pa.binary())], ["bucket", "seeds", "data"])
 
+def _cut_at(values) -> np.ndarray:
+    return np.r_[0, np.flatnonzero(np.diff(values)) + 1, len(values)] if len(values) else np.zeros(1, np.int64)
 
-def _leads(parts):
-    """From (h, doc, pos) parts: places of each hash in the first document of the task that has it, and those in others as matches with the first."""
+
+def _seed_rows(parts, bits: int):
+    """From (h, doc, pos) parts: SEEDS blobs by bucket, and WAITING rows of what is hot in a flush, by hash."""
     held, n = [], 0
+    low = np.uint64(64 - bits - 8 * BYTES)
 
     def flush():
         h, doc, pos = (np.concatenate(x) for x in zip(*held))
         if not len(h):
             return
-        h, doc, pos, lead, other, shared = _met(h, doc, pos, np.zeros(len(h), bool))
-        # All places of the first document go on: the whole table may have an earlier one.
-        own = np.flatnonzero(~other)
-        bucket = (h[own] >> np.uint64(64 - BITS)).astype(np.int64)
-        flat = _planes(h[own], doc[own], pos[own].astype(np.uint32) | np.where(shared[own], _SHARED, np.uint32(0)))
-        flat = np.delete(flat, (6, 7), axis=1)
-        edge = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(own)]
-        yield _blobs(bucket[edge[:-1]], True, [flat[a:b].T.tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())])
-        other = np.flatnonzero(other)
-        flat = _planes(doc[other], pos[other].astype(np.int32), doc[lead[other]], pos[lead[other]].astype(np.int32))
-        # Matches only pass through the next exchange; they are dealt anyhow.
-        cuts = range(0, len(other), BLOCK)
-        deal = textops.mix(doc[other[:: BLOCK]].astype(np.uint64) + h[other[:: BLOCK]]) >> np.uint64(64 - BITS)
-        yield _blobs(deal.astype(np.int64), False, [flat[a : a + BLOCK].T.tobytes() for a in cuts])
+        h = h >> low
+        pos = pos.astype(np.uint32)
+        ranked = np.sort(h)
+        edge = _cut_at(ranked)
+        hot = ranked[edge[:-1][np.diff(edge) > HOT]]
+        if len(hot):
+            which = np.searchsorted(hot, h)
+            some = np.flatnonzero(hot[np.minimum(which, len(hot) - 1)] == h)
+            some = some[np.lexsort((pos[some], doc[some], h[some]))]
+            edge, wait, keys, data = _cut_at(h[some]), [], [], []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                own = some[a:b]
+                later = own[doc[own] != doc[own[0]]]
+                if len(later):
+                    pos[own[0]] |= _SHARED
+                    wait.append(later)
+                    keys.append(int(h[own[0]]))
+                    data.append(_planes((_steps(doc[later]), pos[later])))
+            if wait:
+                yield _rows(WAITING, keys, data)
+                stay = np.ones(len(h), bool)
+                stay[np.concatenate(wait)] = False
+                h, doc, pos = h[stay], doc[stay], pos[stay]
+        bucket = (h >> np.uint64(8 * BYTES)).astype(np.uint32)
+        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+        bucket, doc, pos = bucket[order], doc[order], pos[order]
+        tail = h[order].view(np.uint8).reshape(-1, 8)[:, :BYTES]
+        edge = _cut_at(bucket)
+        data = [np.ascontiguousarray(tail[a:b].T).tobytes() + _planes((_steps(doc[a:b]), pos[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        yield _rows(SEEDS, bucket[edge[:-1]].astype(np.int64), data)
 
     for part in parts:
         held.append(part)
@@ -111,54 +150,125 @@ def _leads(parts):
         yield from flush()
 
 
-def _seeds(batches):
-    def parts():
-        for batch in textops.slices(batches):
-            h, row, pos = shingles(batch.column("text"))
-            yield h, batch.column("doc_id").to_numpy()[row], pos
+def _seeds(bits: int):
+    def run(batches):
+        def parts():
+            for batch in textops.slices(batches):
+                h, row, pos = shingles(batch.column("text"))
+                yield h, batch.column("doc_id").to_numpy()[row], pos
 
-    yield from _leads(parts())
+        yield from _seed_rows(parts(), bits)
 
+    return run
 
-def _matches(doc, pos, src, spos):
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32)), pa.array(src, pa.int64()), pa.array(spos.astype(np.int32))], ["doc", "pos", "src", "spos"])
 
+def _match_rows(doc, y, src, x, bits: int):
+    """MATCHES blobs by bucket of the documents."""
+    bucket = (textops.mix(doc.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((y, doc, bucket))
+    bucket, doc, y, src, x = (c[order] for c in (bucket, doc, y, src, x))
+    edge = _cut_at(bucket)
+    data = [_planes((_steps(doc[a:b]), y[a:b], _steps(src[a:b]), x[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+    return _rows(MATCHES, bucket[edge[:-1]], data)
 
-def _column(flat, a, b, kind):
-    return np.ascontiguousarray(flat[:, a:b]).view(kind).ravel()
 
+def _stars(bits: int):
+    """Matches of the seeds of each bucket with the first place of their hash, and of a shared hash's first document with itself; FIRST rows of hot ones; WAITING rows pass."""
 
-def _stars(batches):
-    """Matches of the seeds of each bucket with the first of their hash, and of a shared hash's first document with itself; earlier matches pass."""
-    held, size, last = [], 0, None
+    def run(batches):
+        held, size, last = [], 0, None
+        width = 12 + BYTES
+
+        def flush():
+            h, doc, pos = [], [], []
+            for bucket, data in held:
+                n = len(data) // width
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :BYTES] = np.frombuffer(data, np.uint8, BYTES * n).reshape(BYTES, n).T
+                h.append(wide.view(np.uint64).ravel() | np.uint64(bucket) << np.uint64(8 * BYTES))
+                steps, place = _columns(data[BYTES * n :], _PLACE)
+                doc.append(np.cumsum(steps))
+                pos.append(place)
+            h, doc, at = (np.concatenate(c) for c in (h, doc, pos))
+            pos, hot = at & ~_SHARED, at >= _SHARED
+            order = np.lexsort((pos, doc, h))
+            h, doc, pos, hot = h[order], doc[order], pos[order], hot[order]
+            edge = _cut_at(h)
+            start, group = edge[:-1], np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            lead = start[group]
+            other = doc != doc[lead]
+            heat = np.logical_or.reduceat(hot, start)
+            if heat.any():
+                some = start[heat]
+                yield _rows(FIRST, h[some].astype(np.int64), [_planes((doc[k : k + 1], pos[k : k + 1])) for k in some.tolist()])
+            shared = np.flatnonzero((np.logical_or.reduceat(other, start) | heat)[group])
+            lead = np.where(other, lead, np.arange(len(lead)))[shared]
+            if len(shared):
+                yield _match_rows(doc[shared], pos[shared], doc[lead], pos[lead], bits)
+
+        for batch in batches:
+            for kind, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "data"))):
+                if kind != SEEDS:
+                    yield _rows(kind, [bucket], [data])
+                    continue
+                if size >= PASS and bucket != last:
+                    yield from flush()
+                    held, size = [], 0
+                held.append((bucket, data))
+                size, last = size + len(data), bucket
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _waited(bits: int):
+    """Matches of waiting places with the first one of their hash; the first document's own places match themselves."""
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for data, first in zip(batch.column("data").to_pylist(), batch.column("first").to_pylist()):
+                steps, pos = _columns(data, _PLACE)
+                (src,), (spos,) = _columns(first, _PLACE)
+                doc = np.cumsum(steps)
+                own = doc == src
+                parts.append((doc, pos, np.full(len(doc), src), np.where(own, pos, spos).astype(np.uint32)))
+            if parts:
+                yield _match_rows(*(np.concatenate(c) for c in zip(*parts)), bits)
+
+    return run
+
+
+def _met_over_all(rows: DataFrame, bits: int) -> DataFrame:
+    """MATCHES rows (key, data) of SEEDS and WAITING rows, sorted by key."""
+    met = written(rows.repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(_stars(bits), _ROWS))
+    first = met.filter(F.col("kind") == FIRST).select("key", F.col("data").alias("first"))
+    late = met.filter(F.col("kind") == WAITING).join(first, "key").select("data", "first").mapInArrow(_waited(bits), _ROWS)
+    every = met.filter(F.col("kind") == MATCHES).unionByName(late).select("key", "data")
+    return every.repartition("key").sortWithinPartitions("key")
+
+
+def _matches(batches):
+    """(doc, src, y, x), sorted, of the whole documents of each bucket of matches."""
+    held, last = [], None
 
     def flush():
-        flat = np.concatenate([np.frombuffer(d, np.uint8).reshape(18, -1).T for _, d in held])
-        h = np.zeros((len(flat), 8), np.uint8)
-        h[:, :6] = flat[:, :6]
-        h = h.view(np.uint64).ravel() | np.repeat(np.array([b for b, _ in held], np.uint64), [len(d) // 18 for _, d in held]) << np.uint64(48)
-        at = _column(flat, 14, 18, np.uint32)
-        _, doc, pos, lead, other, shared = _met(h, _column(flat, 6, 14, np.int64), at & ~_SHARED, at >= _SHARED)
-        lead = np.where(other, lead, np.arange(len(lead)))[shared]
-        yield _matches(doc[shared], pos[shared], doc[lead], pos[lead])
+        parts = [_columns(d, ("<i8", "<u4", "<i8", "<u4")) for d in held]
+        doc, src = (np.concatenate([np.cumsum(p[k]) for p in parts]) for k in (0, 2))
+        y, x = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in (1, 3))
+        order = np.lexsort((x, y, src, doc))
+        return doc[order], src[order], y[order], x[order]
 
     for batch in batches:
-        for bucket, seeds, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "seeds", "data"))):
-            if not seeds:
-                flat = np.frombuffer(data, np.uint8).reshape(24, -1).T
-                yield _matches(_column(flat, 0, 8, np.int64), _column(flat, 8, 12, np.int32), _column(flat, 12, 20, np.int64), _column(flat, 20, 24, np.int32))
-                continue
-            if size >= PASS and bucket != last:
-                yield from flush()
-                held, size = [], 0
-            held.append((bucket, data))
-            size, last = size + len(data), bucket
+        for key, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist()):
+            if key != last and held:
+                yield flush()
+                held = []
+            held.append(data)
+            last = key
     if held:
-        yield from flush()
-
-
-def _met_over_all(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, _MATCH)
+        yield flush()
 
 
 class _Fenwick:
@@ -231,22 +341,8 @@ def chains(y: np.ndarray, x: np.ndarray) -> list[tuple[int, int, int, int]]:
 
 
 def _chained(batches):
-    """Chains of sorted matches (doc, src, pos, spos); a document may span batches."""
-    rest = None
-    for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in ("doc", "src", "pos", "spos")]
-        if rest is not None:
-            cols = [np.concatenate(p) for p in zip(rest, cols)]
-        if not len(cols[0]):
-            continue
-        ends = np.flatnonzero(np.diff(cols[0]) != 0) + 1
-        if not len(ends):
-            rest = cols
-            continue
-        rest = [c[ends[-1] :] for c in cols]
-        yield _pairs([c[: ends[-1]] for c in cols])
-    if rest is not None and len(rest[0]):
-        yield _pairs(rest)
+    for found in _matches(batches):
+        yield _pairs(found)
 
 
 def _chain_rows(rows):
@@ -257,9 +353,11 @@ def _chain_rows(rows):
 def _pairs(cols):
     doc, src, y, x = cols
     edge = np.r_[0, np.flatnonzero((np.diff(doc) != 0) | (np.diff(src) != 0)) + 1, len(doc)]
-    rows = []
+    lone = edge[:-1][np.diff(edge) == 1]
+    lone = lone[doc[lone] != src[lone]]
+    rows = [*zip(doc[lone].tolist(), y[lone].tolist(), (y[lone] + K).tolist(), src[lone].tolist(), x[lone].tolist(), (x[lone] + K).tolist())]
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        if doc[a] != src[a]:
+        if b > a + 1 and doc[a] != src[a]:
             rows += [(int(doc[a]), y0, y1, int(src[a]), x0, x1) for y0, y1, x0, x1 in chains(y[a:b], x[a:b])]
     return _chain_rows(rows + [(d, y0, y1, None, None, None) for d, y0, y1 in unsettled(doc, src, y, x)])
 
@@ -287,26 +385,29 @@ def unsettled(doc, src, y, x) -> list[tuple[int, int, int]]:
     return [*zip(doc[lo].tolist(), y[lo].tolist(), (y[hi] + LEAST).tolist())]
 
 
-def _windows(batches):
+def _windows(bits: int):
     """Every LEAST words of the stretches (doc, y0, marks) as seeds, like the shingles."""
 
-    def parts():
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = [np.frombuffer(m, "<u2") for m in batch.column("one").to_pylist()]
-            row = np.r_[0, np.cumsum([len(m) for m in marks])]
-            h, of, at = _within(textops.mix(np.concatenate(marks).astype(np.uint64) + np.uint64(1)), row, LEAST)
-            yield h, batch.column("doc").to_numpy()[of], batch.column("y0").to_numpy()[of].astype(np.int64) + at
+    def run(batches):
+        def parts():
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                marks = [np.frombuffer(m, "<u4") for m in batch.column("one").to_pylist()]
+                row = np.r_[0, np.cumsum([len(m) for m in marks])]
+                h, of, at = _within(textops.mix(np.concatenate(marks).astype(np.uint64) + np.uint64(1)), row, LEAST)
+                yield h, batch.column("doc").to_numpy()[of], batch.column("y0").to_numpy()[of].astype(np.int64) + at
 
-    yield from _leads(parts())
+        yield from _seed_rows(parts(), bits)
+
+    return run
 
 
 def _runs(batches):
-    """Matches of LEAST words, sorted by doc, src, diagonal and place, as chains of exact runs."""
-    for batch in batches:
-        doc, pos, src, spos = (batch.column(c).to_numpy() for c in ("doc", "pos", "src", "spos"))
-        own = doc != src
+    """Matches of LEAST words as chains of exact runs."""
+    for doc, src, pos, spos in _matches(batches):
+        own = np.flatnonzero(doc != src)
+        own = own[np.lexsort((pos[own], pos[own] - spos[own], src[own], doc[own]))]
         doc, pos, src, spos = doc[own], pos[own], src[own], spos[own]
         if len(doc):
             new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(src) != 0) | (np.diff(pos - spos) != 0) | (np.diff(pos) > 1)) + 1
@@ -314,13 +415,37 @@ def _runs(batches):
             yield _chain_rows([*zip(doc[lo].tolist(), pos[lo].tolist(), (pos[hi] + LEAST).tolist(), src[lo].tolist(), spos[lo].tolist(), (spos[hi] + LEAST).tolist())])
 
 
-def _prints(batches):
-    """16-bit fingerprints of every text's words."""
-    for batch in textops.slices(batches):
-        raw, at = textops.utf8(batch.column("text"))
-        start, end, row = textops.words(raw, at)
-        marks = (textops.word_hashes(raw, start, end) >> np.uint64(48)).astype("<u2")
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([marks[a:b].tobytes() for a, b in zip(row[:-1], row[1:])], pa.binary())], ["id", "marks"])
+def _plausible(batches):
+    """Those chains whose surroundings, as 8-bit word fingerprints one and two, have ENOUGH word pairs in common."""
+    names = ["doc", "y0", "y1", "src", "x0", "x1"]
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2048):
+            some = batch.slice(a, 2048)
+            pairs = []
+            for c in ("one", "two"):
+                raw, at = textops.utf8(some.column(c))
+                wide = raw.astype(np.uint32)
+                pair = (wide[:-1] * np.uint32(0x9E37) + wide[1:] * np.uint32(0x85EB)) >> np.uint32(4) & np.uint32(4095)
+                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                ok = np.flatnonzero(row[1:] == row[:-1])
+                pairs.append((row[ok], pair[ok]))
+            known = np.zeros((some.num_rows, 4096), bool)
+            known[pairs[0]] = True
+            hits = np.bincount(pairs[1][0], weights=known[pairs[1]], minlength=some.num_rows)
+            yield some.filter(pa.array(hits >= ENOUGH)).select(names)
+
+
+def _prints(bits: int):
+    """Fingerprints of 8 or 32 bits of every text's words."""
+
+    def run(batches):
+        for batch in textops.slices(batches):
+            raw, at = textops.utf8(batch.column("text"))
+            start, end, row = textops.words(raw, at)
+            marks = (textops.word_hashes(raw, start, end) >> np.uint64(64 - bits)).astype(f"<u{bits // 8}")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([marks[a:b].tobytes() for a, b in zip(row[:-1], row[1:])], pa.binary())], ["id", "marks"])
+
+    return run
 
 
 def common(a: list[int], b: list[int]) -> int:
@@ -339,7 +464,7 @@ def common(a: list[int], b: list[int]) -> int:
 def extended(pairs: list[tuple[np.ndarray, np.ndarray]], cost: int) -> tuple[np.ndarray, np.ndarray]:
     """Words of each side that the best alignment from the start takes: an equal word gains 1, a changed, missing or added one loses the cost."""
     n, m = len(pairs), MARGIN
-    one, two = np.full((n, m), 1 << 16, np.int32), np.full((n, m), 1 << 17, np.int32)
+    one, two = np.full((n, m), -1, np.int64), np.full((n, m), -2, np.int64)
     for k, (a, b) in enumerate(pairs):
         one[k, : len(a)], two[k, : len(b)] = a, b
     step = np.arange(m + 1, dtype=np.int16) * np.int16(cost)
@@ -386,7 +511,7 @@ def _aligned(batches):
     for batch in batches:
         rows, given = [], []
         for r in batch.to_pylist():
-            one, two = np.frombuffer(r["one"], "<u2"), np.frombuffer(r["two"], "<u2")
+            one, two = np.frombuffer(r["one"], "<u4"), np.frombuffer(r["two"], "<u4")
             left = min(MARGIN, r["y0"]), min(MARGIN, r["x0"])
             right = len(one) - left[0] - (r["y1"] - r["y0"]), len(two) - left[1] - (r["x1"] - r["x0"])
             if min(right) >= 0:  # else a version of the document that has no such place
@@ -399,26 +524,46 @@ def _aligned(batches):
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, src_doc_id, src_start_word, src_end_word, identity) of each repeated passage."""
-    docs = plain(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
-    matches = _met_over_all(docs.mapInArrow(_seeds, _DEALT))
-    found = cut(matches.repartition("doc").sortWithinPartitions("doc", "src", "pos", "spos").mapInArrow(_chained, _CHAIN))
-    marks = docs.mapInArrow(_prints, "id long, marks binary")
+def _bucket_bits(docs: DataFrame) -> int:
+    """Bits of a bucket's number, so that a bucket of seeds takes about half of PASS."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(min(24, max(BITS, math.ceil(math.log2(max(1, size * 3 / (PASS / 2)))))))
+
+
+def _both_sides(found: DataFrame, marks: DataFrame, width: int) -> DataFrame:
+    """found with the fingerprints (width bytes each) of both sides, MARGIN words more at each end."""
 
     def part(lo: str, hi: str):
         first = F.greatest(F.col(lo) - MARGIN, F.lit(0))
-        return F.col("marks").substr(2 * first + 1, 2 * (F.col(hi) + MARGIN - first))
+        return F.col("marks").substr(width * first + 1, width * (F.col(hi) + MARGIN - first))
+
+    one = found.join(marks, found["doc"] == marks["id"]).select("doc", "y0", "y1", "src", "x0", "x1", part("y0", "y1").alias("one"))
+    return one.join(marks, F.col("src") == marks["id"]).select("doc", "y0", "y1", "src", "x0", "x1", "one", part("x0", "x1").alias("two"))
 
+
+def _found(docs: DataFrame) -> DataFrame:
+    """Chains, and stretches without a source (src null) that are still to be settled."""
+    bits = _bucket_bits(docs)
+    return written(_met_over_all(docs.mapInArrow(_seeds(bits), _ROWS), bits).mapInArrow(_chained, _CHAIN))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start_word, end_word, src_doc_id, src_start_word, src_end_word, identity) of each repeated passage."""
+    docs = plain(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
+    found = _found(docs)
+    release(docs.sparkSession, [])  # what the seeds took
+    chains_ = found.filter("src IS NOT NULL")
+    short = F.col("y1") - F.col("y0") < LEAST
+    likely = written(_both_sides(chains_.filter(short), docs.mapInArrow(_prints(8), "id long, marks binary"), 1).mapInArrow(_plausible, _CHAIN))
+    release(docs.sparkSession, [])
+    marks = docs.mapInArrow(_prints(32), "id long, marks binary")
     # Where seeds have different firsts, the first document that has LEAST words as a whole.
-    words = F.col("marks").substr(2 * F.col("y0") + 1, 2 * (F.col("y1") - F.col("y0")))
+    words = F.col("marks").substr(4 * F.col("y0") + 1, 4 * (F.col("y1") - F.col("y0")))
     open_ = found.filter("src IS NULL").select("doc", "y0", "y1")
-    exact = _met_over_all(open_.join(marks, open_["doc"] == marks["id"]).select("doc", "y0", words.alias("one")).mapInArrow(_windows, _DEALT))
-    exact = exact.repartition("doc").sortWithinPartitions("doc", "src", F.col("pos") - F.col("spos"), "pos").mapInArrow(_runs, _CHAIN)
-    found = found.filter("src IS NOT NULL").union(exact)
-    one = found.join(marks, found["doc"] == marks["id"]).select("doc", "y0", "y1", "src", "x0", "x1", part("y0", "y1").alias("one"))
-    both = one.join(marks, F.col("src") == marks["id"]).select("doc", "y0", "y1", "src", "x0", "x1", "one", part("x0", "x1").alias("two"))
-    return both.mapInArrow(_aligned, "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, identity double").distinct()
+    seeds = open_.join(marks, open_["doc"] == marks["id"]).select("doc", "y0", words.alias("one")).mapInArrow(_windows(BITS), _ROWS)
+    exact = _met_over_all(seeds, BITS).mapInArrow(_runs, _CHAIN)
+    every = chains_.filter(~short).unionByName(likely).unionByName(exact)
+    return _both_sides(every, marks, 4).mapInArrow(_aligned, "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, identity double").distinct()
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:

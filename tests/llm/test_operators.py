@@ -282,6 +282,34 @@ def test_passages_whose_seeds_are_first_elsewhere(spark):
         assert {(k, *v) for k, v in need.items()} <= got
 
 
+def test_passages_of_any_split(docs):
+    """The result doesn't depend on how the table is split."""
+    got = [{tuple(r) for r in passages.passages(docs.repartition(n)).collect()} for n in (1, 7, 31)]
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+def test_passages_that_are_everywhere(spark):
+    """A line of thousands of documents, and parts of it that are first alone."""
+    rng = random.Random(24)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    parts = [new(20) for _ in range(3)]
+    rows = [(k, " ".join(new(10) + p + new(10))) for k, p in enumerate(parts)]
+    rows += [(10 + k, " ".join(new(k % 7) + sum(parts, []) + new(5))) for k in range(1500)]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert {(10 + k, k % 7, k % 7 + 60) for k in range(1, 1500)} <= got and not any(d <= 10 for d, _, _ in got)
+
+
+def test_long_texts_for_passages(spark):
+    """Texts of over a megabyte, one the other's copy but for a word in a thousand."""
+    rng = random.Random(25)
+    one = [f"v{rng.randrange(10**6)}" for _ in range(170_000)]
+    two = [f"z{i}" if i % 1000 == 999 else w for i, w in enumerate(one)]
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "doc_id long, text string")
+    assert len(df.first().text) > 1_000_000
+    rest = dict(texts(passages.remove_passages(df)))
+    assert rest[1] == " ".join(one) and len(rest[2].split()) < 300
+
+
 def test_passages_with_many_changed_words(spark):
     """Passages of identity 0.8 and more that share few five-word shingles."""
     rng = random.Random(22)
