@@ -19,27 +19,180 @@ class Rule:
 
 
 def java_regex(pattern: str) -> str:
-    """An RE2 pattern for Java: only a line feed ends a line, $ is the very end, named groups; RE2-only syntax is refused."""
-    if re.search(r"\(\?[a-z]*U|\\C", pattern):
-        raise ValueError(f"not translatable: {pattern}")
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        in_class = c == "[" or in_class and c != "]"
-        if c == "$" and not in_class:
-            out.append(r"\z")
-        elif pattern.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
-            continue
-        else:
-            out.append(c)
-        i += 1
-    return "(?d)" + "".join(out)
+    """A Java pattern that finds a match in the same texts as the RE2 pattern; what RE2 refuses raises ValueError."""
+    return _Re2(pattern).java()
+
+
+#: Members of the named classes.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~",
+    "lower": "a-z", "print": " -~", "punct": "!-/:-@\\[-`{-~", "space": r"\t-\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+_PERL = {"d": "0-9", "s": r"\t\n\f\r ", "w": "0-9A-Za-z_"}
+_CONTROL = {"a": 7, "f": 12, "t": 9, "n": 10, "r": 13, "v": 11}
+_ANY = r"[\x{0}-\x{10FFFF}]"
+_EDGE = {"b": r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))", "B": r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"}
+
+
+def _literal(code: int) -> str:
+    return rf"\x{{{code:X}}}"
+
+
+class _Re2:
+    """One pass over an RE2 pattern. Only whether a text matches counts, so names of groups and greediness are left out."""
+
+    def __init__(self, pattern: str):
+        self.p, self.i = pattern, 0
+
+    def refuse(self, what: str):
+        raise ValueError(f"{what} at {self.i} of {self.p!r}")
+
+    def more(self, text: str) -> bool:
+        """Whether text comes next, which is then passed."""
+        if self.p.startswith(text, self.i):
+            self.i += len(text)
+            return True
+        return False
+
+    def next(self) -> str:
+        if self.i >= len(self.p):
+            self.refuse("the pattern breaks off")
+        self.i += 1
+        return self.p[self.i - 1]
+
+    def match(self, regex: str):
+        got = re.compile(regex).match(self.p, self.i)
+        if got:
+            self.i = got.end()
+        return got
+
+    def java(self) -> str:
+        # Only a line feed ends a line; flags hold to the end of their group.
+        out, flags, groups, repeatable = ["(?d)"], {"i": False, "m": False, "s": False}, [], False
+        while self.i < len(self.p):
+            c = self.next()
+            if c == "(":
+                repeatable = False
+                groups.append(dict(flags))
+                if not self.more("?"):
+                    out.append("(")
+                elif self.match(r"P?<([A-Za-z0-9_]+)>"):
+                    out.append("(")
+                else:
+                    got = self.match(r"([imsU]*)(-[imsU]+)?([:)])") or self.refuse("a group that RE2 does not have")
+                    if not got[1] and not got[2] and got[3] == ")":
+                        self.refuse("a group without flags")
+                    flags = flags | {f: True for f in got[1] if f != "U"} | {f: False for f in (got[2] or "")[1:] if f != "U"}
+                    on, off = "".join(f for f in "is" if flags[f]).replace("i", "iu"), "".join(f for f in "is" if not flags[f])
+                    out.append(f"(?{on}{'-' if off else ''}{off}{got[3]}")
+                    if got[3] == ")":
+                        groups.pop()
+                continue
+            if c == ")":
+                if not groups:
+                    self.refuse("a group ends that has not begun")
+                flags = groups.pop()
+                out.append(c)
+            elif c in "*+?" or c == "{" and (got := self.match(r"([0-9]+)(,([0-9]*))?\}")):
+                if not repeatable:
+                    self.refuse("nothing to repeat")
+                if c == "{":
+                    least, most = int(got[1]), int(got[3]) if got[3] else int(got[1])
+                    if max(least, most) > 1000 or most < least:
+                        self.refuse("a bad number of repeats")
+                    c = got[0] if c in got[0] else c + got[0]
+                out.append(c + ("?" if self.more("?") else ""))
+                repeatable = False
+                continue
+            elif c == "|":
+                out.append(c)
+                repeatable = False
+                continue
+            elif c == "[":
+                out.append(self.class_())
+            elif c == "\\":
+                out.append(self.escape())
+            elif c == "^":
+                out.append(r"(?<![^\n])" if flags["m"] else r"\A")
+            elif c == "$":
+                out.append(r"(?![^\n])" if flags["m"] else r"\z")
+            elif c == ".":
+                out.append(c)
+            else:
+                out.append(c if c.isalnum() or ord(c) > 127 else _literal(ord(c)))
+            repeatable = True
+        if groups:
+            self.refuse("a group that does not end")
+        return "".join(out)
+
+    def escape(self) -> str:
+        """What follows a backslash outside a class."""
+        if self.more("Q"):
+            end = self.p.find("\\E", self.i)
+            text = self.p[self.i : end if end >= 0 else len(self.p)]
+            self.i = end + 2 if end >= 0 else len(self.p)
+            return "(?:" + "".join(_literal(ord(c)) for c in text[:-1]) + ")" * (len(text) > 0) + (_literal(ord(text[-1])) if text else ")") if text else "(?:)"
+        c = self.p[self.i : self.i + 1]
+        if c in ("A", "z"):
+            self.i += 1
+            return "\\" + c
+        if c in ("b", "B"):
+            self.i += 1
+            return _EDGE[c]
+        item, code = self.member()
+        return item if code is None else _literal(code)
+
+    def member(self) -> tuple[str, int | None]:
+        """A class that a backslash begins, or the code of one character."""
+        c = self.next()
+        if c.lower() in _PERL:
+            return f"[{'^' if c.isupper() else ''}{_PERL[c.lower()]}]", None
+        if c in "pP":
+            got = self.match(r"\{(\^?)([A-Za-z_]+)\}|()([A-Z])") or self.refuse("a bad property")
+            name, inverse = got[2] or got[4], (c == "P") != bool(got[1])
+            if name == "Any":
+                return "[^\\x{0}-\\x{10FFFF}]" if inverse else _ANY, None
+            return f"\\{'P' if inverse else 'p'}{{{name if len(name) <= 2 else 'Is' + name}}}", None
+        if c == "x":
+            got = self.match(r"\{([0-9A-Fa-f]+)\}|([0-9A-Fa-f]{2})") or self.refuse("a bad code")
+            code = int(got[1] or got[2], 16)
+            return ("", code) if code <= 0x10FFFF else self.refuse("a code beyond the last")
+        if c in "01234567" and (c == "0" or self.p[self.i : self.i + 1] in [*"01234567"]):
+            return "", int(c + self.match(r"[0-7]{0,2}")[0], 8)
+        if c in _CONTROL:
+            return "", _CONTROL[c]
+        if c.isalnum() or ord(c) > 127:
+            self.refuse(f"an escape that RE2 does not have, {c}")
+        return "", ord(c)
+
+    def class_(self) -> str:
+        """The rest of a class behind its bracket."""
+        inverse, items, first = self.more("^"), [], True
+        while first or not self.more("]"):
+            first = False
+            got = self.match(r"\[:(\^?)([a-z]+):\]")
+            if got:
+                if got[2] not in POSIX:
+                    self.refuse("a class without a name of the list")
+                items.append(f"[{got[1]}{POSIX[got[2]]}]")
+                continue
+            item, low = self.one()
+            if low is None:
+                items.append(item)
+                continue
+            high = low
+            if self.p[self.i : self.i + 1] == "-" and self.p[self.i + 1 : self.i + 2] not in ("]", ""):
+                self.i += 1
+                _, high = self.one()
+                if high is None or high < low:
+                    self.refuse("a bad range")
+            items.append(_literal(low) + (f"-{_literal(high)}" if high > low else ""))
+        union = f"[{''.join(items)}]"
+        return f"(?:(?!{union}){_ANY})" if inverse else union
+
+    def one(self) -> tuple[str, int | None]:
+        c = self.next()
+        return self.member() if c == "\\" else ("", ord(c))
 
 
 def load_rules(source: str) -> list[Rule]:
@@ -52,15 +205,14 @@ def load_rules(source: str) -> list[Rule]:
         action, colon, pattern = line.partition(":")
         action = action.strip().lower()
         if not colon or action not in ("allow", "deny"):
-            raise ValueError(f"a rule is allow:pattern or deny:pattern, not {line!r} (inline rules are split at commas, so their patterns have none)")
+            raise ValueError(f"cannot read rule {line!r}: write allow or deny, a colon and a pattern; commas part the rules of a text, so use a file for patterns with commas")
         pattern = pattern.strip()
         if len(pattern) > MAX_PATTERN:
-            raise ValueError("pattern too long")
+            raise ValueError(f"a pattern has at most {MAX_PATTERN} characters, not {len(pattern)}")
         for bad in DANGEROUS:
             if bad in pattern:
-                raise ValueError(f"pattern contains dangerous nested quantifier: {bad}")
+                raise ValueError(f"refused for its nested quantifier {bad}: {pattern!r}")
         java_regex(pattern)
-        re.compile(pattern)
         rules.append(Rule(action == "allow", pattern))
     return rules
 
@@ -84,15 +236,15 @@ class DeliverFilter:
     def __init__(self, config: str, floor_mod: bool = False):
         numbers = [int(x) for x in config.split(",")]
         if len(numbers) % 3:
-            raise ValueError("number of items should be divisible by 3")
+            raise ValueError(f"a filter has three groups of equal size, not {len(numbers)} numbers")
         size = len(numbers) // 3
         self.groups = [numbers[i : i + size] for i in (0, size, 2 * size)]
         self.k, self.floor_mod = self.groups[1][0] - self.groups[0][0], floor_mod
         if self.groups[2][0] != self.groups[1][0] + self.k or not self.k:
-            raise ValueError("the third group starts with an unexpected number")
+            raise ValueError(f"groups begin at {[g[0] for g in self.groups]}, which is no constant distance")
         for n in range(1 if floor_mod else 0, self.groups[2][-1]):  # 0 is in no group, but floor_mod delivers it
             if self.delivers(n) != any(n in g for g in self.groups):
-                raise ValueError(f"self test failed for {n}")
+                raise ValueError(f"number {n} is not delivered as the groups say")
 
     def delivers(self, n: int) -> bool:
         m = (n - 1) % self.k if self.floor_mod else int(abs(n - 1) % abs(self.k)) * (1 if n >= 1 else -1)
@@ -106,17 +258,12 @@ def generate_filters(pipes: int, redundancies: int) -> list[list[int]]:
     rows = []
     for pipe in range(pipes):
         row = []
-        for start in _group_starts(pipes, redundancies):
+        for start in (1, 1 + pipes, 1 + 2 * pipes):  # three groups, each as long as there are pipes
             row += [start + (pipe + d) % pipes for d in range(redundancies + 1)]
         rows.append(row)
     return rows
 
 
-def _group_starts(pipes: int, redundancies: int) -> list[int]:
-    """First number of the three groups: each begins behind the number that its predecessor's last pipe starts with."""
-    return [1 + g * pipes for g in range(3)]
-
-
 def backoff_ms(attempt: int, base: int, most: int) -> int:
     """min(most, base * 2 ** (attempt - 1)), the first attempt at base."""
     base = max(0, base)

@@ -110,7 +110,8 @@ def reassemble(parsed: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     # Parts beyond the count are kept apart, parts 1 to n must all be there.
     own = F.filter("parts", lambda p: p["part_no"].between(1, F.col("n_parts")))
     complete = (F.size(own) == F.col("n_parts")) & (F.col("n_parts") > 0)
-    value = F.aggregate(own, F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["payload"]))
+    # Joined in one go: a fold would copy the message for each part.
+    value = F.unhex(F.array_join(F.transform(own, lambda p: F.hex(p["payload"])), ""))
     return got.select(*keys, "type", F.when(complete, value).alias("value"), complete.alias("complete"))
 
 

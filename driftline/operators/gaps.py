@@ -44,10 +44,20 @@ def complete_ranges(marked: DataFrame, ends: DataFrame | None = None) -> DataFra
     return out
 
 
-def islands(numbers: DataFrame, keys: list[str], n: str = "off") -> DataFrame:
-    """(keys, run_from, run_to): runs of consecutive distinct numbers."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(n))
-    return numbers.select(*keys, n).distinct().withColumn("_run", F.col(n) - rank).groupBy(*keys, "_run").agg(F.min(n).alias("run_from"), F.max(n).alias("run_to")).drop("_run")
+def islands(numbers: DataFrame, keys: list[str], n: str = "off", block: int = 1 << 20) -> DataFrame:
+    """(keys, run_from, run_to): runs of consecutive distinct numbers.
+
+    Runs are found inside blocks of numbers; only those that reach a block's edge, two a block at most, meet once more by key.
+    """
+    rows = numbers.select(*keys, F.col(n).alias("_n")).distinct().withColumn("_block", F.floor(F.col("_n") / block))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_n"))
+    runs = rows.withColumn("_run", F.col("_n") - rank).groupBy(*keys, "_block", "_run").agg(F.min("_n").alias("run_from"), F.max("_n").alias("run_to"))
+    edge = (F.col("run_from") == F.col("_block") * block) | (F.col("run_to") == (F.col("_block") + 1) * block - 1)
+    order = Window.partitionBy(*keys).orderBy("run_from")
+    new = F.when(F.lag("run_to").over(order) + 1 == F.col("run_from"), 0).otherwise(1)
+    joined = runs.filter(edge).withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy(*keys, "_run").agg(F.min("run_from").alias("run_from"), F.max("run_to").alias("run_to"))
+    return runs.filter(~edge).select(*keys, "run_from", "run_to").unionByName(joined.drop("_run"))
 
 
 def expand(gaps: DataFrame) -> DataFrame:
@@ -74,11 +84,17 @@ def full_windows(marked: DataFrame, width: int = WINDOW) -> DataFrame:
     return marked.groupBy(*WIN).agg((F.count_distinct("off") == width).alias("full"))
 
 
-def interval_tracker(numbers: DataFrame, keys: list[str], n: str = "off") -> DataFrame:
-    """Final intervals of the legacy tracker: what is missing of 0 to the greatest number, with gap_from and gap_to."""
-    before = F.lag(n).over(Window.partitionBy(*keys).orderBy(n))
-    rows = numbers.select(*keys, n).distinct().withColumn("gap_from", F.coalesce(before + 1, F.lit(0))).withColumn("gap_to", F.col(n) - 1)
-    return rows.filter("gap_from <= gap_to").select(*keys, "gap_from", "gap_to")
+def interval_tracker(numbers: DataFrame, keys: list[str], n: str = "off", block: int = 1 << 20) -> DataFrame:
+    """Final intervals of the legacy tracker: what is missing of 0 to the greatest number, with gap_from and gap_to.
+
+    The number before comes from a window over a block of numbers, for a block's least from one row a block.
+    """
+    rows = numbers.select(*keys, F.col(n).alias("_n")).distinct().withColumn("_block", F.floor(F.col("_n") / block))
+    inner = rows.withColumn("gap_from", F.lag("_n").over(Window.partitionBy(*keys, "_block").orderBy("_n")) + 1)
+    edge = rows.groupBy(*keys, "_block").agg(F.min("_n").alias("_n"), F.max("_n").alias("_last"))
+    edge = edge.withColumn("gap_from", F.coalesce(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")) + 1, F.lit(0)))
+    every = inner.select(*keys, "gap_from", "_n").unionByName(edge.select(*keys, "gap_from", "_n"))
+    return every.withColumn("gap_to", F.col("_n") - 1).filter("gap_from <= gap_to").select(*keys, "gap_from", "gap_to")
 
 
 def first_old_gaps(gaps: DataFrame, now, keys: list[str], seconds: int = 30, compat: bool = False) -> DataFrame:

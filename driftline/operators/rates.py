@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,25 +15,44 @@ def delayed(events: DataFrame, threads: dict[str, int]) -> DataFrame:
     return out.withColumn("send_ts", F.timestamp_add("SECOND", F.col("_delay"), F.col("ts"))).drop("_delay")
 
 
-def token_bucket(events: DataFrame, keys: list[str], rate: int, seconds: str = "t") -> DataFrame:
+def _numbered_reach(events: DataFrame, keys: list[str], seconds: str, block: int, weight: float, fall: float) -> DataFrame:
+    """events with _k, the number of a row in its key by seconds and n, and _reach, the greatest weight * second - fall * _k so far.
+
+    Two levels keep a hot key from being one task: counts and maxima of blocks of seconds, what comes before each block
+    (one row a block), and a window inside each block.
+    """
+    rows = events.withColumn("_block", F.floor(F.col(seconds) / block))
+    order = Window.partitionBy(*keys, "_block").orderBy(seconds, "n")
+    rows = rows.withColumn("_in", F.row_number().over(order)).withColumn("_up", F.col(seconds) * weight - F.col("_in") * fall)
+    blocks = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"), F.max("_up").alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # Rows before a block lower all its values by the same.
+    blocks = blocks.withColumn("_ahead", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_before", F.max(F.col("_top") - F.col("_ahead") * fall).over(before)).drop("_rows", "_top")
+    rows = rows.withColumn("_up", F.max("_up").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # <=>: keys may be null.
+    blocks = blocks.select(*[F.col(c).alias(f"_b_{c}") for c in (*keys, "_block")], "_ahead", "_before")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in (*keys, "_block")])
+    rows = rows.join(blocks, same).drop(*[f"_b_{c}" for c in (*keys, "_block")])
+    own = F.col("_up") - F.col("_ahead") * fall
+    return rows.withColumns({"_k": F.col("_in") + F.col("_ahead"), "_reach": F.greatest(own, F.col("_before"))}).drop("_block", "_in", "_up", "_ahead", "_before")
+
+
+def token_bucket(events: DataFrame, keys: list[str], rate: int, seconds: str = "t", block: int = 1 << 12) -> DataFrame:
     """Release second of each event under a bucket of capacity rate that refills rate tokens a second.
 
     With n the event's number and t its second, the earliest release is the greatest over all earlier events m of
     t_m + (n - m - rate + 1) / rate, and its own t: one running maximum.
     """
-    order = Window.partitionBy(*keys).orderBy(seconds, "n")
-    rows = events.withColumn("n", F.monotonically_increasing_id() if "n" not in events.columns else F.col("n"))
-    rows = rows.withColumn("_k", F.row_number().over(order))
-    reach = F.max(F.col(seconds) * rate - F.col("_k")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("release", F.greatest(F.col(seconds).cast("double"), (reach + F.col("_k") - rate + 1) / rate)).drop("_k")
+    rows = events if "n" in events.columns else events.withColumn("n", F.monotonically_increasing_id())
+    rows = _numbered_reach(rows, keys, seconds, block, rate, 1)
+    return rows.withColumn("release", F.greatest(F.col(seconds).cast("double"), (F.col("_reach") + F.col("_k") - rate + 1) / rate)).drop("_k", "_reach")
 
 
-def spaced(events: DataFrame, keys: list[str], gap: float, seconds: str = "t") -> DataFrame:
+def spaced(events: DataFrame, keys: list[str], gap: float, seconds: str = "t", block: int = 1 << 12) -> DataFrame:
     """Release second when at least gap seconds lie between two: t_n' = max(t_n, t_(n-1)' + gap), as a running maximum."""
-    order = Window.partitionBy(*keys).orderBy(seconds, "n")
-    rows = events.withColumn("_k", F.row_number().over(order))
-    reach = F.max(F.col(seconds) - F.col("_k") * gap).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("release", reach + F.col("_k") * gap).drop("_k")
+    rows = _numbered_reach(events, keys, seconds, block, 1, gap)
+    return rows.withColumn("release", F.col("_reach") + F.col("_k") * gap).drop("_k", "_reach")
 
 
 def accepted_every(events: DataFrame, key: str, gap: float, seconds: str = "t") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compress, wire
@@ -77,23 +77,20 @@ def decode(frames: DataFrame, key: bytes | None = None, max_parts: int = 4096, *
     return Received(out.records, out.errors.unionByName(bad), out.control)
 
 
-def keys_in_force(frames: DataFrame, ring: DataFrame) -> DataFrame:
+def keys_in_force(frames: DataFrame, ring: DataFrame, block: int = 1 << 20) -> DataFrame:
     """frames (arrival, ...) with the key of the latest epoch (epoch, key) at or before their arrival, null before the first.
 
-    Rows and epochs are united and the last key carried on within blocks of arrivals; what a block begins with comes
-    from the blocks' own last keys, so no window spans the whole log.
+    Rows and epochs are united and the last key carried on within blocks of arrivals. What a block begins with is carried
+    over the blocks, one row for each, so no window spans the log; frames without an arrival have no key.
     """
-    from pyspark.sql import Window
-
-    block = 1 << 20
     rows = frames.withColumns({"_at": F.col("arrival"), "_new": F.lit(None).cast("binary"), "_k": F.lit(1)})
-    marks = ring.select(F.col("epoch").alias("_at"), F.col("key").alias("_new"), F.lit(0).alias("_k"))
+    marks = ring.filter("epoch IS NOT NULL").select(F.col("epoch").alias("_at"), F.col("key").alias("_new"), F.lit(0).alias("_k"))
     both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_at") / block))
     inside = F.last("_new", True).over(Window.partitionBy("_block").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0))
-    ends = marks.groupBy(F.floor(F.col("_at") / block).alias("_from")).agg(F.max_by("_new", "_at").alias("_end"))
-    spans = ends.withColumn("_to", F.lead("_from").over(Window.orderBy("_from")))
+    # max_by passes over rows without a key.
+    ends = both.filter("_block IS NOT NULL").groupBy("_block").agg(F.max_by("_new", F.when(F.col("_new").isNotNull(), F.col("_at"))).alias("_end"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    start = ends.select("_block", F.last("_end", True).over(before).alias("_start"))
     held = both.withColumn("_in", inside).filter("_k = 1")
-    blocks = held.select("_block").distinct()
-    start = blocks.join(spans, (blocks["_block"] > spans["_from"]) & (spans["_to"].isNull() | (blocks["_block"] <= spans["_to"]))).select("_block", "_end")
-    out = held.join(start, "_block", "left").withColumn("key", F.coalesce("_in", "_end"))
+    out = held.join(start, "_block", "left").withColumn("key", F.when(F.col("_at").isNotNull(), F.coalesce("_in", "_start")))
     return out.select(*frames.columns, "key")

@@ -6,6 +6,8 @@ empty payloads and arrivals below the first window.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +122,27 @@ def dedup_fold(spark, d):
     return dedup.fold(raw_log(spark, d), 100, 1_000_000).filter("kind = 'row'").select(*KEY, "off", "arrival", "status")
 
 
-@query()
+#: The detector as a recursive query: one arrival of each key a round; w has the windows in order of creation with their numbers.
+EVICTING = f"""WITH RECURSIVE {LOG}, o AS MATERIALIZED (SELECT topic, part, off, arrival, row_number() OVER (PARTITION BY topic, part ORDER BY arrival) AS n FROM raw),
+d AS (
+  SELECT topic, part, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS off, CAST(NULL AS BIGINT) AS arrival, CAST(NULL AS INTEGER) AS status, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS least,
+         CAST([] AS STRUCT(lo BIGINT, seen BIGINT[])[]) AS w, CAST(NULL AS STRUCT(lo BIGINT, seen BIGINT[])) AS gone FROM o GROUP BY topic, part
+  UNION ALL
+  SELECT topic, part, n, off, arrival, CAST(CASE WHEN under THEN -2 WHEN known THEN 1 WHEN off = top THEN 0 ELSE -1 END AS INTEGER), top, low,
+         CASE WHEN under OR known THEN w WHEN open THEN list_transform(w, lambda x: CASE WHEN x.lo = lo THEN struct_pack(lo := lo, seen := list_append(x.seen, off)) ELSE x END)
+              ELSE list_append(CASE WHEN len(w) >= 3 THEN w[2:] ELSE w END, struct_pack(lo := lo, seen := [off])) END,
+         CASE WHEN NOT under AND NOT open AND len(w) >= 3 THEN w[1] END
+  FROM (SELECT *, NOT open AND len(w) > 0 AND off < w[1].lo AS under FROM (
+    SELECT d.topic, d.part, o.n, o.off, o.arrival, d.w, greatest(coalesce(d.last, o.off), o.off) AS top, least(d.least, o.off) AS low, o.off - o.off % 50 AS lo,
+           len(list_filter(d.w, lambda x: x.lo = o.off - o.off % 50)) > 0 AS open, len(list_filter(d.w, lambda x: list_contains(x.seen, o.off))) > 0 AS known
+    FROM d JOIN o ON o.topic = d.topic AND o.part = d.part AND o.n = d.n + 1))),
+gone AS (SELECT topic, part, off, arrival, gone.lo AS lo, least, unnest(list_sort(gone.seen)) AS x FROM d WHERE gone IS NOT NULL),
+holes AS (SELECT *, greatest(coalesce(lag(x) OVER (PARTITION BY topic, part, arrival ORDER BY x) + 1, lo), least) AS gap_from, x - 1 AS gap_to FROM gone)
+SELECT topic, part, off, arrival, 'row' AS kind, status, off - off % 50 AS window_min, CAST(NULL AS BIGINT) AS gap_from, CAST(NULL AS BIGINT) AS gap_to FROM d WHERE n > 0
+UNION ALL SELECT topic, part, off, arrival, 'gap', NULL, lo, gap_from, gap_to FROM holes WHERE gap_from <= gap_to"""
+
+
+@query(EVICTING)
 def dedup_fold_evicting(spark, d):
     """The exact detector with windows of 50, 3 of them: statuses and gaps of evicted windows."""
     return dedup.fold(raw_log(spark, d), 50, 3)
@@ -283,6 +305,23 @@ def content_filter(spark, d):
     return filters.content_filter(rows, RULES, default_allow=False).select("doc_id", "filtered", F.length("value").cast("long").alias("n"))
 
 
+#: Patterns in which RE2 and Java differ, on the text of a document and a marked tail.
+DIALECT = [
+    r"\p{L}\p{Lu}", r"^\p{Lu}\p{Ll}+", r"[[:digit:]]{4}", r"[[:^alpha:]][[:upper:]]{2}", r"(?m)^[A-Z][a-z]+\.$", r"(?m)[a-z]$", r"[a-z]$", r"(?i)\bTHE\b", r"[&&x][^&&a-z ]",
+    r"(?P<some_word>\pL+)@", r"\Q1.2\E", r"x{,2}", r"[]x]", r"(?s)a.b", r"a.b", r"\s\S\s", r"\x{E9}|\xFC", r"[\w.]+@[\w-]+\.[[:alpha:]]{2,}", r"(?i:É)", r"\Aw", r"[^\s\w]\z", r"[[:punct:]]{3}", r"\bé", r"\P{L}\p{^L}[^\pL]", r"\p{Latin}\p{Greek}", r"(?i)[[:upper:]]{9}", r"[a\]-]{2}", r"\v|\f|\a",
+]
+MARKED = ["", " x{,2} && ]x[ αβγ aα", "\n", " a\nb &&. ÉTÉ \x0b", " Ends.\n\n", " -]a \\ !?;"]
+
+
+@query("WITH t AS (SELECT doc_id, text || " + "CASE doc_id % 6 " + " ".join(f"WHEN {k} THEN " + " || ".join("chr(10)" if x == "\n" else "chr(11)" if x == "\x0b" else f"'{x}'" for x in re.split("(\n|\x0b)", m) if x or not m) for k, m in enumerate(MARKED)) + " END AS text FROM documents), p AS (" + " UNION ALL ".join(f"SELECT {k} AS pattern, count(*) FILTER (regexp_matches(text, '{p}')) AS n FROM t" for k, p in enumerate(DIALECT)) + ") SELECT CAST(pattern AS INTEGER) AS pattern, n FROM p")
+def rule_dialect(spark, d):
+    """How many texts each pattern of the rule dialect is found in."""
+    tail = F.element_at(F.array(*map(F.lit, MARKED)), (F.col("doc_id") % len(MARKED) + 1).cast("int"))
+    rows = tab(spark, d, "documents").select(F.concat("text", tail).alias("text"))
+    counts = rows.agg(*[F.count(F.when(F.col("text").rlike(config.java_regex(p)), 1)).alias(f"p{k}") for k, p in enumerate(DIALECT)])
+    return counts.select(F.posexplode(F.array(*[f"p{k}" for k in range(len(DIALECT))])).alias("pattern", "n"))
+
+
 @query(f"WITH {SRC} SELECT DISTINCT topic, CASE topic WHEN 'click' THEN 'clicks' WHEN 'view' THEN 'views' ELSE topic END AS new_topic FROM src")
 def topic_translate(spark, d):
     return source(spark, d).select("topic", wire.translate(F.col("topic"), {"click": "clicks", "view": "views"}).alias("new_topic")).distinct()
