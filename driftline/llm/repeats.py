@@ -6,16 +6,18 @@ consecutive strings with one trigger make a phrase, from the first string's
 start to the last one's end. Equal strings have equal triggers at equal
 offsets, so all places of a string lie in phrases with the same trigger window.
 
-The dictionary holds distinct phrases (trigger hash, phrase hash: over 100
-bits); the parse is their occurrences. All strings of a phrase that occurred
+The dictionary holds distinct phrases (128 bits of hash: that of the trigger and that of the
+phrase); the parse is their occurrences. All strings of a phrase that occurred
 earlier are repeats; that settles the inside of copies, first in a task, then
 over all tasks, so a phrase that is everywhere sends one row a task. Phrases
 that differ but share a trigger and a context that some string could lie in are
-compared by their suffixes: the dictionary suffixes of one trigger are sorted by
-SIZE bytes, ties by place in the parse, and of equal neighbours all but the
-first repeat. Triggers with more than BLOCK such phrases are dealt to several
+compared on their bytes, by the dictionary's suffix array: prefix doubling ranks all
+suffixes of a task's phrases by their first SIZE bytes, and the parse's occurrences give the order among equal
+ones, by document and place; of equal neighbours all but the first repeat. No string reaches beyond its phrase,
+so the order of what follows in the parse, which full suffix arrays would need, decides nothing here.
+Triggers with more than BLOCK such phrases are dealt to several
 parts, whose firsts are settled by their least place. Together the
-triggers' sorted suffixes are the corpus order as far as SIZE bytes; a suffix
+triggers' suffix arrays are the corpus order as far as SIZE bytes; a suffix
 array of the whole corpus is never in one place.
 
 Bytes of a repeat are removed. Null and short texts lose nothing; rows with null
@@ -38,10 +40,11 @@ from .common import cut, plain
 
 SIZE, W = 100, 32
 SPAN = SIZE - W + 1
-#: Phrases that a task holds to merge equal ones; phrases whose suffixes are sorted together; bytes of a numpy pass; shares of a hot trigger's rows.
+#: Phrases that a task holds to merge equal ones; phrases of a trigger's part; bytes of a numpy pass; shares of a hot trigger's rows.
 HELD, BLOCK, PASS, SALTS = 600_000, 1024, 1 << 19, 32
 
-_PHRASE = "h long, u long, doc long, lo long, size int, off int"
+#: h, u: hashes of the trigger and of the phrase; ctx: 12 bits each of the text left and right of the trigger.
+_PHRASE = "h long, u long, ctx int, doc long, lo long, size int, off int"
 _LAST = np.uint64(2**64 - 1)
 _CODE = textops._CODE
 
@@ -62,7 +65,7 @@ def _least(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def phrases(text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """h, u, start, size, trigger offset of the phrases of one text of SIZE bytes at least, pass by pass.
+    """h, u, context, start, size, trigger offset of the phrases of one text of SIZE bytes at least, pass by pass.
 
     A pass begins anew at a fixed place; a phrase that it cuts in two is two shorter phrases, which changes no result.
     """
@@ -91,8 +94,8 @@ def phrases(text: np.ndarray) -> tuple[np.ndarray, ...]:
         left = np.where((trigger >= near) & (off >= near), hashed(np.maximum(trigger - near, 0), trigger), _LAST)
         end = np.minimum(trigger + W + near, len(raw))
         right = np.where(first + size - 1 + SIZE >= trigger + W + near, hashed(trigger, end), _LAST)
-        mixed = (textops.mix(u) >> np.uint64(24)) << np.uint64(24) | (left >> np.uint64(52)) << np.uint64(12) | right >> np.uint64(52)
-        parts.append((window[trigger], mixed, first + lo, size, off))
+        context = ((left >> np.uint64(52)) << np.uint64(12) | right >> np.uint64(52)).astype(np.int32)
+        parts.append((window[trigger], textops.mix(u), context, first + lo, size, off))
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
@@ -100,12 +103,12 @@ def _batch(names, kinds, cols):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
 
-_NAMES = ["h", "u", "doc", "lo", "size", "off"]
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_NAMES = ["h", "u", "ctx", "doc", "lo", "size", "off"]
+_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
 
-def _rows(h, u, doc, lo, size, off):
-    return _batch(_NAMES, _KINDS, [h.view(np.int64), u.view(np.int64), doc, lo, size.astype(np.int32), off.astype(np.int32)])
+def _rows(h, u, ctx, doc, lo, size, off):
+    return _batch(_NAMES, _KINDS, [h.view(np.int64), u.view(np.int64), ctx, doc, lo, size.astype(np.int32), off.astype(np.int32)])
 
 
 def _parsed(batches):
@@ -113,14 +116,14 @@ def _parsed(batches):
     held, n = [], 0
 
     def flush():
-        h, u, doc, lo, size, off = (np.concatenate(x) for x in zip(*held))
+        h, u, ctx, doc, lo, size, off = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((lo, doc, u, h))
-        h, u, doc, lo, size, off = (x[order] for x in (h, u, doc, lo, size, off))
+        h, u, ctx, doc, lo, size, off = (x[order] for x in (h, u, ctx, doc, lo, size, off))
         first = np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         later = (doc != doc[lead]) | (lo != lo[lead])
         keep = ~later
-        yield _rows(h[keep], u[keep], doc[keep], lo[keep], size[keep], off[keep])
+        yield _rows(h[keep], u[keep], ctx[keep], doc[keep], lo[keep], size[keep], off[keep])
         if later.any():
             d, a, s = doc[later], lo[later], size[later]
             order = np.lexsort((a, d))
@@ -129,14 +132,14 @@ def _parsed(batches):
             total = np.add.reduceat(s, new)
             d, a = d[new], a[new]
             # Repeats only pass through the next exchange.
-            yield _rows(textops.mix(d.astype(np.uint64)), textops.mix(a.astype(np.uint64)), d, a, total, np.full(len(d), -1))
+            yield _rows(textops.mix(d.astype(np.uint64)), textops.mix(a.astype(np.uint64)), np.zeros(len(d), np.int32), d, a, total, np.full(len(d), -1))
 
     for batch in textops.slices(batches):
         raw, at = textops.utf8(batch.column("text"))
         for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist()):
             if b - a >= SIZE:
                 got = phrases(raw[a:b])
-                held.append((got[0], got[1], np.full(len(got[0]), doc, np.int64), *got[2:]))
+                held.append((*got[:3], np.full(len(got[0]), doc, np.int64), *got[3:]))
                 n += len(got[0])
         if n >= HELD:
             yield from flush()
@@ -152,7 +155,7 @@ def _linked(batches):
 
     def settle(cols):
         nonlocal last
-        h, u, doc, lo, size, off = cols
+        h, u, _, doc, lo, size, off = cols
         first = np.r_[True, (h[1:] != h[:-1]) | (u[1:] != u[:-1])]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         d0, l0 = doc[lead].copy(), lo[lead].copy()
@@ -166,18 +169,18 @@ def _linked(batches):
     def out(cols, whole):
         """whole: the last trigger has ended, and none began before these rows."""
         first, later = settle(cols)
-        h, u = cols[0], cols[1].view(np.uint64)
-        yield _rows(h[later].view(np.uint64), cols[1][later].view(np.uint64), cols[2][later], cols[3][later], cols[4][later], np.full(int(later.sum()), -1))
+        h, u = cols[0], cols[1]
+        yield _rows(h[later], u[later], *[c[later] for c in cols[2:6]], np.full(int(later.sum()), -1))
         firsts = np.flatnonzero(first & ~later)
         if whole:
             maybe = np.zeros(len(firsts), bool)
             for shift in (12, 0):
-                context = (u[firsts] >> np.uint64(shift)) & np.uint64(4095)
+                context = (cols[2][firsts] >> shift) & 4095
                 order = np.lexsort((context, h[firsts]))
                 same = (h[firsts][order][1:] == h[firsts][order][:-1]) & (context[order][1:] == context[order][:-1])
                 maybe[order[1:][same]] = maybe[order[:-1][same]] = True
             firsts = firsts[maybe]
-        yield _rows(h[firsts].view(np.uint64), u[firsts], *[c[firsts] for c in cols[2:]])
+        yield _rows(h[firsts], u[firsts], *[c[firsts] for c in cols[2:]])
 
     broken = False  # whether rows of the tail's trigger have been given out already
     for batch in batches:
@@ -210,50 +213,73 @@ _SNAMES = ["kind", "doc", "lo", "hi", "g1", "g2"]
 _SKINDS = [pa.int32()] + [pa.int64()] * 5
 
 
-def sorted_suffixes(units: list[tuple[int, int, int, bytes]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
-    """(doc, place) of the repeats and (doc, place, string) of the firsts, of phrases (doc, lo, size, bytes) of one trigger."""
-    order = sorted((text[k : k + SIZE], doc, lo + k) for doc, lo, size, text in units for k in range(size))
-    repeats, firsts, before = [], [], None
-    for string, doc, place in order:
-        if before and string == before[2]:
-            if (doc, place) != before[:2]:
-                repeats.append((doc, place))
-        else:
-            before = (doc, place, string)
-            firsts.append(before)
-    return repeats, firsts
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Rank of each value, equal ones alike."""
+    order = np.argsort(x, kind="stable")
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.r_[0, x[order][1:] != x[order][:-1]])
+    return out
+
+
+def suffix_ranks(raw: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """Place in byte order of the size bytes (8 at least) from each position on, by prefix doubling; equal strings alike."""
+    if len(raw) < size:
+        return np.zeros(0, np.int64)
+    rank, width = _dense(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view(">u8").ravel().astype(np.uint64)), 8
+    while width < size:
+        step = min(width, size - width)  # the last step overlaps
+        rank = _dense(rank[:-step] * (rank.max() + 1) + rank[step:])
+        width += step
+    return rank
+
+
+def sorted_suffixes(units: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, ...]:
+    """doc, place, position in the joined bytes, unit and whether it is the first of its string, of every suffix of SIZE bytes of phrases (doc, lo, size, bytes), in the order of the suffix array."""
+    raw = np.frombuffer(b"".join(u[3] for u in units), np.uint8)
+    size = np.array([u[2] for u in units])
+    base = np.r_[0, np.cumsum([len(u[3]) for u in units])][:-1]
+    unit = np.repeat(np.arange(len(units)), size)
+    inside = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+    at = base[unit] + inside
+    doc, place = np.array([u[0] for u in units], np.int64)[unit], np.array([u[1] for u in units], np.int64)[unit] + inside
+    rank = suffix_ranks(raw)[at]
+    order = np.lexsort((place, doc, rank))
+    rank, doc, place, at, unit = (x[order] for x in (rank, doc, place, at, unit))
+    return doc, place, at, unit, np.r_[True, rank[1:] != rank[:-1]]
 
 
 def _resolved(batches):
-    """kind 0: strings that repeat, as ranges of starts; kind 1: firsts of one part of a trigger that has several."""
-
-    def done(units, parts):
-        again, firsts = sorted_suffixes(units)
-        again.sort()
-        rows, i = [], 0
-        while i < len(again):
-            j = i
-            while j + 1 < len(again) and again[j + 1] == (again[j][0], again[j][1] + 1):
-                j += 1
-            rows.append((0, *again[i], again[j][1] + 1, *again[i]))
-            i = j + 1
-        if parts > 1:
-            for doc, place, string in firsts:
-                g = hashlib.blake2b(string, digest_size=16).digest()
-                rows.append((1, doc, place, place + 1, int.from_bytes(g[:8], "little", signed=True), int.from_bytes(g[8:], "little", signed=True)))
+    """kind 0: strings that repeat, as ranges of starts; kind 1: firsts of triggers that have several parts."""
+
+    def done(units, several):
+        doc, place, at, unit, first = sorted_suffixes(units)
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        again = np.flatnonzero((doc != doc[lead]) | (place != place[lead]))
+        again = again[np.lexsort((place[again], doc[again]))]
+        d, a = doc[again], place[again]
+        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (a[1:] > a[:-1] + 1)][: len(d)])
+        last = np.r_[new[1:], len(d)] - 1 if len(d) else new
+        rows = [*zip([0] * len(new), d[new].tolist(), a[new].tolist(), (a[last] + 1).tolist(), d[new].tolist(), a[new].tolist())]
+        raw = b"".join(u[3] for u in units)
+        for k in np.flatnonzero(first & np.array(several)[unit]).tolist():
+            g = hashlib.blake2b(raw[at[k] : at[k] + SIZE], digest_size=16).digest()
+            rows.append((1, int(doc[k]), int(place[k]), int(place[k]) + 1, int.from_bytes(g[:8], "little", signed=True), int.from_bytes(g[8:], "little", signed=True)))
         return _batch(_SNAMES, _SKINDS, list(zip(*rows)) if rows else [[]] * 6)
 
-    key, units = None, []
+    key, units, several, size = None, [], [], 0
     for batch in batches:
-        for h, part, parts, doc, lo, size, text in zip(*[batch.column(c).to_pylist() for c in ("h", "part", "parts", "doc", "lo", "size", "text")]):
-            if (h, part, parts) != key:
-                if units:
-                    yield done(units, key[2])
-                key, units = (h, part, parts), []
-            if text is not None and len(text) == size + SIZE - 1:
-                units.append((doc, lo, size, text))
+        for h, part, parts, doc, lo, n, text in zip(*[batch.column(c).to_pylist() for c in ("h", "part", "parts", "doc", "lo", "size", "text")]):
+            # Equal strings have one trigger, so a table of suffixes may hold several triggers, but ends between two.
+            if (h, part) != key and size >= PASS:
+                yield done(units, several)
+                units, several, size = [], [], 0
+            key = h, part
+            if text is not None and len(text) == n + SIZE - 1:
+                units.append((doc, lo, n, text))
+                several.append(parts > 1)
+                size += len(text)
     if units:
-        yield done(units, key[2])
+        yield done(units, several)
 
 
 def repeats(docs: DataFrame) -> DataFrame:

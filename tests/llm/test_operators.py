@@ -466,6 +466,17 @@ def repetitive(spark):
     return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
 
 
+def test_suffix_ranks():
+    rng = np.random.default_rng(4)
+    for size in (8, 9, 16, 37, 100):
+        raw = rng.integers(97, 99, 700).astype(np.uint8)
+        raw[300:500] = raw[20:220]
+        strings = [raw[i : i + size].tobytes() for i in range(len(raw) - size + 1)]
+        place = {x: k for k, x in enumerate(sorted({*strings}))}
+        assert repeats.suffix_ranks(raw, size).tolist() == [place[x] for x in strings]
+    assert not len(repeats.suffix_ranks(raw[:50]))
+
+
 def run_repeats(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.deduplicate(df).collect()}
 
