@@ -11,7 +11,10 @@ segment lengths of each row (starting at 0 and ending at its fill), positions
 that start anew with each segment, and the segments' doc_id, piece and start,
 from which every document can be put together again without loss.
 
-A task packs what it reads, CHUNK pieces at a time: no shuffle, bounded memory.
+Tasks pack what they read, CHUNK pieces at a time, and settle the rows that have at most
+SLACK tokens of room left. The pieces of all others are packed once more, over the whole table, in
+groups of REST pieces, so how full the rows are hardly depends on how the table is split.
+
 Null and empty texts are the end token alone; null doc_ids and repeated rows
 are packed like others; an empty table has no matrices.
 """
@@ -22,12 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textops
-from .common import plain
+from .common import plain, written
 from .tokens import encoder, pieces
 
-SIZE, END, ROWS, CHUNK = 2048, 2, 32, 16_000
+SIZE, END, ROWS, CHUNK, REST, SLACK = 2048, 2, 32, 16_000, 10_000, 16
 
 
 class Rooms:
@@ -78,32 +82,54 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 
 
 SCHEMA = "matrix_id long, n_rows int, row_size int, n_tokens long, ids binary, positions binary, cu_seqlens array<array<int>>, doc_ids array<array<long>>, pieces array<array<int>>, starts array<array<long>>"
-_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64()))]
-
-
-def matrices(docs: DataFrame, path: str, size: int = SIZE, end: int = END, chunk: int = CHUNK) -> DataFrame:
+#: What is stored between the packings: matrices without positions, and pieces that wait, without matrix_id.
+_STORED = SCHEMA.replace("positions binary, ", "")
+_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64()))]
+_NAMES = [f.split()[0] for f in _STORED.split(", ")]
+
+
+def _batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], _NAMES)
+
+
+def _filled(stock, size: int, end: int, base: int, slack: int | None):
+    """Matrices of the pieces (doc_id, piece, start, ids) and, unless slack is None, the pieces of rows with more room than slack."""
+    rows = best_fit_decreasing([len(s[3]) for s in stock], size)
+    if slack is not None:
+        wait = [i for r in rows if size - sum(len(stock[i][3]) for i in r) > slack for i in r]
+        rows = [r for r in rows if size - sum(len(stock[i][3]) for i in r) <= slack]
+        for k in range(0, len(wait), 512):
+            yield _batch([(None, None, None, len(stock[i][3]), stock[i][3].tobytes(), None, [[stock[i][0]]], [[stock[i][1]]], [[stock[i][2]]]) for i in wait[k : k + 512]])
+    for m in range(0, len(rows), ROWS):
+        own = rows[m : m + ROWS]
+        ids, cums = np.full((len(own), size), end, "<u4"), []
+        for r, members in enumerate(own):
+            cum = [0]
+            for i in members:
+                ids[r, cum[-1] : cum[-1] + len(stock[i][3])] = stock[i][3]
+                cum.append(cum[-1] + len(stock[i][3]))
+            cums.append(cum)
+        of = [[[stock[i][k] for i in members] for members in own] for k in range(3)]
+        yield _batch([(base | m // ROWS, len(own), size, sum(c[-1] for c in cums), ids.tobytes(), cums, *of)])
+
+
+def _with_positions(batches):
+    for batch in batches:
+        out = []
+        for size, cums in zip(batch.column("row_size").to_pylist(), batch.column("cu_seqlens").to_pylist()):
+            positions = np.zeros((len(cums), size), "<u4")
+            for r, cum in enumerate(cums):
+                for a, b in zip(cum, cum[1:]):
+                    positions[r, a:b] = np.arange(b - a)
+            out.append(positions.tobytes())
+        cols = [*batch.columns[:5], pa.array(out, pa.binary()), *batch.columns[5:]]
+        yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SCHEMA.split(", ")])
+
+
+def matrices(docs: DataFrame, path: str, size: int = SIZE, end: int = END, chunk: int = CHUNK, rest: int = REST) -> DataFrame:
     """Packed id matrices of every whole text, as SCHEMA."""
 
-    def flush(stock, part, number):
-        rows = best_fit_decreasing([len(s[3]) for s in stock], size)
-        for m in range(0, len(rows), ROWS):
-            own = rows[m : m + ROWS]
-            ids, positions = np.full((len(own), size), end, "<u4"), np.zeros((len(own), size), "<u4")
-            cums, names, parts, starts = [], [], [], []
-            for r, members in enumerate(own):
-                cum = [0]
-                for i in members:
-                    piece = stock[i][3]
-                    ids[r, cum[-1] : cum[-1] + len(piece)] = piece
-                    positions[r, cum[-1] : cum[-1] + len(piece)] = np.arange(len(piece))
-                    cum.append(cum[-1] + len(piece))
-                cums.append(cum)
-                for out, k in ((names, 0), (parts, 1), (starts, 2)):
-                    out.append([stock[i][k] for i in members])
-            row = [part << 38 | number << 18 | m // ROWS, len(own), size, sum(c[-1] for c in cums), ids.tobytes(), positions.tobytes(), cums, names, parts, starts]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES)], [f.split()[0] for f in SCHEMA.split(", ")])
-
-    def run(batches):
+    def first(batches):
         encode, part = encoder(path), TaskContext.get().partitionId()
         stock, number = [], 0
         for batch in textops.slices(batches):
@@ -112,12 +138,30 @@ def matrices(docs: DataFrame, path: str, size: int = SIZE, end: int = END, chunk
                 for p, (start, n) in enumerate(pieces(len(got), size)):
                     stock.append((doc, p, start, got[start : start + n].copy()))
                     if len(stock) >= chunk:
-                        yield from flush(stock, part, number)
+                        yield from _filled(stock, size, end, part << 38 | number << 18, SLACK)
                         stock, number = [], number + 1
         if stock:
-            yield from flush(stock, part, number)
+            yield from _filled(stock, size, end, part << 38 | number << 18, SLACK)
 
-    return plain(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    def second(batches):
+        stock, last = [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["group"] != last and stock:
+                    yield from _filled(stock, size, end, 1 << 62 | last << 18, None)
+                    stock = []
+                last = row["group"]
+                stock.append((row["doc_ids"][0][0], row["pieces"][0][0], row["starts"][0][0], np.frombuffer(row["ids"], "<u4")))
+        if stock:
+            yield from _filled(stock, size, end, 1 << 62 | last << 18, None)
+
+    done = written(plain(docs, "doc_id", "text").mapInArrow(first, _STORED))
+    left = done.filter("matrix_id IS NULL")
+    groups = max(1, -(-left.count() // rest))
+    # A row's group goes by its place, so repeated rows aren't one group.
+    dealt = left.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = dealt.repartition("group").sortWithinPartitions("group", F.desc("n_tokens"), "ids")
+    return done.filter("matrix_id IS NOT NULL").unionByName(dealt.mapInArrow(second, _STORED)).mapInArrow(_with_positions, SCHEMA)
 
 
 def segments(packed: DataFrame) -> DataFrame:
