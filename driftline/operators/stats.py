@@ -11,9 +11,13 @@ def intervals(events: DataFrame, seconds: int, keys: list[str] | None = None, re
     keys, received, sent = keys or [], F.lit(1) if received is None else received, F.lit(1) if sent is None else sent
     start = F.window("ts", f"{int(seconds)} seconds")["start"]
     rows = events.groupBy(*keys, start.alias("time_start")).agg(F.sum(received).cast("long").alias("received"), F.sum(sent).cast("long").alias("sent"))
-    # One row per interval: the running totals are small.
+    return with_totals(rows.withColumn("eps", F.floor(F.col("received") / seconds).cast("long")), keys)
+
+
+def with_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Interval counters with their running totals; one row per interval, so these are small."""
     so_far = Window.partitionBy(*keys).orderBy("time_start").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"eps": F.floor(F.col("received") / seconds).cast("long"), "total_received": F.sum("received").over(so_far), "total_sent": F.sum("sent").over(so_far)})
+    return rows.withColumns({"total_received": F.sum("received").over(so_far), "total_sent": F.sum("sent").over(so_far)})
 
 
 def missing_report(statuses: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,10 +46,6 @@ def frame_counts(frames: DataFrame) -> DataFrame:
     return frames.agg(F.count(F.lit(1)).alias("frames"), F.count_distinct("id").alias("messages"))
 
 
-def compression_rate(packed, original):
-    return 1 - packed / original
-
-
 def reconcile(produced: DataFrame, consumed: DataFrame, hash: str = "hash") -> DataFrame:
     """(hash, state, duplicated_times): SENT, RECEIVED, DUPLICATED, UNKNOWN or UNKNOWN_DUPLICATED, by a full outer join of counts."""
     sent = produced.select(hash).distinct().withColumn("_sent", F.lit(True))

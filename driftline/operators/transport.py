@@ -35,7 +35,7 @@ def prepare(events: DataFrame, cfg: SendConfig) -> DataFrame:
     value, zipped = compress.compress_if_longer(F.col("value").cast("binary"), cfg.gzip_over)
     df = df.select(id.alias("id"), F.lit(wire.MESSAGE if cfg.key else wire.CLEARTEXT).alias("type"), value.alias("value"), zipped.alias("zipped"))
     df = df.withColumn("type", F.when(F.col("zipped"), wire.merge_flag(F.col("type"), wire.GZIP)).otherwise(F.col("type"))).drop("zipped")
-    return df.withColumn("value", wire.encrypt(F.col("value"), F.lit(cfg.key))) if cfg.key else df
+    return df.withColumn("value", wire.encrypt(F.col("value"), F.lit(cfg.key), F.col("id"))) if cfg.key else df
 
 
 def encode(events: DataFrame, cfg: SendConfig) -> DataFrame:

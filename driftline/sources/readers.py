@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime
 from functools import reduce
 from pathlib import Path
 
@@ -16,8 +17,29 @@ from ..functions.wire import OVERHEAD, make_id
 BUNDLE = "type string, results array<struct<topic:string,partition:int,window_min:bigint,window_max:bigint,gaps:array<array<bigint>>>>"
 
 
-def kafka_options(brokers: str, topics: str, starting="earliest", ending: str | None = None, partition: int = -1, per_trigger: int | None = None, start_offset: int | None = None) -> dict[str, str]:
-    """Options of Spark's Kafka source: several topics, one partition, an offset to start at, a rate limit."""
+def tls_options(ca: str, cert: str | None = None, key: str | None = None, key_password: str | None = None) -> dict[str, str]:
+    """Options of an encrypted connection with PEM files; cert and key (one without the other is an error) show who we are.
+
+    Kafka's PEM store takes certificate and private key from their text, an encrypted key with its password.
+    """
+    if (cert is None) != (key is None):
+        raise ValueError("a certificate needs its key, and a key its certificate")
+    out = {"kafka.security.protocol": "SSL", "kafka.ssl.truststore.type": "PEM", "kafka.ssl.truststore.location": ca}
+    if cert:
+        text = Path(key).read_text()
+        if "ENCRYPTED" in text and not key_password:
+            raise ValueError(f"{key} is encrypted and needs a password")
+        out |= {"kafka.ssl.keystore.type": "PEM", "kafka.ssl.keystore.certificate.chain": Path(cert).read_text(), "kafka.ssl.keystore.key": text}
+        if key_password:
+            out["kafka.ssl.key.password"] = key_password
+    return out
+
+
+def kafka_options(brokers: str, topics: str, starting="earliest", ending: str | None = None, partition: int = -1, per_trigger: int | None = None, start_offset: int | None = None, group: str | None = None, since: str | None = None, tls: dict[str, str] | None = None) -> dict[str, str]:
+    """Options of Spark's Kafka source: several topics, one partition, an offset or RFC 3339 time to start at, a rate limit, a group id, TLS.
+
+    Spark keeps the offsets of a query in its checkpoint; the group id is for the broker's access rules and monitoring.
+    """
     names = split_topics(topics)
     out = {"kafka.bootstrap.servers": brokers}
     if partition >= 0:
@@ -26,7 +48,17 @@ def kafka_options(brokers: str, topics: str, starting="earliest", ending: str |
             starting = json.dumps({n: {str(partition): start_offset} for n in names})
     else:
         out["subscribe"] = ",".join(names)
-    out["startingOffsets"] = starting
+    if since is not None:
+        at = datetime.fromisoformat(since)
+        if at.tzinfo is None:
+            raise ValueError(f"{since} has no offset from UTC")
+        out["startingTimestamp"] = str(round(at.timestamp() * 1000))
+        out["startingOffsetsByTimestampStrategy"] = "latest"  # nothing that late: wait for what comes
+    else:
+        out["startingOffsets"] = starting
+    if group:
+        out["kafka.group.id"] = group
+    out |= tls or {}
     if ending is not None:
         out["endingOffsets"] = ending
     if per_trigger:

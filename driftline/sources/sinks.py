@@ -16,8 +16,17 @@ def kafka_rows(records: DataFrame) -> DataFrame:
     return records.select("topic", F.col("part").alias("partition"), F.col("id").cast("binary").alias("key"), "value")
 
 
-def write_kafka(records: DataFrame, brokers: str) -> None:
-    kafka_rows(records).write.format("kafka").option("kafka.bootstrap.servers", brokers).option("kafka.acks", "1").save()
+def write_kafka(records: DataFrame, brokers: str, tls: dict[str, str] | None = None) -> None:
+    kafka_rows(records).write.format("kafka").options(**writer_options(brokers, tls)).save()
+
+
+def writer_options(brokers: str, tls: dict[str, str] | None = None) -> dict[str, str]:
+    return {"kafka.bootstrap.servers": brokers, "kafka.acks": "1"} | (tls or {})
+
+
+def stream_kafka(records: DataFrame, brokers: str, checkpoint: str, tls: dict[str, str] | None = None, query: str = "to_kafka"):
+    """A writer (not started) of a stream of records; the checkpoint keeps how far it has come."""
+    return kafka_rows(records).writeStream.queryName(query).format("kafka").options(**writer_options(brokers, tls)).option("checkpointLocation", checkpoint)
 
 
 def clean_rows(clean: DataFrame) -> DataFrame:
@@ -68,19 +77,21 @@ def write_stats(ledger: DataFrame, path: str) -> None:
     ledger.write.mode("overwrite").option("header", True).csv(path)
 
 
-def send(frames: DataFrame, deliver, retries: int = 30, wait: float = 0.1, query: str = "send"):
-    """Streaming sender: deliver(rows) per partition of each micro-batch, tried again on OSError; a batch that fails is sent again, ids make that harmless."""
+def send(frames: DataFrame, deliver, retries: int = 30, wait: float = 0.1, query: str = "send", size: int = 1000):
+    """Streaming sender: deliver(rows) for up to size rows of a micro-batch's partition, tried again on OSError; a batch that fails is sent again, ids make that harmless."""
 
     def part(rows):
         import time
-
-        rows = list(rows)
-        for attempt in range(retries):
-            try:
-                return deliver(rows)
-            except OSError:
-                if attempt == retries - 1:
-                    raise
-                time.sleep(wait)
+        from itertools import islice
+
+        while some := [*islice(rows, size)]:
+            for attempt in range(retries):
+                try:
+                    deliver(some)
+                    break
+                except OSError:
+                    if attempt == retries - 1:
+                        raise
+                    time.sleep(wait)
 
     return frames.writeStream.queryName(query).foreachBatch(lambda batch, _: batch.foreachPartition(part))

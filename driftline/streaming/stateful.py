@@ -134,10 +134,14 @@ def live_report(gap_topic: DataFrame, show, query: str = "gaps"):
     return gap_topic.writeStream.queryName(query).foreachBatch(redraw)
 
 
-def rate_stats(events: DataFrame, seconds: int, late: str = "1 minute") -> DataFrame:
-    """Interval counters of a streaming log, final when the watermark has passed the interval."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", f"{int(seconds)} seconds"), "topic").agg(F.count(F.lit(1)).alias("received"))
-    return rows.select(F.col("window.start").alias("time_start"), "topic", "received", F.floor(F.col("received") / seconds).alias("eps"))
+def rate_stats(events: DataFrame, seconds: int, late: str = "1 minute", sent=None) -> DataFrame:
+    """Interval counters of a streaming log, final when the watermark has passed the interval; sent is what a row adds to the sent ones.
+
+    stats.with_totals gives the running totals of what has been written of them.
+    """
+    count = {"received": F.count(F.lit(1)), "sent": F.sum(F.lit(1) if sent is None else sent).cast("long")}
+    rows = events.withWatermark("ts", late).groupBy(F.window("ts", f"{int(seconds)} seconds"), "topic").agg(*[c.alias(n) for n, c in count.items()])
+    return rows.select(F.col("window.start").alias("time_start"), "topic", "received", "sent", F.floor(F.col("received") / seconds).alias("eps"))
 
 
 def supervise(start, attempts: int, base_ms: int, most_ms: int, jitter: int = 0, sleep=time.sleep) -> int:

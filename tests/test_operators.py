@@ -221,7 +221,7 @@ def test_rules():
     for bad in (r"deny:(\w+)*", "deny", "maybe:x", "deny:" + "x" * 1001, r"deny:\d{1,3}x"):
         with pytest.raises(ValueError):
             config.load_rules(bad)
-    assert config.java_regex(r"(?P<n>a)[$]\$$") == r"(?d)(?<n>a)[$]\$\z"
+    assert config.java_regex(r"(?P<n>a)[$]\$$") == r"(?d)(a)[\x{24}]\x{24}\z"
 
 
 def test_content_filter_order_and_defaults(spark):
@@ -337,3 +337,27 @@ def test_parse_time(spark):
     texts = {"2024-03-01T10:00:00Z": 1709287200, "2024-03-01T10:00:00.5+02:00": 1709280000, "2024-03-01T10:00:00-07:00": 1709312400, "2024-03-01 10:00:00": None, "2024-13-01T10:00:00Z": None, "x": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.unix_timestamp(wire.parse_time(F.col("t"))).alias("s")).collect()
     assert {r.t: r.s for r in rows} == texts
+
+
+def test_kafka_options_of_groups_times_and_tls(tmp_path):
+    got = readers.kafka_options("b:9093", "a,b", group="g1", since="2024-05-01T12:00:00+02:00")
+    assert got["kafka.group.id"] == "g1" and got["startingTimestamp"] == "1714557600000" and "startingOffsets" not in got
+    with pytest.raises(ValueError):
+        readers.kafka_options("b", "a", since="2024-05-01T12:00:00")
+    cert, key, locked = (tmp_path / x for x in ("cert.pem", "key.pem", "locked.pem"))
+    cert.write_text("-----BEGIN CERTIFICATE-----")
+    key.write_text("-----BEGIN PRIVATE KEY-----")
+    locked.write_text("-----BEGIN ENCRYPTED PRIVATE KEY-----")
+    own = readers.tls_options("ca.pem", str(cert), str(key))
+    assert own["kafka.ssl.truststore.location"] == "ca.pem" and own["kafka.ssl.keystore.key"] == key.read_text() and "kafka.ssl.key.password" not in own
+    assert readers.tls_options("ca.pem", str(cert), str(locked), "pw")["kafka.ssl.key.password"] == "pw"
+    for bad in ((str(cert), None), (None, str(key)), (str(cert), str(locked))):
+        with pytest.raises(ValueError):
+            readers.tls_options("ca.pem", *bad)
+    assert readers.kafka_options("b", "a", tls=own)["kafka.security.protocol"] == "SSL" == sinks.writer_options("b", own)["kafka.security.protocol"]
+
+
+@pytest.mark.parametrize("bad", ["a**", "(?=a)", r"\1", "[z-a]", "(a", "a)", r"\Z", "[[:foo:]]", "*a", "a{1001}", "[a", r"\p{", "(?)", r"\C", "a{2}{3}", r"\y", "[a", "x{3,2}"])
+def test_rules_that_are_refused(bad):
+    with pytest.raises(ValueError):
+        config.java_regex(bad)

@@ -1,6 +1,7 @@
 """Streaming twins give the batch operators' rows."""
 
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -55,7 +56,11 @@ def test_rate_stats(spark, sf, tmp_path):
     rows.write.parquet(str(tmp_path / "events"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "events"))
     got = drained(stateful.rate_stats(stream, 3600), tmp_path, "rates", "complete")
-    assert got.agg(F.sum("received")).first()[0] == rows.count()
+    assert got.agg(F.sum("received"), F.sum("sent")).first() == (rows.count(), rows.count())
+    from driftline.operators import stats
+
+    total = stats.with_totals(got, ["topic"]).groupBy("topic").agg(F.max("total_received").alias("n"))
+    assert {(r.topic, r.n) for r in total.collect()} == {(r.topic, r["count"]) for r in rows.groupBy("topic").count().collect()}
 
 
 def test_supervise():
@@ -68,3 +73,165 @@ def test_supervise():
                 raise RuntimeError
 
     assert stateful.supervise(Query, 5, 10, 100, sleep=lambda s: None) == 3
+
+
+def rsa(seed):
+    """(n, e, d) of 1,024 bits, for tests only."""
+    import random
+
+    rng = random.Random(seed)
+
+    def prime():
+        while True:
+            p = rng.getrandbits(512) | 1 << 511 | 1 | 1 << 510
+            if all(p % k for k in (3, 5, 7, 11, 13, 17, 19, 23)) and all(pow(a, p - 1, p) == 1 for a in (2, 3, 5, 7)) and p % 65537 != 1:
+                return p
+
+    p, q = prime(), prime()
+    return p * q, 65537, pow(65537, -1, (p - 1) * (q - 1))
+
+
+def wait_for(query, done, seconds=90):
+    end = time.time() + seconds
+    while query.isActive and time.time() < end and not done():
+        time.sleep(0.3)
+    if query.exception():
+        raise query.exception()
+
+
+def test_link_with_changing_keys_and_restarts(spark, tmp_path):
+    """Events over the whole link: the sender changes its key between runs, the receiver is stopped and started again half way."""
+    from driftline.operators.transport import SendConfig
+    from driftline.streaming import link
+
+    n, e, d = rsa(1)
+    m, _, other = rsa(2)
+    schema = "topic string, part int, off long, ts timestamp, value string"
+    events, frames, records, ring = (str(tmp_path / x) for x in ("events", "frames", "records", "ring"))
+    count = [0]
+
+    def deliver(rows, number):
+        count[0] += 1
+        rows.coalesce(1).select("frame", (F.lit(count[0] << 20) + F.monotonically_increasing_id()).alias("arrival")).write.mode("append").parquet(frames)
+
+    def sink(got, number):
+        got.records.write.mode("overwrite").parquet(f"{records}/batch={number}")
+        assert got.errors.count() == 0
+
+    def send(key, lo, hi):
+        rows = spark.range(lo, hi).selectExpr("'t' AS topic", "CAST(id % 3 AS INT) AS part", "id AS off", "current_timestamp() AS ts", "repeat(concat('value ', id, ' '), CAST(id % 60 AS INT)) AS value")
+        rows.coalesce(1).write.mode("append").parquet(events)
+        source = spark.readStream.schema(schema).parquet(events)
+        q = link.send_stream(source, SendConfig(mtu=300, key=key, gzip_over=400), deliver, (n, e)).option("checkpointLocation", str(tmp_path / "up")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+
+    def receive(until):
+        source = spark.readStream.schema("frame binary, arrival long").parquet(frames)
+        q = link.receive_stream(source, ring, [(m, other), (n, d)], sink).option("checkpointLocation", str(tmp_path / "down")).start()
+        try:
+            wait_for(q, lambda: (tmp_path / "records").exists() and read().count() >= until)
+        finally:
+            q.stop()
+
+    def read():
+        return spark.read.schema("id string, topic string, part int, value binary").option("recursiveFileLookup", True).parquet(records)
+
+    send(b"0" * 16, 0, 100)
+    receive(100)
+    send(b"1" * 32, 100, 180)
+    receive(180)
+    got = sorted((r.id, r.topic, r.part, bytes(r.value).decode()) for r in read().collect())
+    assert got == sorted((f"t_{k % 3}_{k}", "t", k % 3, f"value {k} " * (k % 60)) for k in range(180))
+    assert {bytes(r.key) for r in link.read_ring(spark, ring).collect()} == {b"0" * 16, b"1" * 32}
+
+
+def test_sent_frames_are_the_same_again(spark):
+    from driftline.operators.transport import SendConfig, encode
+
+    rows = spark.createDataFrame([("t", 0, k, f"secret {k}" * 50) for k in range(20)], "topic string, part int, off long, value string")
+    runs = [[tuple(r) for r in encode(rows, SendConfig(mtu=100, key=b"k" * 16)).orderBy("id", "part_no").collect()] for _ in range(2)]
+    assert runs[0] == runs[1] and len({bytes(r[4])[-12:] for r in runs[0]}) > 20
+
+
+def test_datagrams(spark, tmp_path):
+    import socket
+
+    from driftline.sources import readers
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    name = readers.register_udp(spark)
+    q = spark.readStream.format(name).option("port", str(port)).load().writeStream.format("memory").queryName("datagrams").option("checkpointLocation", str(tmp_path / "c")).start()
+    out = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    try:
+        sent = [0]
+
+        def done():
+            out.sendto(f"frame {sent[0]}".encode(), ("127.0.0.1", port))
+            sent[0] += 1
+            return spark.table("datagrams").count() >= 5
+
+        wait_for(q, done)
+        got = [(r.arrival, bytes(r.frame)) for r in spark.table("datagrams").orderBy("arrival").collect()]
+    finally:
+        q.stop()
+        out.close()
+    assert len(got) >= 5 and [a for a, _ in got] == list(range(len(got))) and all(f.startswith(b"frame ") for _, f in got)
+    assert len({f for _, f in got}) == len(got)
+
+
+def test_delayed_stream(spark, tmp_path):
+    spark.sql("SELECT concat('e', id) AS id, current_timestamp() AS ts, CAST('v' AS BINARY) AS value FROM range(6)").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id string, ts timestamp, value binary").parquet(str(tmp_path / "in"))
+    q = stateful.delayed_stream(stream, {"now": 0, "late": -8}).writeStream.format("memory").queryName("delayed").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        wait_for(q, lambda: spark.table("delayed").count() >= 6)
+        first = Counter(r.thread for r in spark.table("delayed").collect())
+        wait_for(q, lambda: spark.table("delayed").count() >= 12)
+        got = Counter((r.thread, r.id) for r in spark.table("delayed").collect())
+    finally:
+        q.stop()
+    assert first["now"] == 6 and got == Counter((t, f"e{k}") for t in ("now", "late") for k in range(6))
+
+
+def test_live_report_shows_the_latest_of_each_window(spark, tmp_path):
+    rows = [("t", 0, 100, 1, 199, [[3]]), ("t", 0, 100, 2, 199, []), ("t", 1, 0, 3, 99, [[1, 4]])]
+    schema = "topic string, part int, window_min long, read_seq long, window_max long, gaps array<array<long>>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "gaps"))
+    shown = []
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "gaps"))
+    q = stateful.live_report(stream, lambda w: shown.extend(map(tuple, w.select("topic", "part", "window_min", "gaps").collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert sorted(shown) == [("t", 0, 100, []), ("t", 1, 0, [[1, 4]])]
+
+
+def test_send_tries_again_and_counter_stream(spark, tmp_path):
+    from driftline.sources import readers, sinks
+
+    folder = str(tmp_path / "sent")
+    (tmp_path / "sent").mkdir()
+
+    def deliver(rows):
+        from pathlib import Path
+        from uuid import uuid4
+
+        flag = Path(folder, "failed")
+        if not flag.exists():
+            flag.write_text("once")
+            raise OSError
+        assert len(rows) <= 7
+        Path(folder, f"{uuid4().hex}.txt").write_text("\n".join(r.id for r in rows))
+
+    spark.range(40).selectExpr("concat('m', id) AS id").coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = sinks.send(spark.readStream.schema("id string").parquet(str(tmp_path / "in")), deliver, wait=0.01, size=7).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = [x for p in (tmp_path / "sent").glob("*.txt") for x in p.read_text().split("\n")]
+    assert sorted(got) == sorted(f"m{k}" for k in range(40))
+    q = readers.counter_stream(spark, 50).writeStream.format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "d")).start()
+    try:
+        wait_for(q, lambda: spark.table("counted").count() >= 20)
+        rows = spark.table("counted").collect()
+    finally:
+        q.stop()
+    assert {(r.id, bytes(r.value).decode()) for r in rows} == {(f"random_{k}", f"Random message {k}") for k in range(len(rows))}
