@@ -165,7 +165,7 @@ def _seeds(bits: int):
 def _match_rows(doc, y, src, x, bits: int):
     """MATCHES blobs by bucket of the documents."""
     bucket = (textops.mix(doc.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.lexsort((y, doc, bucket))
+    order = np.lexsort((doc, bucket))
     bucket, doc, y, src, x = (c[order] for c in (bucket, doc, y, src, x))
     edge = _cut_at(bucket)
     data = [_planes((_steps(doc[a:b]), y[a:b], _steps(src[a:b]), x[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
@@ -191,20 +191,21 @@ def _stars(bits: int):
                 pos.append(place)
             h, doc, at = (np.concatenate(c) for c in (h, doc, pos))
             pos, hot = at & ~_SHARED, at >= _SHARED
-            order = np.lexsort((pos, doc, h))
+            order = np.argsort(h)
             h, doc, pos, hot = h[order], doc[order], pos[order], hot[order]
             edge = _cut_at(h)
             start, group = edge[:-1], np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-            lead = start[group]
-            other = doc != doc[lead]
+            first = np.minimum.reduceat(doc, start)
+            other = doc != first[group]
+            at = np.minimum.reduceat(np.where(other, _SHARED, pos), start)
             heat = np.logical_or.reduceat(hot, start)
             if heat.any():
-                some = start[heat]
-                yield _rows(FIRST, h[some].astype(np.int64), [_planes((doc[k : k + 1], pos[k : k + 1])) for k in some.tolist()])
+                some = np.flatnonzero(heat)
+                yield _rows(FIRST, h[start[some]].astype(np.int64), [_planes((first[k : k + 1], at[k : k + 1])) for k in some.tolist()])
             shared = np.flatnonzero((np.logical_or.reduceat(other, start) | heat)[group])
-            lead = np.where(other, lead, np.arange(len(lead)))[shared]
             if len(shared):
-                yield _match_rows(doc[shared], pos[shared], doc[lead], pos[lead], bits)
+                of = group[shared]
+                yield _match_rows(doc[shared], pos[shared], first[of], np.where(other[shared], at[of], pos[shared]), bits)
 
         for batch in batches:
             for kind, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "data"))):
@@ -257,7 +258,7 @@ def _matches(batches):
         parts = [_columns(d, ("<i8", "<u4", "<i8", "<u4")) for d in held]
         doc, src = (np.concatenate([np.cumsum(p[k]) for p in parts]) for k in (0, 2))
         y, x = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in (1, 3))
-        order = np.lexsort((x, y, src, doc))
+        order = np.lexsort((y, src, doc))
         return doc[order], src[order], y[order], x[order]
 
     for batch in batches:
@@ -330,6 +331,10 @@ def chains(y: np.ndarray, x: np.ndarray) -> list[tuple[int, int, int, int]]:
         links.reverse()
         for e in links:
             used[e] = True
+        long = max(a1[links[-1]] - a0[links[0]], b1[links[-1]] - b0[links[0]])
+        if sum(a1[e] - a0[e] for e in links) >= IDENTITY * long:
+            out.append((a0[links[0]], a1[links[-1]], b0[links[0]], b1[links[-1]]))  # a passage, if long enough, by its seeds alone
+            continue
         wide = [i + 1 for i, (e, f) in enumerate(zip(links, links[1:])) if max(a0[f] - a1[e], b0[f] - b1[e]) > SPLIT]
         spans = [(0, len(links))] + ([*zip([0, *wide], [*wide, len(links)])] if wide else [])
         # An exact run that is long enough stands by itself, whatever it is chained with.
@@ -358,10 +363,26 @@ def _pairs(cols):
     rows = [*zip(doc[lone].tolist(), y[lone].tolist(), (y[lone] + K).tolist(), src[lone].tolist(), x[lone].tolist(), (x[lone] + K).tolist())]
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if b > a + 1 and doc[a] != src[a]:
-            rows += [(int(doc[a]), y0, y1, int(src[a]), x0, x1) for y0, y1, x0, x1 in chains(y[a:b], x[a:b])]
+            rows += [(int(doc[a]), y0, y1, int(src[a]), x0, x1) for y0, y1, x0, x1 in thinned(chains(y[a:b], x[a:b]))]
     return _chain_rows(rows + [(d, y0, y1, None, None, None) for d, y0, y1 in unsettled(doc, src, y, x)])
 
 
+def thinned(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The chains without most of the short ones that begin at one source place and follow each other at less than K words.
+
+    Such a text repeats itself within K words; the surroundings of one chain, MARGIN words, hold the next ones too.
+    """
+    out, last, kept = [], {}, {}
+    for c in sorted(found):
+        if c[1] - c[0] < LEAST:
+            near, last[c[2]] = c[0] - last.get(c[2], -K) < K, c[0]
+            if near and c[0] - kept[c[2]] < MARGIN // 2:
+                continue
+            kept[c[2]] = c[0]
+        out.append(c)
+    return out
+
+
 def unsettled(doc, src, y, x) -> list[tuple[int, int, int]]:
     """(doc, y0, y1): words of which all seeds are shared, but in no LEAST words all with one place of one earlier document."""
     order = np.lexsort((y, doc))
@@ -557,12 +578,13 @@ def passages(docs: DataFrame) -> DataFrame:
     likely = written(_both_sides(chains_.filter(short), docs.mapInArrow(_prints(8), "id long, marks binary"), 1).mapInArrow(_plausible, _CHAIN))
     release(docs.sparkSession, [])
     marks = docs.mapInArrow(_prints(32), "id long, marks binary")
+    every = chains_.filter(~short).unionByName(likely)
     # Where seeds have different firsts, the first document that has LEAST words as a whole.
     words = F.col("marks").substr(4 * F.col("y0") + 1, 4 * (F.col("y1") - F.col("y0")))
     open_ = found.filter("src IS NULL").select("doc", "y0", "y1")
-    seeds = open_.join(marks, open_["doc"] == marks["id"]).select("doc", "y0", words.alias("one")).mapInArrow(_windows(BITS), _ROWS)
-    exact = _met_over_all(seeds, BITS).mapInArrow(_runs, _CHAIN)
-    every = chains_.filter(~short).unionByName(likely).unionByName(exact)
+    if not open_.isEmpty():
+        seeds = open_.join(marks, open_["doc"] == marks["id"]).select("doc", "y0", words.alias("one")).mapInArrow(_windows(BITS), _ROWS)
+        every = every.unionByName(_met_over_all(seeds, BITS).mapInArrow(_runs, _CHAIN))
     return _both_sides(every, marks, 4).mapInArrow(_aligned, "doc_id long, start_word int, end_word int, src_doc_id long, src_start_word int, src_end_word int, identity double").distinct()
 
 
