@@ -367,20 +367,24 @@ def _pairs(cols):
     return _chain_rows(rows + [(d, y0, y1, None, None, None) for d, y0, y1 in unsettled(doc, src, y, x)])
 
 
-def thinned(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """The chains without most of the short ones that begin at one source place and follow each other at less than K words.
+def thinned(found: list[tuple[int, int, int, int]], short: int = LEAST) -> list[tuple[int, int, int, int]]:
+    """The chains without most of those under `short` words that begin at one source place and follow each other at less than K words.
 
-    Such a text repeats itself within K words; the surroundings of one chain, MARGIN words, hold the next ones too.
+    Such a text repeats itself within K words; the words of one chain and its surroundings hold the next ones too. The last one stays.
     """
-    out, last, kept = [], {}, {}
+    out, last, kept, wait = [], {}, {}, {}
     for c in sorted(found):
-        if c[1] - c[0] < LEAST:
-            near, last[c[2]] = c[0] - last.get(c[2], -K) < K, c[0]
-            if near and c[0] - kept[c[2]] < MARGIN // 2:
+        x = c[2]
+        if c[1] - c[0] < short:
+            near, last[x] = c[0] - last.get(x, -K) < K, c[0]
+            if near and c[0] - kept[x] < MARGIN // 2:
+                wait[x] = c
                 continue
-            kept[c[2]] = c[0]
+            kept[x] = c[0]
+            if x in wait:
+                out.append(wait.pop(x))
         out.append(c)
-    return out
+    return out + [*wait.values()]
 
 
 def unsettled(doc, src, y, x) -> list[tuple[int, int, int]]:
@@ -433,7 +437,13 @@ def _runs(batches):
         if len(doc):
             new = np.flatnonzero((np.diff(doc) != 0) | (np.diff(src) != 0) | (np.diff(pos - spos) != 0) | (np.diff(pos) > 1)) + 1
             lo, hi = np.r_[0, new], np.r_[new, len(doc)] - 1
-            yield _chain_rows([*zip(doc[lo].tolist(), pos[lo].tolist(), (pos[hi] + LEAST).tolist(), src[lo].tolist(), spos[lo].tolist(), (spos[hi] + LEAST).tolist())])
+            doc, src, lo, hi, x = doc[lo], src[lo], pos[lo], pos[hi] + LEAST, spos[lo]
+            edge = np.r_[0, np.flatnonzero((np.diff(doc) != 0) | (np.diff(src) != 0)) + 1, len(doc)]
+            rows = []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                found = zip(lo[a:b].tolist(), hi[a:b].tolist(), x[a:b].tolist(), (x[a:b] + hi[a:b] - lo[a:b]).tolist())
+                rows += [(int(doc[a]), y0, y1, int(src[a]), x0, x1) for y0, y1, x0, x1 in thinned([*found], LEAST + K)]
+            yield _chain_rows(rows)
 
 
 def _plausible(batches):

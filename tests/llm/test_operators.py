@@ -299,6 +299,19 @@ def test_passages_that_are_everywhere(spark):
     assert {(10 + k, k % 7, k % 7 + 60) for k in range(1, 1500)} <= got and not any(d <= 10 for d, _, _ in got)
 
 
+def test_passages_of_one_word_again_and_again(spark):
+    """Texts that repeat themselves at every word or two: all of it is covered, by few rows."""
+    rng = random.Random(26)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    rows = [(1, ["so"] * 50 + new(20)), (2, new(15) + ["so"] * 300 + new(9)), (3, new(4) + ["on", "and"] * 60 + new(3)), (4, ["on", "and"] * 25 + new(30) + ["on", "and"] * 90)]
+    got = defaultdict(list)
+    for r in passages.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect():
+        got[r.doc_id].append((r.start_word, r.end_word))
+    covered = {d: {i for a, b in v for i in range(a, b)} for d, v in got.items()}
+    assert covered[2] >= {*range(15, 315)} and covered[4] >= {*range(50), *range(80, 260)} and 1 not in got
+    assert all(len(v) < 60 for v in got.values())
+
+
 def test_long_texts_for_passages(spark):
     """Texts of over a megabyte, one the other's copy but for a word in a thousand."""
     rng = random.Random(25)
