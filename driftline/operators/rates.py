@@ -58,16 +58,17 @@ def spaced(events: DataFrame, keys: list[str], gap: float, seconds: str = "t", b
 def accepted_every(events: DataFrame, key: str, gap: float, seconds: str = "t") -> DataFrame:
     """Events that come at least gap seconds after the last accepted one of their key.
 
-    The last accepted event decides, so this is a fold; one key's few control messages fit a group.
+    The last accepted event decides, so this is a fold; rows are dealt by key, sorted and streamed, and a task holds one time.
     """
-    import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values(seconds), None, []
-        for t in pdf[seconds]:
-            ok = last is None or t - last >= gap
-            last = t if ok else last
-            keep.append(ok)
-        return pdf[keep]
-
-    return events.groupBy(key).applyInPandas(run, events.schema)
+    def run(batches):
+        now, last = None, None
+        for pdf in batches:
+            keep = []
+            for k, t in zip(pdf[key], pdf[seconds]):
+                ok = last is None or k != now or t - last >= gap
+                now, last = k, t if ok else last
+                keep.append(ok)
+            yield pdf[keep]
+
+    return events.repartition(key).sortWithinPartitions(key, seconds).mapInPandas(run, events.schema)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import config, gap_bitmap, wire
 from ..operators import dedup, filters, gaps, rates, resend, stats, transport
+from ..sources import readers
 
 KEY = dedup.KEY
 AES_KEY = b"0123456789abcdef0123456789abcdef"
@@ -345,6 +346,13 @@ def delayed_sends(spark, d):
     return rates.delayed(source(spark, d), {"now": 0, "late": -10}).select(*KEY, "off", "thread", "send_ts")
 
 
+@query("WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT event_type AS topic, CAST(epoch_ms(ts) AS BIGINT) // 60000 AS t FROM events), a AS (SELECT topic, min(t) AS t FROM e GROUP BY topic UNION ALL SELECT a.topic, min(e.t) FROM a JOIN e ON e.topic = a.topic AND e.t >= a.t + 45 GROUP BY a.topic) SELECT topic, t FROM a")
+def key_exchange_interval(spark, d):
+    """Control messages that are accepted: the first of each key, then such as come at least 45 minutes after the last accepted one."""
+    e = tab(spark, d, "events").select(F.col("event_type").alias("topic"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 60").alias("t"))
+    return rates.accepted_every(e, "topic", 45)
+
+
 @query("WITH e AS (SELECT event_type AS topic, event_id AS n, CAST(epoch_ms(ts) AS BIGINT) // 600000 AS t FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY t, n) AS k FROM e) SELECT topic, n, CAST(max(t - k * 2) OVER (PARTITION BY topic ORDER BY t, n ROWS UNBOUNDED PRECEDING) + k * 2 AS DOUBLE) AS release FROM k")
 def spaced_sends(spark, d):
     e = tab(spark, d, "events").select(F.col("event_type").alias("topic"), F.col("event_id").alias("n"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 600").alias("t"))
@@ -403,11 +411,23 @@ def frame_counts(spark, d):
     return rows.select("doc_id", wire.part_count(size, cap).alias("n_parts"), wire.part_count(size, cap, compat=True).alias("compat"))
 
 
-@query("WITH m AS (SELECT concat('doc_', doc_id % 8, '_', doc_id) AS id, encode(text) AS b FROM documents), c AS (SELECT *, 1400 - 13 - length(id) AS cap FROM m), p AS (SELECT id, cap, hex(b) AS h, CAST(greatest(1, (octet_length(b) + cap - 1) // cap) AS INTEGER) AS n, unnest(range(1, greatest(1, (octet_length(b) + cap - 1) // cap) + 1)) AS k FROM c), f AS (SELECT id, CAST(k AS INTEGER) AS part_no, n, substr(h, CAST((k - 1) * cap * 2 + 1 AS BIGINT), CAST(cap * 2 AS BIGINT)) AS pay FROM p) SELECT id, part_no, n AS n_parts, concat('06', lpad(upper(to_hex(part_no)), 4, '0'), lpad(upper(to_hex(n)), 4, '0'), lpad(upper(to_hex(length(id))), 4, '0'), hex(encode(id)), hex(encode(right(md5(unhex(pay)), 4))), lpad(upper(to_hex(length(pay) // 2)), 4, '0'), pay) AS frame FROM f")
+FRAMES = "WITH m AS (SELECT concat('doc_', doc_id % 8, '_', doc_id) AS id, encode(text) AS b FROM documents), c AS (SELECT *, 1400 - 13 - length(id) AS cap FROM m), p AS (SELECT id, cap, hex(b) AS h, CAST(greatest(1, (octet_length(b) + cap - 1) // cap) AS INTEGER) AS n, unnest(range(1, greatest(1, (octet_length(b) + cap - 1) // cap) + 1)) AS k FROM c), f AS (SELECT id, CAST(k AS INTEGER) AS part_no, n, substr(h, CAST((k - 1) * cap * 2 + 1 AS BIGINT), CAST(cap * 2 AS BIGINT)) AS pay FROM p) SELECT id, part_no, n AS n_parts, concat('06', lpad(upper(to_hex(part_no)), 4, '0'), lpad(upper(to_hex(n)), 4, '0'), lpad(upper(to_hex(length(id))), 4, '0'), hex(encode(id)), hex(encode(right(md5(unhex(pay)), 4))), lpad(upper(to_hex(length(pay) // 2)), 4, '0'), pay) AS frame FROM f"
+
+
+@query(FRAMES)
 def fragments(spark, d):
     return wire.fragment(documents(spark, d).select("id", "type", "value"), 1400).select("id", "part_no", "n_parts", F.hex("frame").alias("frame"))
 
 
+@query(FRAMES)
+def split_stream_frames(spark, d):
+    """Each message's frames as one byte stream, split again by the frames' own lengths."""
+    sent = wire.fragment(documents(spark, d).select("id", "type", "value"), 1400)
+    streams = sent.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part_no", F.hex("frame").alias("frame")))).alias("frames"), F.max("n_parts").alias("n_parts"))
+    joined = streams.select("id", "n_parts", F.unhex(F.array_join(F.transform("frames", lambda f: f["frame"]), "")).alias("stream"))
+    return readers.stream_frames(joined).select("id", (F.col("seq") + 1).alias("part_no"), "n_parts", F.hex("frame").alias("frame"))
+
+
 @query("SELECT concat('doc_', doc_id % 8, '_', doc_id) AS id, sha256(text) AS hash, 'doc' AS topic, CAST(doc_id % 8 AS INTEGER) AS part FROM documents")
 def round_trip(spark, d):
     """Gzip, encrypt, fragment, parse, reassemble, decrypt, decompress: the texts come back."""
