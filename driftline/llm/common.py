@@ -39,11 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder. For loops with several joins: on checkpoints alone the planning of each round took twice as long as that of the last."""
+    """df as a table in the shared folder, which goes with release() or when the driver ends.
+
+    For loops with several joins: on checkpoints alone the planning of each round took twice as long as that of the last.
+    """
     spark = df.sparkSession
     out = f"{folder(spark)}/written-{uuid.uuid4().hex}"
     SCRATCH.append(out)
     df.write.parquet(out)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(out)
 
 
