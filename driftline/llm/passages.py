@@ -41,9 +41,9 @@ from .common import plain, release, written
 
 K, LEAST, IDENTITY, GAP, SPLIT = 5, 40, 0.8, 0.1, 12
 #: Seeds that a task holds; places of a seed in a flush that make it hot; words on both ends of a chain that it may be extended over.
-HELD, HOT, MARGIN = 1_000_000, 64, 64
+HELD, HOT, MARGIN = 600_000, 64, 64
 #: Bytes of a bucket of seeds that tasks work on at a time; the fewest bits of a bucket's number. Of a hash the bucket and BYTES more bytes count.
-PASS, BITS, BYTES = 8 << 20, 9, 5
+PASS, BITS, BYTES = 4 << 20, 9, 5
 #: Adjacent equal words of any passage: IDENTITY of its words are equal, and each of the others, on either side, parts two of them at most.
 ENOUGH = int(LEAST * (IDENTITY - 2 * (1 - IDENTITY)) - 1)
 
@@ -539,7 +539,7 @@ def align(rows: list[tuple]) -> list[tuple]:
 def _aligned(batches):
     names = ["doc_id", "start_word", "end_word", "src_doc_id", "src_start_word", "src_end_word", "identity"]
     kinds = [pa.int64(), pa.int32(), pa.int32()] * 2 + [pa.float64()]
-    for batch in batches:
+    for batch in (whole.slice(a, 1024) for whole in batches for a in range(0, whole.num_rows, 1024)):
         rows, given = [], []
         for r in batch.to_pylist():
             one, two = np.frombuffer(r["one"], "<u4"), np.frombuffer(r["two"], "<u4")
