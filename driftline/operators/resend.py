@@ -19,6 +19,12 @@ def gap_rows(bundle: DataFrame) -> DataFrame:
     return g.select(*KEY, F.col("g")[0].alias("gap_from"), F.element_at("g", -1).alias("gap_to"))
 
 
+def window_gaps(windows: DataFrame) -> DataFrame:
+    """(topic, part, gap_from, gap_to) straight from windows (topic, part, window_min, gaps relative): no row holds all gaps of a partition, as a bundle's does."""
+    g = windows.select(*KEY, "window_min", F.explode("gaps").alias("g"))
+    return g.select(*KEY, (F.col("window_min") + F.col("g")[0]).alias("gap_from"), (F.col("window_min") + F.element_at("g", -1)).alias("gap_to"))
+
+
 def in_gaps(events: DataFrame, gaps: DataFrame, bucket: int = 4096) -> DataFrame:
     """Events in any gap, each once.
 

@@ -239,6 +239,12 @@ def gaps_report(spark, d):
 
 @query(f"WITH {GAPS} SELECT s.topic, s.part, s.off, s.payload FROM src s WHERE EXISTS (SELECT 1 FROM g WHERE g.topic = s.topic AND g.part = s.part AND s.off BETWEEN gap_from AND gap_to)")
 def resend_all(spark, d):
+    """Straight from the windows' gaps; resend_from_bundle takes the way over the bundle."""
+    return resend.in_gaps(source(spark, d), resend.window_gaps(gaps.latest_windows(windows(spark, d)))).select(*KEY, "off", "payload")
+
+
+@query(SQL["resend_all"])
+def resend_from_bundle(spark, d):
     return resend.select(source(spark, d), bundle(spark, d), "all").select(*KEY, "off", "payload")
 
 
