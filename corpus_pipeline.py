@@ -6,8 +6,11 @@ it again. All stages but the last return the columns of documents, whatever
 these are besides doc_id, text, lang and source.
 
 Null texts are empty: the first stage rejects them. Rows with a null doc_id
-can't be told apart: no stage drops them or cuts their text for a repeat. Empty
-tables stay empty.
+come before or after no other: they are never dropped or cut as a repeat, but the
+first stage decides on them as on all. Empty tables stay empty.
+
+A stage's intermediate tables are removed when the next stage begins, unless its
+docs still read them; so write or consume a stage's result before going on.
 """
 
 from __future__ import annotations
