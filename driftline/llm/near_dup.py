@@ -19,7 +19,8 @@ probability (1 - 0.85**6)**32 < 1e-6, one of 0.8 (the pipeline's stage) with 6e-
 
 Results: one row for each input row. Null or blank text has the empty set and
 links with nothing; a row with null doc_id links with nothing, its component is
-null and so is kept; drop_near_duplicates keeps it. Rows that share a doc_id each stand by their own text; a
+null and so is kept; drop_near_duplicates keeps it. Rows that share a doc_id stand by their own texts, but
+different texts whose smallest doc_id is the same are taken together: what one is linked with, all are. A
 row repeated whole stays as often as it came. An empty table gives an empty
 result. Other columns are ignored.
 """
@@ -30,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops
@@ -259,6 +260,6 @@ def _with(docs: DataFrame, pairs: DataFrame, label: DataFrame, percent: int) ->
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, one document of each component kept; columns unchanged. Rows of one doc_id are decided on by their own texts."""
+    """The rows of docs, one document of each component kept; columns unchanged. Rows go by their doc_id and text."""
     gone = _decided(docs, percent).filter("NOT kept").select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH)).distinct()
     return docs.join(gone, (F.col("doc_id") == F.col(_ID)) & (F.md5("text") == F.col(_HASH)), "left_anti").transform(same_columns, docs)
