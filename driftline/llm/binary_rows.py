@@ -31,7 +31,7 @@ from . import textops
 from .common import plain, written
 from .tokens import encoder, pieces
 
-SIZE, END, ROWS, CHUNK, REST, SLACK = 2048, 2, 32, 16_000, 10_000, 16
+SIZE, END, ROWS, CHUNK, REST, SLACK = 2048, 2, 32, 8_000, 4_000, 16
 
 
 class Rooms:
@@ -82,86 +82,92 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 
 
 SCHEMA = "matrix_id long, n_rows int, row_size int, n_tokens long, ids binary, positions binary, cu_seqlens array<array<int>>, doc_ids array<array<long>>, pieces array<array<int>>, starts array<array<long>>"
-#: What is stored between the packings: matrices without positions, and pieces that wait, without matrix_id.
-_STORED = SCHEMA.replace("positions binary, ", "")
-_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64()))]
-_NAMES = [f.split()[0] for f in _STORED.split(", ")]
-
-
-def _batch(rows):
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], _NAMES)
-
-
-def _filled(stock, size: int, end: int, base: int, slack: int | None):
-    """Matrices of the pieces (doc_id, piece, start, ids) and, unless slack is None, the pieces of rows with more room than slack."""
-    rows = best_fit_decreasing([len(s[3]) for s in stock], size)
-    if slack is not None:
-        wait = [i for r in rows if size - sum(len(stock[i][3]) for i in r) > slack for i in r]
-        rows = [r for r in rows if size - sum(len(stock[i][3]) for i in r) <= slack]
-        for k in range(0, len(wait), 512):
-            yield _batch([(None, None, None, len(stock[i][3]), stock[i][3].tobytes(), None, [[stock[i][0]]], [[stock[i][1]]], [[stock[i][2]]]) for i in wait[k : k + 512]])
-    for m in range(0, len(rows), ROWS):
-        own = rows[m : m + ROWS]
-        ids, cums = np.full((len(own), size), end, "<u4"), []
-        for r, members in enumerate(own):
-            cum = [0]
-            for i in members:
-                ids[r, cum[-1] : cum[-1] + len(stock[i][3])] = stock[i][3]
-                cum.append(cum[-1] + len(stock[i][3]))
-            cums.append(cum)
-        of = [[[stock[i][k] for i in members] for members in own] for k in range(3)]
-        yield _batch([(base | m // ROWS, len(own), size, sum(c[-1] for c in cums), ids.tobytes(), cums, *of)])
-
-
-def _with_positions(batches):
-    for batch in batches:
-        out = []
-        for size, cums in zip(batch.column("row_size").to_pylist(), batch.column("cu_seqlens").to_pylist()):
-            positions = np.zeros((len(cums), size), "<u4")
-            for r, cum in enumerate(cums):
-                for a, b in zip(cum, cum[1:]):
-                    positions[r, a:b] = np.arange(b - a)
-            out.append(positions.tobytes())
-        cols = [*batch.columns[:5], pa.array(out, pa.binary()), *batch.columns[5:]]
-        yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SCHEMA.split(", ")])
+_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64()))]
+#: What is stored between the packings, small rows: packed id rows, and pieces that wait, without cu.
+_STORED = "n_tokens long, ids binary, cu array<int>, doc_ids array<long>, pieces array<int>, starts array<long>"
+_ROW = [pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+
+def _batches(rows, types, schema):
+    for a in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a : a + 256]], t) for k, t in enumerate(types)], [f.split()[0] for f in schema.split(", ")])
+
+
+def _filled(stock, size: int, slack: int | None):
+    """Packed rows of the pieces (doc_id, piece, start, ids) and, unless slack is None, the pieces of rows with more room than slack."""
+    out = []
+    for members in best_fit_decreasing([len(s[3]) for s in stock], size):
+        cum = np.cumsum([0, *(len(stock[i][3]) for i in members)]).tolist()
+        if slack is not None and size - cum[-1] > slack:
+            out += [(len(stock[i][3]), stock[i][3].tobytes(), None, [stock[i][0]], [stock[i][1]], [stock[i][2]]) for i in members]
+        else:
+            out.append((cum[-1], b"".join(stock[i][3].tobytes() for i in members), cum, *([stock[i][k] for i in members] for k in range(3))))
+        if len(out) >= 256:
+            yield from _batches(out, _ROW, _STORED)
+            out = []
+    yield from _batches(out, _ROW, _STORED)
+
+
+def _assembled(size: int, end: int):
+    """Matrices of up to ROWS packed rows of a task."""
+
+    def matrix(rows, number):
+        ids, positions = np.full((len(rows), size), end, "<u4"), np.zeros((len(rows), size), "<u4")
+        for r, row in enumerate(rows):
+            ids[r, : row["n_tokens"]] = np.frombuffer(row["ids"], "<u4")
+            for a, b in zip(row["cu"], row["cu"][1:]):
+                positions[r, a:b] = np.arange(b - a)
+        of = [[row[c] for row in rows] for c in ("cu", "doc_ids", "pieces", "starts")]
+        return (number, len(rows), size, sum(row["n_tokens"] for row in rows), ids.tobytes(), positions.tobytes(), *of)
+
+    def run(batches):
+        base, number, rows = TaskContext.get().partitionId() << 38, 0, []
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                rows += batch.slice(a, ROWS).to_pylist()
+                if len(rows) >= ROWS:
+                    yield from _batches([matrix(rows[:ROWS], base | number)], _TYPES, SCHEMA)
+                    rows, number = rows[ROWS:], number + 1
+        if rows:
+            yield from _batches([matrix(rows, base | number)], _TYPES, SCHEMA)
+
+    return run
 
 
 def matrices(docs: DataFrame, path: str, size: int = SIZE, end: int = END, chunk: int = CHUNK, rest: int = REST) -> DataFrame:
     """Packed id matrices of every whole text, as SCHEMA."""
 
     def first(batches):
-        encode, part = encoder(path), TaskContext.get().partitionId()
-        stock, number = [], 0
+        encode, stock = encoder(path), []
         for batch in textops.slices(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 got = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
                 for p, (start, n) in enumerate(pieces(len(got), size)):
                     stock.append((doc, p, start, got[start : start + n].copy()))
                     if len(stock) >= chunk:
-                        yield from _filled(stock, size, end, part << 38 | number << 18, SLACK)
-                        stock, number = [], number + 1
+                        yield from _filled(stock, size, SLACK)
+                        stock = []
         if stock:
-            yield from _filled(stock, size, end, part << 38 | number << 18, SLACK)
+            yield from _filled(stock, size, SLACK)
 
     def second(batches):
         stock, last = [], None
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["group"] != last and stock:
-                    yield from _filled(stock, size, end, 1 << 62 | last << 18, None)
-                    stock = []
-                last = row["group"]
-                stock.append((row["doc_ids"][0][0], row["pieces"][0][0], row["starts"][0][0], np.frombuffer(row["ids"], "<u4")))
+        for row in (row for batch in batches for a in range(0, batch.num_rows, 256) for row in batch.slice(a, 256).to_pylist()):
+            if row["group"] != last and stock:
+                yield from _filled(stock, size, None)
+                stock = []
+            last = row["group"]
+            stock.append((row["doc_ids"][0], row["pieces"][0], row["starts"][0], np.frombuffer(row["ids"], "<u4")))
         if stock:
-            yield from _filled(stock, size, end, 1 << 62 | last << 18, None)
+            yield from _filled(stock, size, None)
 
     done = written(plain(docs, "doc_id", "text").mapInArrow(first, _STORED))
-    left = done.filter("matrix_id IS NULL")
+    left = done.filter("cu IS NULL")
     groups = max(1, -(-left.count() // rest))
     # A row's group goes by its place, so repeated rows aren't one group.
     dealt = left.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     dealt = dealt.repartition("group").sortWithinPartitions("group", F.desc("n_tokens"), "ids")
-    return done.filter("matrix_id IS NOT NULL").unionByName(dealt.mapInArrow(second, _STORED)).mapInArrow(_with_positions, SCHEMA)
+    return done.filter("cu IS NOT NULL").unionByName(dealt.mapInArrow(second, _STORED)).mapInArrow(_assembled(size, end), SCHEMA)
 
 
 def segments(packed: DataFrame) -> DataFrame:
