@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, binary_rows, lang_id, media, near_dup, passages, pii, repeats, sentencepiece_bpe, top_k
+from . import best_fit, binary_rows, centroids, chat, lang_id, media, near_dup, passages, pii, repeats, sentencepiece_bpe, top_k, vector_codes
 from .common import ready, table
 
 #: Folder of the public tokenizer files; None takes that of the installed package.
@@ -77,7 +77,26 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ids=False)
 
 
-_ALL = [op1_pii, op2_media, op3_passages, op4_near_duplicates, op5_repeats, op6_language, op7_sentencepiece, op8_token_binary, op9_top_k, op10_best_fit]
+#: A conversation that holds control strings, beside those of the table.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and the probe, formatted, and read back from the segments."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(1).select(F.lit(-1).alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(PROBE).alias("text"))
+    return chat.read_back(chat.format_turns(turns.unionByName(probe.select(*[F.col(c).cast(t) for c, t in turns.dtypes]))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = [op1_pii, op2_media, op3_passages, op4_near_duplicates, op5_repeats, op6_language, op7_sentencepiece, op8_token_binary, op9_top_k, op10_best_fit, op11_chat, op12_vector_codes, op13_centroids]
 
 
 def queries() -> dict:
@@ -91,7 +110,67 @@ def _words(count: int) -> str:
     return reduce(lambda a, k: f"{a}, w[i+{k}]", range(1, count), "w[i]")
 
 
+_SOUND = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))"
+_FLOOR = "(({s}) - ((({s}) % ({n})) + ({n})) % ({n})) // ({n})"
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """One assignment and one update a round, as common tables; parts of equal value are one row with a weight."""
+    d, below = "sum((p.z[i] - b.z[i]) * (p.z[i] - b.z[i]))", _FLOOR.format(s="CAST(sum(w * z) AS BIGINT)", n="CAST(sum(w) AS BIGINT)")
+    near = lambda r: f"""a{r} AS MATERIALIZED (SELECT pos, z, w, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+  SELECT p.pos, p.z, p.w, b.e, list_sum(list_transform(list_zip(p.z, b.z), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist FROM dist p JOIN b{r} b USING (pos)) GROUP BY 1, 2, 3)"""
+    step = lambda r: f"""u{r} AS (SELECT pos, e, i, {below} AS x FROM (SELECT pos, e, w, unnest(z) AS z, generate_subscripts(z, 1) AS i FROM a{r}) GROUP BY 1, 2, 3),
+b{r + 1} AS MATERIALIZED (SELECT b.pos, b.e, coalesce(m.z, b.z) AS z FROM b{r} b LEFT JOIN (SELECT pos, e, list(x ORDER BY i) AS z FROM u{r} GROUP BY 1, 2) m USING (pos, e))"""
+    rest = ",\n".join(f"{near(r)},\n{step(r)}" for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings WHERE embedding IS NOT NULL AND {_SOUND}),
+parts AS MATERIALIZED (SELECT vec_id, label, pos, z[pos * len(z) // 8 + 1 : (pos + 1) * len(z) // 8] AS z FROM v, range(8) t(pos)),
+dist AS MATERIALIZED (SELECT pos, z, count(*) AS w FROM parts GROUP BY 1, 2),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM v ORDER BY vec_id LIMIT 16),
+b0 AS MATERIALIZED (SELECT pos, e, z FROM parts JOIN seeds USING (vec_id)),
+{rest},
+{near(rounds)},
+whole AS (SELECT vec_id, label, string_agg(printf('%02x', a.e), '' ORDER BY pos) AS code, CAST(sum(a.dist) AS BIGINT) AS error FROM parts JOIN a{rounds} a USING (pos, z) GROUP BY 1, 2),
+book AS (SELECT sha256(string_agg(array_to_string(z, ','), ',' ORDER BY pos, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM whole, book"""
+
+
+def _centroids_sql(rounds: int = 5) -> str:
+    below = _FLOOR.format(s="CAST(sum(x) AS BIGINT)", n="count(*)")
+    near = lambda r: f"""a{r} AS MATERIALIZED (SELECT vec_id, z, arg_min(c, (dist, c)) AS c, min(dist) AS dist FROM (
+  SELECT v.vec_id, v.z, c.c, list_sum(list_transform(list_zip(v.z, c.z), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS dist FROM v, c{r} c) GROUP BY 1, 2)"""
+    step = lambda r: f"""u{r} AS (SELECT c, i, {below} AS x FROM (SELECT c, unnest(z) AS x, generate_subscripts(z, 1) AS i FROM a{r}) GROUP BY 1, 2),
+c{r + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.z, c.z) AS z FROM c{r} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS z FROM u{r} GROUP BY 1) m USING (c))"""
+    rest = ",\n".join(f"{near(r)},\n{step(r)}" for r in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z FROM embeddings WHERE len(embedding) = 64 AND {_SOUND}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, z FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40),
+{rest},
+{near(rounds)}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(dist) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.z, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c USING (c)"""
+
+
+def _chat_sql() -> str:
+    held, size = "text", {r: sum(len(p) for p, _ in ps if isinstance(p, str)) for r, ps in chat.CHAT.turns.items()}
+    for i, c in enumerate((chat.ESCAPE, *chat.CHAT.controls)):
+        held = f"replace({held}, '{c}', '{chat.ESCAPE}{chr(96 + i) if i else c}')"
+    marks, order = " ".join(f"WHEN '{r}' THEN {n}" for r, n in size.items()), "ORDER BY turn, role, text"
+    return f"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
+p AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id {order}), '') AS prev FROM t),
+m AS (SELECT *, (prev, role) NOT IN (('', 'system'), ('', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS odd FROM p)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({held}) + CASE role {marks} END) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (odd) AS BIGINT) AS out_of_order,
+  NOT bool_or(odd) AND last(role {order}) = 'assistant' AS complete
+FROM m GROUP BY conv_id"""
+
+
 ORACLES = {
+    "op11_chat": _chat_sql(),
+    "op12_vector_codes": _codes_sql(),
+    "op13_centroids": _centroids_sql(),
     # Squared work: only the queries' rows meet all others.
     "op9_top_k": """
 WITH flat AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings),
