@@ -2,7 +2,11 @@
 
 Status of each row: 1 duplicate, 0 new greatest, -1 fills a gap, -2 below the
 first window (always delivered, never deduplicated). statuses() is relational
-and valid while no window is evicted; fold() replays the detector itself.
+and valid while no window is evicted. replay() is exact with evictions too: it replays the few arrivals that can
+open a window, and joins all rows with the windows' lives. fold() runs the detector itself, one key a task.
+
+Rows without topic, part, offset or arrival belong to no detector: replay() and fold() give them back with
+null status and window.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept, same
+
 KEY = ["topic", "part"]
 WINDOW, MAX_WINDOWS = 100, 1_000_000
 
@@ -151,5 +157,110 @@ def fold(log: DataFrame, width: int = WINDOW, max_windows: int = 3) -> DataFrame
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in FOLD.split(", ")])
             yield frame.astype({c: "Int64" for c in ("status", "window_min", "gap_from", "gap_to")})
 
-    rows = log.select("topic", "part", "off", "arrival").repartition(*KEY).sortWithinPartitions(*KEY, "arrival")
-    return rows.mapInPandas(run, FOLD)
+    rows, odd = _standard(log)
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "arrival").mapInPandas(run, FOLD).unionByName(odd)
+
+
+def _standard(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(topic, part, off, arrival) of the rows that have them all, and the others as FOLD."""
+    rows = log.select(*KEY, "off", "arrival")
+    whole = F.col("topic").isNotNull() & F.col("part").isNotNull() & F.col("off").isNotNull() & F.col("arrival").isNotNull()
+    none = {c: F.lit(None).cast(t) for c, t in (("status", "int"), ("window_min", "long"), ("gap_from", "long"), ("gap_to", "long"))}
+    odd = rows.filter(~whole).select(*[F.col(c).cast(t) for c, t in (("topic", "string"), ("part", "int"), ("off", "long"), ("arrival", "long"))], F.lit("row").alias("kind"), *[c.alias(n) for n, c in none.items()])
+    return rows.filter(whole), odd
+
+
+LIVES = "topic string, part int, win long, born long, died long, died_off long, block long"
+#: Rounds in which only doubtful windows are looked at more closely; then a key in doubt is replayed row by row.
+CLOSER = 3
+
+
+def _replay(max_windows: int):
+    """mapInPandas over touches (topic, part, win, block, first, last, off) by key and first: windows' lives, and rows with a block for touches in doubt.
+
+    A touch stands for all arrivals of a window in a block. It is in doubt if its window went, or could have been opened, between its
+    first and its last arrival.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, born, touch, apart, out = None, {}, {}, {}, []
+        for pdf in batches:
+            for topic, part, win, block, first, last, off in pdf.itertuples(index=False):
+                if (topic, part) != key:
+                    out += [(*key, w, b, None, None, None) for w, b in born.items()] if key else []
+                    key, born, touch, apart = (topic, part), {}, {}, {}
+                if win not in born:
+                    oldest = next(iter(born), win)
+                    if win < oldest:
+                        apart[win] = max(apart.get(win, (last, block)), (last, block))
+                        continue
+                    if len(born) >= max_windows:
+                        out.append((*key, oldest, born.pop(oldest), first, off, None))
+                        apart[oldest] = touch.pop(oldest)
+                        oldest = next(iter(born), win)
+                    born[win] = first
+                    apart.pop(win, None)
+                    for w, (until, b) in list(apart.items()):
+                        if until <= first:
+                            del apart[w]
+                        elif w >= oldest:
+                            out.append((*key, w, None, None, None, b))
+                            del apart[w]
+                touch[win] = max(touch.get(win, (last, block)), (last, block))
+            yield _lives(out)
+            out = []
+        yield _lives([(*key, w, b, None, None, None) for w, b in born.items()] if key else [])
+
+    return run
+
+
+def _lives(rows: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in LIVES.split(", ")]
+    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[1:]})
+
+
+def lives(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int = 1 << 12) -> DataFrame:
+    """(topic, part, win, born, died, died_off): when each window was opened, and by which arrival evicted (null: never).
+
+    Only the first arrival of a window in a block of arrivals is replayed; where a window's part in a block is in doubt, its
+    own arrivals are replayed too, until nothing is. So a task reads a key's windows, not its rows.
+    """
+    rows = _standard(log)[0].withColumns({"win": F.col("off") - F.col("off") % width, "block": F.floor(F.col("arrival") / block)})
+    group = [*KEY, "win", "block"]
+    touches = kept(rows.groupBy(*group).agg(F.min("arrival").alias("first"), F.max("arrival").alias("last"), F.min_by("off", "arrival").alias("off")))
+    closer = None
+    for near in range(CLOSER + 2):
+        each = touches
+        if closer is not None:
+            single = rows.join(closer, group, "left_semi").select(*group, F.col("arrival").alias("first"), F.col("arrival").alias("last"), "off")
+            each = touches.join(closer, group, "left_anti").unionByName(single)
+        sorted_ = each.select(*group, "first", "last", "off").repartition(*KEY).sortWithinPartitions(*KEY, "first")
+        got = kept(sorted_.mapInPandas(_replay(max_windows), LIVES))
+        doubt = got.filter("block IS NOT NULL").select(*group).distinct()
+        if doubt.isEmpty():
+            return got.filter("block IS NULL").drop("block")
+        if near >= CLOSER - 1:
+            doubt = touches.join(doubt.select(*KEY).distinct(), KEY, "left_semi").select(*group)
+        closer = kept(doubt if closer is None else closer.unionByName(doubt).distinct())
+    raise AssertionError("single arrivals are never in doubt")
+
+
+def lived(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int = 1 << 12) -> DataFrame:
+    """(topic, part, off, arrival, hi, win, born, died, died_off, seen) of the standard rows: the life of its window that a row fell into, if any, and its rank among the arrivals of its number there."""
+    at = kept(lives(log, width, max_windows, block)).select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "win")], "born", "died", "died_off")
+    rows = running_max(_standard(log)[0], 1 << 22).withColumn("win", F.col("off") - F.col("off") % width)
+    inside = (F.col("arrival") >= F.col("born")) & (F.col("died").isNull() | (F.col("arrival") < F.col("died")))
+    found = rows.join(at, same(rows, at, {c: f"_{c}" for c in (*KEY, "win")}) & inside, "left").drop("_topic", "_part", "_win")
+    return found.withColumn("seen", F.row_number().over(Window.partitionBy(*KEY, "win", "off", "born").orderBy("arrival")))
+
+
+def replay(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int = 1 << 12) -> DataFrame:
+    """What fold() gives, relationally: each row joined with the life of its window, the gaps of evicted windows from the numbers that they saw."""
+    rows = kept(lived(log, width, max_windows, block))
+    status = F.when(F.col("born").isNull(), -2).when(F.col("seen") > 1, 1).when(F.col("off") == F.col("hi"), 0).otherwise(-1).cast("int")
+    none = [F.lit(None).cast("long").alias(c) for c in ("gap_from", "gap_to")]
+    plain = rows.select(*KEY, "off", "arrival", F.lit("row").alias("kind"), status.alias("status"), F.col("win").alias("window_min"), *none)
+    before = F.lag("off").over(Window.partitionBy(*KEY, "win", "born").orderBy("off"))
+    holes = rows.filter("seen = 1 AND died IS NOT NULL").withColumns({"gap_from": F.coalesce(before + 1, F.col("win")), "gap_to": F.col("off") - 1}).filter("gap_from <= gap_to")
+    gone = holes.select(*KEY, F.col("died_off").alias("off"), F.col("died").alias("arrival"), F.lit("gap").alias("kind"), F.lit(None).cast("int").alias("status"), F.col("win").alias("window_min"), "gap_from", "gap_to")
+    return plain.unionByName(gone).unionByName(_standard(log)[1])

@@ -104,6 +104,32 @@ def first_old_gaps(gaps: DataFrame, now, keys: list[str], seconds: int = 30, com
     return gaps.groupBy(*keys).agg(F.min(F.when(old, F.col("gap_from"))).alias("first_gap"), F.sum(size).alias("total"))
 
 
+def emissions(marked: DataFrame, every: int, last_tick: DataFrame) -> DataFrame:
+    """(tick, topic, part, win, gaps): what detectors report when a clock ticks after every `every` arrivals' time.
+
+    marked: (topic, part, win, off, arrival, died) of the numbers that windows saw first, died null where the window stays;
+    last_tick: one row (last). A window with gaps is reported at each tick, one without when it had some at the tick before it changed,
+    and once at first. A window's numbers, at most its width, meet in one row; between the ticks at which it changes, its state stays.
+    """
+    tick = lambda t: F.floor(t / every)
+    each = marked.groupBy(*WIN, "died").agg(F.array_sort(F.collect_list(F.struct(tick(F.col("arrival")).alias("t"), "off"))).alias("seen"))
+
+    def ranges_at(t):
+        offs = F.array_sort(F.transform(F.filter("seen", lambda x: x["t"] <= t), lambda x: x["off"]))
+        before = F.concat(F.array(F.col("win") - 1), F.slice(offs, 1, F.size(offs) - 1))
+        return F.filter(F.zip_with(before, offs, lambda p, o: F.array(p + 1, o - 1)), lambda g: g[0] <= g[1])
+
+    states = F.transform(F.array_distinct(F.transform("seen", lambda x: x["t"])), lambda t: F.struct(t.alias("t"), ranges_at(t).alias("gaps")))
+    each = each.join(F.broadcast(last_tick.select("last")), F.lit(True)).select(*WIN, F.least(F.col("last"), tick(F.col("died")) - 1).alias("_end"), states.alias("_s"))
+    # A state holds until the tick before the next; so many states as ticks at which a number came.
+    until = lambda k: F.least(F.coalesce(F.get("_s", k + 1)["t"] - 1, F.col("_end")), F.col("_end"))
+    was = lambda k: F.when(k == 0, True).otherwise(F.size(F.get("_s", k - 1)["gaps"]) > 0)
+    spans = F.transform("_s", lambda s, k: F.struct(s["t"].alias("t"), s["gaps"].alias("gaps"), until(k).alias("until"), was(k).alias("was")))
+    rows = each.select(*WIN, F.explode(spans).alias("_x")).select(*WIN, "_x.*").filter(F.col("t") <= F.col("until"))
+    held = F.sequence("t", F.when(F.size("gaps") > 0, F.col("until")).otherwise(F.col("t")))
+    return rows.filter((F.size("gaps") > 0) | F.col("was")).select(F.explode(held).alias("tick"), *WIN, "gaps")
+
+
 def memory_estimate(marked: DataFrame) -> DataFrame:
     """(topic, part, windows, bytes): 16 bytes a window and 16 a received number."""
     return marked.groupBy(*KEY).agg(F.count_distinct("win").alias("windows"), F.count(F.lit(1)).alias("n")).select(*KEY, "windows", (16 * F.col("windows") + 16 * F.col("n")).alias("bytes"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept, reachable, same
+
 
 def delayed(events: DataFrame, threads: dict[str, int]) -> DataFrame:
     """Each event once per sending thread {name: -seconds}, with thread and send_ts."""
@@ -55,20 +57,39 @@ def spaced(events: DataFrame, keys: list[str], gap: float, seconds: str = "t", b
     return rows.withColumn("release", F.col("_reach") + F.col("_k") * gap).drop("_k", "_reach")
 
 
-def accepted_every(events: DataFrame, key: str, gap: float, seconds: str = "t") -> DataFrame:
-    """Events that come at least gap seconds after the last accepted one of their key.
+def _next_after(times: DataFrame, gap: float) -> DataFrame:
+    """(_k, at, to): for each of the distinct times (_k, at) of a key the least that is at least gap later, where there is one.
 
-    The last accepted event decides, so this is a fold; rows are dealt by key, sorted and streamed, and a task holds one time.
+    Times are dealt by intervals of gap: what is at least gap later than a time of interval b lies in b + 1 or beyond. In b + 1 it is found by a
+    running minimum over that interval alone; beyond it is the first time of the next interval that has any, one row an interval.
     """
+    rows = times.withColumn("_b", F.floor(F.col("at") / gap))
+    given = rows.select("_k", "_b", F.col("at").alias("_x"), F.lit(None).cast(times.schema["at"].dataType).alias("at"), F.lit(1).alias("_given"))
+    asked = rows.select("_k", (F.col("_b") + 1).alias("_b"), (F.col("at") + gap).alias("_x"), "at", F.lit(0).alias("_given"))
+    down = Window.partitionBy("_k", "_b").orderBy(F.desc("_x"), F.desc("_given")).rowsBetween(Window.unboundedPreceding, 0)
+    near = given.unionByName(asked).withColumn("_near", F.min(F.when(F.col("_given") == 1, F.col("_x"))).over(down)).filter("_given = 0")
+    firsts = rows.groupBy("_k", "_b").agg(F.min("at").alias("_first"))
+    order = Window.partitionBy("_k").orderBy("_b")
+    skip = F.lead("_b").over(order) == F.col("_b") + 1
+    beyond = F.when(skip, F.lead("_first", 2).over(order)).otherwise(F.lead("_first").over(order))
+    beyond = firsts.select(F.col("_k").alias("_fk"), (F.col("_b") + 1).alias("_fb"), beyond.alias("_beyond"))
+    both = near.join(beyond, same(near, beyond, {"_k": "_fk", "_b": "_fb"}))
+    return both.select("_k", "at", F.coalesce("_near", "_beyond").cast(times.schema["at"].dataType).alias("to")).filter("to IS NOT NULL")
+
 
-    def run(batches):
-        now, last = None, None
-        for pdf in batches:
-            keep = []
-            for k, t in zip(pdf[key], pdf[seconds]):
-                ok = last is None or k != now or t - last >= gap
-                now, last = k, t if ok else last
-                keep.append(ok)
-            yield pdf[keep]
-
-    return events.repartition(key).sortWithinPartitions(key, seconds).mapInPandas(run, events.schema)
+def accepted_every(events: DataFrame, key: str, gap: float, seconds: str = "t") -> DataFrame:
+    """Events that come at least gap seconds after the last accepted one of their key; the first is accepted.
+
+    Each time has one successor, the next that may be accepted after it; what is reachable from a key's first time is accepted. Pointers
+    to successors double, so no key is one task. Of several events at an accepted time the least row is taken. Events
+    without a time are never accepted; those without a key are one key. A gap of 0 or less accepts every event that has a time. Exact for whole numbers.
+    """
+    rows = events.filter(F.col(seconds).isNotNull())
+    if gap <= 0:
+        return rows
+    times = kept(rows.select(F.col(key).alias("_k"), F.col(seconds).alias("at")).distinct())
+    taken = reachable(_next_after(times, gap), times.groupBy("_k").agg(F.min("at").alias("at")), ["_k"])
+    rest = [c for c in events.columns if c not in (key, seconds)]
+    one = rows.groupBy(key, seconds).agg(F.min(F.struct(*rest)).alias("_r")) if rest else rows.distinct()
+    got = one.join(taken, same(one, taken, {key: "_k", seconds: "at"}), "left_semi")
+    return got.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in events.columns])

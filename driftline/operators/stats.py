@@ -35,6 +35,36 @@ def missing_report(statuses: DataFrame, gaps: DataFrame, keys: list[str]) -> Dat
     return rows.join(lost, keys, "left").withColumn("total_missing", F.coalesce("total_missing", F.lit(0)))
 
 
+def missing_ticks(rows: DataFrame, every: int, keys: list[str]) -> DataFrame:
+    """The report at each tick of a clock, of all arrivals until then: (tick, keys, total_missing, delta_missing, received, delta_received,
+    emitted, delta_emitted, duplicates, gap_fill, below_range, eps), from a key's first tick to the last of all.
+
+    rows: (keys, win, off, arrival, status, payload), and evicted: null, or the arrival at which the row's window went. A number is missing from the
+    arrival of a greater one in its window until its own, or until the window goes. So an arrival that is greater than all before it in its
+    window opens what it skips, as one count, and one that isn't closes one; sums of these over ticks, one row a tick,
+    give the totals. Nothing is expanded, and only rows of one window meet, at most its width.
+    """
+    win = [*keys, "win"]
+    came = F.col("status").isin(0, -1)
+    rows = rows if "evicted" in rows.columns else rows.withColumn("evicted", F.lit(None).cast("long"))
+    rows = rows.withColumn("tick", F.floor(F.col("arrival") / every))
+    before = F.coalesce(F.max("off").over(Window.partitionBy(*win, "evicted").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)), F.col("win") - 1)
+    change = F.when(F.col("off") > before, F.col("off") - before - 1).otherwise(-1)
+    opened = rows.filter(came).select(*win, "evicted", "tick", change.alias("change"))
+    gone = opened.filter("evicted IS NOT NULL").groupBy(*win, "evicted").agg((-F.sum("change")).alias("change"))
+    moves = opened.select(*keys, "tick", "change").unionByName(gone.select(*keys, F.floor(F.col("evicted") / every).alias("tick"), "change"))
+    moved = moves.groupBy(*keys, "tick").agg(F.sum("change").alias("delta_missing"))
+    n = {"delta_received": F.lit(True), "delta_emitted": (F.col("status") != 1) & (F.octet_length("payload") > 0), "_dup": F.col("status") == 1, "_fill": F.col("status") == -1, "_below": F.col("status") == -2}
+    counted = rows.groupBy(*keys, "tick").agg(*[F.count_if(c).alias(k) for k, c in n.items()])
+    last = rows.agg(F.max("tick").alias("_last"))  # one row
+    grid = counted.groupBy(*keys).agg(F.min("tick").alias("_first")).join(F.broadcast(last), F.lit(True)).select(*keys, F.explode(F.sequence("_first", "_last")).alias("tick"))
+    grid = grid.join(counted, [*keys, "tick"], "left").join(moved, [*keys, "tick"], "left").fillna(0, [*n, "delta_missing"])
+    so_far = Window.partitionBy(*keys).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
+    total = {"total_missing": "delta_missing", "received": "delta_received", "emitted": "delta_emitted", "duplicates": "_dup", "gap_fill": "_fill", "below_range": "_below"}
+    out = grid.withColumns({t: F.sum(d).over(so_far) for t, d in total.items()}).withColumn("eps", F.floor(F.col("delta_received") / every))
+    return out.select("tick", *keys, "total_missing", "delta_missing", "received", "delta_received", "emitted", "delta_emitted", "duplicates", "gap_fill", "below_range", "eps")
+
+
 def deltas(reports: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Change of a value since the key's report before (the first report's is the value)."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(order))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import config, gap_bitmap, wire
-from ..operators import dedup, filters, gaps, rates, resend, stats, transport
-from ..sources import readers
+from ..operators import dedup, filters, gaps, rates, reassembly, resend, stats, transport
+from ..sources import byte_streams, readers
+from ..tables import kept
 
 KEY = dedup.KEY
 AES_KEY = b"0123456789abcdef0123456789abcdef"
@@ -146,7 +147,7 @@ UNION ALL SELECT topic, part, off, arrival, 'gap', NULL, lo, gap_from, gap_to FR
 @query(EVICTING)
 def dedup_fold_evicting(spark, d):
     """The exact detector with windows of 50, 3 of them: statuses and gaps of evicted windows."""
-    return dedup.fold(raw_log(spark, d), 50, 3)
+    return dedup.replay(raw_log(spark, d), 50, 3)
 
 
 @query(f"WITH {LOG}, f AS (SELECT topic, part, arg_min(off - off % 100, arrival) AS fw FROM raw GROUP BY 1, 2) SELECT topic, part, count(DISTINCT off - off % 100) AS windows, count(DISTINCT off - off % 100) > 3 AS evicts FROM raw JOIN f USING (topic, part) WHERE off - off % 100 >= fw GROUP BY 1, 2")
@@ -391,6 +392,39 @@ def missing_report(spark, d):
     return stats.missing_report(s, g, KEY)
 
 
+#: The clock of reports ticks after every so many arrivals' time.
+TICK = 10_000
+
+
+@query(f"""WITH {STATUS}, k AS (SELECT topic, part, min(arrival) // {TICK} AS first FROM s GROUP BY 1, 2),
+t AS (SELECT topic, part, unnest(range(first, (SELECT max(arrival) // {TICK} + 1 FROM s))) AS tick FROM k),
+v AS (SELECT t.tick, topic, part, win, max(off) - win + 1 - count(*) AS n FROM t JOIN s USING (topic, part) WHERE status IN (0, -1) AND arrival < (t.tick + 1) * {TICK} GROUP BY t.tick, topic, part, win),
+m AS (SELECT tick, topic, part, sum(n) AS n FROM v GROUP BY 1, 2, 3),
+c AS (SELECT t.tick, topic, part, count(*) AS received, count(*) FILTER (status <> 1 AND payload <> '') AS emitted, count(*) FILTER (status = 1) AS duplicates, count(*) FILTER (status = -1) AS gap_fill, count(*) FILTER (status = -2) AS below_range
+  FROM t JOIN s USING (topic, part) WHERE arrival < (t.tick + 1) * {TICK} GROUP BY 1, 2, 3),
+r AS (SELECT c.*, CAST(coalesce(n, 0) AS BIGINT) AS total_missing FROM c LEFT JOIN m USING (tick, topic, part))
+SELECT tick, topic, part, total_missing, total_missing - lag(total_missing, 1, 0) OVER o AS delta_missing, received, received - lag(received, 1, 0) OVER o AS delta_received,
+  emitted, emitted - lag(emitted, 1, 0) OVER o AS delta_emitted, duplicates, gap_fill, below_range, (received - lag(received, 1, 0) OVER o) // {TICK} AS eps FROM r WINDOW o AS (PARTITION BY topic, part ORDER BY tick)""")
+def missing_report_ticks(spark, d):
+    """What each key's report says at each tick."""
+    return stats.missing_ticks(kept(dedup.statuses(raw_log(spark, d))), TICK, KEY)
+
+
+@query(f"""WITH {STATUS}, f AS (SELECT topic, part, win, off, arrival // {TICK} AS t FROM s WHERE status IN (0, -1)), b AS (SELECT topic, part, win, min(t) AS born FROM f GROUP BY 1, 2, 3),
+y AS (SELECT *, unnest(range(born, (SELECT max(arrival) // {TICK} + 1 FROM raw))) AS tick FROM b),
+x AS (SELECT y.tick, y.topic, y.part, y.win, off, coalesce(lag(off) OVER (PARTITION BY y.tick, y.topic, y.part, y.win ORDER BY off) + 1, y.win) AS a FROM y JOIN f ON f.topic = y.topic AND f.part = y.part AND f.win = y.win AND f.t <= y.tick),
+n AS (SELECT tick, topic, part, win, count(*) FILTER (a < off) AS n_gaps, coalesce(string_agg(CASE WHEN a = off - 1 THEN CAST(a AS VARCHAR) ELSE concat(a, '-', off - 1) END, ', ' ORDER BY a) FILTER (a < off), '') AS text FROM x GROUP BY 1, 2, 3, 4),
+e AS (SELECT *, lag(n_gaps, 1, 1) OVER (PARTITION BY topic, part, win ORDER BY tick) AS before FROM n)
+SELECT tick, topic, part, win, n_gaps, text FROM e WHERE n_gaps > 0 OR before > 0""")
+def gap_emissions(spark, d):
+    """The gap topic's records of each tick."""
+    s = kept(dedup.statuses(raw_log(spark, d)))
+    marked = s.filter("status IN (0, -1)").withColumn("died", F.lit(None).cast("long"))
+    out = gaps.emissions(marked, TICK, s.agg(F.floor(F.max("arrival") / TICK).alias("last")))
+    text = F.array_join(F.transform("gaps", lambda g: wire.format_range(g[0], g[1])), ", ")
+    return out.select("tick", *gaps.WIN, F.size("gaps").cast("long").alias("n_gaps"), text.alias("text"))
+
+
 @query(f"WITH {LOG}, t AS (SELECT topic, time_bucket(INTERVAL 3600 SECONDS, ts) AS time_start, count(*) AS received FROM raw GROUP BY 1, 2) SELECT topic, time_start, received, received - coalesce(lag(received) OVER (PARTITION BY topic ORDER BY time_start), 0) AS delta_received FROM t")
 def report_deltas(spark, d):
     rows = stats.intervals(raw_log(spark, d), 3600, ["topic"]).select("topic", "time_start", "received")
@@ -434,6 +468,27 @@ def split_stream_frames(spark, d):
     return readers.stream_frames(joined).select("id", (F.col("seq") + 1).alias("part_no"), "n_parts", F.hex("frame").alias("frame"))
 
 
+@query(FRAMES)
+def split_chunked_streams(spark, d):
+    """All frames as eight byte streams in chunks of 1,000 bytes, split again."""
+    sent = kept(wire.fragment(documents(spark, d).withColumn("stream", F.col("doc_id") % 8), 1400))
+    got = byte_streams.split_chunks(byte_streams.to_chunks(sent, "stream", ["doc_id", "part_no"], 1000))
+    return wire.parse(got.select("frame"), 65_535).select("id", "part_no", "n_parts", F.hex("frame").alias("frame"))
+
+
+@query("WITH m AS (SELECT doc_id, concat('doc_', doc_id % 8, '_', doc_id) AS id, sha256(text) AS hash, octet_length(encode(text)) AS n, 1400 - 13 - length(concat('doc_', doc_id % 8, '_', doc_id)) AS cap FROM documents) SELECT id, hash, CAST(CASE WHEN doc_id % 7 = 0 OR n > cap AND doc_id % 5 = 0 THEN 1 ELSE 2 END AS BIGINT) AS n FROM m")
+def redelivered(spark, d):
+    """Messages that come twice: of some the first delivery lacks its first part, of some the second one's last part comes after the entry's life."""
+    n, part, again = F.col("doc_id"), F.col("part_no"), F.col("again")
+    frames = wire.fragment(documents(spark, d), 1400).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    frames = frames.filter(~((again == 0) & (n % 7 == 0) & (part == 1)))
+    late = F.when((again == 1) & (n % 5 == 0) & (part == F.col("n_parts")) & (part > 1), 10**12).otherwise(0)
+    # Written: a sender's and a receiver's expressions in one plan would be too much code for one method.
+    parsed = wire.parse(kept(frames.select("frame", (n * 100_000 + again * 50_000 + part + late).alias("arrival"))), 65_535)
+    got = reassembly.messages(parsed, 60_000)
+    return got.groupBy("id", wire.content_hash(F.col("value")).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT concat('doc_', doc_id % 8, '_', doc_id) AS id, sha256(text) AS hash, 'doc' AS topic, CAST(doc_id % 8 AS INTEGER) AS part FROM documents")
 def round_trip(spark, d):
     """Gzip, encrypt, fragment, parse, reassemble, decrypt, decompress: the texts come back."""

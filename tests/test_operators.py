@@ -12,7 +12,7 @@ from driftline.functions import compress, config, gap_bitmap, key_exchange, wire
 from driftline.operators import dedup, filters, gaps, rates, resend, stats, transport
 from driftline.sources import readers, sinks
 
-KEY32 = b"your-32-byte-key-here!abcdefghij"
+KEY32 = b"thirty-two bytes of a test key ."
 
 
 def frames_of(spark, values, mtu, id="testID", compat=False):
