@@ -157,11 +157,11 @@ def fold(log: DataFrame, width: int = WINDOW, max_windows: int = 3) -> DataFrame
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in FOLD.split(", ")])
             yield frame.astype({c: "Int64" for c in ("status", "window_min", "gap_from", "gap_to")})
 
-    rows, odd = _standard(log)
+    rows, odd = standard(log)
     return rows.repartition(*KEY).sortWithinPartitions(*KEY, "arrival").mapInPandas(run, FOLD).unionByName(odd)
 
 
-def _standard(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+def standard(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(topic, part, off, arrival) of the rows that have them all, and the others as FOLD."""
     rows = log.select(*KEY, "off", "arrival")
     whole = F.col("topic").isNotNull() & F.col("part").isNotNull() & F.col("off").isNotNull() & F.col("arrival").isNotNull()
@@ -225,7 +225,7 @@ def lives(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int
     Only the first arrival of a window in a block of arrivals is replayed; where a window's part in a block is in doubt, its
     own arrivals are replayed too, until nothing is. So a task reads a key's windows, not its rows.
     """
-    rows = _standard(log)[0].withColumns({"win": F.col("off") - F.col("off") % width, "block": F.floor(F.col("arrival") / block)})
+    rows = standard(log)[0].withColumns({"win": F.col("off") - F.col("off") % width, "block": F.floor(F.col("arrival") / block)})
     group = [*KEY, "win", "block"]
     touches = kept(rows.groupBy(*group).agg(F.min("arrival").alias("first"), F.max("arrival").alias("last"), F.min_by("off", "arrival").alias("off")))
     closer = None
@@ -248,7 +248,7 @@ def lives(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int
 def lived(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int = 1 << 12) -> DataFrame:
     """(topic, part, off, arrival, hi, win, born, died, died_off, seen) of the standard rows: the life of its window that a row fell into, if any, and its rank among the arrivals of its number there."""
     at = kept(lives(log, width, max_windows, block)).select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "win")], "born", "died", "died_off")
-    rows = running_max(_standard(log)[0], 1 << 22).withColumn("win", F.col("off") - F.col("off") % width)
+    rows = running_max(standard(log)[0], 1 << 22).withColumn("win", F.col("off") - F.col("off") % width)
     inside = (F.col("arrival") >= F.col("born")) & (F.col("died").isNull() | (F.col("arrival") < F.col("died")))
     found = rows.join(at, same(rows, at, {c: f"_{c}" for c in (*KEY, "win")}) & inside, "left").drop("_topic", "_part", "_win")
     return found.withColumn("seen", F.row_number().over(Window.partitionBy(*KEY, "win", "off", "born").orderBy("arrival")))
@@ -263,4 +263,4 @@ def replay(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int
     before = F.lag("off").over(Window.partitionBy(*KEY, "win", "born").orderBy("off"))
     holes = rows.filter("seen = 1 AND died IS NOT NULL").withColumns({"gap_from": F.coalesce(before + 1, F.col("win")), "gap_to": F.col("off") - 1}).filter("gap_from <= gap_to")
     gone = holes.select(*KEY, F.col("died_off").alias("off"), F.col("died").alias("arrival"), F.lit("gap").alias("kind"), F.lit(None).cast("int").alias("status"), F.col("win").alias("window_min"), "gap_from", "gap_to")
-    return plain.unionByName(gone).unionByName(_standard(log)[1])
+    return plain.unionByName(gone).unionByName(standard(log)[1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.wire import parse
-from ..operators.dedup import FOLD, KEY, Detector
+from ..operators.dedup import FOLD, KEY, Detector, standard
 
 
 def dedup_stream(log: DataFrame, width: int = 100, max_windows: int = 5, emit_seconds: int | None = None) -> DataFrame:
@@ -20,6 +21,7 @@ def dedup_stream(log: DataFrame, width: int = 100, max_windows: int = 5, emit_se
 
     kind 'row': an arrival with its status; 'gap': a gap of an evicted window, or with emit_seconds of a periodic report,
     where a window whose gaps have closed is reported once without bounds. A micro-batch's rows of a key are sorted by arrival.
+    Rows without topic, part, offset or arrival come back with null status. map_state.dedup_stream writes only the windows that a batch touches.
     """
     names = [c.split()[0] for c in FOLD.split(", ")]
 
@@ -43,7 +45,8 @@ def dedup_stream(log: DataFrame, width: int = 100, max_windows: int = 5, emit_se
         yield pd.DataFrame(out, columns=names).astype(kinds)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if emit_seconds else GroupStateTimeout.NoTimeout
-    return log.select(*KEY, "off", "arrival").groupBy(*KEY).applyInPandasWithState(run, FOLD, "detector string", "append", timeout)
+    rows, odd = standard(log)
+    return rows.groupBy(*KEY).applyInPandasWithState(run, FOLD, "detector string", "append", timeout).unionByName(odd)
 
 
 class Assembler:
@@ -120,16 +123,22 @@ def delayed_stream(events: DataFrame, threads: dict[str, int], poll_seconds: int
     return each.groupBy("thread", "slot").applyInPandasWithState(run, "thread string, id string, value binary", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def live_report(gap_topic: DataFrame, show, query: str = "gaps"):
-    """Redraws the report of a streaming gap topic (topic, part, window_min, ...) on change, once per micro-batch.
+def live_report(gap_topic: DataFrame, show, path: str | None = None, query: str = "gaps"):
+    """Redraws the report of a streaming gap topic (topic, part, window_min, read_seq, ...) on change, once per micro-batch.
 
-    show(windows) gets the latest record of each window of the batch.
+    show(windows) gets the latest record of every window that has been seen so far, not of the batch alone. They are kept in a table at
+    path (a folder that all executors share; give it to go on after a restart), to which each batch adds its own once, however often it runs.
     """
-    from ..operators.gaps import latest_windows
+    from ..tables import shared_folder
+    from .compacted import LatestTable
 
-    def redraw(batch: DataFrame, _: int) -> None:
+    spark = gap_topic.sparkSession
+    seen = LatestTable(spark, path or f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", [*KEY, "window_min"], "read_seq")
+
+    def redraw(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            show(latest_windows(batch))
+            seen.upsert(batch, number)
+            show(seen.read())
 
     return gap_topic.writeStream.queryName(query).foreachBatch(redraw)
 

@@ -27,6 +27,13 @@ def test_dedup_stream_is_batch(spark, sf, tmp_path):
     assert ours == sorted(tuple(map(str, r)) for r in dedup.fold(log, 50, 3).collect())
 
 
+def test_rows_without_offset_go_past_the_stream(spark, tmp_path):
+    rows = [("t", 0, None, 1), (None, 0, 2, 2), ("t", 0, 3, 3), ("t", 0, 3, 4)]
+    spark.createDataFrame(rows, "topic string, part int, off long, arrival long").write.parquet(str(tmp_path / "odd"))
+    got = drained(stateful.dedup_stream(spark.readStream.schema("topic string, part int, off long, arrival long").parquet(str(tmp_path / "odd")), 10, 3), tmp_path, "odd_rows")
+    assert sorted((r.arrival, r.status) for r in got.collect() if r.status is not None) == [(3, 0), (4, 1)] and got.count() == 4
+
+
 def test_reassembly_stream(spark, tmp_path):
     rows = [(f"t_0_{k}", 6, bytearray(b"ab" * n)) for k, n in enumerate([0, 3, 40, 200])]
     frames = wire.fragment(spark.createDataFrame(rows, "id string, type int, value binary"), 60).select("frame", F.monotonically_increasing_id().alias("arrival"))
@@ -195,15 +202,142 @@ def test_delayed_stream(spark, tmp_path):
     assert first["now"] == 6 and got == Counter((t, f"e{k}") for t in ("now", "late") for k in range(6))
 
 
-def test_live_report_shows_the_latest_of_each_window(spark, tmp_path):
-    rows = [("t", 0, 100, 1, 199, [[3]]), ("t", 0, 100, 2, 199, []), ("t", 1, 0, 3, 99, [[1, 4]])]
-    schema = "topic string, part int, window_min long, read_seq long, window_max long, gaps array<array<long>>"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "gaps"))
+GAP_TOPIC = "topic string, part int, window_min long, read_seq long, window_max long, gaps array<array<long>>"
+
+
+def test_live_report_keeps_what_earlier_batches_told(spark, tmp_path):
+    batches = [[("t", 0, 100, 1, 199, [[3]]), ("t", 0, 100, 2, 199, []), ("t", 1, 0, 3, 99, [[1, 4]])], [("t", 0, 200, 4, 299, [[5]]), ("t", 1, 0, 5, 99, [[2]])], [("t", 0, 100, 6, 199, [[9]])]]
     shown = []
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "gaps"))
-    q = stateful.live_report(stream, lambda w: shown.extend(map(tuple, w.select("topic", "part", "window_min", "gaps").collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert sorted(shown) == [("t", 0, 100, []), ("t", 1, 0, [[1, 4]])]
+    show = lambda w: shown.append(sorted((r.topic, r.part, r.window_min, r.gaps) for r in w.collect()))
+    want = [[("t", 0, 100, []), ("t", 1, 0, [[1, 4]])], [("t", 0, 100, []), ("t", 0, 200, [[5]]), ("t", 1, 0, [[2]])], [("t", 0, 100, [[9]]), ("t", 0, 200, [[5]]), ("t", 1, 0, [[2]])]]
+    for k, rows in enumerate(batches):  # the query is started again for each
+        spark.createDataFrame(rows, GAP_TOPIC).coalesce(1).write.mode("append").parquet(str(tmp_path / "gaps"))
+        stream = spark.readStream.schema(GAP_TOPIC).parquet(str(tmp_path / "gaps"))
+        q = stateful.live_report(stream, show, str(tmp_path / "seen")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        assert shown[-1] == want[k] and len(shown) == k + 1
+
+
+def test_latest_table_merges_and_repeats(spark, tmp_path):
+    from driftline.streaming.compacted import LatestTable
+
+    t = LatestTable(spark, str(tmp_path / "t"), ["k"], "seq", merge_every=3)
+    assert t.read() is None and t.read("k int, seq long, v string").collect() == []
+    want = {}
+    for n in range(11):
+        rows = [(k, n * 10 + k, f"{n}:{k}") for k in range(n % 4, n % 4 + 3)] + [(0, -1, "old")] * (n > 3) + [(None, n, "none")]
+        df = spark.createDataFrame(rows, "k int, seq long, v string")
+        for _ in range(2):  # a batch that runs again
+            t.upsert(df, n)
+            for k, s, v in rows:
+                want[k] = max(want.get(k, (s, v)), (s, v))
+            assert {r.k: (r.seq, r.v) for r in t.read().collect()} == want
+    base, deltas = t.parts()
+    assert base >= 5 and len(deltas) < 3
+    before = t.parts()
+    t.upsert(spark.createDataFrame([(0, 999, "late")], "k int, seq long, v string"), base)  # merged already
+    assert t.parts() == before and {r.k: (r.seq, r.v) for r in t.read().collect()} == want
+
+
+def staged(spark, tmp_path, name, schema, batches, start):
+    """Runs start(stream) anew for each batch, over one checkpoint."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        q = start(spark.readStream.schema(schema).parquet(str(tmp_path / name))).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+        if q.exception():
+            raise q.exception()
+
+
+LOG = "topic string, part int, off long, arrival long, control string"
+
+
+def test_map_state_is_the_batch_and_can_be_read(spark, sf, tmp_path):
+    from driftline.operators import gaps
+    from driftline.streaming import map_state
+
+    map_state.rocksdb(spark)
+    log = [(*r, None) for r in catalog.raw_log(spark, sf).select("topic", "part", "off", "arrival").orderBy("arrival").collect()]
+    third = len(log) // 3
+    out = str(tmp_path / "rows")
+    start = lambda s: map_state.dedup_stream(s, 50, 3).writeStream.format("parquet").option("path", out)
+    staged(spark, tmp_path, "log", LOG, [log[:third], log[third:-1], log[-1:]], start)
+    batch = spark.createDataFrame([r[:4] for r in log], "topic string, part int, off long, arrival long")
+    plain = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert plain(spark.read.parquet(out)) == plain(dedup.fold(batch, 50, 3))
+    # The stopped query's state: the windows that are still there.
+    lives = dedup.lives(batch, 50, 3).filter("died IS NULL")
+    got = map_state.windows_in(spark, str(tmp_path / "log-c"))
+    assert plain(got.select("topic", "part", "win")) == plain(lives.select("topic", "part", "win"))
+    marked = dedup.lived(batch, 50, 3).filter("seen = 1 AND born IS NOT NULL AND died IS NULL").select(*gaps.WIN, "off")
+    assert plain(map_state.introspection(got)) == plain(gaps.introspection(marked, gaps.ranges(marked)).select("topic", "part", "windows", "bytes", "missing"))
+    ranges = sorted((r.topic, r.part, r.win, *g) for r in got.collect() for g in r.gaps)
+    assert ranges == sorted(tuple(r) for r in gaps.ranges(marked).collect())
+    # The last batch was one row: one window has been written.
+    changed = spark.read.format("statestore").option("readChangeFeed", True).option("changeStartBatchId", 2).option("stateVarName", "windows").load(str(tmp_path / "log-c"))
+    assert changed.count() <= 1
+
+
+def test_control_rows_reset_a_detector(spark, tmp_path):
+    from driftline.streaming import map_state
+
+    map_state.rocksdb(spark)
+    row = lambda off, at, control=None: ("t", 0, off, at, control)
+    first = [row(k, k) for k in range(10)] + [row(12, 20), row(12, 21), ("t", 0, None, 22, None), (None, 0, 1, 23, None)]
+    batches = [first, [row(None, 30, "purge_full"), row(5, 31)], [row(None, 40, "purge"), row(3, 41), row(12, 42)]]
+    out = str(tmp_path / "rows")
+    staged(spark, tmp_path, "log", LOG, batches, lambda s: map_state.dedup_stream(s, 10, 3).writeStream.format("parquet").option("path", out))
+    got = {(r.off, r.arrival): r.status for r in spark.read.parquet(out).collect()}
+    assert got[9, 9] == 0 and got[12, 21] == 1 and got[None, 22] is None and got[1, 23] is None
+    assert got[5, 31] == -2  # its window was full and is gone
+    assert got[3, 41] == -1 and got[12, 42] == 0  # all was forgotten but the greatest number
+    assert [(r.win, r.received, r.gaps) for r in map_state.windows_in(spark, str(tmp_path / "log-c")).orderBy("win").collect()] == [(0, 1, [[0, 2]]), (10, 1, [[10, 11]])]
+
+
+def test_map_state_reports_on_a_timer(spark, tmp_path):
+    from driftline.streaming import map_state
+
+    map_state.rocksdb(spark)
+    spark.createDataFrame([("t", 0, 0, 1, None), ("t", 0, 3, 2, None), ("t", 0, 11, 3, None), ("t", 0, 10, 4, None)], LOG).write.parquet(str(tmp_path / "log"))
+    q = map_state.dedup_stream(spark.readStream.schema(LOG).parquet(str(tmp_path / "log")), 10, 3, 1).writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        wait_for(q, lambda: spark.table("timed").filter("kind = 'gap' AND window_min = 0").count() >= 2)
+        got = [(r.window_min, r.gap_from, r.gap_to) for r in spark.table("timed").filter("kind = 'gap'").collect()]
+    finally:
+        q.stop()
+    assert got.count((10, None, None)) == 1 and set(got) == {(10, None, None), (0, 1, 2)}
+
+
+def test_parts_in_map_state(spark, tmp_path):
+    from driftline.streaming import map_state
+
+    map_state.rocksdb(spark)
+    rows = [(f"t_0_{k}", 6, bytearray(bytes([k]) * 90 * n)) for k, n in enumerate([0, 1, 4, 9])]
+    frames = [(bytearray(r.frame), r.id, r.part_no) for r in wire.fragment(spark.createDataFrame(rows, "id string, type int, value binary"), 60).collect()]
+    late = [f for f in frames if f[1] == "t_0_3" and f[2] == 2]
+    first = [f for f in frames if f not in late]
+    schema, out = "frame binary, arrival long", str(tmp_path / "out")
+    path = str(tmp_path / "frames")
+
+    def batch(some):
+        nonlocal at
+        spark.createDataFrame([(f[0], at + k) for k, f in enumerate(some)], schema).coalesce(1).write.mode("append").parquet(path)
+        at += len(some)
+
+    at = 0
+    batch(first)
+    got = lambda: {r.id: bytes(r.value) for r in spark.read.schema(map_state.MESSAGE).parquet(out).collect()} if (tmp_path / "out").exists() else {}
+    q = map_state.reassemble_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), 600).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        wait_for(q, lambda: len(got()) >= 3)
+        n = q.lastProgress["batchId"]
+        batch(late)
+        wait_for(q, lambda: len(got()) >= 4)
+    finally:
+        q.stop()
+    assert got() == {i: bytes(v) for i, _, v in rows} and n is not None
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "parts").load(str(tmp_path / "c"))
+    assert state.count() == 0  # what is complete leaves nothing
 
 
 def test_send_tries_again_and_counter_stream(spark, tmp_path):
