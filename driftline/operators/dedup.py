@@ -30,16 +30,16 @@ def first_window(log: DataFrame, width: int = WINDOW) -> DataFrame:
     return log.groupBy(*KEY).agg(F.min_by(win, "arrival").alias("first_win"))
 
 
-def running_max(log: DataFrame, block: int) -> DataFrame:
-    """log with hi, the greatest offset so far of its key.
+def running_max(log: DataFrame, block: int, width: int = WINDOW) -> DataFrame:
+    """log with hi, the greatest offset so far of its key, and first_win, the window of the key's first arrival.
 
-    Two levels keep a hot key from being one task: maxima of blocks of arrivals, their running maximum (one row a block),
-    and a window inside each block.
+    Two levels keep a hot key from being one task: one aggregate gives each block of arrivals its maximum and its first window, windows over these (one
+    row a block) what came before it, and a window inside each block the rest.
     """
     rows = log.withColumn("_block", F.floor(F.col("arrival") / block))
-    tops = rows.groupBy(*KEY, "_block").agg(F.max("off").alias("_top"))
-    before = F.max("_top").over(Window.partitionBy(*KEY).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.withColumn("_before", before).drop("_top")
+    order = Window.partitionBy(*KEY).orderBy("_block")
+    tops = rows.groupBy(*KEY, "_block").agg(F.max("off").alias("_top"), F.min_by(F.col("off") - F.col("off") % width, "arrival").alias("_win"))
+    tops = tops.select(*KEY, "_block", F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_win").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first_win"))
     inside = F.max("off").over(Window.partitionBy(*KEY, "_block").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_hi", inside).join(tops, [*KEY, "_block"]).withColumn("hi", F.greatest("_hi", "_before")).drop("_block", "_hi", "_before")
 
@@ -47,7 +47,7 @@ def running_max(log: DataFrame, block: int) -> DataFrame:
 def statuses(log: DataFrame, width: int = WINDOW, block: int = 1 << 22) -> DataFrame:
     """log (topic, part, off, arrival, ...) with win and status."""
     seen = F.row_number().over(Window.partitionBy(*KEY, "off").orderBy("arrival"))
-    rows = running_max(log, block).join(first_window(log, width), KEY).withColumns({"win": F.col("off") - F.col("off") % width, "_seen": seen})
+    rows = running_max(log, block, width).withColumns({"win": F.col("off") - F.col("off") % width, "_seen": seen})
     status = F.when(F.col("off") < F.col("first_win"), -2).when(F.col("_seen") > 1, 1).when(F.col("off") == F.col("hi"), 0).otherwise(-1)
     return rows.withColumn("status", status).drop("hi", "first_win", "_seen")
 
@@ -251,7 +251,7 @@ def lived(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int
     rows = running_max(standard(log)[0], 1 << 22).withColumn("win", F.col("off") - F.col("off") % width)
     inside = (F.col("arrival") >= F.col("born")) & (F.col("died").isNull() | (F.col("arrival") < F.col("died")))
     found = rows.join(at, same(rows, at, {c: f"_{c}" for c in (*KEY, "win")}) & inside, "left").drop("_topic", "_part", "_win")
-    return found.withColumn("seen", F.row_number().over(Window.partitionBy(*KEY, "win", "off", "born").orderBy("arrival")))
+    return found.drop("first_win").withColumn("seen", F.row_number().over(Window.partitionBy(*KEY, "win", "off", "born").orderBy("arrival")))
 
 
 def replay(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int = 1 << 12) -> DataFrame:

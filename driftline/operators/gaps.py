@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import last_before
 from .dedup import KEY, WINDOW, statuses
 
 WIN = [*KEY, "win"]
@@ -97,6 +98,33 @@ def interval_tracker(numbers: DataFrame, keys: list[str], n: str = "off", block:
     return every.withColumn("gap_to", F.col("_n") - 1).filter("gap_from <= gap_to").select(*keys, "gap_from", "gap_to")
 
 
+def tracker_history(log: DataFrame, keys: list[str], block: int = 1 << 20) -> DataFrame:
+    """log (keys, off, arrival, ...) with duplicate, and gap_from and gap_to of the interval that an arrival opens, else null.
+
+    The tracker expects 0 at first, then one more than the greatest number so far: a greater one opens the interval before it. A number
+    below is in an interval unless it has come before. What came before a block of arrivals is one row a block.
+    """
+    rows = log.withColumn("_b", F.floor(F.col("arrival") / block))
+    inside = F.max("off").over(Window.partitionBy(*keys, "_b").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    tops = rows.groupBy(*keys, "_b").agg(F.max("off").alias("_top"))
+    before = F.max("_top").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_in", inside).join(tops.select(*keys, "_b", before.alias("_before")), [*keys, "_b"])
+    hi = F.coalesce(F.greatest("_in", "_before"), F.lit(-1))
+    again = F.row_number().over(Window.partitionBy(*keys, "off").orderBy("arrival")) > 1
+    opens = lambda c: F.when(F.col("off") > F.col("_hi") + 1, c)
+    rows = rows.withColumns({"_hi": hi, "duplicate": again})
+    return rows.withColumns({"gap_from": opens(F.col("_hi") + 1), "gap_to": opens(F.col("off") - 1)}).drop("_b", "_in", "_before", "_hi")
+
+
+def tracker_found(log: DataFrame, keys: list[str], block: int = 1 << 20) -> DataFrame:
+    """interval_tracker with found: the arrival that opened the interval of which it is left.
+
+    The opened intervals are disjoint, so what is left of one lies after its first number and before the next one's: the last opening at or below gap_from.
+    """
+    opened = tracker_history(log, keys, block).filter("gap_from IS NOT NULL").select(*keys, F.col("gap_from").alias("at"), F.col("arrival").alias("found"))
+    return last_before(interval_tracker(log, keys, block=block), "gap_from", opened, keys, "found", block)
+
+
 def first_old_gaps(gaps: DataFrame, now, keys: list[str], seconds: int = 30, compat: bool = False) -> DataFrame:
     """(keys, first_gap, total): least gap found more than seconds ago, and the missing numbers of all gaps (compat: without the +1)."""
     old = F.col("found") < F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {int(seconds)} SECONDS")

@@ -25,20 +25,27 @@ def tab(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source records (topic, part, off, event_id, ts, payload) of the events table."""
-    off = F.row_number().over(Window.partitionBy("event_type", F.col("user_id") % 4).orderBy("event_id"))
+def source(spark: SparkSession, sf_dir: str, block: int = 1 << 18) -> DataFrame:
+    """Source records (topic, part, off, event_id, ts, payload) of the events table.
+
+    Offsets number a key's events in two levels: inside blocks of events, and by what comes before a block, one row for each. So a key with most of
+    the events is no single sort.
+    """
     payload = F.when(F.col("event_id") % 13 == 6, "").otherwise(F.concat("event_type", F.lit(":"), "props"))
-    return tab(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("part"), (off - 1).cast("long").alias("off"), "event_id", "ts", payload.alias("payload"))
+    rows = tab(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") % 4).cast("int").alias("part"), "event_id", "ts", payload.alias("payload"), F.floor(F.col("event_id") / block).alias("_b"))
+    before = F.sum("_n").over(Window.partitionBy(*KEY).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = rows.groupBy(*KEY, "_b").agg(F.count(F.lit(1)).alias("_n")).select(*KEY, "_b", F.coalesce(before, F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy(*KEY, "_b").orderBy("event_id"))
+    return rows.withColumn("_in", inside).join(ahead, [*KEY, "_b"]).select(*KEY, (F.col("_in") - 1 + F.col("_ahead")).cast("long").alias("off"), "event_id", "ts", "payload")
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(topic, part, off, ts, payload, arrival): what arrives downstream. One pass; each record is repeated for the deliveries that it has."""
+    """(topic, part, off, ts, payload, arrival): what arrives downstream. One pass; each record is repeated for the deliveries that it has. Written, as a log is a table that queries read more than once."""
     n, late = F.col("event_id"), (F.col("part") == 3) & (F.col("off") < 120)
     got = n % 7 != 3
     when = lambda ok, add: F.when(ok, n * 10 + add)
     arrivals = F.array_compact(F.array(when(got & ~late, 0), when(got & (n % 11 == 5) & ~late, 4003), when((n % 14 == 3) & ~late, 20011), when(got & late, 50007), when((n % 14 == 0) & late, 60009)))
-    return source(spark, sf_dir).withColumn("arrival", F.explode(arrivals)).select(*KEY, "off", "ts", "payload", "arrival")
+    return kept(source(spark, sf_dir).withColumn("arrival", F.explode(arrivals)).select(*KEY, "off", "ts", "payload", "arrival"))
 
 
 SRC = """src AS (
@@ -70,7 +77,7 @@ def marked(spark, d):
 def windows(spark, d) -> DataFrame:
     """Gap-topic records: per window with gaps its bounds and relative gaps, read twice (an older, fuller record first)."""
     c = gaps.compact(gaps.ranges(marked(spark, d)), relative=True)
-    new = c.select(*KEY, F.col("win").alias("window_min"), (F.col("win") + 99).alias("window_max"), "gaps", F.lit(2).cast("long").alias("read_seq"))
+    new = kept(c.select(*KEY, F.col("win").alias("window_min"), (F.col("win") + 99).alias("window_max"), "gaps", F.lit(2).cast("long").alias("read_seq")))
     old = new.withColumns({"gaps": F.array(F.array(F.lit(0).cast("long"), F.lit(99).cast("long"))), "read_seq": F.lit(1).cast("long")})
     return old.unionByName(new)
 
@@ -158,7 +165,7 @@ def dedup_needs_fold(spark, d):
 @query(f"WITH {GAPS}, a AS (SELECT topic, part, off, lag(off) OVER (PARTITION BY topic, part ORDER BY off) AS prev, min(win) OVER (PARTITION BY topic, part) AS w0 FROM marked), e AS (SELECT topic, part, max(off) AS m FROM src GROUP BY 1, 2), t AS (SELECT topic, part, max(off) AS m FROM marked GROUP BY 1, 2) SELECT topic, part, coalesce(prev + 1, w0) AS gap_from, off - 1 AS gap_to FROM a WHERE coalesce(prev + 1, w0) <= off - 1 UNION ALL SELECT topic, part, t.m + 1, e.m FROM t JOIN e USING (topic, part) WHERE t.m < e.m")
 def gaps_complete(spark, d):
     ends = source(spark, d).groupBy(*KEY).agg(F.max("off").alias("end"))
-    return gaps.complete_ranges(marked(spark, d), ends)
+    return gaps.complete_ranges(kept(marked(spark, d)), ends)
 
 
 @query(f"WITH {GAPS} SELECT topic, part, CAST(sum(gap_to - gap_from + 1) AS BIGINT) AS missing FROM g GROUP BY 1, 2")
@@ -200,7 +207,7 @@ def memory_estimate(spark, d):
 
 @query(f"WITH {GAPS}, m AS (SELECT topic, part, count(DISTINCT win) AS windows, 16 * count(DISTINCT win) + 16 * count(*) AS bytes FROM marked GROUP BY 1, 2), x AS (SELECT topic, part, CAST(sum(gap_to - gap_from + 1) AS BIGINT) AS missing FROM g GROUP BY 1, 2) SELECT m.*, coalesce(missing, 0) AS missing FROM m LEFT JOIN x USING (topic, part)")
 def detector_introspection(spark, d):
-    m = marked(spark, d)
+    m = kept(marked(spark, d))
     return gaps.introspection(m, gaps.ranges(m))
 
 
@@ -209,12 +216,31 @@ def legacy_intervals(spark, d):
     return gaps.interval_tracker(raw_log(spark, d), KEY)
 
 
-@query(f"WITH {GAPS}, t AS (SELECT g.*, s.ts AS found FROM g JOIN src s ON s.topic = g.topic AND s.part = g.part AND s.off = g.gap_to + 1), n AS (SELECT max(ts) - INTERVAL 86400 SECONDS AS now FROM src) SELECT topic, part, min(gap_from) FILTER (WHERE found < (SELECT now FROM n) - INTERVAL 30 SECONDS) AS first_gap, CAST(sum(gap_to - gap_from + 1) AS BIGINT) AS total FROM t GROUP BY 1, 2")
+HISTORY = LOG + """, h AS (SELECT topic, part, off, arrival, row_number() OVER (PARTITION BY topic, part, off ORDER BY arrival) > 1 AS duplicate,
+  coalesce(max(off) OVER (PARTITION BY topic, part ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS hi FROM raw),
+u AS (SELECT DISTINCT topic, part, off FROM raw), i AS (SELECT topic, part, coalesce(p + 1, 0) AS gap_from, off - 1 AS gap_to FROM (SELECT *, lag(off) OVER (PARTITION BY topic, part ORDER BY off) AS p FROM u) WHERE coalesce(p + 1, 0) <= off - 1),
+f AS (SELECT i.*, arrival AS found FROM i JOIN h ON h.topic = i.topic AND h.part = i.part AND hi < gap_from AND gap_to < h.off)"""
+
+
+@query(f"WITH {HISTORY} SELECT topic, part, off, arrival, duplicate, CASE WHEN off > hi + 1 THEN hi + 1 END AS gap_from, CASE WHEN off > hi + 1 THEN off - 1 END AS gap_to FROM h")
+def legacy_history(spark, d):
+    """What each arrival tells the legacy tracker: a duplicate, or an interval that it opens."""
+    return gaps.tracker_history(raw_log(spark, d), KEY).select(*KEY, "off", "arrival", "duplicate", "gap_from", "gap_to")
+
+
+@query(f"WITH {HISTORY} SELECT * FROM f")
+def legacy_intervals_found(spark, d):
+    """The tracker's final intervals with the arrival that opened them, through all shrinking and splitting since."""
+    return gaps.tracker_found(raw_log(spark, d), KEY)
+
+
+@query(f"WITH {HISTORY} SELECT topic, part, min(gap_from) FILTER (WHERE found < (SELECT max(arrival) FROM raw) - 30000) AS first_gap, CAST(sum(gap_to - gap_from + 1) AS BIGINT) AS total FROM f GROUP BY 1, 2")
 def first_old_gaps(spark, d):
-    src = source(spark, d)
-    now = src.agg(F.max("ts") - F.expr("INTERVAL 86400 SECONDS")).first()[0]
-    found = src.select(*KEY, (F.col("off") - 1).alias("gap_to"), F.col("ts").alias("found"))
-    return gaps.first_old_gaps(gaps.ranges(marked(spark, d)).join(found, [*KEY, "gap_to"]), now, KEY)
+    """The least number of each key that has been missing for 30 seconds at the log's end; arrivals are milliseconds."""
+    log = raw_log(spark, d)
+    now = log.agg(F.timestamp_millis(F.max("arrival"))).first()[0]
+    found = gaps.tracker_found(log, KEY).withColumn("found", F.timestamp_millis("found"))
+    return gaps.first_old_gaps(found, now, KEY)
 
 
 @query(f"WITH {COMPACT} SELECT topic, part, win AS window_min, win + 99 AS window_max, CAST(2 AS BIGINT) AS read_seq, n_gaps FROM c")
@@ -387,7 +413,7 @@ def interval_stats(spark, d):
 
 @query(f"WITH {GAPS}, r AS (SELECT topic, part, count(*) AS received, count(*) FILTER (WHERE status <> 1 AND payload <> '') AS emitted, count(*) FILTER (WHERE status = 1) AS duplicates, count(*) FILTER (WHERE status = -1) AS gap_fill, count(*) FILTER (WHERE status = -2) AS below_range FROM s GROUP BY 1, 2), x AS (SELECT topic, part, CAST(sum(gap_to - gap_from + 1) AS BIGINT) AS m FROM g GROUP BY 1, 2) SELECT r.*, coalesce(m, 0) AS total_missing FROM r LEFT JOIN x USING (topic, part)")
 def missing_report(spark, d):
-    s = dedup.statuses(raw_log(spark, d))
+    s = kept(dedup.statuses(raw_log(spark, d)))
     g = gaps.ranges(s.filter("status <> -2").select(*gaps.WIN, "off").distinct())
     return stats.missing_report(s, g, KEY)
 
@@ -431,10 +457,11 @@ def report_deltas(spark, d):
     return stats.deltas(rows, ["topic"], "time_start", "received")
 
 
-@query(f"WITH {LOG}, u AS (SELECT count(*) AS sent FROM src), v AS (SELECT count(DISTINCT (topic, part, off)) AS received FROM raw) SELECT sent, received, CAST(0 AS BIGINT) AS overflow, sent - received AS loss, round((sent - received) / sent * 100, 2) AS loss_percent, CASE WHEN sent - received > 1000 THEN 'outside the host' WHEN sent - received > 0 THEN 'minor loss' ELSE 'no loss' END AS verdict FROM u, v")
+@query(f"WITH {LOG}, u AS (SELECT count(*) AS sent FROM src), v AS (SELECT count(DISTINCT (topic, part, off)) AS received FROM raw), o AS (SELECT count(*) AS overflow FROM src WHERE event_id % 21 = 3) SELECT sent, received, overflow, sent - received AS loss, round((sent - received) / sent * 100, 2) AS loss_percent, CASE WHEN sent - received > 1000 AND overflow = 0 THEN 'outside the host' WHEN sent - received > 1000 THEN 'receiver too slow' WHEN sent - received > 0 THEN 'minor loss' ELSE 'no loss' END AS verdict FROM u, v, o")
 def loss_report(spark, d):
     up = source(spark, d).agg(F.count(F.lit(1)).alias("total"), F.max("ts").alias("time"))
-    down = raw_log(spark, d).agg(F.count_distinct(*KEY, "off").alias("total"), F.max("ts").alias("time")).withColumn("overflow", F.lit(0).cast("long"))
+    dropped = tab(spark, d, "events").filter("event_id % 21 = 3").agg(F.count(F.lit(1)).alias("overflow"))  # what the receiver's socket threw away
+    down = raw_log(spark, d).agg(F.count_distinct(*KEY, "off").alias("total"), F.max("ts").alias("time")).join(dropped)
     return stats.loss_report(up, down)
 
 
@@ -523,10 +550,21 @@ def passthrough(spark, d):
     return filters.split_standard(rows, wire.dedup_id(F.col("id")))[1].select("id", "value")
 
 
-@query("SELECT t AS type, CASE WHEN t < 32 AND t = 6 OR t >= 32 AND t & 6 = 6 THEN 'clear' WHEN t = 3 THEN 'keys' WHEN t = 1 THEN 'errors' WHEN t = 5 THEN 'drop' WHEN t = 0 OR t >= 32 THEN 'decrypt' ELSE 'internal' END AS route, t | 32 AS zipped FROM (SELECT CAST(unnest(range(0, 128)) AS INTEGER) AS t)")
+@query("WITH m AS (SELECT CAST(doc_id % 128 AS INTEGER) AS t, octet_length(encode(text)) AS n, 1400 - 13 - length(concat('doc_', doc_id % 8, '_', doc_id)) AS cap FROM documents) SELECT t AS type, CASE WHEN t < 32 AND t = 6 OR t >= 32 AND t & 6 = 6 THEN 'clear' WHEN t = 3 THEN 'keys' WHEN t = 1 THEN 'errors' WHEN t = 5 THEN 'drop' WHEN t = 0 OR t >= 32 THEN 'decrypt' ELSE 'internal' END AS route, t | 32 AS zipped, CAST(sum(greatest(1, (n + cap - 1) // cap)) AS BIGINT) AS frames FROM m GROUP BY t")
 def type_dispatch(spark, d):
-    t = F.col("type")
-    return spark.range(128).select(F.col("id").cast("int").alias("type")).select("type", wire.route(t).alias("route"), wire.merge_flag(t, wire.GZIP).alias("zipped"))
+    """Where frames of all types go, as read from the frames of the documents."""
+    sent = kept(wire.fragment(documents(spark, d).withColumn("type", (F.col("doc_id") % 128).cast("int")), 1400).select("frame"))
+    t = F.col("type").cast("int")
+    rows = wire.parse(sent, 65_535).select(t.alias("type"), wire.route(t).alias("route"), wire.merge_flag(t, wire.GZIP).alias("zipped"))
+    return rows.groupBy("type", "route", "zipped").agg(F.count(F.lit(1)).alias("frames"))
+
+
+@query(f"WITH {SRC} SELECT topic, part, off, count(*) AS copies, count(*) FILTER (pipe <> 1) > 0 AS survives FROM src JOIN (VALUES (0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (2, 1)) v(pipe, g) ON ((off - 1) % 3) + 1 = g GROUP BY 1, 2, 3")
+def redundant_pipes(spark, d):
+    """Each record over two of three pipes by generated filters, merged again: its copies, and whether it survives the loss of a pipe."""
+    src = kept(source(spark, d).select(*KEY, "off"))
+    pipes = [filters.deliver(src, ",".join(map(str, f))).withColumn("pipe", F.lit(p)) for p, f in enumerate(config.generate_filters(3, 1))]
+    return readers.fan_in(pipes).groupBy(*KEY, "off").agg(F.count(F.lit(1)).alias("copies"), (F.count_if(F.col("pipe") != 1) > 0).alias("survives"))
 
 
 @query(f"WITH {COMPACT} SELECT topic, part, win AS window_min, win + 99 AS window_max, n_gaps, missing_n AS missing FROM (SELECT *, CAST(missing AS BIGINT) AS missing_n FROM c)")
@@ -554,11 +592,12 @@ def frames_and_messages(spark, d):
     return stats.frame_counts(wire.fragment(documents(spark, d).select("id", "type", "value"), 1400))
 
 
-@query("SELECT concat('random_', i) AS id, concat('Random message ', i) AS value FROM (SELECT unnest(range(0, 1000)) AS i)")
+@query("SELECT concat('random_', i) AS id, concat('Random message ', i) AS value FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS i)")
 def counter_source(spark, d):
+    """As many generated messages as there are events."""
     from ..sources.readers import counter
 
-    return counter(spark, 1000).select("id", F.col("value").cast("string").alias("value"))
+    return counter(spark, tab(spark, d, "events").count()).select("id", F.col("value").cast("string").alias("value"))
 
 
 @query("WITH m AS (SELECT concat('doc_', doc_id % 8, '_', doc_id) AS id FROM documents) SELECT id, 'doc' AS topic, CAST(split_part(id, '_', 2) AS INTEGER) AS part FROM m UNION ALL SELECT 'x' || id, 'other', 0 FROM (SELECT split_part(id, '_', 3) AS id FROM m)")
@@ -581,7 +620,7 @@ def parse_times(spark, d):
 @query(f"WITH {GAPS}, first AS (SELECT topic, part, off FROM raw), again AS (SELECT s.topic, s.part, s.off FROM src s WHERE EXISTS (SELECT 1 FROM g WHERE g.topic = s.topic AND g.part = s.part AND s.off BETWEEN gap_from AND gap_to)), u AS (SELECT DISTINCT topic, part, off FROM (SELECT * FROM first UNION ALL SELECT * FROM again)) SELECT topic, part, count(*) AS have, max(off) + 1 - min(off - off % 100) - count(*) AS inner_missing FROM (SELECT u.* FROM u JOIN (SELECT topic, part, min(win) AS w0 FROM marked GROUP BY 1, 2) m ON u.topic = m.topic AND u.part = m.part AND u.off >= m.w0) GROUP BY 1, 2")
 def repaired(spark, d):
     """What is there after the bundle's records have been sent again: have, and what is still missing below the last number."""
-    m = marked(spark, d)
+    m = kept(marked(spark, d))
     again = resend.in_gaps(source(spark, d).select(*KEY, "off"), gaps.ranges(m).select(*KEY, "gap_from", "gap_to"))
     start = m.groupBy(*KEY).agg(F.min("win").alias("w0"))
     have = raw_log(spark, d).select(*KEY, "off").unionByName(again).distinct().join(start, KEY).filter("off >= w0")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,24 @@ def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
     return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs.items()])
 
 
+def last_before(rows: DataFrame, at: str, marks: DataFrame, keys: list[str], value: str, block: int = 1 << 20) -> DataFrame:
+    """rows with the value of the last mark (keys, at, value) of their key at or before rows' number `at`, null before the first.
+
+    Rows and marks are united and values carried on inside blocks of numbers; what a block begins with is one row a block.
+    """
+    kind = marks.schema[value].dataType
+    mine = rows.withColumns({"_at": F.col(at), "_mark": F.lit(1), "_v": F.lit(None).cast(kind)})
+    theirs = marks.select(*keys, F.col("at").alias("_at"), F.lit(0).alias("_mark"), F.col(value).alias("_v"))
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_at") / block))
+    inside = F.last("_v", True).over(Window.partitionBy(*keys, "_b").orderBy("_at", "_mark").rowsBetween(Window.unboundedPreceding, 0))
+    ends = both.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_at"))).alias("_end"))
+    start = F.last("_end", True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    begin = ends.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_b").alias("_k_b"), start.alias("_start"))
+    held = both.withColumn("_in", inside).filter("_mark = 1")
+    out = held.join(begin, same(held, begin, {c: f"_k_{c}" for c in keys} | {"_b": "_k_b"}), "left")
+    return out.select(*rows.columns, F.coalesce("_in", "_start").alias(value))
+
+
 def reachable(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at): the roots (keys, at), and what their chains lead to over edges (keys, at, to) of at most one a node, always upwards.
 
