@@ -516,6 +516,29 @@ def redelivered(spark, d):
     return got.groupBy("id", wire.content_hash(F.col("value")).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The receiver's cache as a recursive query: one fragment of each group a round; w has the open entries.
+OVERFLOW = """WITH RECURSIVE m AS (SELECT doc_id, doc_id // 100 AS g, concat('doc_', doc_id % 8, '_', doc_id) AS id, sha256(text) AS hash, octet_length(encode(text)) AS n, 1400 - 13 - length(concat('doc_', doc_id % 8, '_', doc_id)) AS cap FROM documents),
+f AS (SELECT g, id, n // cap + CASE WHEN n % cap > 0 THEN 1 ELSE 0 END AS n, doc_id, unnest(range(1, n // cap + CASE WHEN n % cap > 0 THEN 2 ELSE 1 END)) AS part FROM m WHERE n > cap),
+o AS MATERIALIZED (SELECT g, id, n, part, row_number() OVER (PARTITION BY g ORDER BY CASE WHEN g % 2 = 0 THEN part * 1000 + doc_id % 100 ELSE doc_id % 100 * 1000 + part END) AS k FROM f),
+d AS (
+  SELECT g, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS done, CAST([] AS STRUCT(id VARCHAR, parts BIGINT[])[]) AS w FROM o GROUP BY g
+  UNION ALL
+  SELECT g, k, CASE WHEN len(got) = n THEN id END, CASE WHEN NOT open AND len(w) >= 20 THEN w WHEN len(got) = n THEN list_filter(w, lambda x: x.id <> o_id)
+         WHEN open THEN list_transform(w, lambda x: CASE WHEN x.id = o_id THEN struct_pack(id := o_id, parts := got) ELSE x END) ELSE list_append(w, struct_pack(id := o_id, parts := got)) END
+  FROM (SELECT *, id AS o_id, list_distinct(list_append(coalesce(list_filter(w, lambda x: x.id = id)[1].parts, []), part)) AS got, len(list_filter(w, lambda x: x.id = id)) > 0 AS open
+        FROM (SELECT d.g, o.k, d.w, o.id, o.n, o.part FROM d JOIN o ON o.g = d.g AND o.k = d.k + 1)))
+SELECT id, hash FROM m WHERE n <= cap OR id IN (SELECT done FROM d WHERE done IS NOT NULL)"""
+
+
+@query(OVERFLOW)
+def reassembly_overflow(spark, d):
+    """Messages that get through a receiver with 20 open entries: groups of 100 documents, every other one with its fragments interleaved."""
+    n, part = F.col("doc_id"), F.col("part_no")
+    at = F.when(F.floor(n / 100) % 2 == 0, part * 1000 + n % 100).otherwise(n % 100 * 1000 + part)
+    sent = kept(wire.fragment(documents(spark, d), 1400).select("frame", (F.floor(n / 100) * 1_000_000_000 + at).alias("arrival")))
+    return reassembly.messages(wire.parse(sent, 65_535), 1_000_000, 20).select("id", wire.content_hash(F.col("value")).alias("hash"))
+
+
 @query("SELECT concat('doc_', doc_id % 8, '_', doc_id) AS id, sha256(text) AS hash, 'doc' AS topic, CAST(doc_id % 8 AS INTEGER) AS part FROM documents")
 def round_trip(spark, d):
     """Gzip, encrypt, fragment, parse, reassemble, decrypt, decompress: the texts come back."""

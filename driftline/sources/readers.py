@@ -7,6 +7,7 @@ from datetime import datetime
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,22 +131,18 @@ def split_stream(data: bytes, max_id: int = 1024):
         at = end
 
 
-@F.udtf(returnType="frame binary, seq int")
-class SplitFrames:
-    """Table function over (stream BINARY): one row per frame."""
-
-    def eval(self, data: bytes):
-        for k, frame in enumerate(split_stream(bytes(data or b""))):
-            yield frame, k
+def stream_frames(df: DataFrame, column: str = "stream") -> DataFrame:
+    """df's rows times the frames of a binary column, with seq: for streams that are small enough for a row; byte_streams.split_chunks takes those that aren't."""
+    rest = [c for c in df.columns if c != column]
+    schema = T.StructType([*[f for f in df.schema if f.name != column], T.StructField("frame", T.BinaryType()), T.StructField("seq", T.IntegerType())])
 
+    def run(batches):
+        for batch in batches:
+            found = [(i, frame, k) for i, data in enumerate(batch.column(column).to_pylist()) for k, frame in enumerate(split_stream(data or b""))]
+            own = batch.select(rest).take(pa.array([f[0] for f in found], pa.int64())).columns if rest else []
+            yield pa.RecordBatch.from_arrays([*own, pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.int32())], [*rest, "frame", "seq"])
 
-def stream_frames(df: DataFrame, column: str = "stream") -> DataFrame:
-    """df's rows times the frames of a binary column."""
-    spark = df.sparkSession
-    spark.udtf.register("split_frames", SplitFrames)
-    df.createOrReplaceTempView("_byte_streams")
-    names = ", ".join(f"s.`{c}`" for c in df.columns if c != column)
-    return spark.sql(f"SELECT {names}{', ' if names else ''}f.frame, f.seq FROM _byte_streams s, LATERAL split_frames(s.`{column}`) f")
+    return df.mapInArrow(run, schema)
 
 
 def register_udp(spark: SparkSession) -> str:

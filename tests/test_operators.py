@@ -295,6 +295,19 @@ def test_reconciliation_states(spark):
     assert got == {"a": ("SENT", 0), "b": ("RECEIVED", 0), "c": ("DUPLICATED", 1), "d": ("UNKNOWN", 0), "e": ("UNKNOWN_DUPLICATED", 1)}
 
 
+def test_gap_payload_bytes():
+    """The payload byte by byte, as the public formats say: version, bounds, then a portable Roaring bitmap of one array container."""
+    head = bytes([1]) + (100).to_bytes(8, "big") + (199).to_bytes(8, "big")
+    # Cookie without runs, one container; key 0 of cardinality 4 (less one); its offset; values 3, 7, 8, 9.
+    body = bytes.fromhex("3a300000" "01000000" "0000" "0300" "10000000" "0300" "0700" "0800" "0900")
+    assert gap_bitmap.encode_payload(100, 199, [[3], [7, 9]]) == head + body
+    assert gap_bitmap.decode_payload(head + body) == (100, 199, [[3], [7, 9]], None)
+    # The same numbers as runs: one container, flagged, two runs of 0 and 2 more.
+    runs = bytes.fromhex("3b30" "0000" "01" "0000" "0300" "0200" "0300" "0000" "0700" "0200")
+    assert gap_bitmap.decode_payload(head + runs) == (100, 199, [[3], [7, 9]], None)
+    assert gap_bitmap.encode_payload(0, 99, []) == bytes([1]) + bytes(8) + (99).to_bytes(8, "big") + bytes.fromhex("3a300000" "00000000")
+
+
 def test_rates(spark):
     df = spark.createDataFrame([("k", n, float(t)) for n, t in enumerate([0, 0, 0, 0, 10, 10.5])], "key string, n long, t double")
     assert [r.release for r in rates.spaced(df, ["key"], 2).orderBy("n").collect()] == [0, 2, 4, 6, 10, 12]

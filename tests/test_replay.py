@@ -153,6 +153,36 @@ def test_deliveries_against_the_assembler(spark, ttl):
     assert reassembly.messages(df.limit(0), ttl).collect() == []
 
 
+def through(rows, ttl, most):
+    """(id, arrival) of what a cache of at most so many entries lets through."""
+    held, out = {}, []
+    for id, part, n, arrival in sorted(rows, key=lambda r: r[3]):
+        held = {i: e for i, e in held.items() if arrival - e[1] <= ttl}
+        if id not in held:
+            if len(held) >= most:
+                continue
+            held[id] = n, arrival, set()
+        held[id][2].add(part)
+        if held[id][2] >= set(range(1, held[id][0] + 1)):
+            del held[id]
+            out.append((id, arrival))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,most,ttl", [(1, 3, 40), (2, 1, 15), (3, 5, 60), (4, 50, 40)])
+def test_a_cap_of_open_entries(spark, seed, most, ttl):
+    rng, rows, at = random.Random(seed), [], 0
+    for k in range(700):
+        at += 1 if rng.random() < 0.96 else rng.choice([ttl, ttl + 1, 3 * ttl])
+        id = rng.randrange(12) + k // 90 * 10
+        rows.append((f"m{id}", rng.randint(1, 2 + id % 3), 2 + id % 3, at))
+    df = spark.createDataFrame([(i, 6, p, n, bytearray(bytes([a % 251])), a, None) for i, p, n, a in rows], "id string, type int, part_no int, n_parts int, payload binary, arrival long, error string")
+    got = reassembly.messages(df.repartition(4), ttl, most).select("id", "epoch").collect()
+    assert sorted(map(tuple, got)) == through(rows, ttl, most)
+    with pytest.raises(ValueError):
+        reassembly.messages(df, None, 5)
+
+
 def chunked(rng, data, stream):
     rows, at = [], 0
     while at < len(data):

@@ -188,6 +188,47 @@ def test_datagrams(spark, tmp_path):
     assert len({f for _, f in got}) == len(got)
 
 
+def test_receivers_spool_what_a_failed_batch_needs_again(spark, tmp_path):
+    import socket
+
+    import pytest
+
+    from driftline.sources import udp
+
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        port = s.getsockname()[1]
+    spool = str(tmp_path / "spool")
+    (tmp_path / "spool").mkdir()
+    got = udp.receive(spark, port, spool, host="127.0.0.1", receivers=2, roll_seconds=0.2, lasting=90)
+    end = time.time() + 60
+    while len(list((tmp_path / "spool").glob("_ready/*"))) < 2 and time.time() < end:
+        time.sleep(0.1)
+    for k in range(300):
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:  # another port each, so the kernel deals them to both
+            s.sendto(f"frame {k}".encode(), ("127.0.0.1", port))
+    counts = got.stop()
+    assert sum(counts.values()) == 300 and min(counts.values()) > 0
+    out, failed = str(tmp_path / "out"), []
+
+    def sink(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not failed:
+            failed.append(number)
+            raise RuntimeError("the batch is lost")
+
+    def run():
+        q = udp.frames(spark, spool).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    with pytest.raises(Exception, match="the batch is lost"):
+        run()
+    run()
+    rows = spark.read.schema(udp.FRAMES).option("recursiveFileLookup", True).parquet(out).collect()
+    assert sorted(bytes(r.frame) for r in rows) == sorted(f"frame {k}".encode() for k in range(300))
+    assert len({r.arrival for r in rows}) == 300 and {r.receiver for r in rows} == {0, 1}
+
+
 def test_delayed_stream(spark, tmp_path):
     spark.sql("SELECT concat('e', id) AS id, current_timestamp() AS ts, CAST('v' AS BINARY) AS value FROM range(6)").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id string, ts timestamp, value binary").parquet(str(tmp_path / "in"))
