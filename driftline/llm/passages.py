@@ -17,7 +17,9 @@ of LEAST words and IDENTITY or more are passages; they begin and end with equal
 words. Short chains are first held against a bound that every passage meets: their
 surroundings must have ENOUGH word pairs in common. Where all seeds of a stretch are shared,
 but not with one place of one earlier document, every LEAST words of it are joined with their
-first place in the same way: an exact run is found whatever documents its seeds are first in.
+first place in the same way: an exact run is found whatever documents its seeds are first in. Changed passages of that
+kind are found by switches: where a document goes over from matches with one source to matches with another, the two sources, their distance and a
+seed of the second one make a seed themselves, which is joined with the first document that goes over in the same way.
 Texts without a common K-word shingle have no common passage here.
 
 Places are word numbers. Only repeats between different documents count; the
@@ -30,6 +32,7 @@ each at the same words. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,9 @@ PASS, BITS, BYTES = 4 << 20, 9, 5
 #: Adjacent equal words of any passage: IDENTITY of its words are equal, and each of the others, on either side, parts two of them at most.
 ENOUGH = int(LEAST * (IDENTITY - 2 * (1 - IDENTITY)) - 1)
 
+#: Segments before one that a switch may come from; words of a segment, from its start, and every how many of the source's words make switches.
+BACK, HEAD, EVERY = 2, 24, 4
+
 _KEY, _CUTS = "_driftline_key", "_driftline_cuts"
 _ROWS, _CHAIN = "kind int, key long, data binary", "doc long, y0 int, y1 int, src long, x0 int, x1 int"
 #: Kinds of rows: seeds of a bucket, places that wait for the first one of a hot seed, that first one, matches of a bucket of documents.
@@ -347,7 +353,10 @@ def chains(y: np.ndarray, x: np.ndarray) -> list[tuple[int, int, int, int]]:
 
 def _chained(batches):
     for found in _matches(batches):
-        yield _pairs(found)
+        yield _chain_rows(_pairs(found) + [(d, y0, y1, None, None, None) for d, y0, y1 in unsettled(*found)])
+        turns = switches(*found)
+        if len(turns[0]):
+            yield _switch_rows(*turns)
 
 
 def _chain_rows(rows):
@@ -364,7 +373,58 @@ def _pairs(cols):
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
         if b > a + 1 and doc[a] != src[a]:
             rows += [(int(doc[a]), y0, y1, int(src[a]), x0, x1) for y0, y1, x0, x1 in thinned(chains(y[a:b], x[a:b]))]
-    return _chain_rows(rows + [(d, y0, y1, None, None, None) for d, y0, y1 in unsettled(doc, src, y, x)])
+    return rows
+
+
+def switches(doc, src, y, x):
+    """(hash, doc, place) of the places at which a document goes over from one source to another.
+
+    Matches of other documents, by place, fall into segments of one source and diagonal. A segment's seeds near its start, at every EVERY-th word of the
+    source, are hashed with the source and the diagonal of each of the BACK segments before it that end at most LEAST words earlier.
+    """
+    order = np.lexsort((y, doc))
+    doc, src, y, x = (c[order] for c in (doc, src, y, x))
+    ok = (doc != src) & np.r_[True, (doc[1:] != doc[:-1]) | (y[1:] != y[:-1])] if len(doc) else np.zeros(0, bool)
+    doc, src, y, x = doc[ok], src[ok], y[ok].astype(np.int64), x[ok].astype(np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(doc) < 2:
+        return none
+    diag = y - x
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (src[1:] != src[:-1]) | (diag[1:] != diag[:-1]) | (np.diff(y) > LEAST)]
+    seg, at = np.cumsum(new) - 1, np.flatnonzero(new)
+    end = y[np.r_[at[1:], len(y)] - 1] + K
+    pick = np.flatnonzero((x % EVERY == 0) & (y - y[at][seg] < HEAD))
+    own = textops.mix(src[pick].astype(np.uint64)) + x[pick].astype(np.uint64)
+    out = []
+    for back in range(1, BACK + 1):
+        before = seg[pick] - back
+        some = np.flatnonzero(before >= 0)
+        p, q = at[before[some]], pick[some]
+        turn = (src[p] != src[q]) | (np.abs(diag[p] - diag[q]) > SPLIT)
+        some = some[(doc[p] == doc[q]) & turn & (y[at[seg[q]]] - end[before[some]] <= LEAST)]
+        p, q = at[before[some]], pick[some]
+        h = textops.mix(textops.mix(src[p].astype(np.uint64)) ^ textops.mix((diag[q] - diag[p]).astype(np.uint64) ^ textops.mix(own[some])))
+        out.append((h, doc[q], y[q]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _switch_rows(h, doc, y):
+    """Switches among the rows of chains: the hash as source, no end."""
+    none = pa.nulls(len(h), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(y.astype(np.int32)), none, pa.array(h.view(np.int64)), none, none], ["doc", "y0", "y1", "src", "x0", "x1"])
+
+
+def _switch_seeds(bits: int):
+    def run(batches):
+        yield from _seed_rows(((b.column("src").to_numpy().view(np.uint64), b.column("doc").to_numpy(), b.column("y0").to_numpy().astype(np.int64)) for b in batches if b.num_rows), bits)
+
+    return run
+
+
+def _anchored(batches):
+    """Matches of switches as chains."""
+    for found in _matches(batches):
+        yield _chain_rows(_pairs(found))
 
 
 def thinned(found: list[tuple[int, int, int, int]], short: int = LEAST) -> list[tuple[int, int, int, int]]:
@@ -512,6 +572,36 @@ def extended(pairs: list[tuple[np.ndarray, np.ndarray]], cost: int) -> tuple[np.
     return took[0], took[1]
 
 
+def longest(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words before and behind of the longest passages that changed words alone make, -1 where none is long enough.
+
+    pairs: the words before both cores, from the core on, and those behind; core: (equal words, length) of each. An equal word counts 1 - IDENTITY and
+    a changed one -IDENTITY, in whole numbers; the sum of both ends and the core must not fall below 0, and both ends are equal words.
+    """
+    share = Fraction(IDENTITY).limit_denominator(100)
+    gain, n, m = share.denominator, len(pairs), MARGIN
+    ends = []
+    for side in (0, 2):
+        same = np.zeros((n, m), bool)
+        for k, p in enumerate(pairs):
+            size = min(len(p[side]), len(p[side + 1]))
+            same[k, :size] = p[side][:size] == p[side + 1][:size]
+        sums = np.where(same, gain - share.numerator, -share.numerator).cumsum(axis=1)
+        ends.append(np.c_[np.zeros(n, np.int64), np.where(same, sums, -(1 << 30))])
+    base = gain * core[:, 0] - share.numerator * core[:, 1]
+    before, behind = np.full(n, -1), np.full(n, -1)
+    able = np.flatnonzero(ends[0].max(axis=1) + ends[1].max(axis=1) + base >= 0)
+    places = np.arange(m + 1)
+    for at in range(0, len(able), 128):
+        some = able[at : at + 128]
+        total = ends[0][some][:, :, None] + ends[1][some][:, None, :] + base[some][:, None, None]
+        size = np.where(total >= 0, places[:, None] + places[None, :], -1).reshape(len(some), -1)
+        best = size.argmax(axis=1)
+        ok = size[np.arange(len(some)), best] + core[some, 1] >= LEAST
+        before[some[ok]], behind[some[ok]] = best[ok] // (m + 1), best[ok] % (m + 1)
+    return before, behind
+
+
 def align(rows: list[tuple]) -> list[tuple]:
     """(row, before, behind, source before, source behind, identity) of the rows (one, two, left, right) that are passages. left, right: margin words of one and two."""
     out, left = [], list(range(len(rows)))
@@ -533,6 +623,24 @@ def align(rows: list[tuple]) -> list[tuple]:
                 else:
                     failed.append(k)
         left = failed
+    # An extension of the best sum may be too short, or too wide at every cost, where a longer or shorter one is a passage.
+    found = {k for k, *_ in out}
+    rest = [k for k in range(len(rows)) if k not in found]
+    for at in range(0, len(rest), 512):
+        some = rest[at : at + 512]
+        pairs, core = [], []
+        for k in some:
+            a, b, lo, hi = rows[k]
+            mid = a[lo[0] : len(a) - hi[0]], b[lo[1] : len(b) - hi[1]]
+            pairs.append((a[: lo[0]][::-1], b[: lo[1]][::-1], a[len(a) - hi[0] :], b[len(b) - hi[1] :]))
+            core.append((common(mid[0].tolist(), mid[1].tolist()), max(map(len, mid))))
+        for k, p, r in zip(some, *(x.tolist() for x in longest(pairs, np.array(core, np.int64).reshape(-1, 2)))):
+            a, b, lo, hi = rows[k]
+            a, b = a[lo[0] - p : len(a) - hi[0] + r], b[lo[1] - p : len(b) - hi[1] + r]
+            if p >= 0 and len(a) >= LEAST:
+                identity = common(a.tolist(), b.tolist()) / max(len(a), len(b))
+                if identity >= IDENTITY:
+                    out.append((k, p, r, p, r, identity))
     return out
 
 
@@ -583,7 +691,10 @@ def passages(docs: DataFrame) -> DataFrame:
     docs = plain(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
     found = _found(docs)
     release(docs.sparkSession, [])  # what the seeds took
-    chains_ = found.filter("src IS NOT NULL")
+    chains_ = found.filter("src IS NOT NULL AND y1 IS NOT NULL")
+    turns = found.filter("src IS NOT NULL AND y1 IS NULL").select("src", "doc", "y0")
+    if not turns.isEmpty():
+        chains_ = chains_.unionByName(written(_met_over_all(turns.mapInArrow(_switch_seeds(BITS), _ROWS), BITS).mapInArrow(_anchored, _CHAIN)))
     short = F.col("y1") - F.col("y0") < LEAST
     likely = written(_both_sides(chains_.filter(short), docs.mapInArrow(_prints(8), "id long, marks binary"), 1).mapInArrow(_plausible, _CHAIN))
     release(docs.sparkSession, [])

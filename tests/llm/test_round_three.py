@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftline.llm import centroids, chat, registry, vector_codes
+from driftline.llm import centroids, chat, passages, registry, vector_codes
 
 CLASH = ["seq", "n", "task", "after", "ok", "rid", "pos", "part", "weight", "entry", "code", "error", "cluster", "z", "upper", "lower", "_c", "_t", "h", "x.y"]
 
@@ -219,3 +219,76 @@ def test_clusters_of_odd_tables(spark):
     assert centroids.digests(spark.createDataFrame([(1, [0.5] * 8, 1), (None, [0.5] * 64, 1)], VECTORS)).collect() == []
     got = centroids.digests(spark.createDataFrame([(1, [0.5] * 64, None)] * 3, VECTORS)).collect()
     assert [(r.vec_id, r.cluster, r.distance, r.inertia) for r in got] == [(1, 0, 0, 0)] * 3
+
+
+# --- 3, fuzzy passages
+
+
+class Corpus:
+    """Documents of invented words with planted passages; share is how many words of the planted ones are found."""
+
+    def __init__(self, seed):
+        self.rng, self.rows, self.planted = random.Random(seed), [], {}
+
+    def words(self, n):
+        return ["".join(self.rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(self.rng.randint(3, 8))) for _ in range(n)]
+
+    def add(self, passage, kind=None):
+        before = self.words(self.rng.randint(20, 80))
+        self.rows.append((len(self.rows), " ".join(before + passage + self.words(self.rng.randint(20, 80)))))
+        if kind:
+            self.planted[len(self.rows) - 1] = kind, len(before), len(before) + len(passage)
+
+    def changed(self, passage, share):
+        """Inner words exchanged."""
+        out = list(passage)
+        for i in self.rng.sample(range(1, len(out) - 1), round(share * len(out))):
+            out[i] = self.words(1)[0]
+        return out
+
+    def found(self, spark):
+        got, share = {}, {}
+        for r in passages.passages(spark.createDataFrame(self.rows, "doc_id long, text string").repartition(4)).collect():
+            got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        for doc, (kind, lo, hi) in self.planted.items():
+            share.setdefault(kind, []).append(len(got.get(doc, set()) & {*range(lo, hi)}) / (hi - lo))
+        assert set(got) <= set(self.planted)
+        return share
+
+
+def test_fuzzy_passages_whose_parts_are_first_in_many_documents(spark):
+    c = Corpus(11)
+    for parts in (2, 3):
+        for share in (0.05, 0.1):
+            for lap in (30, 15):  # parts side by side, and such that no seed is first in the whole passage
+                for _ in range(20):
+                    whole = c.words(30 * parts)
+                    for a in range(0, len(whole) - 29, lap):
+                        c.add(whole[a : a + 30])
+                    c.add(whole)
+                    c.add(c.changed(whole, share), (parts, share, lap))
+    for kind, shares in c.found(spark).items():
+        assert sum(s >= 0.8 for s in shares) >= 18, kind
+
+
+def test_fuzzy_passages_at_the_limit(spark):
+    c = Corpus(12)
+    for n, share in ((40, 0.2), (40, 0.1), (60, 0.2), (100, 0.2)):
+        for _ in range(60):
+            whole = c.words(n)
+            c.add(whole)
+            c.add(c.changed(whole, share), (n, share))
+    for kind, shares in c.found(spark).items():
+        assert sum(s >= 0.8 for s in shares) >= 54, kind
+
+
+def test_fuzzy_passages_of_text_that_repeats_itself(spark):
+    c = Corpus(13)
+    for period in (1, 2, 3, 4, 7):
+        for share in (0.0, 0.05, 0.15):
+            for n in (60, 120, 300):
+                text = c.words(period) * 400
+                c.add(text[:n])
+                c.add(c.changed(text[c.rng.randrange(period) :][:n], share), (period, share))
+    for kind, shares in c.found(spark).items():
+        assert sum(shares) / len(shares) >= 0.9, kind
