@@ -3,20 +3,23 @@
 Base spans: e-mail, IP, card and phone values found by patterns and checks.
 They are the protected entities. A term t discloses an entity c in proportion to
 
-    PMI(c; t) / IC(c),  PMI = log2(p(c, t) / (p(c) p(t))),  IC = -log2 p(c)
+    PMI(c; t) / IC(c),  PMI = log2(p(c | t) / p(c)),  IC = -log2 p(c)
 
 with probabilities from document frequencies over all documents: 1 means that
 the term tells the entity. Inside documents that hold c, terms at or above
-GENERALISE become a tag of their shape, those at or above REMOVE go. A pair
-must occur in SUPPORT different texts at least, so copies of one text are no
-evidence. Terms of any length count. Documents without an entity are left as they are.
+GENERALISE become a tag of their shape, those at or above REMOVE go.
+
+p(c | t) is estimated without the text at hand, which would always speak for itself, and with one more draw of chance p(c):
+(k - 1 + p(c)) / n, of n texts with the term k with the entity. So the estimate is cautious where there is little to go by, and
+a term seen with an entity in one text alone tells exactly nothing; there is no least number of texts. Copies of one text count once in
+k, as documents in n. Terms of any length count. Documents without an entity are left as they are.
 
 Co-occurrence is counted per entity class: entities with the same document set
 (by two order-free 64-bit sums) have the same statistics and are counted once.
 
 Null text has no spans; a null doc_id is carried along; repeated rows and equal
 texts get equal results; an empty table gives an empty result; other columns
-may have any names but those starting with "_pii".
+may have any names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, same_columns
 
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+GENERALISE, REMOVE = 0.8, 0.95
 #: Items of one fold; code points of a block of text.
 FOLD, BLOCK = 256, 1024
 
@@ -141,22 +144,23 @@ def disclosing_terms(docs: DataFrame, entity: DataFrame) -> DataFrame:
     known = (
         held.groupBy("c")
         .agg(F.sum("w").alias("df_c"), F.count(F.lit(1)).alias("texts"), F.expr("bit_xor(xxhash64(_pii_key, 1))").alias("x"), F.expr("bit_xor(xxhash64(_pii_key, 2))").alias("y"))
-        .filter(F.col("texts") >= SUPPORT)
+        .filter("texts > 1")  # in one text all terms' ratios are 0
     )
     classes = held.join(known, "c").groupBy("_pii_key", "x", "y").agg(F.max("df_c").alias("df_c"))
     said = texts.select("_pii_key", "w", _terms(redact(F.col("text"), F.col("spans"), lambda s: F.lit(" "))).alias("terms"))
     pairs = classes.join(said, "_pii_key").select("_pii_key", "x", "y", "df_c", "w", F.explode("terms").alias("term"))
-    joint = pairs.groupBy("x", "y", "df_c", "term").agg(F.sum("w").alias("joint"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
+    joint = pairs.groupBy("x", "y", "df_c", "term").agg(F.sum("w").alias("joint"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     df = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
     n = F.lit(float(docs.count()))
-    pmi = F.log2(F.col("joint") * n / (F.col("df_c") * F.greatest("df_t", "joint")))
+    chance = F.col("df_c") / n
+    pmi = F.log2((F.col("k") - 1 + chance) / (F.greatest("df_t", "joint") - F.col("joint") + F.col("k")) / chance)
     told = joint.join(df, "term").withColumn("ratio", F.when(F.col("df_c") < n, pmi / F.log2(n / F.col("df_c")))).filter(F.col("ratio") >= GENERALISE)
     own = pairs.join(told.select("x", "y", "term", "ratio"), ["x", "y", "term"]).groupBy("_pii_key", "term").agg(F.max("ratio").alias("ratio"))
     return own.groupBy("_pii_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "ratio")))).alias("_pii_terms"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with the text sanitised, and two more columns: _pii_spans (base) and _pii_added (spans of the method)."""
+def _sanitised(docs: DataFrame) -> DataFrame:
+    """docs (text, _pii_row) with the text sanitised, and _pii_spans and _pii_added."""
     found = docs.withColumn("_pii_spans", F.coalesce(base_spans(F.col("text")), F.array().cast(SPAN)))
     clean = found.filter(F.size("_pii_spans") == 0).withColumn("_pii_added", F.array().cast(SPAN))
     entity = cut(found.filter(F.size("_pii_spans") > 0).withColumn("_pii_key", F.md5("text")))
@@ -174,6 +178,23 @@ def sanitise(docs: DataFrame) -> DataFrame:
     return clean.unionByName(same_columns(rows, clean))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns as one: so their names can't be ours."""
+    rest = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"]
+    return docs.select("text", F.struct(*(rest or [F.lit(0).alias("c")])).alias("_pii_row"))
+
+
+def _unpacked(docs: DataFrame) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col(f"_pii_row.c{k}").alias(c) for k, c in enumerate(docs.columns)]
+
+
+def sanitise(docs: DataFrame, spans: str = "_pii_spans", added: str = "_pii_added") -> DataFrame:
+    """docs with the text sanitised, and two more columns of the names given: base spans, and spans of the method."""
+    if {spans, added} & {*docs.columns}:
+        raise ValueError(f"the table has a column {spans} or {added}: give other names for the new ones")
+    return _sanitised(_packed(docs)).select(*_unpacked(docs), F.col("_pii_spans").alias(spans), F.col("_pii_added").alias(added))
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of the spans as they come, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -181,8 +202,9 @@ def joined(spans: Column) -> Column:
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """docs with sanitised texts, and n_chars to match where there is such a column."""
-    out = sanitise(docs)
-    if "n_chars" in docs.columns:
-        changed = F.size("_pii_spans") > 0
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return same_columns(out, docs)
+    out = _sanitised(_packed(docs))
+    columns = dict(zip(docs.columns, _unpacked(docs)))
+    if "n_chars" in columns:
+        held = columns["n_chars"]
+        columns["n_chars"] = F.when(F.size("_pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(held).alias("n_chars")
+    return out.select(*columns.values())

@@ -115,7 +115,7 @@ def added_spans(rows):
         return t
 
     df_t = Counter(w for t in rows for w in {m.group() for m in word.finditer((t or "").lower())})
-    df_c, texts_c, joint, texts = Counter(), defaultdict(set), Counter(), defaultdict(set)
+    df_c, joint, texts = Counter(), Counter(), defaultdict(set)
     held = []
     for t, spans in zip(rows, found):
         own = {entity(s[0], s[3]) for s in spans}
@@ -123,14 +123,14 @@ def added_spans(rows):
         said = {m.group() for m in word.finditer(without(t, spans).lower())} if own else set()
         for c in own:
             df_c[c] += 1
-            texts_c[c].add(t)
             for w in said:
                 joint[c, w] += 1
                 texts[c, w].add(t)
     told = defaultdict(dict)
     for (c, w), j in joint.items():
-        if len(texts_c[c]) >= 3 and len(texts[c, w]) >= 3 and df_c[c] < len(rows):
-            told[c][w] = math.log2(j * len(rows) / (df_c[c] * max(df_t[w], j))) / math.log2(len(rows) / df_c[c])
+        if df_c[c] < len(rows):
+            k, chance = len(texts[c, w]), df_c[c] / len(rows)
+            told[c][w] = math.log2((k - 1 + chance) / (max(df_t[w], j) - j + k) / chance) / -math.log2(chance)
     out = []
     for t, spans, own in zip(rows, found, held):
         said = {m.group() for m in word.finditer(without(t, spans).lower())} if own else set()
@@ -164,6 +164,24 @@ def test_added_spans(spark, docs, odd):
     assert {kind for g in want for kind, _, _ in g} == {"remove", "generalise"}
 
 
+def test_columns_with_our_names(spark):
+    df = spark.createDataFrame([("mail a@b.co", 7, 8, "x", 9)], "text string, _pii_spans int, _pii_row int, `c.0` string, n_chars long")
+    assert [tuple(r) for r in pii.clean_documents(df).collect()] == [("mail <EMAIL>", 7, 8, "x", 12)]
+    with pytest.raises(ValueError, match="other names"):
+        pii.sanitise(df)
+    (row,) = pii.sanitise(df, "spans", "added").collect()
+    assert row._pii_spans == 7 and [s.kind for s in row.spans] == ["email"] and row.added == []
+    assert pii.clean_documents(df.select("text")).collect() == [("mail <EMAIL>",)]
+
+
+def test_two_texts_can_disclose(spark):
+    """A rare name in two texts with one address tells it in a large table; in one text it tells nothing, whatever the size."""
+    noise = [f"ordinary words number{k} of many" for k in range(3000)]
+    rows = noise + ["Quillfeather of many a@b.co", "words Quillfeather number1 a@b.co", "Lonelyname of many c@d.co"]
+    got = [r.text for r in pii.sanitise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[:3000] == noise and got[3000:] == ["<NAME> of many <EMAIL>", "words <NAME> number1 <EMAIL>", "Lonelyname of many <EMAIL>"]
+
+
 def test_many_spans_in_long_texts(spark):
     """Thousands of spans, a text of over a megabyte: same spans and text as by hand."""
     rng = random.Random(32)
