@@ -47,6 +47,8 @@ K, LEAST, IDENTITY, GAP, SPLIT = 5, 40, 0.8, 0.1, 12
 HELD, HOT, MARGIN = 600_000, 64, 64
 #: Bytes of a bucket of seeds that tasks work on at a time; the fewest bits of a bucket's number. Of a hash the bucket and BYTES more bytes count.
 PASS, BITS, BYTES = 4 << 20, 9, 5
+#: Matches that a task gathers before it deals them to buckets of documents.
+MANY = 1 << 20
 #: Adjacent equal words of any passage: IDENTITY of its words are equal, and each of the others, on either side, parts two of them at most.
 ENOUGH = int(LEAST * (IDENTITY - 2 * (1 - IDENTITY)) - 1)
 
@@ -183,9 +185,16 @@ def _stars(bits: int):
 
     def run(batches):
         held, size, last = [], 0, None
-        width = 12 + BYTES
+        width, matches, many = 12 + BYTES, [], 0
+
+        def dealt():
+            nonlocal matches, many
+            if matches:
+                yield _match_rows(*(np.concatenate(c) for c in zip(*matches)), bits)
+            matches, many = [], 0
 
         def flush():
+            nonlocal many
             h, doc, pos = [], [], []
             for bucket, data in held:
                 n = len(data) // width
@@ -211,7 +220,10 @@ def _stars(bits: int):
             shared = np.flatnonzero((np.logical_or.reduceat(other, start) | heat)[group])
             if len(shared):
                 of = group[shared]
-                yield _match_rows(doc[shared], pos[shared], first[of], np.where(other[shared], at[of], pos[shared]), bits)
+                matches.append((doc[shared], pos[shared], first[of], np.where(other[shared], at[of], pos[shared])))
+                many += len(shared)
+            if many >= MANY:
+                yield from dealt()
 
         for batch in batches:
             for kind, bucket, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "data"))):
@@ -225,6 +237,7 @@ def _stars(bits: int):
                 size, last = size + len(data), bucket
         if held:
             yield from flush()
+        yield from dealt()
 
     return run
 
