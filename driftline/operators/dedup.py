@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import kept, same
+from ..tables import forget, kept, same
 
 KEY = ["topic", "part"]
 WINDOW, MAX_WINDOWS = 100, 1_000_000
@@ -241,7 +241,8 @@ def lives(log: DataFrame, width: int = WINDOW, max_windows: int = 3, block: int
             return got.filter("block IS NULL").drop("block")
         if near >= CLOSER - 1:
             doubt = touches.join(doubt.select(*KEY).distinct(), KEY, "left_semi").select(*group)
-        closer = kept(doubt if closer is None else closer.unionByName(doubt).distinct())
+        seen, closer = closer, kept(doubt if closer is None else closer.unionByName(doubt).distinct())
+        forget(got, *([seen] if seen is not None else []))
     raise AssertionError("single arrivals are never in doubt")
 
 

@@ -139,7 +139,7 @@ def emissions(marked: DataFrame, every: int, last_tick: DataFrame) -> DataFrame:
     last_tick: one row (last). A window with gaps is reported at each tick, one without when it had some at the tick before it changed,
     and once at first. A window's numbers, at most its width, meet in one row; between the ticks at which it changes, its state stays.
     """
-    tick = lambda t: F.floor(t / every)
+    tick = lambda t: F.call_function("div", t, F.lit(every))  # noqa: E731  whole numbers: arrivals may be nanoseconds
     each = marked.groupBy(*WIN, "died").agg(F.array_sort(F.collect_list(F.struct(tick(F.col("arrival")).alias("t"), "off"))).alias("seen"))
 
     def ranges_at(t):

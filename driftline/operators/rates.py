@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import kept, reachable, same
+from ..tables import forget, kept, reachable, same
 
 
 def delayed(events: DataFrame, threads: dict[str, int]) -> DataFrame:
@@ -89,6 +89,7 @@ def accepted_every(events: DataFrame, key: str, gap: float, seconds: str = "t")
         return rows
     times = kept(rows.select(F.col(key).alias("_k"), F.col(seconds).alias("at")).distinct())
     taken = reachable(_next_after(times, gap), times.groupBy("_k").agg(F.min("at").alias("at")), ["_k"])
+    forget(times)
     rest = [c for c in events.columns if c not in (key, seconds)]
     one = rows.groupBy(key, seconds).agg(F.min(F.struct(*rest)).alias("_r")) if rest else rows.distinct()
     got = one.join(taken, same(one, taken, {key: "_k", seconds: "at"}), "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wire import reassemble
-from ..tables import kept, last_before, reachable, same
+from ..tables import forget, kept, last_before, reachable, same
 
 
 def _sound(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,6 +59,7 @@ def entries(parts: DataFrame, ttl: int | None = None) -> tuple[DataFrame, DataFr
     cuts = kept(cuts.filter("begun IS NOT NULL AND to IS NOT NULL").select("id", "at", "to", "begun", "whole"))
     taken = reachable(cuts, ids.select("id", F.col("root").alias("at")), ["id"])
     used = kept(cuts.join(taken, ["id", "at"]).select("id", "at", "begun", F.col("to").alias("end"), "whole"))
+    forget(cuts, taken)
     # Each frame has the cut before it; a frame at a cut belongs to the entry that ends with it.
     begin = used.select("id", "at", F.lit(0).alias("frame"), F.struct("at", "end", "whole").alias("cut"))
     both = rows.select("id", F.col("arrival").alias("at"), F.lit(1).alias("frame"), F.lit(None).cast(begin.schema["cut"].dataType).alias("cut")).unionByName(begin)

@@ -47,12 +47,13 @@ def missing_ticks(rows: DataFrame, every: int, keys: list[str]) -> DataFrame:
     win = [*keys, "win"]
     came = F.col("status").isin(0, -1)
     rows = rows if "evicted" in rows.columns else rows.withColumn("evicted", F.lit(None).cast("long"))
-    rows = rows.withColumn("tick", F.floor(F.col("arrival") / every))
+    tick = lambda t: F.call_function("div", F.col(t), F.lit(every))  # noqa: E731  whole numbers: arrivals may be nanoseconds
+    rows = rows.withColumn("tick", tick("arrival"))
     before = F.coalesce(F.max("off").over(Window.partitionBy(*win, "evicted").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)), F.col("win") - 1)
     change = F.when(F.col("off") > before, F.col("off") - before - 1).otherwise(-1)
     opened = rows.filter(came).select(*win, "evicted", "tick", change.alias("change"))
     gone = opened.filter("evicted IS NOT NULL").groupBy(*win, "evicted").agg((-F.sum("change")).alias("change"))
-    moves = opened.select(*keys, "tick", "change").unionByName(gone.select(*keys, F.floor(F.col("evicted") / every).alias("tick"), "change"))
+    moves = opened.select(*keys, "tick", "change").unionByName(gone.select(*keys, tick("evicted").alias("tick"), "change"))
     moved = moves.groupBy(*keys, "tick").agg(F.sum("change").alias("delta_missing"))
     n = {"delta_received": F.lit(True), "delta_emitted": (F.col("status") != 1) & (F.octet_length("payload") > 0), "_dup": F.col("status") == 1, "_fill": F.col("status") == -1, "_below": F.col("status") == -2}
     counted = rows.groupBy(*keys, "tick").agg(*[F.count_if(c).alias(k) for k, c in n.items()])

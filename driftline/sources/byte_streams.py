@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wire import OVERHEAD
-from ..tables import kept, reachable
+from ..tables import forget, kept, reachable
 
 MAX_ID = 1024
 #: No frame is longer: header, id, checksum, and a payload whose length has two bytes.
@@ -128,5 +128,6 @@ def split_chunks(chunks: DataFrame, size: int = 1 << 20) -> DataFrame:
     begins = laid.filter("block = 0").select("stream", F.lit(0).cast("long").alias("at"))
     ends = steps.select("stream", F.col("to").alias("at")).unionByName(begins).distinct()
     entries = reachable(steps.join(ends, ["stream", "at"], "left_semi"), begins, ["stream"])
+    forget(steps)
     where = entries.select("stream", F.floor(F.col("at") / size).alias("block"), F.pmod("at", F.lit(size)).alias("entry"))
     return laid.join(where, ["stream", "block"]).select("stream", "block", "pieces", "entry").mapInArrow(_cut(size), f"stream {kind}, at long, frame binary")

@@ -21,14 +21,28 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, which goes when the driver ends."""
+    """df as a table in the shared folder, which goes with forget() or when the driver ends."""
     spark = df.sparkSession
     out = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(out)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(out)
+    at, fs = _store(spark, out)
+    fs.deleteOnExit(at)
+    table = spark.read.schema(df.schema).parquet(out)
+    table._kept_at = out
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of kept() that nothing reads any more."""
+    for t in tables:
+        at, fs = _store(t.sparkSession, t._kept_at)
+        fs.delete(at, True)
 
 
 def same(left: DataFrame, right: DataFrame, pairs: dict[str, str]):
@@ -58,17 +72,22 @@ def reachable(edges: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, at): the roots (keys, at), and what their chains lead to over edges (keys, at, to) of at most one a node, always upwards.
 
     Pointers double: round r knows each node's 2^r-th successor, and finds what lies within 2^(r+1) steps of a root. So a
-    chain of n nodes takes log2(n) rounds of joins on (keys, at), and no chain is ever one task.
+    chain of n nodes takes log2(n) rounds of joins on (keys, at), and no chain is ever one task. A round's tables go when the next one has its own.
     """
     jump, found = kept(edges.select(*keys, "at", "to")), kept(roots.select(*keys, "at").distinct())
     size = found.count()
     mine = {c: c for c in keys}
     while size:
         more = found.join(jump, same(found, jump, mine | {"at": "at"})).select(*[jump[c] for c in keys], F.col("to").alias("at"))
-        found = kept(found.unionByName(more).distinct())
+        new = kept(found.unionByName(more).distinct())
+        forget(found)
+        found = new
         size, before = found.count(), size
         if size == before:
             break
         far = jump.select(*[F.col(c).alias(f"_f_{c}") for c in keys], F.col("at").alias("_f_at"), F.col("to").alias("_f_to"))
-        jump = kept(jump.join(far, same(jump, far, {c: f"_f_{c}" for c in keys} | {"to": "_f_at"})).select(*[jump[c] for c in keys], jump["at"], F.col("_f_to").alias("to")))
+        new = kept(jump.join(far, same(jump, far, {c: f"_f_{c}" for c in keys} | {"to": "_f_at"})).select(*[jump[c] for c in keys], jump["at"], F.col("_f_to").alias("to")))
+        forget(jump)
+        jump = new
+    forget(jump)
     return found
