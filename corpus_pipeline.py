@@ -82,6 +82,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     home = f"{folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # the result is read until then
     docs, last = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         out = f"{home}/{k}-{name}"

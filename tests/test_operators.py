@@ -295,6 +295,54 @@ def test_reconciliation_states(spark):
     assert got == {"a": ("SENT", 0), "b": ("RECEIVED", 0), "c": ("DUPLICATED", 1), "d": ("UNKNOWN", 0), "e": ("UNKNOWN_DUPLICATED", 1)}
 
 
+class Broker:
+    """A session whose Kafka reader gives the same rows whatever it is asked, and tells what that was."""
+
+    def __init__(self, spark):
+        schema = "topic string, partition int, offset long, timestamp timestamp, value binary"
+        self.rows = spark.createDataFrame([("t", 1, 7, None, bytearray(b"v"))], schema)
+        self.asked = []
+
+    read = property(lambda self: self._as("batch"))
+    readStream = property(lambda self: self._as("stream"))
+
+    def _as(self, kind):
+        self.asked.append({"kind": kind})
+        return self
+
+    def format(self, name):
+        self.asked[-1]["format"] = name
+        return self
+
+    def options(self, **given):
+        self.asked[-1].update(given)
+        return self
+
+    def load(self):
+        return self.rows
+
+
+def test_reading_to_the_end_and_tailing(spark):
+    b = Broker(spark)
+    (row,) = readers.kafka(b, streaming=False, brokers="h:9092", topics="t").collect()
+    assert (row.topic, row.part, row.off, row.id, bytes(row.value)) == ("t", 1, 7, "t_1_7", b"v")
+    readers.tail(b, "h:9092", "t")
+    to_end, tail = b.asked
+    assert to_end["kind"] == "batch" and to_end["format"] == "kafka" and to_end["endingOffsets"] == "latest" and to_end["startingOffsets"] == "earliest"
+    assert tail["kind"] == "stream" and tail["startingOffsets"] == "latest" and "endingOffsets" not in tail
+
+
+def test_small_sinks(spark, tmp_path, capsys):
+    rows = spark.createDataFrame([("t", 1, 7, "hello", None), ("t", 0, 8, "there", None)], "topic string, part int, off long, payload string, ts timestamp")
+    clean = sinks.clean_rows(rows)
+    assert [(r.id, r.value) for r in clean.orderBy("id").collect()] == [("t_0_8", "there"), ("t_1_7", "hello")]
+    sinks.console(clean)
+    assert "hello" in capsys.readouterr().out
+    sinks.write_stats(rows.select("topic", "part", "off"), str(tmp_path / "stats"))
+    got = spark.read.option("header", True).csv(str(tmp_path / "stats"))
+    assert sorted(map(tuple, got.collect())) == [("t", "0", "8"), ("t", "1", "7")]
+
+
 def test_gap_payload_bytes():
     """The payload byte by byte, as the public formats say: version, bounds, then a portable Roaring bitmap of one array container."""
     head = bytes([1]) + (100).to_bytes(8, "big") + (199).to_bytes(8, "big")
