@@ -99,8 +99,14 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
     kind = _exact(q, c)
     lists, least = Lists(cid, c, kind), np.iinfo(np.int64).min // 4 if kind is np.int64 else -np.inf
     ends = sorted({max(1, int(np.ceil(x * len(cid)))) for x in steps} | {len(cid)})
-    shown = [(b, lists.step(a, b), lists.seen(b), lists.at(b)) for a, b in zip([0, *ends], ends)]
-    last, out, reads = lists.at(len(cid)), [], 0
+    shown, last, out, reads = [], lists.at(len(cid)), [], 0
+
+    def steps_read():
+        """What each step shows; the lists are read as far as some query has come, once for all."""
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            if k == len(shown):
+                shown.append((b, lists.step(a, b), lists.seen(b), lists.at(b)))
+            yield shown[k]
 
     def ranked(i, some, scores):
         best = np.lexsort((cid[some], -scores))[:k]
@@ -110,7 +116,7 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
         turn = np.arange(lo, min(lo + _TURN, len(qid)))
         both = np.concatenate([np.maximum(q[turn], 0), np.minimum(q[turn], 0)], axis=1).astype(kind)
         part, before = np.zeros((len(turn), len(cid)), kind), 0
-        for b, values, seen, now in shown:
+        for b, values, seen, now in steps_read():
             part += both @ values.T
             reads += len(turn) * q.shape[1] * (b - before)
             before = b
@@ -133,6 +139,8 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
             stay = np.ones(len(turn), bool)
             stay[maybe[stop]] = False
             turn, both, part = turn[stay], both[stay], part[stay]
+            if not len(turn):
+                break
         for i, row in zip(turn, part):
             some = np.flatnonzero(cid != qid[i])
             if len(some) > k:
