@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textops
 from .common import plain, written
 
 
@@ -135,7 +136,7 @@ def _formatted(template: Template):
 
     def run(batches):
         task, n, conv, now = TaskContext.get().partitionId(), 0, None, list(range(len(states)))
-        for b in batches:
+        for b in textops.slices(batches):
             out = []
             for c, role, text in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("text").to_pylist()):
                 if n and c != conv:
