@@ -12,6 +12,10 @@ The trigram model is fitted on the labelled documents with the SAMPLE least hash
 of doc_id, whole texts, one row (the least) of each doc_id; everything else counts all rows.
 A byte lies in three trigrams, so a text's log likelihood is a third of their sum.
 
+Rows with the same declaration, suffix and host are one class, whose evidence is
+summed once. Classes of many rows are told by a broadcast of bounded size, so neither
+a common declaration nor the null host is a hot key of a join.
+
 A row is accepted if its text has LETTERS letters at least and the posterior of
 its best language reaches LEAST; else its language is "und". Null and empty
 texts are rejected; null addresses, declarations and hosts are classes of their
@@ -32,6 +36,7 @@ from .common import cut, plain, same_columns
 
 SAMPLE, BUCKETS = 3000, 1 << 15
 WEIGHT, LETTERS, LEAST = 20.0, 3, 0.5
+HEAVY = 512
 
 #: Trigrams that a byte lies in.
 _OVERLAP = 3
@@ -111,48 +116,64 @@ def _shares(logs: Column) -> Column:
     return F.transform(each, lambda v: v / F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
 
 
-def _plus(*logs: Column) -> Column:
-    out = logs[0]
-    for more in logs[1:]:
-        out = F.zip_with(out, more, lambda a, b: a + b)
-    return out
-
-
 def _arrays(soft: DataFrame, *by: str) -> DataFrame:
-    """(by, sums): the soft counts summed by these columns, as an array over the languages."""
-    pairs = soft.groupBy(*by, "k").agg(F.sum("s").alias("s")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("sums"))
+    """(by, sums, n): the soft counts summed by these columns, as an array over the languages; n of the classes have them."""
+    pairs = soft.groupBy(*by, "k").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("sums"), F.max("n").alias("n"))
     return pairs.withColumn("sums", F.transform("sums", lambda x: x["s"]))
 
 
+def _told(rows: DataFrame, table: DataFrame, by: list[str], total: Column) -> DataFrame:
+    """rows with what the table (by, n, ...) says of their class, n being how many of the total rows are of it.
+
+    Classes with more than one in HEAVY of the rows, so HEAVY at most, are told by a broadcast, and their rows aren't moved; the
+    rest is joined by a shuffle in which no class is large.
+    """
+    heavy = F.col("n") * HEAVY > total
+    often, rest = table.filter(heavy).drop("n"), table.filter(~heavy).drop("n")
+    return rows.join(F.broadcast(often), by).unionByName(rows.join(F.broadcast(often.select(*by)), by, "left_anti").join(rest, by))
+
+
 def fuse(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """rows without text, with lang, posterior and accepted; rows have text, declared, suffix and host."""
     keys = [c for c in rows.columns if c not in ("text", "declared", "suffix", "host")]
     if not langs:
         text = likelihoods(rows, langs, table)
         return text.select(*keys, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), (F.col("letters") >= LETTERS).alias("accepted"))
-    none = {c: F.coalesce(c, F.lit("")) for c in ("declared", "suffix", "host")}
-    text = cut(likelihoods(rows.withColumns(none), langs, table))
-    soft = text.select("host", "declared", "suffix", F.posexplode(_shares(F.col("ll"))).alias("k", "s")).groupBy("host", "declared", "suffix", "k").agg(F.sum("s").alias("s"))
+    kinds = ("declared", "suffix", "host")
+    none = {c: F.coalesce(c, F.lit("")) for c in kinds}
+    # Rows with the same evidence beside their text are a class, known by a digest of fixed size.
+    rows = rows.withColumns(none).withColumn("_class", F.md5(F.to_json(F.array(*kinds))))
+    text = cut(likelihoods(rows, langs, table))
+    soft = text.select("_class", *kinds, F.posexplode(_shares(F.col("ll"))).alias("k", "s")).groupBy("_class", *kinds, "k").agg(F.sum("s").alias("s"))
     soft = cut(soft.withColumn("parent", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)))
     # One number for each language of the sample.
-    total = [0.0] * len(langs)
-    for k, s in soft.groupBy("k").agg(F.sum("s")).collect():
-        total[k] = s
+    total, classes = [0.0] * len(langs), 0
+    for k, s, n in soft.groupBy("k").agg(F.sum("s"), F.count(F.lit(1))).collect():
+        total[k], classes = s, n
     everything = [(t + 1.0) / (sum(total) + len(langs)) for t in total]
     totals, base = F.array(*map(F.lit, total)), F.array(*map(F.lit, everything))
 
-    def told(column: str) -> DataFrame:
-        """log P(class | language) of each class, add-one smoothed over the classes."""
-        classes = soft.select(column).distinct().count()
-        return _arrays(soft, column).select(column, F.zip_with("sums", totals, lambda v, t: F.log((v + 1.0) / (t + classes))).alias(f"by_{column}"))
+    def likely(column: str) -> DataFrame:
+        """log P(value | language) of each declaration or suffix, add-one smoothed over their values."""
+        values = soft.select(column).distinct().count()
+        logs = F.zip_with("sums", totals, lambda v, t: F.log((v + 1.0) / (t + values)))
+        return _arrays(soft, column).select(F.lit(column).alias("kind"), F.col(column).alias("value"), "n", logs.alias("logs"))
 
     mass = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     smooth = lambda c, upper: F.zip_with(c, upper, lambda v, u: (v + WEIGHT * u) / (mass(c) + WEIGHT))
-    parents = _arrays(soft, "parent").select("parent", smooth(F.col("sums"), base).alias("upper"))
-    hosts = _arrays(soft, "host", "parent").join(parents, "parent")
-    prior = hosts.select("host", F.transform(smooth(F.col("sums"), F.col("upper")), lambda v: F.log(v)).alias("prior"))
-    both = text.join(told("declared"), "declared").join(told("suffix"), "suffix").join(prior, "host")
-    score = _plus(F.col("ll"), F.col("by_declared"), F.col("by_suffix"), F.col("prior"))
+    parents = _arrays(soft, "parent").select("parent", "n", smooth(F.col("sums"), base).alias("upper"))
+    hosts = _told(_arrays(soft, "host", "parent").withColumnRenamed("n", "_n"), parents, ["parent"], F.lit(classes))
+    prior = hosts.select(F.lit("host").alias("kind"), F.col("host").alias("value"), F.col("_n").alias("n"), F.transform(smooth(F.col("sums"), F.col("upper")), lambda v: F.log(v)).alias("logs"))
+    evidence = cut(likely("declared").unionByName(likely("suffix")).unionByName(prior))
+    # Each class asks for three kinds of evidence; their logs are added in one order.
+    ask = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in kinds])).alias("ask")
+    asking = soft.groupBy("_class", *kinds).agg(F.sum("s").alias("_rows")).select("_class", "_rows", ask).select("_class", "_rows", "ask.*")
+    beside = _told(asking, evidence, ["kind", "value"], F.lit(classes)).groupBy("_class").agg(F.max("_rows").alias("n"), F.array_sort(F.collect_list(F.struct("kind", "logs"))).alias("all"))
+    added = F.aggregate("all", F.array(*[F.lit(0.0)] * len(langs)), lambda acc, x: F.zip_with(acc, x["logs"], lambda a, b: a + b))
+    beside = cut(beside.select("_class", "n", added.alias("_beside")))
+    both = _told(text.select(*keys, "letters", "ll", "_class"), beside, ["_class"], F.lit(sum(total)))
+    score = F.zip_with("ll", "_beside", lambda a, b: a + b)
     out = both.select(*keys, "letters", score.alias("score")).select(*keys, "letters", _shares(F.col("score")).alias("shares"))
     best = F.array_max("shares")
     name = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("shares", best).cast("int"))
