@@ -21,16 +21,27 @@ def _bytes_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _check(path: str, spec: dict) -> None:
+    """Raises ValueError unless the file is a plain byte-level BPE: other settings would give other ids, and nothing would tell."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain_split = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain_model = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain_tokens = not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip"))
+    if spec.get("normalizer") or not (plain_split and plain_model and plain_tokens):
+        raise ValueError(f"{path} is no plain byte-level vocabulary: its ids would differ from the rank encoder's")
+
+
 class Encoder:
     """Same ids as Tokenizer.from_file(path).encode(text, add_special_tokens=False), through the faster rank encoder.
 
-    Texts on which the rank encoder panics go to the tokenizer itself.
+    Texts on which the rank encoder panics go to the tokenizer itself. A file whose texts aren't split and encoded in this way is refused.
     """
 
     def __init__(self, path: str):
         self.path, self.slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(path, spec)
         byte = _bytes_of()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}

@@ -610,12 +610,33 @@ def test_rejection_row_by_row(spark, docs):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "None"] and {r.text for r in kept} == {good.text}
 
 
+def test_common_and_rare_classes(spark, docs, monkeypatch):
+    """Classes that are told by a broadcast and classes that are joined by a shuffle get the same results: all of one kind, of the other, and mixed."""
+    text = [r.text for r in docs.filter("length(text) > 200").select("text").limit(40).collect()]
+    langs, model = lang_id.fit(docs)
+    hosts = ["a.one.org"] * 30 + [None] * 30 + [f"h{k}.two.org" for k in range(30)] + [f"h{k}.x{k}.net" for k in range(10)]
+    rows = [(i, text[i % 40], [None, "en", "de", f"x{i}"][i % 4], h and h.rsplit(".", 1)[1], h) for i, h in enumerate(hosts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string")
+    want = {i: (w[0], w[2]) for i, w in fused(rows, langs, model).items()}
+    for heavy in (0, 3, 8, 10**9):
+        monkeypatch.setattr(lang_id, "HEAVY", heavy)
+        assert {r.doc_id: (r.lang, r.accepted) for r in lang_id.fuse(df, langs, model).collect()} == want
+
+
 def test_without_labels(odd):
     bare = odd.withColumn("lang", F.lit(None).cast("string"))
     langs, model = lang_id.fit(bare)
     assert langs == [] and {r.lang for r in lang_id.fuse(lang_id.document_rows(bare), langs, model).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "BPE", "vocab": {}, "end_of_word_suffix": "</w>"}}])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    spec = {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE", "vocab": {}}} | change
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="no plain byte-level vocabulary"):
+        tokens.encoder(str(tmp_path / "v.json"))
+
+
 # --- 7
 
 
