@@ -7,8 +7,9 @@ written per micro-batch, so a batch that runs again writes the same rows and a r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,18 +51,27 @@ def read_ring(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RING).option("recursiveFileLookup", True).parquet(path)
 
 
+def _unsealed(private: list[tuple[int, int]]):
+    """mapInPandas: (epoch, key) of the envelopes (arrival, value) that one of the private keys opens."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keys = [key_exchange.unseal(bytes(v), private) for v in f["value"]]
+            yield pd.DataFrame({"epoch": f["arrival"], "key": keys}).dropna()
+
+    return run
+
+
 def opened(messages: DataFrame, number: int, ring: str, private: list[tuple[int, int]], first_key: bytes | None = None, **options) -> transport.Received:
     """One micro-batch of whole messages (id, type, value, arrival) to records; its envelopes join the ring first.
 
     A message is opened with the key of the latest envelope at or before its arrival, before the first with first_key.
-    Envelopes are few (senders wait between two), so the driver opens them.
+    Envelopes are opened where they lie: a flood of false ones stays off the driver and out of the ring. Envelopes without value or arrival tell no key.
     """
-    spark = messages.sparkSession
-    sealed = messages.filter(F.col("type") == wire.KEY_EXCHANGE).select("arrival", "value").collect()
-    keys = [(r.arrival, bytearray(k)) for r in sealed if (k := key_exchange.unseal(bytes(r.value), private)) is not None]
-    if keys:
-        spark.createDataFrame(keys, RING).coalesce(1).write.mode("overwrite").parquet(f"{ring}/batch={number}")
-    rows = transport.keys_in_force(messages, read_ring(spark, ring)).withColumn("key", F.coalesce("key", F.lit(first_key).cast("binary")))
+    sealed = messages.filter(F.col("type") == wire.KEY_EXCHANGE).filter("value IS NOT NULL AND arrival IS NOT NULL")
+    if not sealed.isEmpty():
+        sealed.select("arrival", "value").mapInPandas(_unsealed(private), RING).write.mode("overwrite").parquet(f"{ring}/batch={number}")
+    rows = transport.keys_in_force(messages, read_ring(messages.sparkSession, ring)).withColumn("key", F.coalesce("key", F.lit(first_key).cast("binary")))
     return transport.open_messages(rows, **options)
 
 

@@ -152,6 +152,22 @@ def test_link_with_changing_keys_and_restarts(spark, tmp_path):
     assert {bytes(r.key) for r in link.read_ring(spark, ring).collect()} == {b"0" * 16, b"1" * 32}
 
 
+def test_false_envelopes_tell_no_key(spark, tmp_path):
+    """Envelopes that can't be opened, without value or arrival, among good ones: only good ones join the ring, and a repeated batch leaves it as it is."""
+    from driftline.functions import key_exchange
+    from driftline.streaming import link
+
+    n, e, d = rsa(3)
+    good = {k: key_exchange.seal(bytes([k]) * 32, n, e) for k in (7, 200)}
+    rows = [("k", wire.KEY_EXCHANGE, bytearray(b"\x05" * (k % 90)), k) for k in range(400)]
+    rows += [("k", wire.KEY_EXCHANGE, bytearray(v), 1000 + k) for k, v in good.items()]
+    rows += [("k", wire.KEY_EXCHANGE, None, 5), ("k", wire.KEY_EXCHANGE, bytearray(good[7]), None)]
+    messages = spark.createDataFrame(rows, "id string, type int, value binary, arrival long").repartition(4)
+    for number in (0, 0, 1):
+        link.opened(messages.filter("arrival < 1000") if number else messages, number, str(tmp_path / "ring"), [(n, d)])
+        assert {(r.epoch, bytes(r.key)) for r in link.read_ring(spark, str(tmp_path / "ring")).collect()} == {(1000 + k, bytes([k]) * 32) for k in good}
+
+
 def test_sent_frames_are_the_same_again(spark):
     from driftline.operators.transport import SendConfig, encode
 
