@@ -561,27 +561,65 @@ def common(a: list[int], b: list[int]) -> int:
     row = full
     for v in a:
         match = row & where.get(v, 0)
-        row = (row + match | row - match) & full
+        if match:
+            row = (row + match | row - match) & full
     return len(b) - row.bit_count()
 
 
+def matched(a: np.ndarray, b: np.ndarray) -> int:
+    """common() without the equal words that both begin or end with."""
+    n = min(len(a), len(b))
+    apart = np.flatnonzero(a[:n] != b[:n])
+    if not len(apart):
+        return n
+    head = int(apart[0])
+    apart = np.flatnonzero(a[len(a) - n + head :] != b[len(b) - n + head :])
+    if not len(apart):
+        return n
+    tail = n - head - 1 - int(apart[-1])
+    return head + tail + common(a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist())
+
+
 def extended(pairs: list[tuple[np.ndarray, np.ndarray]], cost: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each side that the best alignment from the start takes: an equal word gains 1, a changed, missing or added one loses the cost."""
-    n, m = len(pairs), MARGIN
-    one, two = np.full((n, m), -1, np.int64), np.full((n, m), -2, np.int64)
-    for k, (a, b) in enumerate(pairs):
-        one[k, : len(a)], two[k, : len(b)] = a, b
-    step = np.arange(m + 1, dtype=np.int16) * np.int16(cost)
-    row = np.tile(-step, (n, 1))
-    best, took = np.zeros(n, np.int16), np.zeros((2, n), np.int64)
-    for i in range(m):
-        new = row - np.int16(cost)
-        np.maximum(new[:, 1:], row[:, :-1] + np.where(one[:, i : i + 1] == two, np.int16(1), np.int16(-cost)), out=new[:, 1:])
-        row = np.maximum.accumulate(new + step, axis=1) - step
-        j = row.argmax(axis=1)
-        top = row[np.arange(n), j]
-        more = top >= best  # a changed word before the last equal one is taken along
-        best[more], took[0, more], took[1, more] = top[more], i + 1, j[more]
+    """Words of each side that the best alignment from the start takes: an equal word gains 1, a changed, missing or added one loses the cost.
+
+    A place of both sides is a row, a pair a column. Scores are held with the cost of the second side's words added. Pairs that the first side's
+    remaining words can't bring up to their best any more are left out.
+    """
+    own, other = (np.array([len(p[k]) for p in pairs], np.int64) for k in (0, 1))
+    took, live = np.zeros((2, len(pairs)), np.int64), np.flatnonzero((own > 0) & (other > 0))
+    if not len(live):
+        return took[0], took[1]
+    own, width = own[live], int(other[live].max())
+    one, two = np.zeros((int(own.max()), len(live)), np.uint32), np.zeros((width, len(live)), np.uint32)
+    for c, k in enumerate(live.tolist()):
+        a, b = pairs[k]
+        one[: len(a), c], two[: len(b), c] = a, b
+    there = np.arange(width)[:, None] < other[live]
+    step = (np.arange(width + 1, dtype=np.int16) * np.int16(cost))[:, None]
+    score, best = np.zeros((width + 1, len(live)), np.int16), np.zeros(len(live), np.int16)
+    for i in range(len(one)):
+        same = one[i] == two
+        same &= there
+        same &= own > i
+        diagonal = same * np.int16(1 + cost)
+        diagonal += score[:-1]
+        score -= np.int16(cost)
+        np.maximum(score[1:], diagonal, out=score[1:])
+        np.maximum.accumulate(score, axis=0, out=score)
+        plain_ = score - step
+        top = plain_.max(axis=0)
+        more = np.flatnonzero(top >= best)  # a changed word before the last equal one is taken along
+        if len(more):
+            best[more] = top[more]
+            took[0, live[more]], took[1, live[more]] = i + 1, (plain_[:, more] == top[more]).argmax(axis=0)
+        if i % 8 == 7:
+            stay = np.flatnonzero(top + (own - i - 1) >= best)
+            if not len(stay):
+                break
+            if 4 * len(stay) < 3 * len(live):
+                live, own, best = live[stay], own[stay], best[stay]
+                one, two, there, score = (np.ascontiguousarray(x[:, stay]) for x in (one, two, there, score))
     return took[0], took[1]
 
 
@@ -600,15 +638,15 @@ def longest(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]],
             size = min(len(p[side]), len(p[side + 1]))
             same[k, :size] = p[side][:size] == p[side + 1][:size]
         sums = np.where(same, gain - share.numerator, -share.numerator).cumsum(axis=1)
-        ends.append(np.c_[np.zeros(n, np.int64), np.where(same, sums, -(1 << 30))])
-    base = gain * core[:, 0] - share.numerator * core[:, 1]
+        ends.append(np.c_[np.zeros(n, np.int32), np.where(same, sums, -(1 << 28))].astype(np.int32))
+    base = (gain * core[:, 0] - share.numerator * core[:, 1]).clip(-(1 << 28), 1 << 28).astype(np.int32)
     before, behind = np.full(n, -1), np.full(n, -1)
     able = np.flatnonzero(ends[0].max(axis=1) + ends[1].max(axis=1) + base >= 0)
-    places = np.arange(m + 1)
+    places = np.arange(m + 1, dtype=np.int16)
     for at in range(0, len(able), 128):
         some = able[at : at + 128]
         total = ends[0][some][:, :, None] + ends[1][some][:, None, :] + base[some][:, None, None]
-        size = np.where(total >= 0, places[:, None] + places[None, :], -1).reshape(len(some), -1)
+        size = np.where(total >= 0, places[:, None] + places[None, :], np.int16(-1)).reshape(len(some), -1)
         best = size.argmax(axis=1)
         ok = size[np.arange(len(some)), best] + core[some, 1] >= LEAST
         before[some[ok]], behind[some[ok]] = best[ok] // (m + 1), best[ok] % (m + 1)
@@ -630,7 +668,7 @@ def align(rows: list[tuple]) -> list[tuple]:
                 if len(a) < LEAST:
                     continue
                 same = len(a) == len(b) and (a == b).all()
-                identity = 1.0 if same else common(a.tolist(), b.tolist()) / max(len(a), len(b)) if min(len(a), len(b)) >= IDENTITY * max(len(a), len(b)) else 0.0
+                identity = 1.0 if same else matched(a, b) / max(len(a), len(b)) if min(len(a), len(b)) >= IDENTITY * max(len(a), len(b)) else 0.0
                 if identity >= IDENTITY:
                     out.append((k, p, r, q, t, identity))
                 else:
@@ -646,12 +684,12 @@ def align(rows: list[tuple]) -> list[tuple]:
             a, b, lo, hi = rows[k]
             mid = a[lo[0] : len(a) - hi[0]], b[lo[1] : len(b) - hi[1]]
             pairs.append((a[: lo[0]][::-1], b[: lo[1]][::-1], a[len(a) - hi[0] :], b[len(b) - hi[1] :]))
-            core.append((common(mid[0].tolist(), mid[1].tolist()), max(map(len, mid))))
+            core.append((matched(*mid), max(map(len, mid))))
         for k, p, r in zip(some, *(x.tolist() for x in longest(pairs, np.array(core, np.int64).reshape(-1, 2)))):
             a, b, lo, hi = rows[k]
             a, b = a[lo[0] - p : len(a) - hi[0] + r], b[lo[1] - p : len(b) - hi[1] + r]
             if p >= 0 and len(a) >= LEAST:
-                identity = common(a.tolist(), b.tolist()) / max(len(a), len(b))
+                identity = matched(a, b) / max(len(a), len(b))
                 if identity >= IDENTITY:
                     out.append((k, p, r, p, r, identity))
     return out
