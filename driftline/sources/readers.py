@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.batches import slices
 from ..functions.config import split_topics
 from ..functions.wire import OVERHEAD, make_id
 
@@ -138,9 +139,11 @@ def stream_frames(df: DataFrame, column: str = "stream") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [(i, frame, k) for i, data in enumerate(batch.column(column).to_pylist()) for k, frame in enumerate(split_stream(data or b""))]
-            own = batch.select(rest).take(pa.array([f[0] for f in found], pa.int64())).columns if rest else []
-            yield pa.RecordBatch.from_arrays([*own, pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.int32())], [*rest, "frame", "seq"])
+            for at, n in slices(batch.column(column)):
+                some = batch.slice(at, n)
+                found = [(i, frame, k) for i, data in enumerate(some.column(column).to_pylist()) for k, frame in enumerate(split_stream(data or b""))]
+                own = some.select(rest).take(pa.array([f[0] for f in found], pa.int64())).columns if rest else []
+                yield pa.RecordBatch.from_arrays([*own, pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.int32())], [*rest, "frame", "seq"])
 
     return df.mapInArrow(run, schema)
 
