@@ -1,15 +1,18 @@
-"""gzip of payloads, as Arrow-batched functions (Spark has no built-in)."""
+"""gzip of payloads, as functions over slices of Arrow batches (Spark has no built-in)."""
 
 from __future__ import annotations
 
 import gzip as _gz
 import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import slices
+
 
 def inflate(data: bytes | None, limit: int = -1) -> tuple[bytes | None, str | None]:
     """All members of a gzip stream; (None, error) for empty or bad data, or more than limit bytes (negative: no limit)."""
@@ -32,17 +35,22 @@ def inflate(data: bytes | None, limit: int = -1) -> tuple[bytes | None, str | No
     return b"".join(out), None
 
 
-@F.pandas_udf(T.BinaryType())
-def gzip(value: pd.Series) -> pd.Series:
-    return value.map(lambda v: None if v is None else _gz.compress(v, mtime=0))
+@F.arrow_udf(T.BinaryType())
+def gzip(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for value in values:
+        for i, n in slices(value):
+            yield pa.array([None if v is None else _gz.compress(v, mtime=0) for v in value.slice(i, n).to_pylist()], pa.binary())
 
 
 def gunzip(value: Column, limit: int = -1) -> Column:
     """Struct (value, error)."""
 
-    @F.pandas_udf("value binary, error string")
-    def run(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([inflate(x, limit) for x in v], columns=["value", "error"])
+    @F.arrow_udf("value binary, error string")
+    def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for value in values:
+            for i, n in slices(value):
+                out = [inflate(v, limit) for v in value.slice(i, n).to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["value", "error"])
 
     return run(value)
 
