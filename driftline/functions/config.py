@@ -23,15 +23,26 @@ def java_regex(pattern: str) -> str:
     return _Re2(pattern).java()
 
 
+def needed(pattern: str) -> str:
+    """A text that is part of every match of the RE2 pattern, "" where none is known: without it there is no need to look for a match."""
+    p = _Re2(pattern)
+    p.java()
+    rare = [r for r in p.runs if len(r) > 1 or r and r != " " and not (r.isascii() and r.isalnum())]
+    return "" if p.either else max(rare, key=len, default="")
+
+
 #: Members of the named classes.
 POSIX = {
     "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F", "digit": "0-9", "graph": "!-~",
     "lower": "a-z", "print": " -~", "punct": "!-/:-@\\[-`{-~", "space": r"\t-\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
 }
-_PERL = {"d": "0-9", "s": r"\t\n\f\r ", "w": "0-9A-Za-z_"}
+#: Java's own d and w are those of ASCII, looked up in a table; its s has one more.
+_PERL = {"d": r"\d", "s": r"\t\n\f\r ", "w": r"\w"}
 _CONTROL = {"a": 7, "f": 12, "t": 9, "n": 10, "r": 13, "v": 11}
 _ANY = r"[\x{0}-\x{10FFFF}]"
-_EDGE = {"b": r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))", "B": r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"}
+_EDGE = {"b": r"(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))", "B": r"(?:(?=\w)(?<=\w)|(?!\w)(?<!\w))"}
+#: The beginning of a line: Java's own, which is none at the text's end, and that one.
+_LINE = r"(?:(?m:^)|\z(?<![^\n]))"
 
 
 def _literal(code: int) -> str:
@@ -43,6 +54,10 @@ class _Re2:
 
     def __init__(self, pattern: str):
         self.p, self.i = pattern, 0
+        #: Characters outside groups, one after the other, that all matches have, unless there is a choice or case doesn't count.
+        self.runs, self.either = [""], False
+        #: Whether case doesn't count here. Then RE2's w has two signs that fold to letters, Java's doesn't, but its ranges do.
+        self.fold = False
 
     def refuse(self, what: str):
         raise ValueError(f"{what} at {self.i} of {self.p!r}")
@@ -70,8 +85,9 @@ class _Re2:
         # Only a line feed ends a line; flags hold to the end of their group.
         out, flags, groups, repeatable = ["(?d)"], {"i": False, "m": False, "s": False}, [], False
         while self.i < len(self.p):
-            c = self.next()
+            c, start, self.fold = self.next(), self.i - 1, flags["i"]
             if c == "(":
+                self.runs.append("")
                 repeatable = False
                 groups.append(dict(flags))
                 if not self.more("?"):
@@ -82,6 +98,7 @@ class _Re2:
                     got = self.match(r"([imsU]*)(-[imsU]+)?([:)])") or self.refuse("a group that RE2 does not have")
                     if not got[1] and not got[2] and got[3] == ")":
                         self.refuse("a group without flags")
+                    self.either |= "i" in (got[1] or "")
                     flags = flags | {f: True for f in got[1] if f != "U"} | {f: False for f in (got[2] or "")[1:] if f != "U"}
                     on, off = "".join(f for f in "is" if flags[f]).replace("i", "iu"), "".join(f for f in "is" if not flags[f])
                     out.append(f"(?{on}{'-' if off else ''}{off}{got[3]}")
@@ -101,10 +118,12 @@ class _Re2:
                     if max(least, most) > 1000 or most < least:
                         self.refuse("a bad number of repeats")
                     c = got[0] if c in got[0] else c + got[0]
+                self.runs[-1:] = [self.runs[-1] if c == "+" else self.runs[-1][:-1], ""]
                 out.append(c + ("?" if self.more("?") else ""))
                 repeatable = False
                 continue
             elif c == "|":
+                self.either |= not groups
                 out.append(c)
                 repeatable = False
                 continue
@@ -113,14 +132,18 @@ class _Re2:
             elif c == "\\":
                 out.append(self.escape())
             elif c == "^":
-                out.append(r"(?<![^\n])" if flags["m"] else r"\A")
+                out.append(_LINE if flags["m"] else r"\A")
             elif c == "$":
-                out.append(r"(?![^\n])" if flags["m"] else r"\z")
+                out.append("(?m:$)" if flags["m"] else r"\z")
             elif c == ".":
                 out.append(c)
             else:
                 out.append(c if c.isalnum() or ord(c) > 127 else _literal(ord(c)))
             repeatable = True
+            if groups or c in "[.^$)" or c == "\\" and self.p[start + 1].isalnum():
+                self.runs.append("")
+            else:
+                self.runs[-1] += self.p[self.i - 1]
         if groups:
             self.refuse("a group that does not end")
         return "".join(out)
@@ -146,7 +169,8 @@ class _Re2:
         """A class that a backslash begins, or the code of one character."""
         c = self.next()
         if c.lower() in _PERL:
-            return f"[{'^' if c.isupper() else ''}{_PERL[c.lower()]}]", None
+            members = "0-9A-Za-z_" if self.fold and c in "wW" else _PERL[c.lower()]
+            return f"[{'^' if c.isupper() else ''}{members}]", None
         if c in "pP":
             got = self.match(r"\{(\^?)([A-Za-z_]+)\}|()([A-Z])") or self.refuse("a bad property")
             name, inverse = got[2] or got[4], (c == "P") != bool(got[1])
@@ -167,18 +191,21 @@ class _Re2:
 
     def class_(self) -> str:
         """The rest of a class behind its bracket."""
-        inverse, items, first = self.more("^"), [], True
+        inverse, items, first, nested = self.more("^"), [], True, self.fold
         while first or not self.more("]"):
             first = False
             got = self.match(r"\[:(\^?)([a-z]+):\]")
             if got:
                 if got[2] not in POSIX:
                     self.refuse("a class without a name of the list")
-                items.append(f"[{got[1]}{POSIX[got[2]]}]")
+                items.append(f"[^{POSIX[got[2]]}]" if got[1] else POSIX[got[2]])
+                nested |= bool(got[1])
                 continue
             item, low = self.one()
             if low is None:
-                items.append(item)
+                plain = item[1:-1] if item.startswith("[") and not item.startswith("[^") else ""
+                items.append(plain or item)
+                nested |= not plain
                 continue
             high = low
             if self.p[self.i : self.i + 1] == "-" and self.p[self.i + 1 : self.i + 2] not in ("]", ""):
@@ -187,8 +214,9 @@ class _Re2:
                 if high is None or high < low:
                     self.refuse("a bad range")
             items.append(_literal(low) + (f"-{_literal(high)}" if high > low else ""))
-        union = f"[{''.join(items)}]"
-        return f"(?:(?!{union}){_ANY})" if inverse else union
+        # Java's complement is that of the whole class only where no class stands inside it.
+        union = "".join(items)
+        return f"(?:(?![{union}]){_ANY})" if inverse and nested else f"[{'^' * inverse}{union}]"
 
     def one(self) -> tuple[str, int | None]:
         c = self.next()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.config import DeliverFilter, Rule, java_regex
+from ..functions.config import DeliverFilter, Rule, java_regex, needed
 
 
 def since(df: DataFrame, start, ts: str = "ts") -> DataFrame:
@@ -20,12 +20,18 @@ def between(df: DataFrame, start, end=None, ts: str = "ts") -> DataFrame:
     return df.filter(F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp") if end is not None else F.current_timestamp()))
 
 
+def found(text: Column, pattern: str) -> Column:
+    """Whether the text has a match of the RE2 pattern. The pattern is only looked for where what it needs is there."""
+    part, hit = needed(pattern), text.rlike(java_regex(pattern))
+    return F.contains(text, F.lit(part)) & hit if part else hit
+
+
 def allowed(value: Column, rules: list[Rule], default_allow: bool) -> Column:
     """Whether the first rule that matches allows the text; without rules everything is allowed, and null (an error) too."""
     if not rules:
         return F.lit(True)
     text = value.cast("string")
-    out = reduce(lambda acc, r: (F.when if acc is None else acc.when)(text.rlike(java_regex(r.pattern)), F.lit(r.allow)), rules, None)
+    out = reduce(lambda acc, r: (F.when if acc is None else acc.when)(found(text, r.pattern), F.lit(r.allow)), rules, None)
     return F.coalesce(out.otherwise(F.lit(default_allow)), F.lit(True))
 
 

@@ -352,7 +352,7 @@ def rule_dialect(spark, d):
     """How many texts each pattern of the rule dialect is found in."""
     tail = F.element_at(F.array(*map(F.lit, MARKED)), (F.col("doc_id") % len(MARKED) + 1).cast("int"))
     rows = tab(spark, d, "documents").select(F.concat("text", tail).alias("text"))
-    counts = rows.agg(*[F.count(F.when(F.col("text").rlike(config.java_regex(p)), 1)).alias(f"p{k}") for k, p in enumerate(DIALECT)])
+    counts = rows.agg(*[F.count(F.when(filters.found(F.col("text"), p), 1)).alias(f"p{k}") for k, p in enumerate(DIALECT)])
     return counts.select(F.posexplode(F.array(*[f"p{k}" for k in range(len(DIALECT))])).alias("pattern", "n"))
 
 
