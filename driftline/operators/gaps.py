@@ -133,9 +133,20 @@ def first_old_gaps(gaps: DataFrame, now, keys: list[str], seconds: int = 30, com
 
 
 def emissions(marked: DataFrame, every: int, last_tick: DataFrame) -> DataFrame:
-    """(tick, topic, part, win, gaps): what detectors report when a clock ticks after every `every` arrivals' time.
+    """(tick, topic, part, win, gaps): what detectors report when a clock ticks after every `every` arrivals' time; see reports()."""
+    return each_tick(reports(marked, every, last_tick))
 
-    marked: (topic, part, win, off, arrival, died) of the numbers that windows saw first, died null where the window stays;
+
+def each_tick(reports: DataFrame) -> DataFrame:
+    """Reports (since, until, ...) as one row for each tick from since to until: a window with gaps stays in all ticks to come, so these grow with the square of a log."""
+    rest = [c for c in reports.columns if c not in ("since", "until")]
+    return reports.select(F.explode(F.sequence("since", "until")).alias("tick"), *rest)
+
+
+def reports(marked: DataFrame, every: int, last_tick: DataFrame) -> DataFrame:
+    """(topic, part, win, gaps, since, until): what detectors report at each tick from since to until, when a clock ticks after every `every` arrivals' time.
+
+    What is made of a report, its text for instance, is best made here, before it is repeated for each tick. marked: (topic, part, win, off, arrival, died) of the numbers that windows saw first, died null where the window stays;
     last_tick: one row (last). A window with gaps is reported at each tick, one without when it had some at the tick before it changed,
     and once at first. A window's numbers, at most its width, meet in one row; between the ticks at which it changes, its state stays.
     """
@@ -154,8 +165,7 @@ def emissions(marked: DataFrame, every: int, last_tick: DataFrame) -> DataFrame:
     was = lambda k: F.when(k == 0, True).otherwise(F.size(F.get("_s", k - 1)["gaps"]) > 0)
     spans = F.transform("_s", lambda s, k: F.struct(s["t"].alias("t"), s["gaps"].alias("gaps"), until(k).alias("until"), was(k).alias("was")))
     rows = each.select(*WIN, F.explode(spans).alias("_x")).select(*WIN, "_x.*").filter(F.col("t") <= F.col("until"))
-    held = F.sequence("t", F.when(F.size("gaps") > 0, F.col("until")).otherwise(F.col("t")))
-    return rows.filter((F.size("gaps") > 0) | F.col("was")).select(F.explode(held).alias("tick"), *WIN, "gaps")
+    return rows.filter((F.size("gaps") > 0) | F.col("was")).select(*WIN, "gaps", F.col("t").alias("since"), F.when(F.size("gaps") > 0, F.col("until")).otherwise(F.col("t")).alias("until"))
 
 
 def memory_estimate(marked: DataFrame) -> DataFrame:

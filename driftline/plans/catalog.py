@@ -446,9 +446,11 @@ def gap_emissions(spark, d):
     """The gap topic's records of each tick."""
     s = kept(dedup.statuses(raw_log(spark, d)))
     marked = s.filter("status IN (0, -1)").withColumn("died", F.lit(None).cast("long"))
-    out = gaps.emissions(marked, TICK, s.agg(F.floor(F.max("arrival") / TICK).alias("last")))
+    out = gaps.reports(marked, TICK, s.agg(F.floor(F.max("arrival") / TICK).alias("last")))
     text = F.array_join(F.transform("gaps", lambda g: wire.format_range(g[0], g[1])), ", ")
-    return out.select("tick", *gaps.WIN, F.size("gaps").cast("long").alias("n_gaps"), text.alias("text"))
+    out = out.select(*gaps.WIN, F.size("gaps").cast("long").alias("n_gaps"), text.alias("text"), "since", "until")
+    # Texts are joined once for each state of a window, not again at each tick.
+    return gaps.each_tick(out)
 
 
 @query(f"WITH {LOG}, t AS (SELECT topic, time_bucket(INTERVAL 3600 SECONDS, ts) AS time_start, count(*) AS received FROM raw GROUP BY 1, 2) SELECT topic, time_start, received, received - coalesce(lag(received) OVER (PARTITION BY topic ORDER BY time_start), 0) AS delta_received FROM t")
