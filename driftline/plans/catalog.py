@@ -512,8 +512,7 @@ def redelivered(spark, d):
     frames = wire.fragment(documents(spark, d), 1400).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
     frames = frames.filter(~((again == 0) & (n % 7 == 0) & (part == 1)))
     late = F.when((again == 1) & (n % 5 == 0) & (part == F.col("n_parts")) & (part > 1), 10**12).otherwise(0)
-    # Written: a sender's and a receiver's expressions in one plan would be too much code for one method.
-    parsed = wire.parse(kept(frames.select("frame", (n * 100_000 + again * 50_000 + part + late).alias("arrival"))), 65_535)
+    parsed = wire.parse(frames.select("frame", (n * 100_000 + again * 50_000 + part + late).alias("arrival")), 65_535)
     got = reassembly.messages(parsed, 60_000)
     return got.groupBy("id", wire.content_hash(F.col("value")).alias("hash")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -537,7 +536,7 @@ def reassembly_overflow(spark, d):
     """Messages that get through a receiver with 20 open entries: groups of 100 documents, every other one with its fragments interleaved."""
     n, part = F.col("doc_id"), F.col("part_no")
     at = F.when(F.floor(n / 100) % 2 == 0, part * 1000 + n % 100).otherwise(n % 100 * 1000 + part)
-    sent = kept(wire.fragment(documents(spark, d), 1400).select("frame", (F.floor(n / 100) * 1_000_000_000 + at).alias("arrival")))
+    sent = wire.fragment(documents(spark, d), 1400).select("frame", (F.floor(n / 100) * 1_000_000_000 + at).alias("arrival"))
     return reassembly.messages(wire.parse(sent, 65_535), 1_000_000, 20).select("id", wire.content_hash(F.col("value")).alias("hash"))
 
 
