@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Folders of the tables that written() has made and nobody has released yet, in order.
 SCRATCH: list[str] = []
+#: Bytes of an Arrow batch of a plan that written() runs.
+BATCH = 4 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -32,6 +35,21 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of about BATCH bytes at most to the workers of what runs meanwhile.
+
+    Spark's own limit is 64 MB and 10,000 rows, and a batch is there several times, in the executor, outside its heap, and in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
     folder(df.sparkSession)
@@ -46,7 +64,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     out = f"{folder(spark)}/written-{uuid.uuid4().hex}"
     SCRATCH.append(out)
-    df.write.parquet(out)
+    with small_batches(spark):
+        df.write.parquet(out)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(out)

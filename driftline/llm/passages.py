@@ -104,6 +104,20 @@ def _rows(kind, keys, data):
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(data), pa.int32()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["kind", "key", "data"])
 
 
+def _blobs(kind, keys, edge, blob):
+    """Rows of a kind, about PASS bytes of them at a time. blob: the bytes of the places from one edge to the next."""
+    some, data, size = [], [], 0
+    for key, a, b in zip(keys, edge[:-1].tolist(), edge[1:].tolist()):
+        some.append(key)
+        data.append(blob(a, b))
+        size += len(data[-1])
+        if size >= PASS:
+            yield _rows(kind, some, data)
+            some, data, size = [], [], 0
+    if data:
+        yield _rows(kind, some, data)
+
+
 def _cut_at(values) -> np.ndarray:
     return np.r_[0, np.flatnonzero(np.diff(values)) + 1, len(values)] if len(values) else np.zeros(1, np.int64)
 
@@ -115,6 +129,7 @@ def _seed_rows(parts, bits: int):
 
     def flush():
         h, doc, pos = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         if not len(h):
             return
         h = h >> low
@@ -126,7 +141,7 @@ def _seed_rows(parts, bits: int):
             which = np.searchsorted(hot, h)
             some = np.flatnonzero(hot[np.minimum(which, len(hot) - 1)] == h)
             some = some[np.lexsort((pos[some], doc[some], h[some]))]
-            edge, wait, keys, data = _cut_at(h[some]), [], [], []
+            edge, wait, keys = _cut_at(h[some]), [], []
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 own = some[a:b]
                 later = own[doc[own] != doc[own[0]]]
@@ -134,26 +149,25 @@ def _seed_rows(parts, bits: int):
                     pos[own[0]] |= _SHARED
                     wait.append(later)
                     keys.append(int(h[own[0]]))
-                    data.append(_planes((_steps(doc[later]), pos[later])))
             if wait:
-                yield _rows(WAITING, keys, data)
+                late, edge = np.concatenate(wait), np.r_[0, np.cumsum([len(w) for w in wait])]
+                yield from _blobs(WAITING, keys, edge, lambda a, b: _planes((_steps(doc[late[a:b]]), pos[late[a:b]])))
                 stay = np.ones(len(h), bool)
-                stay[np.concatenate(wait)] = False
+                stay[late] = False
                 h, doc, pos = h[stay], doc[stay], pos[stay]
         bucket = (h >> np.uint64(8 * BYTES)).astype(np.uint32)
         order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
         bucket, doc, pos = bucket[order], doc[order], pos[order]
         tail = h[order].view(np.uint8).reshape(-1, 8)[:, :BYTES]
         edge = _cut_at(bucket)
-        data = [np.ascontiguousarray(tail[a:b].T).tobytes() + _planes((_steps(doc[a:b]), pos[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-        yield _rows(SEEDS, bucket[edge[:-1]].astype(np.int64), data)
+        yield from _blobs(SEEDS, bucket[edge[:-1]].tolist(), edge, lambda a, b: np.ascontiguousarray(tail[a:b].T).tobytes() + _planes((_steps(doc[a:b]), pos[a:b])))
 
     for part in parts:
         held.append(part)
         n += len(part[0])
         if n >= HELD:
             yield from flush()
-            held, n = [], 0
+            n = 0
     if held:
         yield from flush()
 
@@ -170,14 +184,22 @@ def _seeds(bits: int):
     return run
 
 
-def _match_rows(doc, y, src, x, bits: int):
-    """MATCHES blobs by bucket of the documents."""
-    bucket = (textops.mix(doc.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.lexsort((doc, bucket))
-    bucket, doc, y, src, x = (c[order] for c in (bucket, doc, y, src, x))
+def _match_rows(matches, bits: int):
+    """MATCHES blobs of (doc, y, src, x) parts by bucket of the documents. Takes the parts out of the list."""
+    cols = [*map(list, zip(*matches))]
+    matches.clear()
+    for k, parts in enumerate(cols):
+        cols[k] = np.concatenate(parts)
+        parts.clear()
+    bucket = (textops.mix(cols[0].astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint32)
+    order = np.lexsort((cols[0], bucket))
+    bucket = bucket[order]
+    for k in range(len(cols)):
+        cols[k] = cols[k][order]
+    del order
+    doc, y, src, x = cols
     edge = _cut_at(bucket)
-    data = [_planes((_steps(doc[a:b]), y[a:b], _steps(src[a:b]), x[a:b])) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-    return _rows(MATCHES, bucket[edge[:-1]], data)
+    yield from _blobs(MATCHES, bucket[edge[:-1]].tolist(), edge, lambda a, b: _planes((_steps(doc[a:b]), y[a:b], _steps(src[a:b]), x[a:b])))
 
 
 def _stars(bits: int):
@@ -188,10 +210,10 @@ def _stars(bits: int):
         width, matches, many = 12 + BYTES, [], 0
 
         def dealt():
-            nonlocal matches, many
+            nonlocal many
             if matches:
-                yield _match_rows(*(np.concatenate(c) for c in zip(*matches)), bits)
-            matches, many = [], 0
+                yield from _match_rows(matches, bits)
+            many = 0
 
         def flush():
             nonlocal many
@@ -246,16 +268,20 @@ def _waited(bits: int):
     """Matches of waiting places with the first one of their hash; the first document's own places match themselves."""
 
     def run(batches):
+        parts, many = [], 0
         for batch in batches:
-            parts = []
             for data, first in zip(batch.column("data").to_pylist(), batch.column("first").to_pylist()):
                 steps, pos = _columns(data, _PLACE)
                 (src,), (spos,) = _columns(first, _PLACE)
                 doc = np.cumsum(steps)
                 own = doc == src
                 parts.append((doc, pos, np.full(len(doc), src), np.where(own, pos, spos).astype(np.uint32)))
-            if parts:
-                yield _match_rows(*(np.concatenate(c) for c in zip(*parts)), bits)
+                many += len(doc)
+                if many >= MANY:
+                    yield from _match_rows(parts, bits)
+                    many = 0
+        if parts:
+            yield from _match_rows(parts, bits)
 
     return run
 
@@ -762,7 +788,7 @@ def passages(docs: DataFrame) -> DataFrame:
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """docs with repeated passages cut from all but the earliest document, and n_chars to match where there is such a column."""
-    cuts = passages(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
+    cuts = written(passages(docs.select("doc_id", "text")).select("doc_id", "start_word", "end_word")).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
     # One column of a name of ours: other columns may have any.
     rows = docs.join(cuts.select(F.col("doc_id").alias(_KEY), F.col("cuts").alias(_CUTS)), docs["doc_id"] == F.col(_KEY), "left").drop(_KEY)
     names = docs.columns
